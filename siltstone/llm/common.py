@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,28 +72,32 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
     return run
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Regroups a partition that is sorted by key, so that no run of equal keys is cut."""
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000) -> Iterator[pa.Table]:
+    """Regroups a partition that is sorted by key into tables of `rows` rows or more, so that no run of equal keys is cut."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for b in batches:
         if not b.num_rows:
             continue
-        keys = b.column(key)
-        last, first = keys[-1], keys[0]
-        if held and held[-1].column(key)[-1] != first:
-            yield pa.Table.from_batches(held)
-            held = []
-        if first == last:
-            held.append(b)
-            continue
-        values = keys.to_numpy(zero_copy_only=False)
-        cut = b.num_rows - int((values[::-1] != values[-1]).argmax())
-        yield pa.Table.from_batches([*held, b.slice(0, cut)])
-        held = [b.slice(cut)]
+        if n >= rows:
+            values = b.column(key).to_numpy(zero_copy_only=False)
+            before = held[-1].column(key)[-1].as_py()
+            other = np.flatnonzero(values != before)
+            if len(other):
+                yield pa.Table.from_batches([*held, b.slice(0, int(other[0]))])
+                held, n, b = [], 0, b.slice(int(other[0]))
+        held.append(b)
+        n += b.num_rows
     if held:
         yield pa.Table.from_batches(held)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of steps whose results are already written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unit_hash(seed: int, *columns) -> F.Column:
     """A number strictly between 0 and 1 that depends on the values and the seed only."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / float(1 << 53)

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.mixing import op1_pareto_mix
+from siltstone.llm.packing import op10_pack_patterns
+from siltstone.llm.pfor import op9_token_files
 from siltstone.llm.simhash import op6_simhash_components
+from siltstone.llm.suffixes import op5_strip_repeats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pareto_mix, op6_simhash_components)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pareto_mix, op5_strip_repeats, op6_simhash_components, op9_token_files, op10_pack_patterns)
+}
 
 ORACLES: dict[str, str] = {}
