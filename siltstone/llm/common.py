@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +62,31 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+PORTION = 8 << 20
+
+
+def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings and binaries take PORTION bytes at most, or that are one row."""
+    size = np.zeros(b.num_rows, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < b.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        yield b.slice(at, upto - at)
+        at = upto
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function that applies f to each batch that has rows."""
+    """mapInArrow function that applies f to each portion of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+            for part in portions(b):
+                if (out := f(part)) is not None:
+                    yield out
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import Scratch, load
+from siltstone.llm.common import Scratch, load, portions
 from siltstone.llm.tokens import encode_ended, word_bpe_path
 
 #: Partners tried for each length when patterns of three are listed, and passes of the least-squares fit.
@@ -104,9 +104,7 @@ def cut_pieces(df: DataFrame, *, id_col: str, text_col: str, end_id: int, capaci
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for b in batches for x in portions(b)):
             ids, n = encode_ended(tokenizer, b.column(1), end_id)
             k = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), k)

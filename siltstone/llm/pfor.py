@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, load, partitions
+from siltstone.llm.common import Scratch, load, partitions, portions
 from siltstone.llm.tokens import encode_ended, word_bpe_path
 
 MAGIC, BLOCK, SHARE = b"SILTPFR1", 256, 0.9
@@ -149,7 +149,7 @@ def write_token_files(df: DataFrame, scratch: Scratch, *, id_col: str, text_col:
         name = f"{path}/{part:06d}-{uuid.uuid4().hex[:8]}.pfor"
         with store.open_output_stream(name) as out:
             writer = Writer(out)
-            for b in batches:
+            for b in (x for b in batches for x in portions(b)):
                 if b.num_rows:
                     ids, n = encode_ended(tokenizer, b.column(1), end_id)
                     writer.add(ids, b.column(0).to_pylist(), n)

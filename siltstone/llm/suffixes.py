@@ -16,6 +16,8 @@ from siltstone.llm.common import Scratch, by_batch, free, load, partitions, whol
 
 #: Bytes of a gram whose least hash in a window marks the window's anchor.
 GRAM = 24
+#: Windows that anchors are sought for at once.
+STEP = 1 << 19
 #: Bytes of a shard, and of what is merged at once (a single anchor's contexts may take more).
 SHARD, CHUNK = 1 << 16, 1 << 20
 
@@ -33,14 +35,35 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
 
     Each window of `length` bytes in a text belongs to the gram of least hash in it, the leftmost of equals. Windows in a row
     with the same anchor are one context. All depends on a window's bytes alone, so equal windows lie equally in contexts of
-    equal gram.
+    equal gram. Works in steps of STEP windows; a context that a step cuts becomes two, which does no harm.
     """
-    n, gram = len(data), min(GRAM, length)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    if n < length:
-        return none
+    n, size = len(data) - length + 1, np.diff(offsets)
+    if n <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+    good = np.zeros(len(data) + 1, np.int8)  # windows that stay in their text
+    some = size >= length
+    np.add.at(good, offsets[:-1][some], 1)
+    np.add.at(good, offsets[1:][some] - length + 1, -1)
+    good = np.cumsum(good[:n], dtype=np.int8) > 0
+    found = []
+    for a in range(0, n, STEP):
+        ok = good[a : a + STEP]
+        if not ok.any():
+            continue
+        at, gram = _least_grams(data[a : a + len(ok) + length - 1], length)
+        begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1])]))
+        run = np.diff(np.append(begin, len(at)))
+        begin, run = begin[ok[begin]], run[ok[begin]]
+        text = np.searchsorted(offsets, begin + a, "right") - 1
+        found.append((text, begin + a - offsets[text], run, at[begin] - begin, gram[at[begin]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+
+
+def _least_grams(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the least gram of each window, hash of the gram at each place)."""
+    gram = min(GRAM, length)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = np.zeros(n - gram + 1, np.uint64)
+    h = np.zeros(len(data) - gram + 1, np.uint64)
     for k, odd in zip(range(0, gram, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=False):
         part = np.ndarray(len(h), "<u8", padded, k, (1,))
         if gram - k < 8:
@@ -55,21 +78,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
         step = min(done, span - done)
         least = np.minimum(least[: len(least) - step], least[step:])
         done += step
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    size = np.diff(offsets)
-    good = np.zeros(n + 1, np.int8)  # windows that stay in their text
-    some = size >= length
-    np.add.at(good, offsets[:-1][some], 1)
-    np.add.at(good, offsets[1:][some] - length + 1, -1)
-    good = np.cumsum(good[: len(at)], dtype=np.int8) > 0
-    cut = np.concatenate([[True], (at[1:] != at[:-1]) | (good[1:] != good[:-1])])
-    begin = np.flatnonzero(cut)
-    run = np.diff(np.append(begin, len(at)))
-    begin, run = begin[good[begin]], run[good[begin]]
-    if not len(begin):
-        return none
-    text = np.searchsorted(offsets, begin, "right") - 1
-    return text, begin - offsets[text], run, at[begin] - begin, h[at[begin]]
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), h
 
 
 def _anchor_rows(b: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
