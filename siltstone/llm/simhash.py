@@ -59,7 +59,8 @@ def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
 
     An anchor is a pair of Golay words over bits 0-22 and 23-45. Blocks share the threshold: the first may lie 3 + i bits
     off, the second 3 + j, with i + j <= threshold. A fingerprint's home is the anchor within 3 and 3 bits; one at most
-    `threshold` bits away is sent there, so the two meet at either's home.
+    `threshold` bits away is sent there, so the two meet at either's home. With half the threshold (rounded up) they still
+    meet, at the home of a value half-way between them, but then neither needs to be at home.
     """
     rest, _ = golay()
     starts, differ, need = offsets(threshold)
@@ -119,7 +120,17 @@ def simhash_prints(df: DataFrame, id_col: str, text_col: str, words: int = 3) ->
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(by_batch(prints), T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
 
 
-def links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def joined(prints: np.ndarray, threshold: int) -> np.ndarray:
+    """For each fingerprint the place of the least one in its component, by repeated minima over neighbours."""
+    label, old = np.arange(len(prints)), None
+    while old is None or (label != old).any():
+        old = label
+        label = np.concatenate([np.where(np.bitwise_count(prints[a : a + 256, None] ^ prints[None]) <= threshold, label[None], len(prints)).min(axis=1) for a in range(0, len(prints), 256)])
+        label = label[label]
+    return label
+
+
+def links(batches: Iterator[pa.RecordBatch], threshold: int, reach: int) -> Iterator[pa.RecordBatch]:
     """Links between fingerprints that meet at an anchor; at long runs only as many as join what belongs together."""
     ball = np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
     for t in whole_runs(batches, "anchor"):
@@ -132,7 +143,7 @@ def links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
             continue
         length = length[length > 1]
         run = np.repeat(np.arange(len(length)), length)
-        home = homes(fp) == at
+        home = homes(fp) == at if reach >= threshold else np.ones(len(fp), bool)
         has = np.zeros(len(length), bool)
         has[run[home]] = True
         few = (length <= PAIRWISE)[run] & has[run]
@@ -146,42 +157,42 @@ def links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
         for k in np.flatnonzero((length > PAIRWISE) & has):
             mine = np.unique(fp[run == k])
             if threshold == 2:  # two are linked exactly if some value is at most one bit from both: each joins the least owner of each value
-                for part in ([mine] if len(mine) <= 1 << 20 else []):
-                    near, who = (part[:, None] ^ ball[None, :]).ravel(), np.repeat(np.arange(len(part)), 65)
-                    order = np.argsort(near, kind="stable")
-                    near, who = near[order], who[order]
-                    start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-                    owner = np.repeat(who[start], np.diff(np.concatenate([start, [len(near)]])))
-                    pairs = np.unique(np.stack([who, owner])[:, who != owner], axis=1)
-                    found.append(part[pairs])
-            if threshold != 2 or len(mine) > 1 << 20:
-                for x in mine[homes(mine) == at[np.searchsorted(run, k)]]:
-                    other = mine[np.bitwise_count(mine ^ x) <= threshold]
-                    found.append(np.stack([np.full(len(other), x), other]))
+                near, who = (mine[:, None] ^ ball[None, :]).ravel(), np.repeat(np.arange(len(mine)), 65)
+                order = np.argsort(near, kind="stable")
+                near, who = near[order], who[order]
+                start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+                owner = np.repeat(who[start], np.diff(np.concatenate([start, [len(near)]])))
+                found.append(mine[np.unique(np.stack([who, owner])[:, who != owner], axis=1)])
+            else:
+                root = joined(mine, threshold)
+                found.append(np.stack([mine, mine[root]])[:, root != np.arange(len(mine))])
         if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).size:
             pairs = pairs.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
+def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2, reach: int | None = None) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the smallest doc_id that a chain of links reaches, the row's own included.
 
     Fingerprints link at `threshold` or fewer differing bits. Equal fingerprints are one node from the start (combined
     before any shuffle), so groups of copies of any size cost one row; nodes meet at anchors, about 60 each at threshold 2.
+    Anchors within covering radius plus `reach` are used: the threshold, or less down to half of it, which takes fewer copies.
     Null or empty texts have fingerprint zero and link like any other. Rows with equal id are separate rows with the same
     id; rows with null id keep their component's smallest id. Extra columns are ignored; an empty table gives an empty one.
     """
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "simhash")
+    spark, scratch, reach = df.sparkSession, Scratch(df.sparkSession, "simhash"), threshold if reach is None else reach
+    if 2 * reach < threshold:
+        raise ValueError("reach must be half the threshold at least")
     docs = scratch.keep(simhash_prints(df, id_col, text_col, words), "docs")
     nodes = scratch.keep(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
 
     def replicate(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = b.column(0).to_numpy().view(np.uint64)
-        anchor, row = anchors(fp, threshold)
+        anchor, row = anchors(fp, reach)
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
 
     met = nodes.select("fp").mapInArrow(by_batch(replicate), "anchor long, fp long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    pairs = met.mapInArrow(lambda batches: links(batches, threshold), "a long, b long")
+    pairs = met.mapInArrow(lambda batches: links(batches, threshold, reach), "a long, b long")
     roots = components(pairs, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
