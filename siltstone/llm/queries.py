@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.ann import op2_hilbert_search
+from siltstone.llm.chat import op7_tool_call_chats
+from siltstone.llm.licenses import op3_license_scan
 from siltstone.llm.mixing import op1_pareto_mix
 from siltstone.llm.packing import op10_pack_patterns
 from siltstone.llm.pfor import op9_token_files
@@ -17,7 +19,7 @@ from siltstone.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pareto_mix, op2_hilbert_search, op4_toxicity, op5_strip_repeats, op6_simhash_components, op8_quality_rules, op9_token_files, op10_pack_patterns)
+    for f in (op1_pareto_mix, op2_hilbert_search, op3_license_scan, op4_toxicity, op5_strip_repeats, op6_simhash_components, op7_tool_call_chats, op8_quality_rules, op9_token_files, op10_pack_patterns)
 }
 
 ORACLES: dict[str, str] = {}
