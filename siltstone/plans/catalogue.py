@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import exprs
-from siltstone.operators import delta, detect, duplication, graph, relate, rollup, score, search
-from siltstone.plans import report
+from siltstone.operators import code, delta, detect, duplication, graph, relate, rollup, score, search
+from siltstone.plans import fixtures, report
+from siltstone.sources import files
 from siltstone.sources.tables import lines, load, synthetic_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +233,86 @@ def duplicate_cover(spark, d):
 on_findings("sarif_rules", report.sarif_rules)
 on_findings("sarif_results", report.sarif_results)
 on_findings("cbom_summary", report.cbom_summary)
+
+
+@query
+def inline_line_findings(spark, d):
+    rows = spark.createDataFrame([("app/x.py", i, s) for i, s in enumerate(fixtures.LINES, 1)], "key string, line int, content string")
+    return detect.line_findings(rows).select("line", "algorithm", "category", "key_size", "mode", "protocol_version", "library", "usage", "evidence")
+
+
+@query
+def inline_cloud_hsm_findings(spark, d):
+    rows = spark.createDataFrame([("app/x.tf", i, s) for i, s in enumerate(fixtures.LINES, 1)], "key string, line int, content string")
+    return detect.cloud_findings(rows).unionByName(detect.hsm_findings(rows)).select("scanner", "line", "algorithm", "category", "library", "confidence", "evidence")
+
+
+@query
+def inline_package_findings(spark, d):
+    return detect.package_findings(detect.declared_packages(fixtures.table(spark, fixtures.MANIFESTS)))
+
+
+@query
+def inline_binary_findings(spark, d):
+    return detect.binary_findings(files.binary_strings(fixtures.binaries(spark))).select("file_path", "place", "algorithm", "category", "key_size", "usage", "evidence")
+
+
+@query
+def inline_archive_findings(spark, d):
+    members = files.archive_members(fixtures.archives(spark))
+    texts = members.select(F.col("member").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    found = detect.line_findings(lines(texts, F.col("path"), F.col("text")), "container")
+    return found.select("file_path", "line", "algorithm", "evidence")
+
+
+@query
+def code_facts(spark, d):
+    return code.python_facts(fixtures.table(spark, fixtures.SOURCES))
+
+
+def _facts(spark: SparkSession) -> DataFrame:
+    return code.python_facts(fixtures.table(spark, fixtures.SOURCES))
+
+
+@query
+def code_findings(spark, d):
+    return code.analyse(_facts(spark)).select("id", "path", "line", "name", "category", "title", "confidence", "score", "label")
+
+
+@query
+def code_health(spark, d):
+    return rollup.health(code.analyse(_facts(spark)))
+
+
+@query
+def code_complexity(spark, d):
+    return code.complexity(_facts(spark))
+
+
+@query
+def code_import_edges(spark, d):
+    return code.import_edges(_facts(spark))
+
+
+@query
+def code_call_edges(spark, d):
+    return code.call_edges(_facts(spark))
+
+
+@query
+def code_orphans(spark, d):
+    return code.orphans(_facts(spark))
+
+
+@query
+def code_dependency_use(spark, d):
+    return code.dependency_use(_facts(spark), detect.declared_packages(fixtures.table(spark, fixtures.MANIFESTS)))
+
+
+@query
+def javascript_facts(spark, d):
+    return code.javascript_facts(fixtures.table(spark, fixtures.SOURCES))
+
+
+on_findings("sarif_json", lambda e: report.sarif_json(e))
+on_findings("component_graph_edges", lambda e: graph.component_graph(graph.usage_nodes(e).select(F.col("node").alias("id"), "type"), graph.usage_edges(e, relate.related(e)))[1])

@@ -1,0 +1,44 @@
+"""Small literal inputs for queries of operators that the driver's tables can't feed: sources, binaries, archives, manifests."""
+
+from __future__ import annotations
+
+import io
+import tarfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+SOURCES = {
+    "pkg/__init__.py": "",
+    "pkg/signer.py": "import os\nimport hashlib\n\ndef sign(data):\n    key = 1\n    return hashlib.sha256(data)\n    print('never')\n    x = 2\n",
+    "pkg/cli.py": "from pkg.signer import sign\n\ndef _helper():\n    return 1\n\nif __name__ == '__main__':\n    for p in ['a']:\n        for q in open(p):\n            sign(q)\n",
+    "pkg/busy.py": "def busy(a, b, c, d, e, f):\n    out = ''\n" + "".join(f"    if a == {i}:\n        b = {i}\n" for i in range(11)) + "    return b, c, d, e, f, out\n",
+    "pkg/broken.py": "def (:\n",
+    "web/app.js": "import { x } from './x';\nexport function go() { return 1; }\nconst unused = 2;\n",
+}
+LINES = ["cipher = AES_256 in GCM mode", "key_size=2048", "DES old, md5 and SHA1", "password = 'hunter2'", "ssl.PROTOCOL_TLSv1_2", "RSA with 1024 bits", "-----BEGIN CERTIFICATE-----", "f.key_size",
+         "arn:aws:kms:eu-west-1:123456789012:key/abc", "https://v1.vault.azure.net/keys/k", "SIGN_KEY_ID = abc", "pkcs11:token=t;object=o?pin-value=1", "Thales nShield", "IconShield", "HSM_SLOT=3 HSM_PIN=1", "/usr/lib/libsofthsm2-pkcs11.so"]
+MANIFESTS = {"a/requirements.txt": "cryptography==42.0\nflask>=2\n# note\n", "b/package.json": '{"dependencies": {"node-forge": "^1.0", "react": "18"}}', "c/go.mod": "module m\nrequire golang.org/x/crypto v0.1.0\n", "d/pom.xml": "<project><artifactId>bcprov</artifactId></project>"}
+
+
+def table(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(rows.items()), "path string, text string")
+
+
+def binaries(spark: SparkSession) -> DataFrame:
+    body = b"\x7fELF\0\0libcrypto.so.3\0EVP_EncryptInit\0AES-256\0RSA 2048\0EVP_EncryptInit\0noise\0TLSv1.2\0"
+    return spark.createDataFrame([("bin/x", bytearray(body), len(body)), ("bin/text", bytearray(b"libcrypto AES-256"), 17)], "path string, content binary, length long")
+
+
+def archives(spark: SparkSession) -> DataFrame:
+    def tar(members: dict[str, bytes]) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, data in members.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    layer = tar({"etc/app.conf": b"cipher=RC4\n", "../evil": b"MD5"})
+    image = tar({"layer.tar": layer, "manifest.json": b"[]"})
+    return spark.createDataFrame([("img.tar", bytearray(image)), ("bad.tar", bytearray(b"no archive"))], "path string, content binary")
