@@ -14,4 +14,4 @@ def readable(column: str) -> Column:
     latin = F.decode(F.col(column), "ISO-8859-1")
     whole = F.concat_ws("", F.regexp_extract_all(latin, F.lit(f"({CHARACTER})"), F.lit(0)))
     plain = F.col(column).cast("string")
-    return F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
+    return F.when(plain.isNull() | F.is_valid_utf8(plain), plain).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
