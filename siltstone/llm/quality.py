@@ -116,10 +116,24 @@ def scores(t: Texts, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
     return out
 
 
+def shares(texts: pa.Array, step: int = 100) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per kind of n-gram: (bucket, text, share of the text's n-grams), worked out a few texts at a time."""
+    found: list[list[tuple]] = [[], []]
+    for a in range(0, len(texts), step):
+        t = Texts(texts.slice(a, step))
+        for kind, (bucket, doc) in zip(found, hashed(t), strict=True):
+            key, count = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+            doc = key // BUCKETS
+            n = np.bincount(doc, count, step)
+            kind.append(((key % BUCKETS).astype(np.int32), (doc + a).astype(np.int32), (count / n[doc]).astype(np.float32)))
+    return [tuple(np.concatenate(x) for x in zip(*kind, strict=True)) for kind in found]
+
+
 def train(texts: pa.Array, y: np.ndarray, rounds: int = 120, rate: float = 2.0, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by full-batch AdaGrad; word and character features are shares of a text's n-grams."""
-    grams = [(b, d, 1 / np.maximum(np.bincount(d, minlength=len(y)), 1)) for b, d in hashed(Texts(texts))]
-    grams = [(*np.divmod(k, BUCKETS)[::-1], c * share[k // BUCKETS]) for b, d, share in grams for k, c in [np.unique(d.astype(np.int64) * BUCKETS + b, return_counts=True)]]
+    if not len(texts):
+        return np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0
+    grams = shares(texts)
     weights, past, bias = [np.zeros(BUCKETS) for _ in grams], [np.full(BUCKETS, 1e-12) for _ in grams], 0.0
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     for _ in range(rounds):

@@ -40,7 +40,8 @@ def offsets(extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each remainder: the differences between a value and every code word within GOLAY_RADIUS + extra of it.
 
     A code word lies so near exactly if it is the nearest one of a value at most `extra` bits away. Returned as
-    (starts, differences, how many extra bits each needs), ordered by remainder.
+    (differences, how many extra bits each needs), ordered by remainder and need, with the places at which each remainder's
+    needs begin (a row per remainder; the last column is its end).
     """
     rest, leader = golay()
     flips = np.flatnonzero(np.bitwise_count(np.arange(1 << GOLAY_BITS, dtype=np.uint32)) <= extra)
@@ -50,8 +51,11 @@ def offsets(extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.unique(((np.broadcast_to(r, found.shape) << 32) | (found << 4) | need[None, :]).ravel())
     first = np.concatenate([[True], (key[1:] >> 4) != (key[:-1] >> 4)])
     key = key[first]
-    starts = np.searchsorted(key >> 32, np.arange((1 << 11) + 1))
-    return starts, (key >> 4) & ((1 << 28) - 1), key & 15
+    remainder, differ, need = key >> 32, (key >> 4) & ((1 << 28) - 1), key & 15
+    order = np.lexsort((differ, need, remainder))
+    at = (remainder * 16 + need)[order]
+    begins = np.searchsorted(at, np.arange(1 << 11)[:, None] * 16 + np.arange(extra + 2)[None, :])
+    return differ[order], need[order], begins
 
 
 def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,26 +67,20 @@ def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
     meet, at the home of a value half-way between them, but then neither needs to be at home.
     """
     rest, _ = golay()
-    starts, differ, need = offsets(threshold)
-    low, high = (prints & ((1 << 23) - 1)).astype(np.int64), ((prints >> np.uint64(23)) & np.uint64((1 << 23) - 1)).astype(np.int64)
+    differ, need, begins = offsets(threshold)
+    low, high = (prints & np.uint64((1 << 23) - 1)).astype(np.int64), ((prints >> np.uint64(23)) & np.uint64((1 << 23) - 1)).astype(np.int64)
     r1, r2 = rest[low], rest[high]
 
-    def spread(lengths: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = end - begin
         row = np.repeat(np.arange(len(lengths)), lengths)
-        return row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + begin[row]
-
-    row, at = spread(starts[r1 + 1] - starts[r1], starts[r1])
-    first, used = low[row] ^ differ[at], need[at]
-    out_row, out_anchor = [], []
-    for k in range(threshold + 1):  # those of the second block that the rest of the threshold allows
-        of = used == k
-        sub, begin = row[of], starts[r2[row[of]]]
-        again, at2 = spread(starts[r2[sub] + 1] - begin, begin)
-        good = need[at2] <= threshold - k
-        again, at2 = again[good], at2[good]
-        out_row.append(sub[again])
-        out_anchor.append(first[of][again] | ((high[sub[again]] ^ differ[at2]) << 23))
-    return np.concatenate(out_anchor), np.concatenate(out_row)
+        return row, np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row] + begin[row]
+
+    row, at = spread(begins[r1, 0], begins[r1, -1])
+    second = r2[row]
+    again, at2 = spread(begins[second, 0], begins[second, threshold - need[at] + 1])  # what the first block leaves of the threshold
+    row, at = row[again], at[again]
+    return (low[row] ^ differ[at]) | ((high[row] ^ differ[at2]) << 23), row
 
 
 def homes(prints: np.ndarray) -> np.ndarray:
@@ -186,12 +184,14 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = scratch.keep(simhash_prints(df, id_col, text_col, words), "docs")
     nodes = scratch.keep(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
 
-    def replicate(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = b.column(0).to_numpy().view(np.uint64)
-        anchor, row = anchors(fp, reach)
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_numpy().view(np.uint64)
+            for fp in np.split(every, range(1024, len(every), 1024)):
+                anchor, row = anchors(fp, reach)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
 
-    met = nodes.select("fp").mapInArrow(by_batch(replicate), "anchor long, fp long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    met = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     pairs = met.mapInArrow(lambda batches: links(batches, threshold, reach), "a long, b long")
     roots = components(pairs, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
