@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import exprs
-from siltstone.operators import code, delta, detect, duplication, graph, relate, rollup, score, search
+from siltstone.operators import code, delta, detect, duplication, graph, notes, relate, rollup, score, search
 from siltstone.plans import fixtures, report
-from siltstone.sources import files
+from siltstone.sources import files, x509
 from siltstone.sources.tables import lines, load, synthetic_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,3 +316,39 @@ def javascript_facts(spark, d):
 
 on_findings("sarif_json", lambda e: report.sarif_json(e))
 on_findings("component_graph_edges", lambda e: graph.component_graph(graph.usage_nodes(e).select(F.col("node").alias("id"), "type"), graph.usage_edges(e, relate.related(e)))[1])
+
+
+@query
+def inline_certificates(spark, d):
+    return x509.certificates(fixtures.table(spark, {"c.pem": fixtures.CERTIFICATE, "n.pem": "-----BEGIN CERTIFICATE-----x", "t.txt": "text"}))
+
+
+@query
+def note_key_values(spark, d):
+    return notes.key_values(fixtures.table(spark, fixtures.NOTES))
+
+
+@query
+def note_links(spark, d):
+    return notes.links(fixtures.table(spark, fixtures.NOTES))
+
+
+@query
+def secret_variables(spark, d):
+    return notes.secret_variables(spark.createDataFrame([("img", fixtures.CONFIG)], "path string, config string"))
+
+
+@query
+def repository_addresses(spark, d):
+    return spark.createDataFrame([(a,) for a in fixtures.ADDRESSES], "url string").select("url", notes.repository(F.col("url")).alias("r")).select("url", "r.*")
+
+
+@query
+def page_paths(spark, d):
+    return load(spark, d, "pages").select("page_id", notes.short_path(F.split_part("url", F.lit("?"), F.lit(1))).alias("shown"))
+
+
+@query
+def plan_missing_files(spark, d):
+    plan = fixtures.table(spark, {"pkg/signer.py": "", "pkg/gone.py": ""})
+    return notes.missing_files(plan, fixtures.table(spark, fixtures.SOURCES))

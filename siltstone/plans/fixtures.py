@@ -19,6 +19,22 @@ LINES = ["cipher = AES_256 in GCM mode", "key_size=2048", "DES old, md5 and SHA1
          "arn:aws:kms:eu-west-1:123456789012:key/abc", "https://v1.vault.azure.net/keys/k", "SIGN_KEY_ID = abc", "pkcs11:token=t;object=o?pin-value=1", "Thales nShield", "IconShield", "HSM_SLOT=3 HSM_PIN=1", "/usr/lib/libsofthsm2-pkcs11.so"]
 MANIFESTS = {"a/requirements.txt": "cryptography==42.0\nflask>=2\n# note\n", "b/package.json": '{"dependencies": {"node-forge": "^1.0", "react": "18"}}', "c/go.mod": "module m\nrequire golang.org/x/crypto v0.1.0\n", "d/pom.xml": "<project><artifactId>bcprov</artifactId></project>"}
 
+#: A self-signed certificate made for this purpose.
+CERTIFICATE = """-----BEGIN CERTIFICATE-----
+MIIBbTCCAROgAwIBAgIUdjQSv1inpo+q5AmtPYlFvIQg0N0wCgYIKoZIzj0EAwIw
+DDEKMAgGA1UEAwwBdDAeFw0yNjExMjYxNTE0MzNaFw0yNjEyMjYxNTE0MzNaMAwx
+CjAIBgNVBAMMAXQwWTATBgcqhkjOPQIBBggqhkjOPQMBBwNCAAQEiz4TZuD6rzAf
+Ihg/mrr1YosgOA8rbEd2G9tEXDJn0IikeJAArpkN+o9XocKHemwbO5c+3UgB9uLk
+4tu+lUh1o1MwUTAdBgNVHQ4EFgQUvgok/+W7v85fYshfFVpmxIBp7XswHwYDVR0j
+BBgwFoAUvgok/+W7v85fYshfFVpmxIBp7XswDwYDVR0TAQH/BAUwAwEB/zAKBggq
+hkjOPQQDAgNIADBFAiBusBuA++tzL+IAFeXlqZcee5WYaHpwK95OPsL8qOaoewIh
+AO8/4yO3VMza44+KcP0cMIGF7oGl5j5vXKlLeYrBF7S4
+-----END CERTIFICATE-----
+"""
+NOTES = {"n/a.md": "owner = x\nowner = y\nsee [[n/b]] and [[n/b]]", "n/b.md": "no pairs"}
+CONFIG = '{"config": {"Env": ["PATH=/bin", "DB_PASSWORD=hunter2", "API_KEY=k"]}}'
+ADDRESSES = ["https://github.com/owner/name", "https://github.com/owner/name.git", "https://github.com/owner/name/tree/main", "http://github.com/owner/name", "https://user@github.com/owner/name", "https://github.com/owner/..", "https://example.com/owner/name"]
+
 
 def table(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(rows.items()), "path string, text string")

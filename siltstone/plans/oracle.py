@@ -193,4 +193,5 @@ ORACLES = {
     "sarif_rules": E_ + "SELECT algorithm AS rule, arg_min(severity, ord) AS severity FROM e GROUP BY algorithm",
     "sarif_results": E_ + "SELECT ord, algorithm AS rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, greatest(1, line)::INT AS line FROM e",
     "cbom_summary": E_ + "SELECT count(*) AS total, count_if(exposed) AS exposed, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, array_to_string(list_sort(list(DISTINCT algorithm)), ',') AS algorithms FROM e",
+    "page_paths": "SELECT page_id, CASE WHEN len(string_split(u, '/')) <= 3 THEN u ELSE '.../' || array_to_string(string_split(u, '/')[-3:], '/') END AS shown FROM (SELECT page_id, split_part(url, '?', 1) AS u FROM pages)",
 }

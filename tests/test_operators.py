@@ -133,3 +133,19 @@ def test_store_and_history(spark, tmp_path):
         report.store_scan(e, str(tmp_path / "h"), f"s{k}", float(k))
     assert [r.scan_id for r in report.history(spark, str(tmp_path / "h")).collect()] == ["s2", "s1"]
     assert report.read_scan(spark, str(tmp_path / "h"), "s1").count() == 1
+
+
+@pytest.mark.parametrize(("name", "rows"), [
+    ("inline_certificates", [("c.pem", "ECDSA", None, "P-256", "ecdsa-with-SHA256")]),
+    ("note_key_values", [("n/a.md", "owner", "x")]),
+    ("note_links", [("n/a.md", "n/b")]),
+    ("secret_variables", [("img", "API_KEY"), ("img", "DB_PASSWORD")]),
+    ("plan_missing_files", [("pkg/gone.py",)]),
+])
+def test_inline_queries(spark, name, rows):
+    assert sorted(tuple(r)[: len(rows[0])] for r in entry.queries()[name](spark, SF).collect()) == rows
+
+
+def test_repository_addresses(spark):
+    got = {r.url: (r.owner, r.name, r.ref) for r in entry.queries()["repository_addresses"](spark, SF).collect()}
+    assert [got[a] for a in fixtures.ADDRESSES] == [("owner", "name", None), ("owner", "name", None), ("owner", "name", "main")] + [(None, None, None)] * 4
