@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the SimHash graph (shingles of three words, six bits) the smallest doc_id stays; rows without an id stay."""
-    found = simhash_components(docs, words=3, threshold=6, reach=3)
+    """Of each component of the SimHash graph (shingles of three words, four bits) the smallest doc_id stays; rows without an id stay."""
+    found = simhash_components(docs, words=3, threshold=4, reach=2)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 

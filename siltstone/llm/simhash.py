@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by anchor-point covering with the perfect binary Golay code."""
+"""SimHash near-duplicates by anchor-point covering with a product of perfect codes."""
 
 from __future__ import annotations
 
@@ -15,78 +15,87 @@ from pyspark.sql import types as T
 from siltstone.llm.common import Scratch, by_batch, load, partitions, text_bytes, whole_runs
 from siltstone.llm.components import components
 
-#: Length and generator polynomial of the Golay code: 4096 words, each 23-bit value lies within 3 bits of exactly one.
-GOLAY_BITS, GOLAY_POLY, GOLAY_RADIUS = 23, 0b101011100011, 3
+#: Perfect codes whose product covers 64 bits: (bits, generator polynomial, covering radius) of two Golay codes, a Hamming code
+#: and a threefold repetition. Each value of a block lies within its radius of exactly one code word; 2 ** 36 anchors in all.
+CODES = [(23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1), (3, 0b111, 1)]
 #: A run of fingerprints at one anchor of at most so many rows is compared pair by pair; longer ones by shared neighbours.
 PAIRWISE = 48
 
 
 @functools.cache
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """(remainder of each 23-bit value modulo the generator, the one error of weight <= 3 that has a given remainder)."""
-    rest = np.arange(1 << GOLAY_BITS, dtype=np.int64)
-    for bit in range(GOLAY_BITS - 1, 10, -1):
-        rest ^= ((rest >> bit) & 1) * (GOLAY_POLY << (bit - 11))
-    rest = rest.astype(np.int32)
-    weight = np.bitwise_count(np.arange(1 << GOLAY_BITS, dtype=np.uint32))
-    leader = np.zeros(1 << 11, np.int64)
-    near = np.flatnonzero(weight <= GOLAY_RADIUS)
-    leader[rest[near]] = near
-    return rest, leader
+def remainders(bits: int, poly: int) -> np.ndarray:
+    """Of each value of a block, modulo the code's generator."""
+    rest, degree = np.arange(1 << bits, dtype=np.int64), poly.bit_length() - 1
+    for bit in range(bits - 1, degree - 1, -1):
+        rest ^= ((rest >> bit) & 1) * (poly << (bit - degree))
+    return rest.astype(np.int32)
 
 
 @functools.cache
-def offsets(extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each remainder: the differences between a value and every code word within GOLAY_RADIUS + extra of it.
+def leaders(bits: int, poly: int, radius: int) -> np.ndarray:
+    """The one error within the radius that has a given remainder."""
+    near = np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= radius)
+    out = np.zeros(1 << (poly.bit_length() - 1), np.int64)
+    out[remainders(bits, poly)[near]] = near
+    return out
+
+
+@functools.cache
+def offsets(code: tuple[int, int, int], extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each remainder: the differences between a value and every code word within radius + extra of it.
 
     A code word lies so near exactly if it is the nearest one of a value at most `extra` bits away. Returned as
     (differences, how many extra bits each needs), ordered by remainder and need, with the places at which each remainder's
     needs begin (a row per remainder; the last column is its end).
     """
-    rest, leader = golay()
-    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << GOLAY_BITS, dtype=np.uint32)) <= extra)
+    bits, poly, _ = code
+    rest, leader = remainders(bits, poly), leaders(*code)
+    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= extra)
     need = np.bitwise_count(flips.astype(np.uint32)).astype(np.int64)
-    r = np.arange(1 << 11)[:, None]
-    found = (flips[None, :] ^ leader[r ^ rest[flips][None, :]]) + 0 * r
+    r = np.arange(len(leader))[:, None]
+    found = flips[None, :] ^ leader[r ^ rest[flips][None, :]]
     key = np.unique(((np.broadcast_to(r, found.shape) << 32) | (found << 4) | need[None, :]).ravel())
-    first = np.concatenate([[True], (key[1:] >> 4) != (key[:-1] >> 4)])
-    key = key[first]
+    key = key[np.concatenate([[True], (key[1:] >> 4) != (key[:-1] >> 4)])]
     remainder, differ, need = key >> 32, (key >> 4) & ((1 << 28) - 1), key & 15
     order = np.lexsort((differ, need, remainder))
-    at = (remainder * 16 + need)[order]
-    begins = np.searchsorted(at, np.arange(1 << 11)[:, None] * 16 + np.arange(extra + 2)[None, :])
-    return differ[order], need[order], begins
+    begins = np.searchsorted((remainder * 16 + need)[order], np.arange(len(leader))[:, None] * 16 + np.arange(extra + 2)[None, :])
+    return differ[order].astype(np.uint64), need[order], begins
+
+
+def blocks(prints: np.ndarray) -> list[tuple[tuple[int, int, int], np.uint64, np.ndarray]]:
+    """(code, place, the fingerprints' remainders) of each block."""
+    out, at = [], 0
+    for code in CODES:
+        part = (prints >> np.uint64(at)) & np.uint64((1 << code[0]) - 1)
+        out.append((code, np.uint64(at), remainders(*code[:2])[part.astype(np.int64)]))
+        at += code[0]
+    return out
 
 
 def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint): every anchor within covering radius plus threshold.
 
-    An anchor is a pair of Golay words over bits 0-22 and 23-45. Blocks share the threshold: the first may lie 3 + i bits
-    off, the second 3 + j, with i + j <= threshold. A fingerprint's home is the anchor within 3 and 3 bits; one at most
-    `threshold` bits away is sent there, so the two meet at either's home. With half the threshold (rounded up) they still
-    meet, at the home of a value half-way between them, but then neither needs to be at home.
+    An anchor is a code word of each block. Blocks share the threshold: block b may lie its radius and i(b) bits off, where
+    the i(b) sum up to the threshold at most. A fingerprint's home is the anchor within all radii; one at most `threshold`
+    bits away is sent there, so the two meet at either's home. With half the threshold (rounded up) they still meet, at the
+    home of a value half-way between them, but then neither needs to be at home.
     """
-    rest, _ = golay()
-    differ, need, begins = offsets(threshold)
-    low, high = (prints & np.uint64((1 << 23) - 1)).astype(np.int64), ((prints >> np.uint64(23)) & np.uint64((1 << 23) - 1)).astype(np.int64)
-    r1, r2 = rest[low], rest[high]
-
-    def spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row, left, anchor = np.arange(len(prints)), np.full(len(prints), threshold), prints.copy()
+    for code, at, remainder in blocks(prints):
+        differ, need, begins = offsets(code, threshold)
+        begin, end = begins[remainder[row], 0], begins[remainder[row], left + 1]
         lengths = end - begin
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        return row, np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row] + begin[row]
-
-    row, at = spread(begins[r1, 0], begins[r1, -1])
-    second = r2[row]
-    again, at2 = spread(begins[second, 0], begins[second, threshold - need[at] + 1])  # what the first block leaves of the threshold
-    row, at = row[again], at[again]
-    return (low[row] ^ differ[at]) | ((high[row] ^ differ[at2]) << 23), row
+        more = np.repeat(np.arange(len(row)), lengths)
+        pick = np.arange(len(more)) - (np.cumsum(lengths) - lengths)[more] + begin[more]
+        row, left, anchor = row[more], left[more] - need[pick], anchor[more] ^ (differ[pick] << at)
+    return anchor.view(np.int64), row
 
 
 def homes(prints: np.ndarray) -> np.ndarray:
-    rest, leader = golay()
-    low, high = (prints & np.uint64((1 << 23) - 1)).astype(np.int64), ((prints >> np.uint64(23)) & np.uint64((1 << 23) - 1)).astype(np.int64)
-    return (low ^ leader[rest[low]]) | ((high ^ leader[rest[high]]) << 23)
+    out = prints.copy()
+    for code, at, remainder in blocks(prints):
+        out ^= leaders(*code)[remainder].astype(np.uint64) << at
+    return out.view(np.int64)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -173,7 +182,7 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, fp long, component_id): component_id is the smallest doc_id that a chain of links reaches, the row's own included.
 
     Fingerprints link at `threshold` or fewer differing bits. Equal fingerprints are one node from the start (combined
-    before any shuffle), so groups of copies of any size cost one row; nodes meet at anchors, about 60 each at threshold 2.
+    before any shuffle), so groups of copies of any size cost one row; nodes meet at anchors, about 165 each at threshold 2.
     Anchors within covering radius plus `reach` are used: the threshold, or less down to half of it, which takes fewer copies.
     Null or empty texts have fingerprint zero and link like any other. Rows with equal id are separate rows with the same
     id; rows with null id keep their component's smallest id. Extra columns are ignored; an empty table gives an empty one.
