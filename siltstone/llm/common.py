@@ -63,7 +63,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-PORTION = 8 << 20
+PORTION = 4 << 20
 
 
 def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

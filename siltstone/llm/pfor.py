@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, load, partitions, portions
-from siltstone.llm.tokens import encode_ended, word_bpe_path
+from siltstone.llm.tokens import encode_ended, encoder, word_bpe_path
 
 MAGIC, BLOCK, SHARE = b"SILTPFR1", 256, 0.9
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("patches", "<u2")])
@@ -155,6 +155,7 @@ def write_token_files(df: DataFrame, scratch: Scratch, *, id_col: str, text_col:
                     writer.add(ids, b.column(0).to_pylist(), n)
                     docs += b.num_rows
             writer.close()
+        encoder(tokenizer).forget()
         if docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 

@@ -41,6 +41,10 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """A worker serves many tasks; what one has learnt must not stay in its memory."""
+        self.chunks, self.pieces = {}, {"": b""}
+
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_chars)
@@ -59,7 +63,7 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         if len(self.chunks) + len(self.pieces) > REMEMBERED:
-            self.chunks, self.pieces = {}, {"": b""}
+            self.forget()
         known, found = self.chunks, []
         for chunk in coded.dictionary.to_pylist():
             if (ids := known.get(chunk)) is None:
