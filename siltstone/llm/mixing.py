@@ -42,8 +42,9 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     A document of size s is expected copies(s) = min(cap, m * s ** size_power) times; m of its source makes the expected
     words equal the target. The whole part of that is certain. The rest is the inclusion probability p of one further
     copy: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u uniform from a hash of id, source and seed, and the
-    first of the ranking are taken as long as their words fit what the whole copies left open; the last place goes to the
-    document whose size comes nearest to the rest, so that the sample's size in words is fixed. The border is found by sums over parts of the ranking, coarse, then fine; only
+    first of the ranking are taken as long as their words fit what the whole copies left open, then the first of those behind
+    that still fit; the last place goes to the document whose size comes nearest to the rest, so that the sample's size in
+    words is fixed. A border is found by sums over parts of the ranking, coarse, then fine; only
     the rows of one fine part (a millionth of a source, about) are sorted together.
 
     Null text: size 0. Documents of size 0 are never taken. Rows that repeat an id in a source share u: equal rows are
@@ -74,39 +75,52 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     ranked = ranked.withColumn("_odds", F.when(F.col("_p") > 0, u / (1 - u) * (1 - F.col("_p")) / F.col("_p")))
     ranked = scratch.keep(ranked.withColumn("_part", F.floor(F.col("_odds") / (1 + F.col("_odds")) * (PARTS * PARTS)).cast("int")).drop("_e", "_p"), "ranked")
 
-    left = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("size"))).alias("open"))
+    left = scratch.keep(ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("size"))).alias("open")).filter("open > 0"), "left")
     running = Window.partitionBy("source").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    exact = Window.partitionBy("source").orderBy("_odds", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct("_odds", F.coalesce("doc_id", F.lit((1 << 63) - 1).cast(df.schema[id_col].dataType)).alias("i"))
 
     def border(parts: DataFrame, limits: DataFrame) -> DataFrame:
-        """(source, _cut, words) and (source, open) -> per source the part in which the running sum reaches open, and the rest of open."""
+        """(source, _cut, words) and (source, open) -> per source the part in which the running sum passes open, and the rest of open."""
         at = parts.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         at = at.withColumn("_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        at = at.filter((F.col("_before") < F.col("open")) & (F.col("_before") + F.col("words") >= F.col("open")))
+        at = at.filter((F.col("_before") <= F.col("open")) & (F.col("_before") + F.col("words") > F.col("open")))
         return at.select(F.col("source").alias("_s"), F.col("_cut").alias("_at"), (F.col("open") - F.col("_before")).alias("open"))
 
-    some = ranked.filter(F.col("_odds").isNotNull())
-    coarse = scratch.keep(border(some.groupBy("source", F.expr(f"_part div {PARTS}").alias("_cut")).agg(F.sum("size").alias("words")), left), "coarse")
-    inside = some.join(coarse, F.col("source").eqNullSafe(F.col("_s")) & (F.expr(f"_part div {PARTS}") == F.col("_at"))).drop("_s", "_at", "open")
-    limits = coarse.select(F.col("_s").alias("source"), "open")
-    fine = scratch.keep(border(inside.groupBy("source", F.col("_part").alias("_cut")).agg(F.sum("size").alias("words")), limits), "fine")
-    inside = some.join(fine, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_at")))
-    exact = Window.partitionBy("source").orderBy("_odds", F.col("doc_id").asc_nulls_last())
-    place = F.struct("_odds", F.coalesce("doc_id", F.lit((1 << 63) - 1).cast(df.schema[id_col].dataType)).alias("i"))
-    inside = inside.withColumn("_sum", F.sum("size").over(exact.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = inside.filter(F.col("_sum") <= F.col("open")).groupBy("source").agg(F.max(place).alias("_last"), F.max("_sum").alias("_sum"))
-    fine = fine.join(ends, F.col("_s").eqNullSafe(F.col("source")), "left")
-    fine = scratch.keep(fine.select("_s", F.col("_at").alias("_border"), "_last", (F.col("open") - F.coalesce("_sum", F.lit(0))).alias("_gap")), "ends")
-
-    # A source without a border has nothing open, or takes every further copy.
-    none = left.filter("open <= 0").select(F.col("source").alias("_t"), F.lit(True).alias("_none"))
-    out = ranked.join(fine, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").join(none, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
-    more = F.when(F.col("_odds").isNull() | F.col("_none"), 0).when(F.col("_border").isNull(), 1).when(F.col("_part") < F.col("_border"), 1).when(
-        (F.col("_part") == F.col("_border")) & F.col("_last").isNotNull() & (place <= F.col("_last")), 1).otherwise(0)
-    out = scratch.keep(out.withColumn("_more", more), "out")
-    miss = F.abs(F.col("size") - F.col("_gap"))
-    close = out.filter((F.col("_more") == 0) & F.col("_odds").isNotNull() & (miss < F.col("_gap"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), place.alias("at"))).alias("_close"))
+    def take(some: DataFrame, limits: DataFrame, name: str) -> DataFrame:
+        """Of candidates and (source, open): (_s, _border, _last, _rest): the first of the ranking that fit are those of parts before
+        _border, and of _border up to _last; _rest is what they leave open. Without a border all fit."""
+        coarse = scratch.keep(border(some.groupBy("source", F.expr(f"_part div {PARTS}").alias("_cut")).agg(F.sum("size").alias("words")), limits), f"{name}-coarse")
+        inside = some.join(coarse, F.col("source").eqNullSafe(F.col("_s")) & (F.expr(f"_part div {PARTS}") == F.col("_at"))).drop("_s", "_at", "open")
+        fine = border(inside.groupBy("source", F.col("_part").alias("_cut")).agg(F.sum("size").alias("words")), coarse.select(F.col("_s").alias("source"), "open"))
+        fine = scratch.keep(fine, f"{name}-fine")
+        inside = some.join(fine, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_at"))).withColumn("_sum", F.sum("size").over(exact))
+        ends = inside.filter(F.col("_sum") <= F.col("open")).groupBy("source").agg(F.max(place).alias("_last"), F.max("_sum").alias("_sum"))
+        whole = some.groupBy("source").agg(F.sum("size").alias("_words")).withColumnRenamed("source", "_w")
+        out = limits.join(fine.select("_s", F.col("_at").alias("_border"), F.col("open").alias("_left")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        out = out.join(ends.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e")), "left").join(whole, F.col("source").eqNullSafe(F.col("_w")), "left")
+        rest = F.when(F.col("_border").isNotNull(), F.col("_left") - F.coalesce("_sum", F.lit(0))).otherwise(F.col("open") - F.coalesce("_words", F.lit(0)))
+        return scratch.keep(out.select(F.col("source").alias("_s"), "_border", "_last", rest.alias("_rest")), name)
+
+    def marked(rows: DataFrame, ends: DataFrame, may: F.Column) -> DataFrame:
+        fits = F.col("_border").isNull() | (F.col("_part") < F.col("_border")) | ((F.col("_part") == F.col("_border")) & F.col("_last").isNotNull() & (place <= F.col("_last")))
+        out = rows.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left")
+        more = F.when(may & F.col("_s").isNotNull() & fits, 1).otherwise(F.col("_more"))
+        return out.withColumn("_more", more).drop("_s", "_border", "_last")
+
+    # The first of the ranking that fit; then the first of those behind that fit what is left; then the one that closes the gap best.
+    able = F.col("_odds").isNotNull() & (F.col("_more") == 0)
+    ranked = ranked.withColumn("_more", F.lit(0))
+    first = marked(ranked, take(ranked.filter(able), left, "first"), able)
+    first = scratch.keep(first, "taken")
+    small = able & (F.col("size") <= F.col("_rest"))
+    gaps = scratch.keep(first.filter("_rest > 0").select("source", F.col("_rest").alias("open")).distinct(), "gaps")
+    second = take(first.filter(small).drop("_rest"), gaps, "second")
+    out = scratch.keep(marked(first.withColumn("_small", small).drop("_rest"), second, able & F.coalesce("_small", F.lit(False))), "out")
+    miss = F.abs(F.col("size") - F.col("_rest"))
+    close = out.filter(able & (miss < F.col("_rest"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), place.alias("at"))).alias("_close"))
     out = out.join(close.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    copies = (F.col("_whole") + F.when((F.col("_more") == 0) & (place == F.col("_close.at")), 1).otherwise(F.col("_more"))).cast("int")
+    copies = (F.col("_whole") + F.when(able & (place == F.col("_close.at")), 1).otherwise(F.col("_more"))).cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
