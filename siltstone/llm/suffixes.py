@@ -89,15 +89,27 @@ def _anchor_rows(b: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     raw, h = data.tobytes(), xxhash.xxh3_64_intdigest
     begin = offsets[text] + start
     context = np.fromiter((h(raw[x:y], o) for x, y, o in zip(begin.tolist(), (begin + run + length - 1).tolist(), off.tolist(), strict=True)), np.uint64, len(begin))
-    spot = (start << 24) | (run << 12) | off
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(text)), pa.array(spot)], ["gram", "context", "key", "spot"])
+    spot, stop, key = (start << 24) | (run << 12) | off, np.zeros(len(start), np.int64), b.column(0).to_numpy()[text]
+    # Of equal contexts in a batch all but the first are settled here; they travel by a hash of their place, so none of them meet.
+    order = np.lexsort((spot, key, context, gram))
+    again = order[1:][(gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])]
+    stop[again] = start[again] + run[again] + length - 1
+    spot[again] = start[again]
+    gram[again] = (key[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (spot[again].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(key), pa.array(spot), pa.array(stop)], ["gram", "context", "key", "spot", "stop"])
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of contexts sorted by gram, context and place: all but the first of equal ones repeat as a whole (stop > 0: start and stop
     of the bytes). The first ones of a gram with several contexts are to be looked into (stop = 0: start is the spot)."""
+    names = ["key", "gram", "start", "stop"]
     for t in whole_runs(batches, "gram"):
-        gram, context, key, spot = (t.column(c).to_numpy() for c in ("gram", "context", "key", "spot"))
+        gram, context, key, spot, stop = (t.column(c).to_numpy() for c in ("gram", "context", "key", "spot", "stop"))
+        if (settled := stop > 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[settled], np.zeros(settled.sum(), np.int64), spot[settled], stop[settled])], names)
+            gram, context, key, spot = (x[~settled] for x in (gram, context, key, spot))
+            if not len(gram):
+                continue
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         first = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
         group = np.cumsum(new_gram) - 1
@@ -106,7 +118,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         start = np.concatenate([spot[look], spot[again] >> 24])
         stop = np.concatenate([np.zeros(look.sum(), np.int64), (spot[again] >> 24) + ((spot[again] >> 12) & 0xFFF) + length - 1])
         if len(start):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[look], key[again]])), pa.array(np.concatenate([gram[look], np.zeros(again.sum(), np.int64)])), pa.array(start), pa.array(stop)], ["key", "gram", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[look], key[again]])), pa.array(np.concatenate([gram[look], np.zeros(again.sum(), np.int64)])), pa.array(start), pa.array(stop)], names)
 
 
 def _contexts(b: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -194,8 +206,8 @@ def strip_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ids come first. Null texts are empty. Strings are judged on the input. An empty table gives an empty one.
 
     1. Each window of `length` bytes is assigned to an anchor in it, by its bytes alone; windows of one anchor in a row are a
-       context (40 windows, about), sent to its gram's partition as hashes and place. Contexts equal as a whole are settled
-       there: all but the first go. 2. Only first contexts of grams with several of them are fetched from the texts and come
+       context (40 windows, about). Contexts equal as a whole are settled first, all but the first go: in a batch, then at their
+       gram's partition, where hashes and places are sent. 2. Only first contexts of grams with several of them are fetched from the texts and come
        together by gram; their shards' transforms are merged, which shows the windows they share. 3. Texts meet their spans.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "suffixes")
@@ -213,7 +225,7 @@ def strip_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         docs = scratch.keep(numbered.withColumn("_key", F.col("_key") + F.col("_base")).drop("_part", "_base"), "docs")
 
     n = partitions(spark)
-    spots = docs.select("_key", "_text").mapInArrow(by_batch(lambda b: _anchor_rows(b, length)), "gram long, context long, key long, spot long")
+    spots = docs.select("_key", "_text").mapInArrow(by_batch(lambda b: _anchor_rows(b, length)), "gram long, context long, key long, spot long, stop long")
     spots = spots.repartition(n, "gram").sortWithinPartitions("gram", "context", "key", "spot")
     sorted_out = scratch.keep(spots.mapInArrow(lambda x: _sorted_out(x, length), "key long, gram long, start long, stop long"), "sorted")
     free(spark)
