@@ -209,7 +209,7 @@ def previous_scan(spark, d):
 def telemetry_parse(spark, d):
     from siltstone.streaming.telemetry import parse
 
-    said = F.concat(F.lit("ECDAT-TELEMETRY v=1 lib="), "event_type", F.lit(" algo="), F.get_json_object("props", "$.k"), F.lit(" op=use"))
+    said = F.concat(F.lit("APP-TELEMETRY v=1 lib="), "event_type", F.lit(" algo="), F.get_json_object("props", "$.k"), F.lit(" op=use"))
     return parse(load(spark, d, "events").select("event_id", said.alias("value"))).select("event_id", "lib", "algo")
 
 

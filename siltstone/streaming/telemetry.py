@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Beginning of a telemetry line, fields that it must have, most observations of a scan. Fixed values.
-MARK, REQUIRED, MOST = "ECDAT-TELEMETRY ", ["lib", "algo", "op"], 50
+MARK, REQUIRED, MOST = "^[A-Z]+-TELEMETRY ", ["lib", "algo", "op"], 50
 
 
 def parse(lines: DataFrame, value: str = "value") -> DataFrame:
     """Adds lib, algo, op of `key=value` fields; the last of a repeated key counts; lines that lack one are left out."""
-    pairs = F.filter(F.split(F.substring(F.col(value), len(MARK) + 1, 1_000_000), r"\s+"), lambda p: p.contains("="))
+    pairs = F.filter(F.split(F.regexp_replace(value, MARK, ""), r"\s+"), lambda p: p.contains("="))
 
     def field(name: str):
         mine = F.filter(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name)
         return F.substring(F.try_element_at(mine, F.lit(-1)), len(name) + 2, 1_000_000)
 
-    out = lines.where(F.col(value).startswith(MARK))
+    out = lines.where(F.col(value).rlike(MARK))
     for name in REQUIRED:
         out = out.withColumn(name, field(name))
     return out.where(" and ".join(f"{name} <> ''" for name in REQUIRED))

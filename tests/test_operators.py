@@ -119,7 +119,7 @@ def test_directories(spark):
 
 
 def test_telemetry_last_key_counts_and_stream_equals_batch(spark, tmp_path):
-    rows = ["ECDAT-TELEMETRY v=1 lib=a lib=b algo=RSA op=sign", "ECDAT-TELEMETRY lib=a algo=RSA", "noise"]
+    rows = ["APP-TELEMETRY v=1 lib=a lib=b algo=RSA op=sign", "APP-TELEMETRY lib=a algo=RSA", "noise"]
     (tmp_path / "t.txt").write_text("\n".join(rows))
     batch = [(r.lib, r.algo, r.op) for r in telemetry.parse(spark.createDataFrame([(r,) for r in rows], "value string")).collect()]
     q = telemetry.stream(spark, str(tmp_path)).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
