@@ -29,6 +29,8 @@ TEMPLATES = [
 LEAST_COSINE, FILE_SHARE = 0.75, 0.3
 #: Names of licence files; a licence file covers its directory. Fixed values.
 FILE_NAMES = r"(?i)^(license|licence|copying|notice|unlicense)([._-].*)?$"
+#: Words that most English texts hold; only the order in which words are chosen depends on them. Fixed values.
+ORDINARY = frozenset("a and any are at be by can except file following for form in is it may not obtain of or person provided that the this to under use with without work you".split())
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -44,17 +46,33 @@ def weights() -> tuple[dict[str, float], list[dict[str, float]], float]:
     return idf, vectors, math.log(1 + len(bags)) + 1
 
 
+def needed_words() -> list[str]:
+    """Words of which any text holds one if its cosine to a template is LEAST_COSINE or more.
+
+    A cosine is at most the root of the sum of squares of the template's unit vector over the words that the text shares with
+    it (Cauchy-Schwarz). So of each template, words are taken until those left sum to less: heaviest and longest first, ordinary ones last.
+    """
+    out = set()
+    for v in weights()[1]:
+        left = 1.0
+        for w in sorted(v, key=lambda w: (w in ORDINARY, -round(v[w], 9), -len(w), w)):
+            if left < LEAST_COSINE**2 - 1e-6:
+                break
+            out.add(w)
+            left -= v[w] ** 2
+    return sorted(out)
+
+
 def may_match(statement: Column) -> Column:
-    """Whether a statement has a word without which no template is matched: each template loses so much weight without its
-    own words of this list that the cosine can't reach the threshold (tested)."""
-    return statement.rlike(r"(?i)licen[sc]|copy of the|redistribut|permission is hereby")
+    """Whether a statement has one of the words without which no template is matched; true of each statement that matches."""
+    return F.lower(statement).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, needed_words()))})(?![a-z0-9])")
 
 
 def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", path: Column, text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, path, own_license, own_score, license, inherited_from. DataFrame functions only.
 
-    Whole texts are cut into statements at line ends and after full stops; those with a licence word are compared: words are
-    counted, weighted by inverse document frequency in the templates, and each statement's cosine to each template is
+    Whole texts are cut into statements at line ends and after full stops; those with a word that a match needs are compared:
+    words are counted, weighted by inverse document frequency in the templates, and each statement's cosine to each template is
     computed from its own words, sparse, in a projection (the templates are a fixed table of a few dozen words). A document's
     licence is that of its best statement of cosine 0.75 or more; ties go to the name first in order. A licence file is a
     document of such a name, or one whose matching statements hold 30 % of its words; it covers its directory. A document

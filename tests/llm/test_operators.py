@@ -150,6 +150,20 @@ def test_license_filter_loses_nothing(spark):
         assert re.search(r"licen[sc]|copy of the|redistribut|permission is hereby", text) or cosine < licenses.LEAST_COSINE
 
 
+def test_license_words_left_cannot_match():
+    needed = set(licenses.needed_words())
+    for (name, text), v in zip(licenses.TEMPLATES, licenses.weights()[1], strict=True):
+        left = [w for w in v if w not in needed]
+        assert sum(v[w] ** 2 for w in left) ** 0.5 < licenses.LEAST_COSINE, (name, text)  # the cosine of the words left, each as heavy as in the template
+
+
+def test_license_statements_without_a_licence_word(spark):
+    rows = [("This Source Code Form is subject to the terms of the Mozilla Public", "MPL-2.0", 0.905), ("Released under CC BY-NC 4.0", "CC-BY-NC-4.0", 0.814), ("under the MIT", "MIT", 0.837)]
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", r[0]) for i, r in enumerate(rows)], "doc_id long, p string, text string")
+    got = sorted((r.doc_id, r.own_license, round(r.own_score, 3)) for r in licenses.scan_licenses(df, path=F.col("p")).collect())
+    assert got == [(i, name, score) for i, (_, name, score) in enumerate(rows)]
+
+
 def test_license_scan_by_brute_force(spark, docs):
     idf, vectors, other = licenses.weights()
 
