@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import load
+from siltstone.llm.common import Scratch, load
 
 #: Statements and openings of common licences: fixed values that texts are compared with.
 TEMPLATES = [
@@ -31,6 +31,10 @@ LEAST_COSINE, FILE_SHARE = 0.75, 0.3
 FILE_NAMES = r"(?i)^(license|licence|copying|notice|unlicense)([._-].*)?$"
 #: Words that most English texts hold; only the order in which words are chosen depends on them. Fixed values.
 ORDINARY = frozenset("a and any are at be by can except file following for form in is it may not obtain of or person provided that the this to under use with without work you".split())
+#: Least sum of squares of a template's unit vector over the words that a match shares with it (a little less, for rounding).
+LEAST_SHARED = LEAST_COSINE**2 - 1e-6
+#: Ends of paragraphs (a line without letters and digits lies between) and of statements; comment marks that are words.
+PARAGRAPH, STATEMENT, MARKS = r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", r"\n|(?<=[.;])\s+(?=\p{Lu})", r"(?im)^[ \t]*(?:rem|dnl)[ \t]"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -46,66 +50,97 @@ def weights() -> tuple[dict[str, float], list[dict[str, float]], float]:
     return idf, vectors, math.log(1 + len(bags)) + 1
 
 
-def needed_words() -> list[str]:
-    """Words of which any text holds one if its cosine to a template is LEAST_COSINE or more.
+def needed_words(vector: dict[str, float]) -> list[str]:
+    """Words of which any text holds one if its cosine to the template of this unit vector is LEAST_COSINE or more.
 
     A cosine is at most the root of the sum of squares of the template's unit vector over the words that the text shares with
-    it (Cauchy-Schwarz). So of each template, words are taken until those left sum to less: heaviest and longest first, ordinary ones last.
+    it (Cauchy-Schwarz). So words are taken until those left sum to less: heaviest and longest first, ordinary ones last.
     """
-    out = set()
-    for v in weights()[1]:
-        left = 1.0
-        for w in sorted(v, key=lambda w: (w in ORDINARY, -round(v[w], 9), -len(w), w)):
-            if left < LEAST_COSINE**2 - 1e-6:
-                break
-            out.add(w)
-            left -= v[w] ** 2
-    return sorted(out)
+    out, left = [], 1.0
+    for w in sorted(vector, key=lambda w: (w in ORDINARY, -round(vector[w], 9), -len(w), w)):
+        if left < LEAST_SHARED:
+            break
+        out.append(w)
+        left -= vector[w] ** 2
+    return out
+
+
+def all_needed() -> list[str]:
+    return sorted({w for v in weights()[1] for w in needed_words(v)})
 
 
 def may_match(statement: Column) -> Column:
-    """Whether a statement has one of the words without which no template is matched; true of each statement that matches."""
-    return F.lower(statement).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, needed_words()))})(?![a-z0-9])")
+    """Whether a text has one of the words without which no template is matched; true of each text that matches."""
+    return F.lower(statement).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, all_needed()))})(?![a-z0-9])")
+
+
+def matches(paragraph: Column) -> Column:
+    """Of a paragraph, a struct of `parts` (words of each statement) and `words`: an array of what matches, struct(best, at).
+
+    best is struct(score, first, name) and at the places of the words that match. Statements are compared with all templates;
+    windows with the template that has as many words. A window is passed over only if it has none of the template's needed
+    words, or shares too little with it for the cosine to reach the threshold.
+    """
+    idf, vectors, other = weights()
+    parts, words = paragraph["parts"], paragraph["words"]
+    table = lambda v: F.create_map(*[F.lit(x) for pair in v.items() for x in pair])
+    listed = lambda v: F.array(*map(F.lit, v))
+
+    def weighed(some: Column) -> Column:
+        return F.transform(F.array_distinct(some), lambda w: F.struct(w.alias("w"), (F.size(F.filter(some, lambda x: x == w)) * F.coalesce(F.try_element_at(table(idf), w), F.lit(other))).alias("x")))
+
+    def score(bag: Column, i: int) -> Column:
+        size = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, k: a + k["x"] * k["x"]))
+        return F.struct(F.round(F.aggregate(bag, F.lit(0.0), lambda a, k: a + k["x"] * F.coalesce(F.try_element_at(table(vectors[i]), k["w"]), F.lit(0.0))) / size, 9).alias("score"), F.lit(-i).alias("first"), F.lit(TEMPLATES[i][0]).alias("name"))
+
+    def shared(some: Column, v: dict[str, float]) -> Column:
+        return F.aggregate(F.array_intersect(some, listed(v)), F.lit(0.0), lambda a, w: a + F.pow(F.try_element_at(table(v), w), F.lit(2.0))) >= LEAST_SHARED
+
+    def within(i: int) -> Column:
+        v, n = vectors[i], len(re.findall(TOKEN, TEMPLATES[i][1]))
+        last = F.greatest(F.size(words) - n + 1, F.lit(1))
+        near = F.filter(F.when(shared(words, v), F.transform(words, lambda w, k: F.when(F.array_contains(listed(needed_words(v)), w), k + 1))).otherwise(F.array().cast("array<int>")), lambda p: p.isNotNull())
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda p: F.sequence(F.greatest(p - n + 1, F.lit(1)), F.least(p, last)))))
+        windows = F.filter(F.transform(starts, lambda p: F.struct(p.alias("p"), F.slice(words, p, n).alias("s"))), lambda x: shared(x["s"], v))
+        places = lambda x: F.filter(F.transform(x["s"], lambda w, k: F.when(F.array_contains(listed(v), w), x["p"] + k)), lambda p: p.isNotNull())
+        bags = F.transform(windows, lambda x: F.struct(weighed(x["s"]).alias("bag"), places(x).alias("at")))
+        return F.transform(bags, lambda x: F.struct(score(x["bag"], i).alias("best"), x["at"].alias("at")))
+
+    placed = F.transform(parts, lambda s, k: F.struct(s.alias("s"), F.size(F.flatten(F.slice(parts, F.lit(1), k))).alias("p")))
+    stated = F.filter(placed, lambda x: F.arrays_overlap(x["s"], listed(all_needed())))
+    bags = F.transform(stated, lambda x: F.struct(weighed(x["s"]).alias("bag"), F.sequence(x["p"] + 1, x["p"] + F.size(x["s"])).alias("at")))
+    lines = F.transform(bags, lambda x: F.struct(F.array_max(F.array(*[score(x["bag"], i) for i in range(len(TEMPLATES))])).alias("best"), x["at"].alias("at")))
+    return F.filter(F.concat(lines, *map(within, range(len(TEMPLATES)))), lambda m: m["best"]["score"] >= LEAST_COSINE)
 
 
 def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", path: Column, text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, path, own_license, own_score, license, inherited_from. DataFrame functions only.
 
-    Whole texts are cut into statements at line ends and after full stops; those with a word that a match needs are compared:
-    words are counted, weighted by inverse document frequency in the templates, and each statement's cosine to each template is
-    computed from its own words, sparse, in a projection (the templates are a fixed table of a few dozen words). A document's
-    licence is that of its best statement of cosine 0.75 or more; ties go to the name first in order. A licence file is a
-    document of such a name, or one whose matching statements hold 30 % of its words; it covers its directory. A document
+    Whole texts are cut into paragraphs, and these into statements at line ends and after full stops; as statements also
+    wrap and run on, each window of a paragraph of as many words as a template has is compared with that template too, across
+    line ends and comment marks. Words are counted, weighted by inverse document frequency in the templates, and the cosine is
+    computed from the own words of a statement or window, sparse, in a projection (the templates are a fixed table of a few
+    dozen words). Only what can't reach the threshold, as its words show, is not compared. A document's
+    licence is that of its best statement or window of cosine 0.75 or more; ties go to the name first in order. A licence file is a
+    document of such a name, or one of whose words 30 % are matched; it covers its directory. A document
     without a licence of its own has that of the nearest directory above that one covers (of several the most frequent, then
     the first by name): its ancestors are joined with the covered directories by path.
 
     Null or empty texts have no licence of their own; a null path inherits nothing. Rows that repeat an id or a path are rows
     of their own. Extra columns are ignored.
     """
-    idf, vectors, other = weights()
-    table = lambda v: F.create_map(*[F.lit(x) for pair in v.items() for x in pair])
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("_text"))
-    statements = F.filter(F.split("_text", r"\n|(?<=[.;])\s+(?=\p{Lu})"), may_match)
-
-    def compare(statement: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(statement), F.lit(f"({TOKEN})"), F.lit(1))
-        kinds = F.array_distinct(words)
-        weighed = F.transform(kinds, lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(table(idf), w), F.lit(other))).alias("x")))
-        size = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda a, k: a + k["x"] * k["x"]))
-
-        def cosine(vector: dict[str, float]) -> Column:
-            return F.round(F.aggregate(weighed, F.lit(0.0), lambda a, k: a + k["x"] * F.coalesce(F.try_element_at(table(vector), k["w"]), F.lit(0.0))) / size, 9)
-
-        scores = [F.struct(cosine(v).alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, ((name, _), v) in enumerate(zip(TEMPLATES, vectors, strict=True))]
-        return F.struct(F.array_max(F.array(*scores)).alias("best"), F.size(words).alias("n"))
-
-    looked = docs.withColumn("_found", F.filter(F.transform(statements, compare), lambda m: m["best"]["score"] >= LEAST_COSINE))
+    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(f"({TOKEN})"), F.lit(1))
+    cut = F.transform(F.filter(F.split("_text", PARAGRAPH), may_match), lambda p: F.transform(F.split(F.regexp_replace(p, MARKS, ""), STATEMENT), words))
+    found = F.transform(F.transform(cut, lambda parts: F.struct(parts.alias("parts"), F.flatten(parts).alias("words"))), matches)
+    each = F.transform(found, lambda m: F.struct(F.array_max(F.transform(m, lambda x: x["best"])).alias("best"), F.size(F.array_distinct(F.flatten(F.transform(m, lambda x: x["at"])))).alias("n")))
+    looked = docs.withColumn("_found", F.filter(each, lambda m: m["n"] > 0))
     best = F.array_max(F.transform("_found", lambda m: m["best"]))
     inside = F.aggregate("_found", F.lit(0), lambda a, m: a + m["n"])
     parts = F.split("path", "/")
-    own = looked.select("doc_id", "path", best["name"].alias("own_license"), best["score"].alias("own_score"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("_dir"),
-                        ((inside > 0) & ((inside >= FILE_SHARE * F.regexp_count("_text", F.lit(r"\S+"))) | F.element_at(parts, -1).rlike(FILE_NAMES))).alias("_file"))
+    own = Scratch(df.sparkSession, "licenses").keep(looked.select("doc_id", "path", best["name"].alias("own_license"), best["score"].alias("own_score"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("_dir"),
+                        ((inside > 0) & ((inside >= FILE_SHARE * F.regexp_count("_text", F.lit(r"\S+"))) | F.element_at(parts, -1).rlike(FILE_NAMES))).alias("_file")), "own")  # texts are compared once
 
     counted = own.where("_file and path is not null").groupBy("_dir", "own_license").agg(F.count(F.lit(1)).alias("n"))
     covered = counted.groupBy("_dir").agg(F.min_by("own_license", F.struct(-F.col("n"), "own_license")).alias("_license"))

@@ -151,8 +151,8 @@ def test_license_filter_loses_nothing(spark):
 
 
 def test_license_words_left_cannot_match():
-    needed = set(licenses.needed_words())
     for (name, text), v in zip(licenses.TEMPLATES, licenses.weights()[1], strict=True):
+        needed = licenses.needed_words(v)
         left = [w for w in v if w not in needed]
         assert sum(v[w] ** 2 for w in left) ** 0.5 < licenses.LEAST_COSINE, (name, text)  # the cosine of the words left, each as heavy as in the template
 
@@ -164,6 +164,50 @@ def test_license_statements_without_a_licence_word(spark):
     assert got == [(i, name, score) for i, (_, name, score) in enumerate(rows)]
 
 
+WRAPPED = {
+    "BSD-3-Clause": """Copyright (c) 2005, A. Writer
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int main() { return 0; }
+""",
+    "GPL-3.0": """# This program is free software: you can
+# redistribute it and/or modify it under
+# the terms of the GNU General Public
+# License as published by the Free
+# Software Foundation, either version 3 of
+# the License, or any later version.
+import os
+""",
+    "MIT": """MIT-style terms
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction.
+""",
+    "Apache-2.0": """REM you may not use this file except
+REM in compliance with the License.
+REM You may obtain a copy of the
+REM License at
+""",
+}
+
+
+def test_license_of_wrapped_and_unwrapped_texts(spark):
+    rows = [(name, f"{name}/{kind}/LICENSE", text if kind == "wrapped" else re.sub(r"\s*\n(?!\n)(REM |[#*/ ]+)?", " ", text)) for name, text in WRAPPED.items() for kind in ("wrapped", "joined")]
+    rows += [(name, f"{name}/wrapped/sub/a.txt", "plain words") for name in WRAPPED]
+    df = spark.createDataFrame(rows, "doc_id string, p string, text string")
+    got = {(r.doc_id, r.path): (r.license, r.own_score) for r in licenses.scan_licenses(df, path=F.col("p")).collect()}
+    assert len(got) == len(rows) and all(name == license for (name, _), (license, _) in got.items()), got
+    assert all(score >= 0.9 for (_, path), (_, score) in got.items() if path.endswith("LICENSE")), got
+
+
 def test_license_scan_by_brute_force(spark, docs):
     idf, vectors, other = licenses.weights()
 
