@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,14 @@ from siltstone.llm.common import Scratch, by_batch, load, partitions
 SYMBOLS, BITS = 32, 5
 #: Letters of an expression that the model sees at once; so the tables have SYMBOLS ** ORDER cells at most, whatever the corpus.
 ORDER, DISCOUNT = 4, 0.75
-#: Letters of the word beginnings that count as expressions of their own; toxic documents one must stand in; most that are kept.
-BEGINNINGS, LEAST_TOXIC, EXPRESSIONS = range(3, 11), 2, 1 << 17
+#: Letters of the word beginnings that count as expressions of their own; toxic documents one must stand in; most that workers hold, the
+#: others are joined; bits of the filter of those.
+BEGINNINGS, LEAST_TOXIC, EXPRESSIONS, FILTER = range(3, 11), 2, 1 << 17, 1 << 26
 #: At most so many labelled documents calibrate the score, those of least hash of the id.
 CALIBRATION = 4000
 THRESHOLD, FEATURES, NEVER = 0.3, 5, -9.0
+#: Ratios beyond this are summed.
+HIGH = 3
 #: Log-odds of any text where there are no labels.
 NO_LABELS = -4.6
 #: Remainders of crc32(id) modulo 4 whose labels may be learnt.
@@ -151,7 +155,7 @@ def features(texts: pa.Array, model: Model) -> np.ndarray:
     out[some, 0] = np.bincount(doc, ratio[at], len(n))[some] / np.bincount(doc, size[at], len(n))[some]
     for k, x in ((1, ratio), (3, best)):
         out[some, k] = np.maximum.reduceat(x[at], begin)
-        out[some, k + 1] = np.add.reduceat(np.maximum(x[at] - 3, 0), begin) / np.sqrt(n[some])
+        out[some, k + 1] = np.add.reduceat(np.maximum(x[at] - HIGH, 0), begin) / np.sqrt(n[some])
     return out
 
 
@@ -249,8 +253,9 @@ def expression_counts(words: DataFrame) -> DataFrame:
     return ranged.mapInArrow(by_batch(begin), "word string" + kinds).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def _models(grams_: DataFrame, expressions: DataFrame, words: DataFrame) -> list[Model]:
-    """A model without each fold, and one of all. At most SYMBOLS ** ORDER and EXPRESSIONS rows come to the driver."""
+def _models(grams_: DataFrame, expressions: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[list[Model], DataFrame | None]:
+    """A model without each fold, and one of all, and what they leave out: (word, ratios by model) of the expressions beyond
+    the first EXPRESSIONS, or None if there are none. At most SYMBOLS ** ORDER and EXPRESSIONS rows come to the driver."""
     rows, folds = grams_.toPandas(), len(FOLDS)
     total = np.zeros((folds, 2, SYMBOLS**ORDER))
     total.reshape(2 * folds, -1)[:, rows["code"].to_numpy()] = rows.drop(columns="code").to_numpy().T
@@ -260,26 +265,106 @@ def _models(grams_: DataFrame, expressions: DataFrame, words: DataFrame) -> list
     inner = expressions.filter(total_row).select(F.substring("word", 2, 9).cast("int").alias("k"), "d1", "d0", "d2")
     edges = expressions.filter(~total_row & (F.col("edge") > 0)).select(F.length("word").alias("k"), (toxic > 0).cast("long"), (ordinary > 0).cast("long"), F.lit(1).cast("long"))
     size = {r.k: (r.d1, r.d0, r.d2) for r in inner.union(edges).groupBy("k").agg(*(F.sum(c).alias(c) for c in ("d1", "d0", "d2"))).collect()}
-    kept = expressions.filter(~total_row & (toxic >= LEAST_TOXIC)).orderBy(toxic.desc(), "word").limit(EXPRESSIONS).toPandas()
-    counts = kept.drop(columns=["word", "edge"]).to_numpy(dtype=float).T.reshape(folds, 2, -1) if len(kept) else np.zeros((folds, 2, 0))
-    kinds = tuple(np.array([size[len(w)][i] for w in kept["word"]], float) for i in range(3))
+    less = lambda x, i: x.sum(axis=0) - (0 if i is None else x[i])
+    each = [*range(folds), None]
+
+    def weigh(b: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.stack([b.column(1 + c).to_numpy() for c in CELLS]).astype(float).reshape(folds, 2, -1)
+        kinds = tuple(np.array([size[k][i] for k in pc.utf8_length(b.column(0)).to_pylist()], float) for i in range(3))
+        found = []
+        for i in each:
+            documents, m = less(counts, i), less(n, i)
+            found.append(expression_ratios(documents[1], documents[0], kinds, (m[1], m[0])))
+        found = np.where(np.array(found) > 0, found, NEVER)  # the others are never a word's best
+        out = pa.RecordBatch.from_arrays([b.column(0), pa.array(counts[:, 1].sum(axis=0).astype(np.int64)), *map(pa.array, found)], ["word", "toxic", *ratio_names])
+        return out.filter(pa.array((found > 0).any(axis=0)))
+
+    ratio_names = [f"r{i}" for i in range(len(each))]
+    held = expressions.filter(~total_row & (toxic >= LEAST_TOXIC)).select("word", *(f"d{c}" for c in CELLS))
+    high = scratch.keep(held.mapInArrow(by_batch(weigh), "word string, toxic long" + "".join(f", {c} double" for c in ratio_names)), "ratios")
+    first = high.orderBy(F.desc("toxic"), "word").limit(EXPRESSIONS).toPandas()
+    rest = None
+    if len(first) == EXPRESSIONS:
+        last, word = int(first["toxic"].iloc[-1]), first["word"].iloc[-1]
+        rest = high.filter((F.col("toxic") < last) | ((F.col("toxic") == last) & (F.col("word") > word))).select("word", F.array(*ratio_names).alias("ratios"))
+        rest = None if rest.isEmpty() else rest
     out = []
-    for i in [*range(folds), None]:
-        less = lambda x: x.sum(axis=0) - (0 if i is None else x[i])  # noqa: B023, E731
-        letters, documents, m = less(total), less(counts), less(n)
-        ratio = expression_ratios(documents[1], documents[0], kinds, (m[1], m[0]))
-        high = np.flatnonzero(ratio > 0)  # the others are never a word's best
-        out.append(Model(ratios(toxic=letters[1], ordinary=letters[0]), kept["word"].iloc[high].tolist(), ratio[high]))
+    for i, name in zip(each, ratio_names, strict=True):
+        letters, some = less(total, i), first[name] > 0
+        out.append(Model(ratios(toxic=letters[1], ordinary=letters[0]), first["word"][some].tolist(), first[name][some].to_numpy(dtype=float)))
+    return out, rest
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    """Place in the filter of each word."""
+    return (pd.util.hash_array(words.astype(object), categorize=False) % np.uint64(FILTER)).astype(np.int64)
+
+
+def filter_of(rest: DataFrame) -> np.ndarray:
+    """FILTER bits in bytes, those of the words set; it grows with no input."""
+    place = rest.select("word").mapInArrow(by_batch(lambda b: pa.RecordBatch.from_arrays([pa.array(_bits(b.column(0).to_numpy(zero_copy_only=False)) + 1)], ["at"])), "at long")
+    packed = place.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in packed.collect():
+        out[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def joined_part(rows: DataFrame, models, bits, rest: DataFrame) -> DataFrame:
+    """What the expressions that workers don't hold add: (k1, k2, model) -> (top, more), the largest ratio of one, and by how much
+    the sum of high ones grows. rows: k1, k2 (hashes of the text), model, text; those that repeat a text count once.
+
+    models and bits are broadcast variables. Word beginnings that may be in rest, as the filters tell, are joined with it. Those
+    of ratio HIGH at most change no sum, and no largest ratio of a text that has a higher one already; they are left out there.
+    """
+
+    def begin(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = []
+        for m in np.unique(b.column(2).to_numpy()).tolist():
+            mine = np.flatnonzero(b.column(2).to_numpy() == m)
+            words, n = words_of(b.column(3).take(pa.array(mine)))
+            if not len(words):
+                continue
+            size = len(words.dictionary)
+            length, best = pc.utf8_length(words.dictionary).to_numpy(), models.value[m].best(words.dictionary)
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n) * size + words.indices.to_numpy(), return_counts=True)
+            row, word = mine[pair // size], pair % size
+            top = np.full(len(n), NEVER)
+            np.maximum.at(top, pair // size, best[word])
+            low = top < HIGH
+            for k in BEGINNINGS:
+                begins = pc.utf8_slice_codeunits(words.dictionary, 0, k)
+                at = _bits(begins.to_numpy(zero_copy_only=False))
+                any_, high = ((length >= k) & ((x[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0) for x in bits.value)
+                keep = np.flatnonzero(high[word] | (any_[word] & low[pair // size]))
+                w = pa.array(word[keep])
+                found.append([b.column(0).take(pa.array(row[keep])), b.column(1).take(pa.array(row[keep])), pa.array(np.full(len(keep), m, np.int32)), words.dictionary.take(w).cast(pa.string()),
+                              pa.array(times[keep]), pa.array(best[word[keep]]), begins.take(w).cast(pa.string())])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found, strict=True)], ["k1", "k2", "model", "_word", "n", "best", "word"]) if found else None
+
+    pairs = rows.select("k1", "k2", F.col("model").cast("int").alias("model"), "text").mapInArrow(by_batch(begin), "k1 long, k2 long, model int, _word string, n long, best double, word string")
+    ratio = F.element_at("ratios", F.col("model") + 1)
+    better = pairs.join(rest.hint("merge"), "word").withColumn("ratio", ratio).filter("ratio > best")
+    key = ["k1", "k2", "model"]
+    by_word = better.repartition(partitions(rows.sparkSession), *key).groupBy(*key, "_word").agg(F.max("ratio").alias("ratio"), F.max("n").alias("n"), F.max("best").alias("best"))
+    grown = F.col("n") * (F.greatest(F.col("ratio") - HIGH, F.lit(0.0)) - F.greatest(F.col("best") - HIGH, F.lit(0.0)))
+    return by_word.groupBy(*key).agg(F.max("ratio").alias("top"), F.sum(grown).alias("more"))
+
+
+def with_rest(part: DataFrame, keyed: DataFrame, models, bits, rest: DataFrame) -> DataFrame:
+    """part (k1, k2, model, n_words, x3, x4, ...) with the two expression features as they are with all expressions."""
+    out = part.join(joined_part(keyed, models, bits, rest), ["k1", "k2", "model"], "left")
+    more = F.coalesce(F.col("more") / F.sqrt("n_words"), F.lit(0.0))
+    return out.withColumns({"x3": F.greatest("x3", F.coalesce("top", F.lit(NEVER))), "x4": F.col("x4") + more})
+
+
 def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: doc_id, held_out, score, predicted (score >= 0.3), and the columns in carry.
 
     Rows with crc32(id) mod 4 = 2 are held out: their labels are never read. The other remainders are three folds. One model
     of letters per class, and one of expressions (word beginnings, by documents), is trained on all three, and one on each two for calibration on the third (of at most
     CALIBRATION documents). Both models back off to the same continuation counts, so a rare expression weighs only as far as
-    a class has its own evidence. The score is a logistic function of length-normalised log-likelihood ratios: of the whole
+    a class has its own evidence. Workers hold the EXPRESSIONS commonest ones; words that begin with another are joined with it. The score is a logistic function of length-normalised log-likelihood ratios: of the whole
     text per letter, and of its most toxic words.
 
     Null ids are never in training; rows that repeat an id share its label (the largest, if they differ). Texts without a
@@ -294,29 +379,51 @@ def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     texts = df.filter(remainder(id_col) != 2).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     # A merge join at any size: labels grow with the documents, and a broadcast that depends on their size would change the plan.
     words = scratch.keep(word_counts(texts.join(marks.hint("merge"), "_id")), "words")
-    models = _models(scratch.keep(gram_counts(words), "grams"), scratch.keep(expression_counts(words), "expressions"), words)
-    whole, folded = spark.sparkContext.broadcast(models[-1]), spark.sparkContext.broadcast(models[:-1])  # of bounded size
+    models, rest = _models(scratch.keep(gram_counts(words), "grams"), scratch.keep(expression_counts(words), "expressions"), words, scratch)
+    whole, folded = spark.sparkContext.broadcast({len(FOLDS): models[-1]}), spark.sparkContext.broadcast(dict(enumerate(models[:-1])))  # of bounded size
     del models
+    bits = None if rest is None else spark.sparkContext.broadcast((filter_of(rest), filter_of(rest.filter(F.array_max("ratios") > HIGH))))
+    hashes = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2")]
+
+    xs = [f"x{i}" for i in range(FEATURES)]
+    x_kinds = "".join(f", {x} double" for x in xs)
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-        cell, x = b.column(1).to_numpy(), np.zeros((b.num_rows, FEATURES))
-        for i in range(len(FOLDS)):
-            x[cell // 2 == i] = features(b.column(0).filter(pa.array(cell // 2 == i)), folded.value[i])
-        return pa.RecordBatch.from_arrays([pa.array(cell % 2), *map(pa.array, x.T)], ["toxic", *(f"x{i}" for i in range(FEATURES))])
+        model, x = b.column("model").to_numpy(), np.zeros((b.num_rows, FEATURES))
+        for m in np.unique(model).tolist():
+            x[model == m] = features(b.column("text").filter(pa.array(model == m)), folded.value[m])
+        return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(words_of(b.column("text"))[1]), *map(pa.array, x.T)], [*b.schema.names[1:], "n_words", *xs])
 
     few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION).select("_id", "cell"))  # bounded
-    sample = texts.join(few, "_id").select("text", "cell").mapInArrow(by_batch(measure), "toxic int" + "".join(f", x{i} double" for i in range(FEATURES))).toPandas()
+    sample = texts.join(few, "_id").select("text", F.floor(F.col("cell") / 2).cast("int").alias("model"), (F.col("cell") % 2).cast("int").alias("toxic"), *hashes)
+    measured = sample.mapInArrow(by_batch(measure), f"model int, toxic int, k1 long, k2 long, n_words long{x_kinds}")
+    if rest is not None:
+        measured = with_rest(measured, sample, folded, bits, rest)
+    measured = measured.select("toxic", *xs).toPandas()
     folded.unpersist()
-    weights = logistic(sample.iloc[:, 1:].to_numpy(), sample["toxic"].to_numpy(dtype=float)) if len(sample) else np.array([NO_LABELS, *np.zeros(FEATURES)])
+    weights = logistic(measured.iloc[:, 1:].to_numpy(), measured["toxic"].to_numpy(dtype=float)) if len(measured) else np.array([NO_LABELS, *np.zeros(FEATURES)])
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(b.column(1), whole.value) @ weights[1:] + weights[0]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), *b.columns[1 if "text" in carry else 2 :]], ["doc_id", "score", *names])
+        x = features(b.column(1), whole.value[len(FOLDS)])
+        given_ = b.columns[1 if "text" in carry else 2 : 1 + len(names) + ("text" not in carry)]
+        if all_held:
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(chance(x @ weights[1:] + weights[0])), *given_], ["doc_id", "score", *names])
+        z = x[:, :3] @ weights[1:4] + weights[0]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(z), *given_, *b.columns[-3:], pa.array(words_of(b.column(1))[1]), pa.array(x[:, 3]), pa.array(x[:, 4])], ["doc_id", "score", *names, *keys, "n_words", "x3", "x4"])
 
     names = (["text"] if "text" in carry else []) + [c for c in carry if c != "text"]
+    keys, all_held = ["k1", "k2", "model"], rest is None
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in names if c != "text"])
-    out = given.mapInArrow(by_batch(score), f"doc_id {kinds[id_col]}, score double" + "".join(f", `{c}` {kinds[text_col if c == 'text' else c]}" for c in names))
+    made = f"doc_id {kinds[id_col]}, score double" + "".join(f", `{c}` {kinds[text_col if c == 'text' else c]}" for c in names)
+    if rest is None:
+        out = given.mapInArrow(by_batch(score), made)
+    else:
+        keyed = given.select("*", *hashes, F.lit(len(FOLDS)).alias("model"))
+        part = keyed.mapInArrow(by_batch(score), made + ", k1 long, k2 long, model int, n_words long, x3 double, x4 double")
+        z = F.col("score") + F.col("x3") * float(weights[4]) + F.col("x4") * float(weights[5])
+        out = with_rest(part, keyed, whole, bits, rest).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
     return out.select("doc_id", F.coalesce(remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *names)
 
 

@@ -251,6 +251,16 @@ def test_toxicity_odd_rows(odd, labels):
     assert toxicity.score_toxicity(odd.limit(0), labels).collect() == []
 
 
+def test_toxicity_keeps_all_expressions(spark, docs, labels, monkeypatch):
+    twice = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = lambda: sorted((r.doc_id or -1, r.score, r.predicted, r.text) for r in toxicity.score_toxicity(twice, labels, carry=("text", "source")).collect())
+    whole = rows()
+    for most in (1, 7):
+        monkeypatch.setattr(toxicity, "EXPRESSIONS", most)
+        few = rows()
+        assert len(few) == len(whole) and all(a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-6) and a[2:] == b[2:] for a, b in zip(whole, few, strict=True))
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     top = np.zeros(toxicity.SYMBOLS**toxicity.ORDER)
