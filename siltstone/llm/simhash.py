@@ -18,8 +18,8 @@ from siltstone.llm.components import components
 #: Perfect codes whose product covers 64 bits: (bits, generator polynomial, covering radius) of two Golay codes, a Hamming code
 #: and a threefold repetition. Each value of a block lies within its radius of exactly one code word; 2 ** 36 anchors in all.
 CODES = [(23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1), (3, 0b111, 1)]
-#: A run of fingerprints at one anchor of at most so many rows is compared pair by pair; longer ones by shared neighbours.
-PAIRWISE = 48
+#: Runs of fingerprints at one anchor of at most so many rows are compared pair by pair; longer ones from one link to the next.
+PAIRWISE = 8
 
 
 @functools.cache
@@ -98,115 +98,156 @@ def homes(prints: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
+def fingerprint(text: bytes, words: int = 3, distinct: bool = False) -> int:
     """64-bit SimHash of the word shingles of a UTF-8 text; see simhash_prints."""
     parts = text.lower().split()  # bytes: ASCII only
     if not parts:
         return 0
     h = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return h(b" ".join(parts), 42)
-    joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.fromiter([h(joined[a:b], 42) for a, b in zip(begins[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+        shingles = [b" ".join(parts)]
+    elif words == 1:
+        shingles = parts
+    else:
+        joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        shingles = [joined[a:b] for a, b in zip(begins[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    hashes = np.fromiter([h(x, 42) for x in (set(shingles) if distinct else shingles)], "<u8")
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def simhash_prints(df: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of whole texts: A-Z lowered, words split at ASCII white space, shingles of `words` words with repeats
-    (fewer words: the whole sequence; none, or null: zero), XXH64 with seed 42; a bit is set if over half the hashes have it."""
+def simhash_prints(df: DataFrame, id_col: str, text_col: str, words: int = 3, distinct: bool = False, confirm: int | None = None) -> DataFrame:
+    """(doc_id, fp long, check long) of whole texts: A-Z lowered, words split at ASCII white space, shingles of `words` words with
+    repeats, or each once if distinct (fewer words: the whole sequence; none, or null: zero), XXH64 with seed 42; a bit is set if over
+    half the hashes have it. check is the same of shingles of `confirm` words, 0 without."""
     kind = df.schema[id_col].dataType
 
     def prints(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.fromiter((fingerprint(x, words) for x in text_bytes(b.column(1))), np.uint64, b.num_rows)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        texts = text_bytes(b.column(1))
+        fp = np.fromiter((fingerprint(x, words, distinct) for x in texts), np.uint64, b.num_rows)
+        check = np.fromiter((fingerprint(x, confirm) for x in texts), np.uint64, b.num_rows) if confirm else np.zeros(b.num_rows, np.uint64)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "fp", "check"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(by_batch(prints), T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    fields = [T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), T.StructField("check", T.LongType())]
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(by_batch(prints), T.StructType(fields))
 
 
-def joined(prints: np.ndarray, threshold: int) -> np.ndarray:
-    """For each fingerprint the place of the least one in its component, by repeated minima over neighbours."""
-    label, old = np.arange(len(prints)), None
-    while old is None or (label != old).any():
-        old = label
-        label = np.concatenate([np.where(np.bitwise_count(prints[a : a + 256, None] ^ prints[None]) <= threshold, label[None], len(prints)).min(axis=1) for a in range(0, len(prints), 256)])
-        label = label[label]
+def forest(fp: np.ndarray, check: np.ndarray, threshold: int, most: int) -> np.ndarray:
+    """Links (2, n) that join what belongs together among fingerprints, one less than each component has.
+
+    Each component is walked from link to link; what is reached leaves the rest, so that a close group of n costs about n
+    comparisons, and only what links to nothing is compared with all.
+    """
+    rest, found = np.arange(len(fp)), []
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            some = max(1, min(64, (1 << 21) // len(rest)))
+            few, front = front[:some], front[some:]
+            near = np.bitwise_count(fp[few, None] ^ fp[None, rest]) <= threshold
+            if most < 64:
+                near &= np.bitwise_count(check[few, None] ^ check[None, rest]) <= most
+            hit = near.any(axis=0)
+            found.append(np.stack([rest[hit], few[near[:, hit].argmax(axis=0)]]))
+            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+
+
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, by links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
     return label
 
 
-def links(batches: Iterator[pa.RecordBatch], threshold: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """Links between fingerprints that meet at an anchor; at long runs only as many as join what belongs together."""
-    ball = np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
+def links(batches: Iterator[pa.RecordBatch], threshold: int, reach: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Links between fingerprints that meet at an anchor, only as many as join what belongs together: of all that meet in some
+    100,000 rows, each to the least of its component."""
     for t in whole_runs(batches, "anchor"):
-        at, fp = t.column("anchor").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        at, fp, check = (t.column(c).to_numpy() for c in ("anchor", "fp", "check"))
+        fp, check = fp.view(np.uint64), check.view(np.uint64)
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         length = np.diff(np.concatenate([begin, [len(at)]]))
-        some = np.repeat(length, length) > 1
-        at, fp = at[some], fp[some]
-        if not len(at):
-            continue
-        length = length[length > 1]
         run = np.repeat(np.arange(len(length)), length)
-        home = homes(fp) == at if reach >= threshold else np.ones(len(fp), bool)
-        has = np.zeros(len(length), bool)
-        has[run[home]] = True
-        few = (length <= PAIRWISE)[run] & has[run]
-        f, r, h = fp[few], run[few], home[few]
+        ok = length > 1
+        if reach >= threshold:  # what is linked meets at the home of one of the two as well
+            at_home = np.zeros(len(length), bool)
+            at_home[run[homes(fp) == at]] = True
+            ok &= at_home
+        if not ok.any():
+            continue
+        few = np.flatnonzero((ok & (length <= PAIRWISE))[run])
         found = []
         for k in range(1, min(PAIRWISE, int(length.max()))):
-            if len(f) <= k:
-                break
-            ok = (r[k:] == r[:-k]) & (h[k:] | h[:-k]) & (np.bitwise_count(f[k:] ^ f[:-k]) <= threshold)
-            found.append(np.stack([f[k:][ok], f[:-k][ok]]))
-        for k in np.flatnonzero((length > PAIRWISE) & has):
-            mine = np.unique(fp[run == k])
-            if threshold == 2:  # two are linked exactly if some value is at most one bit from both: each joins the least owner of each value
-                near, who = (mine[:, None] ^ ball[None, :]).ravel(), np.repeat(np.arange(len(mine)), 65)
-                order = np.argsort(near, kind="stable")
-                near, who = near[order], who[order]
-                start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-                owner = np.repeat(who[start], np.diff(np.concatenate([start, [len(near)]])))
-                found.append(mine[np.unique(np.stack([who, owner])[:, who != owner], axis=1)])
-            else:
-                root = joined(mine, threshold)
-                found.append(np.stack([mine, mine[root]])[:, root != np.arange(len(mine))])
-        if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).size:
-            pairs = pairs.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2, reach: int | None = None) -> DataFrame:
+            a, b = few[k:], few[:-k]
+            near = (run[a] == run[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= threshold)
+            if most < 64:
+                near &= np.bitwise_count(check[a] ^ check[b]) <= most
+            found.append(np.stack([a[near], b[near]]))
+        for k in np.flatnonzero(ok & (length > PAIRWISE)).tolist():
+            mine = slice(begin[k], begin[k] + length[k])
+            found.append(forest(fp[mine], check[mine], threshold, most) + begin[k])
+        rows, ends = np.unique(np.concatenate(found, axis=1), return_inverse=True)
+        if not len(rows):
+            continue
+        nodes, number = np.unique(np.stack([fp[rows], check[rows]], axis=1), axis=0, return_inverse=True)
+        ends = number.ravel()[ends.reshape(2, -1)]
+        root = stars(ends[0], ends[1], len(nodes))
+        a, b = nodes[root != np.arange(len(nodes))].view(np.int64), nodes[root[root != np.arange(len(nodes))]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["a_fp", "a_check", "b_fp", "b_check"])
+
+
+def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distinct: bool = False, threshold: int = 2, reach: int | None = None,
+                       confirm: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the smallest doc_id that a chain of links reaches, the row's own included.
 
     Fingerprints link at `threshold` or fewer differing bits. Equal fingerprints are one node from the start (combined
     before any shuffle), so groups of copies of any size cost one row; nodes meet at anchors, about 165 each at threshold 2.
     Anchors within covering radius plus `reach` are used: the threshold, or less down to half of it, which takes fewer copies.
+    At an anchor a group sends one link less than it has members, not its pairs.
+
+    confirm=(n, bits): a link also takes that second fingerprints, of shingles of n words, differ in `bits` bits at most; a node is
+    then a pair of fingerprints. They differ in 64 * acos(c) / pi bits, about, at a cosine of c.
+
     Null or empty texts have fingerprint zero and link like any other. Rows with equal id are separate rows with the same
     id; rows with null id keep their component's smallest id. Extra columns are ignored; an empty table gives an empty one.
     """
     spark, scratch, reach = df.sparkSession, Scratch(df.sparkSession, "simhash"), threshold if reach is None else reach
     if 2 * reach < threshold:
         raise ValueError("reach must be half the threshold at least")
-    docs = scratch.keep(simhash_prints(df, id_col, text_col, words), "docs")
-    nodes = scratch.keep(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    shingle, most = confirm or (None, 64)
+    docs = scratch.keep(simhash_prints(df, id_col, text_col, words, distinct, shingle), "docs")
+    nodes = docs.groupBy("fp", "check").agg(F.min("doc_id").alias("least"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id() if confirm else F.col("fp")), "nodes")  # written once, so numbers stay
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = b.column(0).to_numpy().view(np.uint64)
-            for fp in np.split(every, range(1024, len(every), 1024)):
-                anchor, row = anchors(fp, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
-
-    met = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    pairs = met.mapInArrow(lambda batches: links(batches, threshold, reach), "a long, b long")
+            every, check = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for k in range(0, len(every), 1024):
+                anchor, row = anchors(every[k : k + 1024], reach)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(every[k + row].view(np.int64)), pa.array(check[k + row])], ["anchor", "fp", "check"])
+
+    met = nodes.select("fp", "check").mapInArrow(replicate, "anchor long, fp long, check long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    pairs = met.mapInArrow(lambda batches: links(batches, threshold, reach, most), "a_fp long, a_check long, b_fp long, b_check long")
+    if confirm:
+        number = lambda side: nodes.select(F.col("fp").alias(f"{side}_fp"), F.col("check").alias(f"{side}_check"), F.col("node").alias(side))
+        pairs = pairs.join(number("a"), ["a_fp", "a_check"]).join(number("b"), ["b_fp", "b_check"]).select("a", "b")
+    else:
+        pairs = pairs.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
     roots = components(pairs, scratch)
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(named.join(least, "root").select("fp", "component_id"), "named")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.keep(named.join(least, "root").select("fp", "check", "component_id"), "named")
+    return docs.join(named, ["fp", "check"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

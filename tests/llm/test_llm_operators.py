@@ -314,14 +314,16 @@ def test_merge_equals_sorting(shards, depth):
 # 6
 
 
-def printed(text, n=3):
+def printed(text, n=3, distinct=False):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    grams = list(dict.fromkeys(grams)) if distinct else grams
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def component_of(prints, threshold):
+def component_of(prints, threshold, checks=None, most=64):
+    """Of each id the least that links reach, all pairs compared."""
     root = {i: i for i in prints}
 
     def find(x):
@@ -332,7 +334,7 @@ def component_of(prints, threshold):
     ids = sorted(prints)
     for a in ids:
         for b in ids:
-            if b < a and (prints[a] ^ prints[b]).bit_count() <= threshold:
+            if b < a and (prints[a] ^ prints[b]).bit_count() <= threshold and (checks is None or (checks[a] ^ checks[b]).bit_count() <= most):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -345,15 +347,34 @@ def test_simhash_components(docs, threshold, reach):
     assert {r.doc_id: r.fp % 2**64 for r in rows} == prints and {r.doc_id: r.component_id for r in rows} == component_of(prints, threshold)
 
 
+@pytest.mark.parametrize(("n", "distinct"), [(1, True), (1, False), (2, False), (5, True)])
+def test_simhash_of_any_shingles(docs, n, distinct):
+    rows = simhash.simhash_prints(docs, "doc_id", "text", n, distinct).collect()
+    assert {r.doc_id: r.fp % 2**64 for r in rows} == {r.doc_id: printed(r.text, n, distinct) for r in docs.collect()}
+
+
+def test_simhash_confirmed_links(docs):
+    """Also fingerprints that are equal, while those that confirm them are far apart."""
+    more = docs.select("doc_id", "text").union(docs.select(F.col("doc_id") + 100_000, F.array_join(F.reverse(F.split("text", " ")), " ")))
+    rows = simhash.simhash_components(more, words=1, distinct=True, threshold=4, reach=2, confirm=(5, 10)).collect()
+    texts = {r.doc_id: r.text for r in more.collect()}
+    prints, checks = ({i: printed(t, n, d) for i, t in texts.items()} for n, d in ((1, True), (5, False)))
+    assert {r.doc_id: r.component_id for r in rows} == component_of(prints, 4, checks, 10)
+    assert any(prints[i] == prints[i + 100_000] and abs(checks[i] - checks[i + 100_000]) > 0 for i in prints if i < 100_000)
+
+
 def test_simhash_long_runs():
     rng = np.random.default_rng(2)
-    prints = np.unique(np.uint64(12345) ^ np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 4)).astype(np.uint64)) if True else 0 for _ in range(400)], np.uint64))
-    for threshold, reach in ((2, 2), (3, 2), (4, 2)):
+    near = lambda n: np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, n)).astype(np.uint64), initial=np.uint64(0)) for _ in range(400)], np.uint64)
+    prints = np.unique(np.uint64(12345) ^ near(4))
+    checks = near(9)[: len(prints)]
+    for threshold, reach, most in ((2, 2, 64), (3, 2, 64), (4, 2, 64), (4, 2, 6)):
         anchor, row = simhash.anchors(prints, reach)
         order = np.argsort(anchor, kind="stable")
-        batch = pa.RecordBatch.from_arrays([pa.array(anchor[order]), pa.array(prints[row][order].view(np.int64))], ["anchor", "fp"])
-        found = [x for b in simhash.links(iter([batch]), threshold, reach) for x in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(1).to_numpy().view(np.uint64).tolist(), strict=True)]
-        want = component_of({int(p): int(p) for p in prints}, threshold)
+        batch = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (anchor, prints[row].view(np.int64), checks[row].view(np.int64))], ["anchor", "fp", "check"])
+        out = list(simhash.links(iter([batch]), threshold, reach, most))
+        found = [x for b in out for x in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(2).to_numpy().view(np.uint64).tolist(), strict=True)]
+        want = component_of({int(p): int(p) for p in prints}, threshold, {int(p): int(c) for p, c in zip(prints, checks, strict=True)}, most)
         root = {int(p): int(p) for p in prints}
 
         def find(x, root=root):
@@ -364,7 +385,7 @@ def test_simhash_long_runs():
         for a, b in found:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        assert {p: find(p) for p in root} == want
+        assert {p: find(p) for p in root} == want and len(found) == len(prints) - len(set(want.values()))
 
 
 def test_simhash_odd_rows(odd):
@@ -533,7 +554,7 @@ def test_pipeline(spark, docs, labels):
         seen.append(now)
     clean = {r.doc_id for r in toxicity.score_toxicity(docs, labels).collect() if r.predicted == 0}
     assert {r.doc_id for r in seen[0].collect()} == clean and seen[0].columns == docs.columns
-    comp = {r.doc_id: r.component_id for r in simhash.simhash_components(seen[0], threshold=4, reach=2).collect()}
+    comp = {r.doc_id: r.component_id for r in simhash.simhash_components(seen[0], words=1, distinct=True, threshold=4, reach=2, confirm=(5, 10)).collect()}
     assert {r.doc_id for r in seen[1].collect()} == set(comp.values())
     want = {i: kept for i, _, _, _, kept in stripped(sorted((r.doc_id, r.text) for r in seen[1].collect()))}
     for r in seen[2].collect():
