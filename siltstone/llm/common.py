@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of anything but ASCII white space; bytes.split() splits UTF-8 exactly so.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +25,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. It must be set: a folder of one machine won't do on a
+    cluster. In local mode, where all is one machine and nothing but tests and benches runs, a temporary
+    one serves if it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
+    if where:
+        return where
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         where = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, where, True)
-        where = f"file://{where}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+        spark.conf.set("spark.checkpoint.dir", where := f"file://{where}")
+        return where
+    raise ValueError("spark.checkpoint.dir is not set: operators need a folder that driver and executors share")
+
+
+def limit_per(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key; Spark keeps n rows a key and task below the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
 class Scratch:
@@ -87,6 +97,7 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
             for part in portions(b):
                 if (out := f(part)) is not None:
                     yield out
+        pa.default_memory_pool().release_unused()  # a worker serves many tasks
 
     return run
 
