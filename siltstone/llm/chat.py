@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import Scratch, load
+from siltstone.llm.common import Scratch, load, partitions
 
 #: An assistant turn with calls is a JSON object of this form; a result is a turn of role tool with the call's id.
 MESSAGE = "content string, tool_calls array<struct<id: string, name: string, arguments: string>>, tool_call_id string"
@@ -19,20 +20,56 @@ SCHEMAS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
     "calculator": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
 }
+#: Halves of surrogate pairs.
+SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces; halves of surrogate pairs, which UTF-8 can't hold, are escaped."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def parsed(body: str):
+    """The JSON value of a text; ValueError if it is none, or nested too deep, or holds a number that JSON can't write."""
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    try:
+        value = json.loads(body, parse_constant=refuse)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
+
+
+def references(body: str | None) -> list[str]:
+    """Ids of the calls that arguments name as {"$ref": id}, in order, each once. The walk needs no recursion."""
+    if not body or "$ref" not in body and "\\u" not in body:
+        return []
+    try:
+        todo, found = [parsed(body)], {}
+    except ValueError:
+        return []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            if isinstance(value.get("$ref"), str):
+                found[SURROGATE.sub("\ufffd", value["$ref"])] = None
+            todo += reversed(value.values())
+        elif isinstance(value, list):
+            todo += reversed(value)
+    return list(found)
 
 
 def fault(value, schema: Mapping, at: str = "$") -> str | None:
-    """The first way in which a value breaks a JSON schema (type, enum, required, properties, additionalProperties, items); or None."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
-        return f"{at}: not of type {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    """The first way in which a value breaks a JSON schema (type or list of types, enum, required, properties, additionalProperties, items); or None."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    if kinds and not any(of_type(value, k) for k in kinds):
+        return f"{at}: not of type {' or '.join(kinds)}"
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
     if isinstance(value, dict):
         for name in schema.get("required", []):
@@ -51,6 +88,12 @@ def fault(value, schema: Mapping, at: str = "$") -> str | None:
     return None
 
 
+def of_type(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, TYPES[kind]) or (kind == "integer" and isinstance(value, float) and value.is_integer())
+
+
 def format_chats(df: DataFrame, schemas: Mapping[str, Mapping], *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn and per call: conv_id, turn, seq, kind, call_id, status, json.
 
@@ -60,57 +103,67 @@ def format_chats(df: DataFrame, schemas: Mapping[str, Mapping], *, conv_col: str
     they stand in a later turn), and before its own result; else by turn. status: ok; unanswered or orphan without a partner; invalid: why
     the arguments break the tool's schema; cyclic where references run in a circle (placed by turn). json is canonical.
 
-    Texts that are no JSON of the form are plain messages; null texts are empty. Rows that repeat a turn stay, in order of their
-    text. Null conversations, turns or roles are values like any other (nulls last). Extra columns are ignored.
+    Texts that are no JSON of the form are plain messages; null texts are empty. Arguments that are no JSON, or nested beyond what
+    Python can read, or hold NaN or an infinite number, are invalid and stay as text. Rows that repeat a turn stay, in order of
+    their text. Null conversations, turns or roles are values like any other (nulls last). Extra columns are ignored. Levels of
+    references take a round each; a conversation of any length is numbered by ranges, so it needs no task of its own.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "chat")
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.withColumn("conv", F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string"))))  # joins on it meet nulls too
     may = F.ltrim("text").startswith("{") & F.col("role").isin("assistant", "tool")
     rows = rows.withColumn("m", F.when(may, F.from_json("text", MESSAGE)))
     is_call, is_result = (F.col("role") == "assistant") & F.coalesce(F.size("m.tool_calls") > 0, F.lit(False)), (F.col("role") == "tool") & F.col("m.tool_call_id").isNotNull()
     rows = rows.withColumns({"is_call": F.coalesce(is_call, F.lit(False)), "is_result": F.coalesce(is_result, F.lit(False))})
     content = F.when(F.col("is_call") | F.col("is_result"), F.coalesce("m.content", F.lit(""))).otherwise(F.col("text"))
-    turns = rows.select("conv_id", "turn", F.lit(0).alias("pos"), F.when(F.col("is_result"), "result").otherwise("message").alias("kind"), F.when(F.col("is_result"), F.col("m.tool_call_id")).alias("call_id"), "role", content.alias("body"), F.lit(None).cast("string").alias("name"))
-    calls = rows.where("is_call").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c")).where("c is not null").select("conv_id", "turn", (F.col("pos") + 1).alias("pos"), F.lit("call").alias("kind"), F.col("c.id").alias("call_id"), F.lit("assistant"), F.coalesce("c.arguments", F.lit("")), "c.name")
+    whose = ["conv", "conv_id", "turn"]
+    turns = rows.select(*whose, F.lit(0).alias("pos"), F.when(F.col("is_result"), "result").otherwise("message").alias("kind"), F.when(F.col("is_result"), F.col("m.tool_call_id")).alias("call_id"), "role", content.alias("body"), F.lit(None).cast("string").alias("name"))
+    calls = rows.where("is_call").select(*whose, F.posexplode("m.tool_calls").alias("pos", "c")).where("c is not null").select(*whose, (F.col("pos") + 1).alias("pos"), F.lit("call").alias("kind"), F.col("c.id").alias("call_id"), F.lit("assistant"), F.coalesce("c.arguments", F.lit("")), "c.name")
     items = turns.union(calls)
-    nth = F.row_number().over(Window.partitionBy("conv_id", "kind", "call_id").orderBy(F.col("turn").asc_nulls_last(), "pos", "body"))
+    nth = F.row_number().over(Window.partitionBy("conv", "kind", "call_id").orderBy(F.col("turn").asc_nulls_last(), "pos", "body"))
     linked = scratch.keep(items.where("call_id is not null").withColumn("nth", nth), "linked")
-    plain = items.where("call_id is null").withColumn("nth", F.lit(0))
+    plain = items.where("call_id is null")
 
     # Links: what must come first. A level is one more than that of all an item waits for; a circle never gets one.
-    is_ = lambda kind: linked.where(F.col("kind") == kind)
-    pair = is_("call").select("conv_id", "call_id", "nth", F.col("turn").alias("c_turn")).join(is_("result").select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("nth").alias("r_nth"), F.col("turn").alias("r_turn")),
-                              F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("nth") == F.col("r_nth")), "full")
-    pair = scratch.keep(pair.select(F.coalesce("conv_id", "r_conv").alias("p_conv"), F.coalesce("call_id", "r_id").alias("p_id"), F.coalesce("nth", "r_nth").alias("p_nth"), (F.col("call_id").isNotNull() & F.col("r_id").isNotNull()).alias("both"), "c_turn", "r_turn"), "pairs")
-    refs = is_("call").select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$ref"\s*:\s*"([^"]+)"'), F.lit(1)))).alias("needs"))
-    known = is_("call").select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("needs")).distinct()
-    edges = scratch.keep(refs.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (refs["needs"] == known["needs"])).select("conv_id", "call_id", refs["needs"]).distinct(), "edges")
-    nodes = edges.select("conv_id", "call_id").union(edges.select("conv_id", "needs")).distinct()
-    nodes = scratch.keep(nodes.join(is_("call").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn")), ["conv_id", "call_id"]), "nodes")
-    settled, k = scratch.keep(nodes.withColumn("level", F.lit(0)).join(edges, ["conv_id", "call_id"], "left_anti"), "level0"), 0
+    call, key = linked.where("kind = 'call'"), ["conv", "call_id"]
+    pair = call.select(*key, "nth", F.col("turn").alias("c_turn"), F.lit(True).alias("c")).join(linked.where("kind = 'result'").select(*key, "nth", F.lit(True).alias("r")), [*key, "nth"], "full")
+    pair = scratch.keep(pair.select(*key, "nth", (F.col("c").isNotNull() & F.col("r").isNotNull()).alias("both"), "c_turn"), "pairs")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[key].assign(needs=[references(x) for x in b["body"]])
+
+    refs = call.select(*key, "body").mapInPandas(named, "conv string, call_id string, needs array<string>").select(*key, F.explode("needs").alias("needs"))
+    edges = scratch.keep(refs.join(call.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_semi").distinct(), "edges")
+    nodes = edges.select(*key).union(edges.select("conv", "needs")).distinct()
+    nodes = scratch.keep(nodes.join(call.groupBy(*key).agg(F.min("turn").alias("turn")), key), "nodes")
+    settled, k = scratch.keep(nodes.withColumn("level", F.lit(0)).join(edges, key, "left_anti"), "level0"), 0
     while not edges.isEmpty():  # a round for each step of the longest chain of references
         k += 1
-        done = settled.select("conv_id", F.col("call_id").alias("needs"), "level", F.col("turn").alias("after"))
-        ready = edges.join(done, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("after").alias("after")).where("open = 0")
-        fresh = ready.join(settled.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(nodes, ["conv_id", "call_id"])
-        fresh = fresh.select("conv_id", "call_id", F.greatest("turn", "after").alias("turn"), (F.col("level") + 1).alias("level"))
+        done = settled.select("conv", F.col("call_id").alias("needs"), "level", F.col("turn").alias("after"))
+        ready = edges.join(done, ["conv", "needs"], "left").groupBy(*key).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("after").alias("after")).where("open = 0")
+        fresh = ready.join(settled.select(*key), key, "left_anti").join(nodes, key)
+        fresh = fresh.select(*key, F.greatest("turn", "after").alias("turn"), (F.col("level") + 1).alias("level"))
         fresh = scratch.keep(fresh, f"level{k}")
         if fresh.isEmpty():
             break
         settled = settled.union(fresh)
-    levels = settled.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"]).select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id"), "level", F.col("turn").alias("l_turn"))
-    circles = nodes.join(settled.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select(F.col("conv_id").alias("z_conv"), F.col("call_id").alias("z_id"), F.lit(True).alias("cyclic"))
+    levels = settled.join(edges.select(*key).distinct(), key).select(*key, "level", F.col("turn").alias("l_turn"))
+    circles = nodes.join(settled.select(*key), key, "left_anti").select(*key, F.lit(True).alias("cyclic"))
 
-    on = F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("call_id") == F.col("p_id")) & (F.col("nth") == F.col("p_nth"))
-    placed = linked.join(pair, on, "left").join(levels, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left").join(circles, F.col("conv_id").eqNullSafe(F.col("z_conv")) & (F.col("call_id") == F.col("z_id")), "left")
+    placed = linked.join(pair, [*key, "nth"], "left").join(levels, key, "left").join(circles, key, "left")
     # A turn that holds dependent calls sorts them by level; a result never stands before its call's turn.
-    placed = placed.select("conv_id", "turn", "pos", "kind", "call_id", "role", "body", "name", "both", F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+    placed = placed.select(*whose, "pos", "kind", "call_id", "role", "body", "name", "both", F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
                            F.when((F.col("kind") == "result") & (F.col("c_turn") > F.col("turn")), F.col("c_turn")).otherwise(F.greatest("turn", F.when(F.col("kind") == "call", F.col("l_turn")))).alias("at"), F.coalesce("level", F.lit(0)).alias("level"))
-    rest = plain.select("conv_id", "turn", "pos", "kind", "call_id", "role", "body", "name", F.lit(True).alias("both"), F.lit(False).alias("cyclic"), F.col("turn").alias("at"), F.lit(-1).alias("level"))
-    every = placed.union(rest)
+    rest = plain.select(*whose, "pos", "kind", "call_id", "role", "body", "name", F.lit(True).alias("both"), F.lit(False).alias("cyclic"), F.col("turn").alias("at"), F.lit(-1).alias("level"))
     kind_rank = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "call", 1).otherwise(2)
-    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("at").asc_nulls_last(), kind_rank, "level", "pos", "turn", "body"))
-    every = every.withColumn("seq", seq)
+    order = ["conv", F.col("at").asc_nulls_last(), kind_rank, "level", "pos", F.col("turn").asc_nulls_last(), "body", F.col("call_id").asc_nulls_last(), F.col("role").asc_nulls_last()]
+    ranged = placed.union(rest).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = scratch.keep(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranged")
+    before = Window.partitionBy("conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("conv", "_part").agg(F.count(F.lit(1)).alias("n")).select("conv", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    numbered = ranged.withColumn("_seq", F.row_number().over(Window.partitionBy("_part", "conv").orderBy("_row")))
+    every = numbered.join(base, ["conv", "_part"]).withColumn("seq", (F.col("_base") + F.col("_seq")).cast("int"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -119,11 +172,11 @@ def format_chats(df: DataFrame, schemas: Mapping[str, Mapping], *, conv_col: str
                 state = "ok" if both else "unanswered" if kind == "call" else "orphan"
                 if kind == "call":
                     try:
-                        arguments = json.loads(body or "{}")
+                        arguments = parsed(body or "{}")
                         found = fault(arguments, schemas[name]) if name in schemas else f"unknown tool {name}"
                     except ValueError:
                         arguments, found = body, "arguments are no JSON"
-                    state = "cyclic" if cyclic else f"invalid: {found}" if found else state
+                    state = "cyclic" if cyclic else SURROGATE.sub("\ufffd", f"invalid: {found}") if found else state
                     out.append(canonical({"role": role, "tool_call": {"arguments": arguments, "id": call, "name": name}}))
                 elif kind == "result":
                     out.append(canonical({"content": body, "role": role, "tool_call_id": call}))
