@@ -65,12 +65,13 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the word, code of the ORDER letters that end at each of its letters and its end); before the word are borders."""
-    text = "\0".join(words) + "\0"
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    length = np.fromiter(map(len, words), np.int64, len(words))
     unique, back = np.unique(points, return_inverse=True)
-    code = np.array([0 if u == 0 else ALPHABET[int(u)] for u in unique], np.int64)[back]
-    end = points == 0
-    word = np.concatenate([[0], np.cumsum(end)[:-1]])
+    at = np.arange(len(points)) + np.repeat(np.arange(len(words)), length)  # a border, of code 0, follows each word
+    code, end = np.zeros(len(points) + len(words), np.int64), np.ones(len(points) + len(words), bool)
+    code[at], end[at] = np.array([ALPHABET[int(u)] for u in unique], np.int64)[back], False
+    word = np.repeat(np.arange(len(words)), length + 1)
     out = code.copy()
     alive = np.ones(len(code), bool)
     for k in range(1, ORDER):
@@ -225,14 +226,14 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def expression_counts(words: DataFrame) -> DataFrame:
-    """(word, d0, ... d5, edge) of word beginnings that toxic texts hold; and a row "\0k" for each length k, whose d0, d1, d2 are
+    """(word, k, d0, ... d5, edge) of word beginnings that toxic texts hold, k = 0; and a row of each length k, whose d0, d1, d2 are
     how many beginnings the ordinary, the toxic and both classes have besides those with an edge. Words come sorted by range,
     so that a beginning's words lie together and are summed where they are; only those at the edge of a batch meet again."""
 
     def begin(b: pa.RecordBatch) -> pa.RecordBatch:
         words = b.column(0).cast(pa.large_string())
         counts = np.stack([b.column(1 + c).to_numpy() for c in CELLS])
-        length, found, sums = pc.utf8_length(words).to_numpy(), [], []
+        length, found, kind, sums = pc.utf8_length(words).to_numpy(), [], [], []
         for k in BEGINNINGS:
             coded = pc.utf8_slice_codeunits(words.filter(pa.array(length >= k)), 0, k).dictionary_encode()
             total = np.stack([np.bincount(coded.indices.to_numpy(), x[length >= k], len(coded.dictionary)) for x in counts]).astype(np.int64)
@@ -241,16 +242,17 @@ def expression_counts(words: DataFrame) -> DataFrame:
             if len(toxic):
                 edge[[0, -1]] = True
             keep = (toxic > 0) | edge
-            found += [coded.dictionary.filter(pa.array(keep)), pa.array([f"\0{k}"], pa.large_string())]
+            found += [coded.dictionary.filter(pa.array(keep)), pa.array([""], pa.large_string())]
+            kind += [0] * int(keep.sum()) + [k]
             inner = [((x > 0) & ~edge).sum() for x in (ordinary, toxic, ordinary + toxic)]
             sums += [np.concatenate([total[:, keep], [edge[keep]]]), np.array([[*inner, 0, 0, 0, 0]]).T]
         sums = np.concatenate(sums, axis=1).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(found).cast(pa.string()), *map(pa.array, sums)], ["word", *names])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(found).cast(pa.string()), pa.array(kind, pa.int32()), *map(pa.array, sums)], ["word", "k", *names])
 
     names = [*(f"d{c}" for c in CELLS), "edge"]
     kinds = "".join(f", {c} long" for c in names)
     ranged = words.select("word", *names[:-1]).repartitionByRange(partitions(words.sparkSession), "word").sortWithinPartitions("word")
-    return ranged.mapInArrow(by_batch(begin), "word string" + kinds).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+    return ranged.mapInArrow(by_batch(begin), "word string, k int" + kinds).groupBy("word", "k").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def _models(grams_: DataFrame, expressions: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[list[Model], DataFrame | None]:
@@ -261,8 +263,8 @@ def _models(grams_: DataFrame, expressions: DataFrame, words: DataFrame, scratch
     total.reshape(2 * folds, -1)[:, rows["code"].to_numpy()] = rows.drop(columns="code").to_numpy().T
     n = np.array([x or 0 for x in words.agg(*(F.sum(f"d{c}") for c in CELLS)).first()], float).reshape(folds, 2)
     toxic, ordinary = (sum((F.col(f"d{c}") for c in CELLS if c % 2 == i), F.lit(0)) for i in (1, 0))
-    total_row = F.col("word").startswith("\0")
-    inner = expressions.filter(total_row).select(F.substring("word", 2, 9).cast("int").alias("k"), "d1", "d0", "d2")
+    total_row = F.col("k") > 0
+    inner = expressions.filter(total_row).select("k", "d1", "d0", "d2")
     edges = expressions.filter(~total_row & (F.col("edge") > 0)).select(F.length("word").alias("k"), (toxic > 0).cast("long"), (ordinary > 0).cast("long"), F.lit(1).cast("long"))
     size = {r.k: (r.d1, r.d0, r.d2) for r in inner.union(edges).groupBy("k").agg(*(F.sum(c).alias(c) for c in ("d1", "d0", "d2"))).collect()}
     less = lambda x, i: x.sum(axis=0) - (0 if i is None else x[i])
@@ -358,12 +360,12 @@ def with_rest(part: DataFrame, keyed: DataFrame, models, bits, rest: DataFrame)
     return out.withColumns({"x3": F.greatest("x3", F.coalesce("top", F.lit(NEVER))), "x4": F.col("x4") + more})
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = (), calibration: int = CALIBRATION) -> DataFrame:
     """One row per row of df: doc_id, held_out, score, predicted (score >= 0.3), and the columns in carry.
 
     Rows with crc32(id) mod 4 = 2 are held out: their labels are never read. The other remainders are three folds. One model
     of letters per class, and one of expressions (word beginnings, by documents), is trained on all three, and one on each two for calibration on the third (of at most
-    CALIBRATION documents). Both models back off to the same continuation counts, so a rare expression weighs only as far as
+    `calibration` documents). Both models back off to the same continuation counts, so a rare expression weighs only as far as
     a class has its own evidence. Workers hold the EXPRESSIONS commonest ones; words that begin with another are joined with it. The score is a logistic function of length-normalised log-likelihood ratios: of the whole
     text per letter, and of its most toxic words.
 
@@ -394,7 +396,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             x[model == m] = features(b.column("text").filter(pa.array(model == m)), folded.value[m])
         return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(words_of(b.column("text"))[1]), *map(pa.array, x.T)], [*b.schema.names[1:], "n_words", *xs])
 
-    few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION).select("_id", "cell"))  # bounded
+    few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(calibration).select("_id", "cell"))  # bounded
     sample = texts.join(few, "_id").select("text", F.floor(F.col("cell") / 2).cast("int").alias("model"), (F.col("cell") % 2).cast("int").alias("toxic"), *hashes)
     measured = sample.mapInArrow(by_batch(measure), f"model int, toxic int, k1 long, k2 long, n_words long{x_kinds}")
     if rest is not None:

@@ -119,6 +119,31 @@ def test_search_odd_vectors(spark):
     assert ann.search(df.limit(0)).collect() == []
 
 
+def test_search_ties(spark):
+    """A fifth of the rows are equal, some ids repeat, and some rows mirror others at equal distance."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (1500, 4)).astype(float)
+    x[::5] = [1, 2, 3, 4]
+    x[200::300] = rng.integers(-3, 4, (5, 4))
+    x[(x == 0).all(axis=1)] = 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, [9.0] * 4), (100, [9.0] * 4), (300, x[300].tolist())]
+    found = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in range(0, 1500, 100):
+        point = min((v for i, v in rows if i == q), key=lambda v: np.array(v).tobytes())
+        want = sorted((float(np.sqrt(((np.array(v) - point) ** 2).sum())), i) for i, v in {(i, tuple(v)) for i, v in rows} if i != q)[:10]
+        assert [(s, i) for _, i, s in sorted(found[q])] == want
+
+
+def test_search_windows_follow_the_data():
+    rng = np.random.default_rng(3)
+    spread, near = rng.normal(size=(2000, 32)), rng.normal(size=(100, 32)).repeat(20, axis=0) + 0.01 * rng.normal(size=(2000, 32))
+    fit = lambda x: (x.mean(axis=0), float(x.std()))
+    (c1, s1), (c2, s2) = ann.windows(spread, fit(spread), 10, 5), ann.windows(near, fit(near), 10, 5)
+    assert c2 * s2 < 0.25 < c1 * s1
+
+
 @given(st.integers(2, 4), st.integers(1, 3))
 @settings(max_examples=10, deadline=None)
 def test_hilbert_neighbours_touch(dims, bits):
@@ -261,6 +286,25 @@ def test_toxicity_keeps_all_expressions(spark, docs, labels, monkeypatch):
         assert len(few) == len(whole) and all(a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-6) and a[2:] == b[2:] for a, b in zip(whole, few, strict=True))
 
 
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=6).map(lambda x: x + "\0" * (len(x) % 2)), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_letters_of_any_words(some):
+    word, code = toxicity.grams(some)
+    want = []
+    for k, w in enumerate(some):
+        letters = [0] * toxicity.ORDER + [toxicity.symbol(c) for c in w] + [0]
+        want += [(k, sum(letters[i - j] << (toxicity.BITS * j) for j in range(toxicity.ORDER))) for i in range(toxicity.ORDER, len(letters))]
+    assert list(zip(word.tolist(), code.tolist(), strict=True)) == want
+
+
+def test_toxicity_of_texts_with_nul(spark, docs, labels):
+    """They are trained on and scored, and change no other text's score in their batch."""
+    odd = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\0"), F.replace("text", F.lit("a"), F.lit("a\0")))).otherwise(F.col("text")))
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(odd, labels).collect()}
+    one = {r.doc_id: r.score for r in toxicity.score_toxicity(odd.repartition(7), labels).collect()}
+    assert len(scored) == docs.count() and all(abs(scored[i] - one[i]) < 1e-9 for i in scored)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     top = np.zeros(toxicity.SYMBOLS**toxicity.ORDER)
@@ -417,6 +461,26 @@ def test_tool_calls(spark):
     assert chat.format_chats(df.limit(0), chat.SCHEMAS).collect() == []
 
 
+def test_tool_calls_odd_arguments(spark):
+    """Deep, broken and non-finite JSON, halves of surrogate pairs, type lists, and references in a null conversation."""
+    call = lambda i, arguments: {"id": i, "name": "t", "arguments": arguments}
+    ask = lambda *calls: json.dumps({"content": "", "tool_calls": list(calls)})
+    said = ask(call("a", "[" * 100_000), call("b", '{"x": NaN}'), call("c", '{"x": "\\ud800"}'), call("d", '{"x": 1e999}'), call("e", '{"x": null}'), call("f", '{"x": 1.5}'))
+    rows = [(1, 0, "assistant", said), (None, 0, "assistant", ask(call("q", '{"x": {"$ref": "p"}}'), call("p", "{}"), call("r", '{"x": "\\"$ref\\": \\"q\\""}'))), (None, 1, "tool", json.dumps({"tool_call_id": "q", "content": "\0"}))]
+    schema = {"type": "object", "properties": {"x": {"type": ["string", "null", "object"]}}}
+    found = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), {"t": schema}).orderBy("conv_id", "seq").collect()
+    got = {r.call_id: r.status for r in found if r.conv_id == 1 and r.kind == "call"}
+    assert got == {k: "invalid: arguments are no JSON" for k in "abd"} | {"c": "unanswered", "e": "unanswered", "f": "invalid: $.x: not of type string or null or object"}
+    assert [json.loads(r.json)["tool_call"]["arguments"] for r in found if r.call_id == "c"] == [{"x": "\ud800"}]
+    assert [(r.kind, r.call_id, r.status) for r in found if r.conv_id is None] == [("message", None, "ok"), ("call", "p", "unanswered"), ("call", "r", "unanswered"), ("call", "q", "ok"), ("result", "q", "ok")]
+
+
+def test_one_long_conversation_is_numbered_in_order(spark):
+    rows = [(7, i, "user", f"t{i}") for i in range(5000)] + [(8, 0, "user", "x")]
+    found = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7), {}).collect()
+    assert sorted((r.conv_id, r.seq, r.turn) for r in found) == [(7, i + 1, i) for i in range(5000)] + [(8, 1, 0)]
+
+
 def test_plain_conversations_keep_every_turn(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     got, want = chat.format_chats(df, {}).collect(), defaultdict(list)
