@@ -7,13 +7,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siltstone.llm.common import by_batch, load
+from siltstone.llm.common import Scratch, by_batch, load
 
 #: Hash buckets of the n-grams, words of a repeated window, bytes of a character n-gram.
 BUCKETS, WINDOW, CHARS = 1 << 18, 5, 4
-#: At most so many labelled documents train the model, those of least hash of the id; every fifth of them calibrates instead.
-SAMPLE = 4000
+#: At most so many labelled documents, and so many bytes of them, train the model, those of least hash of the id; every fifth of them
+#: calibrates instead.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 #: Fixed thresholds: least number of words, most percent of words in repeated windows, least probability of label 1.
 LEAST_WORDS, MOST_REPEATED, LEAST_PROBABILITY = 10, 20, 0.5
 #: Characters that count as symbols: fixed values.
@@ -160,25 +162,30 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def assess_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def assess_quality(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """One row per row of df: doc_id, the counts, base_failed, probability (of label 1), kept.
 
     Words are runs of anything but ASCII white space. base_failed: fewer than 10 words, or over 20 % of the words in 5-word
     windows that the text holds twice or more. kept: not base_failed, and a probability of at least 0.5. The model is fitted on
-    at most SAMPLE labelled rows (a bound that no data change), which come to the driver; all counts and scores are of
-    whole texts of all rows, in Arrow batches.
+    at most `sample` labelled rows, whole texts of `sample_bytes` together at most, which come to the driver; all counts and scores
+    are of whole texts of all rows, in Arrow batches.
 
     Null or empty texts: no words, base_failed. Rows that repeat an id are rows of their own and share its label (the smallest,
     if they differ). Null ids are scored, not learnt from. Without labels the probability is 0.5. Extra columns are ignored.
     """
     spark = df.sparkSession
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
-    few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))  # bounded
+    few = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # bounded
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(few, "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").toArrow() if not few.isEmpty() else None
+    taken = None
+    if not few.isEmpty():
+        rows = Scratch(spark, "quality").keep(rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+        so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # of `sample` rows at most
+        ids = rows.select("_id", "bytes").withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("_id")
+        taken = rows.join(F.broadcast(ids), "_id", "left_semi").drop("bytes").orderBy(F.xxhash64("_id"), "_id").toArrow()
     model, slope, offset = (np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0), 1.0, 0.0
-    if sample is not None and sample.num_rows:
-        y, texts = sample.column("y").to_numpy().astype(float), sample.column("text").combine_chunks()
+    if taken is not None and taken.num_rows:
+        y, texts = taken.column("y").to_numpy().astype(float), taken.column("text").combine_chunks()
         held = np.arange(len(y)) % 5 == 4
         model = train(texts.filter(pa.array(~held)), y[~held])
         if held.any():
