@@ -8,6 +8,7 @@ starts (u64), the documents' ids (i64), whether each has one (u8), and their len
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from siltstone.llm.common import Scratch, load, partitions, portions
 from siltstone.llm.tokens import encode_ended, encoder, word_bpe_path
 
 MAGIC, BLOCK, SHARE = b"SILTPFR1", 256, 0.9
+#: Ids of a file, about: some 100 MB.
+FILE_IDS = 1 << 26
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("patches", "<u2")])
 
 
@@ -135,39 +138,56 @@ class Reader:
         return unpack_blocks(data, self.starts[a:b] - self.starts[a])[start - a * BLOCK : stop - a * BLOCK]
 
 
-def write_token_files(df: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, end_id: int, tokenizer: str) -> DataFrame:
-    """(part, path, n_docs, n_ids) of the files written to the shared folder, in ascending order of id, nulls first.
+def write_token_files(df: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, end_id: int, tokenizer: str, file_ids: int = FILE_IDS) -> DataFrame:
+    """(part, no, path, n_docs, n_ids) of the files written to the shared folder, in ascending order of id, nulls first.
 
-    One shuffle, by ranges of ids; a task encodes and writes its range. A task that is run again writes a file of another
-    name, and only the name that its successful attempt reports is read.
+    One shuffle, by ranges of ids; a task encodes its range and writes it to files of about file_ids ids, each ended by the first
+    document that passes them; so what a writer or reader holds is bounded. A task that is run again writes files of
+    other names, only those that its successful attempt reports are read, and the others are removed at the end.
     """
     folder = f"{scratch.path}/files"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, docs, store, path = TaskContext.get().partitionId(), 0, *fs.FileSystem.from_uri(folder)
+        part, store, path = TaskContext.get().partitionId(), *fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        name = f"{path}/{part:06d}-{uuid.uuid4().hex[:8]}.pfor"
-        with store.open_output_stream(name) as out:
-            writer = Writer(out)
-            for b in (x for b in batches for x in portions(b)):
-                if b.num_rows:
-                    ids, n = encode_ended(tokenizer, b.column(1), end_id)
-                    writer.add(ids, b.column(0).to_pylist(), n)
-                    docs += b.num_rows
+        rows, no, docs, out, writer, name = (x for b in batches for x in portions(b)), 0, 0, None, None, None
+
+        def done() -> pa.RecordBatch:
             writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "no": pa.array([no], pa.int32()), "path": [name], "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+
+        for b in rows:
+            ids, n = encode_ended(tokenizer, b.column(1), end_id)
+            ends, at = np.cumsum(n), 0
+            while at < len(n):
+                if writer is None:
+                    name, docs = f"{path}/{part:06d}-{no:04d}-{uuid.uuid4().hex[:8]}.pfor", 0
+                    out = store.open_output_stream(name)
+                    writer = Writer(out)
+                before = int(ends[at] - n[at])
+                upto = min(len(n), int(np.searchsorted(ends, before + max(1, file_ids - writer.ids), "left")) + 1)
+                writer.add(ids[before : ends[upto - 1]], b.column(0).slice(at, upto - at).to_pylist(), n[at:upto])
+                docs, at = docs + upto - at, upto
+                if writer.ids >= file_ids:
+                    yield done()
+                    writer, no = None, no + 1
+        if writer is not None:
+            yield done()
         encoder(tokenizer).forget()
-        if docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spread = rows.repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.keep(spread.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = scratch.keep(spread.mapInArrow(write, "part int, no int, path string, n_docs long, n_ids long"), "manifest")
+    named = {os.path.basename(r.path) for r in manifest.select("path").toLocalIterator()}
+    scratch.drop(*(f"files/{x}" for x in scratch.names("files") if x not in named))
+    return manifest
 
 
 def read_token_files(manifest: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files, read back by index of block starts."""
     folder = f"{scratch.path}/files"
-    files = manifest.orderBy("part").collect()  # one row per file
+    files = manifest.orderBy("part", "no").collect()  # one row per file
     base, rows = 0, []
     for f in files:
         rows.append((f.path, base))
@@ -196,14 +216,14 @@ def read_token_files(manifest: DataFrame, scratch: Scratch) -> DataFrame:
     return paths.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
+def token_files(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of whole texts, end_id behind each, to files in ascending order of id, and returns what the files hold.
 
     Null or empty texts have the end id only. Rows of equal id stand in order of their text; rows of null id come first.
     An empty table gives no file and no row. Extra columns are ignored. Ids of documents are integers.
     """
     scratch = Scratch(df.sparkSession, "tokens")
-    manifest = write_token_files(df, scratch, id_col=id_col, text_col=text_col, end_id=end_id, tokenizer=tokenizer or word_bpe_path())
+    manifest = write_token_files(df, scratch, id_col=id_col, text_col=text_col, end_id=end_id, tokenizer=tokenizer or word_bpe_path(), file_ids=file_ids)
     return read_token_files(manifest, scratch)
 
 

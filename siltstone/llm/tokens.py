@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -12,6 +13,9 @@ import pyarrow.compute as pc
 
 #: A word of letters up to U+00FF, then ASCII punctuation: two pre-tokens whose normal form is their lower case.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The normal form and the cut into pre-tokens that the quick way below presumes. Fixed values.
+NORMAL = ["NFC", {"Replace": [r"\s+", " "]}, "Lowercase"]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers at most; beyond, it forgets all and starts anew.
 REMEMBERED = 1_500_000
 
@@ -23,9 +27,10 @@ def word_bpe_path() -> str:
 
 
 class Encoder:
-    """Texts to ids, as encode(text, add_special_tokens=False) gives them, for a vocabulary that drops white space.
+    """Texts to ids, as encode(text, add_special_tokens=False) gives them.
 
-    A space or line feed ends a pre-token and has no id of its own, so texts are cut there and distinct chunks encoded once.
+    A tokenizer file of another normal form or cut than NORMAL and CUT, or of another model than BPE with word ends, goes through
+    the library text by text. Else white space is dropped: a space or line feed ends a pre-token and has no id of its own, so texts are cut there and distinct chunks encoded once.
     Chunks of plain letters and punctuation go to the library's BPE model as two pre-tokens; any other goes through the
     library's whole pipeline.
     """
@@ -35,12 +40,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.quick = self._presumed()
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # byte-level alphabet
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
+    def _presumed(self) -> bool:
+        """Whether the file's normaliser, pre-tokenizer and model are those that the quick way is right for."""
+        state = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        steps = [x["type"] if x["type"] != "Replace" else {"Replace": [x["pattern"].get("Regex"), x["content"]]} for x in state(self.library.normalizer).get("normalizers", [])]
+        cuts = state(self.library.pre_tokenizer).get("pretokenizers", [])
+        if steps != NORMAL or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+            return False
+        split, level = cuts
+        model = self.library.model
+        return (split["pattern"].get("Regex") == CUT and split["invert"] and split["behavior"] == "Removed" and not level["add_prefix_space"] and not level["use_regex"]
+                and type(model).__name__ == "BPE" and model.end_of_word_suffix == "</w>" and not model.dropout)
+
     def forget(self) -> None:
         """A worker serves many tasks; what one has learnt must not stay in its memory."""
         self.chunks, self.pieces = {}, {"": b""}
@@ -60,6 +78,10 @@ class Encoder:
         """(ids of all texts in a row as uint32, how many each text has); null counts as empty."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
+        if not self.quick:
+            some = [x.ids for x in self.library.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            n = np.fromiter(map(len, some), np.int64, len(some))
+            return np.fromiter((i for x in some for i in x), np.uint32, int(n.sum())), n
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         if len(self.chunks) + len(self.pieces) > REMEMBERED:
