@@ -20,7 +20,8 @@ PARTNERS, SWEEPS = 24, 40
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths, longest first, that fill a sequence exactly; for each length also its fullest pair."""
+    """Patterns of one to three lengths, longest first, that fill a sequence exactly; for a length that is in none, its fullest
+    pair, if that leaves room for no other length."""
     have, lengths = set(lengths.tolist()), np.sort(lengths)[::-1]
     found = {(capacity,)} & {(n,) for n in have}
     for a in lengths.tolist():
@@ -31,6 +32,9 @@ def patterns(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
         for b in second[np.linspace(0, len(second) - 1, min(PARTNERS, len(second))).astype(int)].tolist() if len(second) else []:
             if rest - b in have:
                 found.add((a, b, rest - b))
+    for a in sorted(have - {n for p in found for n in p}):
+        if len(second := lengths[(lengths <= a) & (lengths <= capacity - a)]) and capacity - a - second[0] < lengths[-1]:
+            found.add((a, int(second[0])))
     return sorted(found, reverse=True)
 
 
@@ -59,7 +63,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     left = {n: c for n, c in counts.items() if c}
     options = patterns(np.array(list(left), np.int64), capacity) if left else []
     bins: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for p, x in sorted(zip(options, fit(left, options) if left else [], strict=True), key=lambda o: (len(o[0]), o[0][::-1])):
+    for p, x in sorted(zip(options, fit(left, options) if left else [], strict=True), key=lambda o: (capacity - sum(o[0]), len(o[0]), o[0][::-1])):
         n = min([int(x), *(left[k] // p.count(k) for k in p)])
         if n:
             bins.append((tuple((k, p.count(k)) for k in dict.fromkeys(p)), n))

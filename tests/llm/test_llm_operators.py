@@ -551,6 +551,39 @@ def test_blocks_round_trip(values, small):
         assert (pfor.unpack_blocks(b"".join(blocks), np.cumsum(size) - size) == ids).all()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_of_any_file(name):
+    import public_tokenizers
+
+    texts = ["Hello  World\n\n it's", None, "", "ÀÉ漢 <|endoftext|> x", "a" * 300]
+    one = tokens.Encoder(public_tokenizers.path(name))
+    ids, n = one.encode(pa.array(texts))
+    want = [one.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert one.quick == (name == "word_bpe_49k.json") and n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_token_files_of_bounded_size(docs):
+    """Files end with the document that passes their bound, and orphans of other attempts are removed."""
+    scratch = Scratch(docs.sparkSession, "t")
+    manifest = pfor.write_token_files(docs, scratch, id_col="doc_id", text_col="text", end_id=2, tokenizer=tokens.word_bpe_path(), file_ids=5000)
+    files = manifest.collect()
+    assert len(files) > 8 and len(scratch.names("files")) == len(files) and sum(f.n_docs for f in files) == docs.count()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(pfor.read_token_files(manifest, scratch)) == key(pfor.token_files(docs))
+
+
+def test_quality_sample_is_bounded(docs, labels):
+    """Within few bytes no row is learnt from; the counts don't change."""
+    few = quality.assess_quality(docs, labels, sample_bytes=1).collect()
+    assert {r.probability for r in few} == {0.5} and len(few) == docs.count()
+
+
+def test_patterns_of_lengths_without_an_exact_fill():
+    assert packing.patterns(np.array([1000, 700]), 2048) == [(1000, 1000), (700, 700)]
+    slots, n = packing.plan({1000: 5, 700: 4}, 2048)
+    assert n == 5 and sum(k * per for _, _, k, per, _ in slots) == 9
+
+
 def digest(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
