@@ -116,40 +116,40 @@ RECOMMENDATIONS = {
 }
 NO_RECOMMENDATION = "Review manually"
 
-#: Knowledge allow-lists in registry order: (skill, tier, algorithms, scanners, categories, usages), comma-separated. Fixed values.
+#: Knowledge allow-lists in registry order: (skill, tier, algorithms, scanners, categories, usages). Fixed values.
 SKILLS = [
-    ("crypto-audit", 1, "RSA,DSA,DH,ECDSA,ECDH,ECC,AES,DES,3DES,RC4,BLOWFISH,MD5,SHA-1,SHA-2,SHA-3,HMAC,KDF,SSL,TLS,TLS10,TLS11,TLS12,TLS13,PEM,KEYFILE,KEYSIZE,OPENSSL,PYCA,JCA,WEBCRYPTO,NACL,STDLIB", "source,binary,container,dependency,hsm,cloud,runtime", "symmetric,asymmetric,hash,protocol,library,certificate,key,dependency", ""),
-    ("pqc-migrate", 1, "RSA,DSA,DH,ECDSA,ECDH,ECC,AES,SHA-2,SHA-3,TLS,TLS10,TLS11,TLS12,TLS13", "source,binary,container,dependency,hsm,cloud,runtime", "symmetric,asymmetric,hash,protocol,library,certificate,key", ""),
-    ("pqc-perform", 1, "RSA,DSA,DH,ECDSA,ECDH,ECC", "source,binary,container,hsm,cloud,runtime", "asymmetric,certificate,key", ""),
-    ("rsa-mgmt", 1, "RSA,KEYSIZE,KEYFILE,PEM", "source,binary,container,hsm,cloud,runtime", "asymmetric,key,certificate", ""),
-    ("aes-rest", 1, "AES,DES,3DES,RC4,CHACHA20,BLOWFISH,KDF", "source,binary,container,runtime", "symmetric,hash", ""),
-    ("ed25519-sig", 1, "ECC,ECDSA", "source,binary,container,dependency,runtime", "asymmetric,library", ""),
-    ("jwt-sign", 1, "HMAC,RSA,ECDSA", "source,container,dependency", "hash,asymmetric", ""),
-    ("mtls", 1, "TLS,TLS12,TLS13,PEM,KEYFILE", "source,container,cloud", "protocol,certificate,key", ""),
-    ("e2ee-msg", 1, "ECDH", "source,binary,container,runtime", "asymmetric", ""),
-    ("tls13-config", 1, "TLS,TLS10,TLS11,TLS12,TLS13,SSL", "source,binary,container,cloud", "protocol", ""),
-    ("tls-assess", 1, "TLS,TLS10,TLS11,TLS12,TLS13,SSL", "source,container,cloud", "protocol", ""),
-    ("cert-lifecycle", 1, "PEM,KEYFILE,RSA,ECDSA,TLS,TLS12,TLS13", "source,binary,container,cloud", "certificate,key,protocol", ""),
-    ("ca-openssl", 1, "PEM,RSA,ECDSA", "source,container,cloud", "certificate,key", ""),
-    ("hsm-config", 1, "PKCS11,HSM,RSA,ECDSA,AES,KEYFILE", "hsm,source,container,cloud", "key,library,asymmetric,symmetric", "hsm integration reference"),
-    ("hsm-integrate", 1, "PKCS11,HSM,CLOUDHSM", "hsm,source,container,cloud", "key,library", "hsm integration reference"),
-    ("envelope-kms", 1, "KMS,CLOUDHSM,AES,KEYVAULT", "cloud,source,container", "key,symmetric,library", ""),
-    ("sbom-gen", 2, "", "dependency,container", "dependency,library", "dependency reference,dependency integrity metadata,container file reference,container config reference,container binary reference"),
-    ("slsa-sigstore", 2, "", "dependency,container", "dependency,library", "dependency reference,container file reference,container binary reference"),
-    ("sigstore-sign", 2, "", "dependency,container", "dependency,library", "dependency reference,container file reference"),
-    ("code-sign", 2, "RSA,ECDSA,ECC,PEM", "dependency,container", "asymmetric,certificate,dependency", "dependency reference,container file reference"),
-    ("cosign-image", 2, "", "container", "dependency,library,certificate,key", "container file reference,container config reference,container binary reference"),
-    ("in-toto", 2, "", "container,dependency", "dependency", "container file reference,dependency reference"),
-    ("dep-confusion", 2, "", "dependency", "dependency", "dependency reference,dependency integrity metadata"),
-    ("typosquat", 2, "", "dependency", "dependency", "dependency reference"),
-    ("sbom-vuln", 2, "", "dependency,container", "dependency,library", "dependency reference,dependency integrity metadata,container file reference"),
-    ("sca-snyk", 2, "", "dependency", "dependency", "dependency reference"),
-    ("gcp-binauthz", 2, "", "container", "dependency", "container file reference,container config reference"),
-    ("vault-secrets", 2, "ENV-SECRET,KEYFILE,KMS,KEYVAULT", "source,container,cloud", "key,dependency", ""),
-    ("registry-images", 2, "", "container", "dependency,library,certificate,key", "container file reference,container config reference,container binary reference"),
-    ("gitleaks", 2, "ENV-SECRET,KEYFILE,PEM", "source,container", "key,certificate", ""),
-    ("secrets-cicd", 2, "ENV-SECRET,KEYFILE", "source,container", "key", ""),
-    ("vault-dynamic", 2, "ENV-SECRET,KEYFILE", "source,container,cloud", "key", ""),
+    ("crypto-audit", 1, ["RSA", "DSA", "DH", "ECDSA", "ECDH", "ECC", "AES", "DES", "3DES", "RC4", "BLOWFISH", "MD5", "SHA-1", "SHA-2", "SHA-3", "HMAC", "KDF", "SSL", "TLS", "TLS10", "TLS11", "TLS12", "TLS13", "PEM", "KEYFILE", "KEYSIZE", "OPENSSL", "PYCA", "JCA", "WEBCRYPTO", "NACL", "STDLIB"], ["source", "binary", "container", "dependency", "hsm", "cloud", "runtime"], ["symmetric", "asymmetric", "hash", "protocol", "library", "certificate", "key", "dependency"], []),
+    ("pqc-migrate", 1, ["RSA", "DSA", "DH", "ECDSA", "ECDH", "ECC", "AES", "SHA-2", "SHA-3", "TLS", "TLS10", "TLS11", "TLS12", "TLS13"], ["source", "binary", "container", "dependency", "hsm", "cloud", "runtime"], ["symmetric", "asymmetric", "hash", "protocol", "library", "certificate", "key"], []),
+    ("pqc-perform", 1, ["RSA", "DSA", "DH", "ECDSA", "ECDH", "ECC"], ["source", "binary", "container", "hsm", "cloud", "runtime"], ["asymmetric", "certificate", "key"], []),
+    ("rsa-mgmt", 1, ["RSA", "KEYSIZE", "KEYFILE", "PEM"], ["source", "binary", "container", "hsm", "cloud", "runtime"], ["asymmetric", "key", "certificate"], []),
+    ("aes-rest", 1, ["AES", "DES", "3DES", "RC4", "CHACHA20", "BLOWFISH", "KDF"], ["source", "binary", "container", "runtime"], ["symmetric", "hash"], []),
+    ("ed25519-sig", 1, ["ECC", "ECDSA"], ["source", "binary", "container", "dependency", "runtime"], ["asymmetric", "library"], []),
+    ("jwt-sign", 1, ["HMAC", "RSA", "ECDSA"], ["source", "container", "dependency"], ["hash", "asymmetric"], []),
+    ("mtls", 1, ["TLS", "TLS12", "TLS13", "PEM", "KEYFILE"], ["source", "container", "cloud"], ["protocol", "certificate", "key"], []),
+    ("e2ee-msg", 1, ["ECDH"], ["source", "binary", "container", "runtime"], ["asymmetric"], []),
+    ("tls13-config", 1, ["TLS", "TLS10", "TLS11", "TLS12", "TLS13", "SSL"], ["source", "binary", "container", "cloud"], ["protocol"], []),
+    ("tls-assess", 1, ["TLS", "TLS10", "TLS11", "TLS12", "TLS13", "SSL"], ["source", "container", "cloud"], ["protocol"], []),
+    ("cert-lifecycle", 1, ["PEM", "KEYFILE", "RSA", "ECDSA", "TLS", "TLS12", "TLS13"], ["source", "binary", "container", "cloud"], ["certificate", "key", "protocol"], []),
+    ("ca-openssl", 1, ["PEM", "RSA", "ECDSA"], ["source", "container", "cloud"], ["certificate", "key"], []),
+    ("hsm-config", 1, ["PKCS11", "HSM", "RSA", "ECDSA", "AES", "KEYFILE"], ["hsm", "source", "container", "cloud"], ["key", "library", "asymmetric", "symmetric"], ["hsm integration reference"]),
+    ("hsm-integrate", 1, ["PKCS11", "HSM", "CLOUDHSM"], ["hsm", "source", "container", "cloud"], ["key", "library"], ["hsm integration reference"]),
+    ("envelope-kms", 1, ["KMS", "CLOUDHSM", "AES", "KEYVAULT"], ["cloud", "source", "container"], ["key", "symmetric", "library"], []),
+    ("sbom-gen", 2, [], ["dependency", "container"], ["dependency", "library"], ["dependency reference", "dependency integrity metadata", "container file reference", "container config reference", "container binary reference"]),
+    ("slsa-sigstore", 2, [], ["dependency", "container"], ["dependency", "library"], ["dependency reference", "container file reference", "container binary reference"]),
+    ("sigstore-sign", 2, [], ["dependency", "container"], ["dependency", "library"], ["dependency reference", "container file reference"]),
+    ("code-sign", 2, ["RSA", "ECDSA", "ECC", "PEM"], ["dependency", "container"], ["asymmetric", "certificate", "dependency"], ["dependency reference", "container file reference"]),
+    ("cosign-image", 2, [], ["container"], ["dependency", "library", "certificate", "key"], ["container file reference", "container config reference", "container binary reference"]),
+    ("in-toto", 2, [], ["container", "dependency"], ["dependency"], ["container file reference", "dependency reference"]),
+    ("dep-confusion", 2, [], ["dependency"], ["dependency"], ["dependency reference", "dependency integrity metadata"]),
+    ("typosquat", 2, [], ["dependency"], ["dependency"], ["dependency reference"]),
+    ("sbom-vuln", 2, [], ["dependency", "container"], ["dependency", "library"], ["dependency reference", "dependency integrity metadata", "container file reference"]),
+    ("sca-snyk", 2, [], ["dependency"], ["dependency"], ["dependency reference"]),
+    ("gcp-binauthz", 2, [], ["container"], ["dependency"], ["container file reference", "container config reference"]),
+    ("vault-secrets", 2, ["ENV-SECRET", "KEYFILE", "KMS", "KEYVAULT"], ["source", "container", "cloud"], ["key", "dependency"], []),
+    ("registry-images", 2, [], ["container"], ["dependency", "library", "certificate", "key"], ["container file reference", "container config reference", "container binary reference"]),
+    ("gitleaks", 2, ["ENV-SECRET", "KEYFILE", "PEM"], ["source", "container"], ["key", "certificate"], []),
+    ("secrets-cicd", 2, ["ENV-SECRET", "KEYFILE"], ["source", "container"], ["key"], []),
+    ("vault-dynamic", 2, ["ENV-SECRET", "KEYFILE"], ["source", "container", "cloud"], ["key"], []),
 ]
 
 #: Usages whose evidence is strong by itself, base names and categories of TLS checks. Fixed values.

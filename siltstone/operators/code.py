@@ -18,7 +18,9 @@ COSTLY_METHODS = ["read", "readlines", "read_text", "loads", "load", "dumps", "d
 NETWORK = ["requests", "session", "http", "client", "api", "urllib", "httpx", "aiohttp", "urlopen"]
 INSPECTORS = ["ast", "asdict", "dataclasses"]
 DYNAMIC_CALLS = ["getattr", "eval", "exec", "__import__"]
-ENTRY_POINTS = ["main", "run", "app", "handler", "setup"]
+ENTRY_POINTS = ["main", "__main__", "setup", "teardown", "run", "execute", "cli", "app"]
+#: Import names of distributions that are called otherwise. Fixed values.
+IMPORT_NAMES = {"pillow": "pil", "beautifulsoup4": "bs4", "scikit-learn": "sklearn", "scikit-image": "skimage", "pyyaml": "yaml", "python-dateutil": "dateutil", "opencv-python": "cv2", "protobuf": "google"}
 
 FACTS = "path string, kind string, name string, line int, scope string, detail string, n int"
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
@@ -227,11 +229,13 @@ def loop_costs(facts: DataFrame) -> DataFrame:
 
 
 def dependency_use(facts: DataFrame, declared: DataFrame) -> DataFrame:
-    """Declared packages that no module imports and no string names: two anti-joins on normalised names."""
+    """Declared packages that no module imports, by their own name or that of their import, and no string names: anti-joins on
+    normalised names."""
     imports = _of(facts, "import").select(exprs.package_name(F.split_part("detail", F.lit("."), F.lit(1))).alias("key")).distinct()
     strings = _of(facts, "string").select(exprs.package_name(F.col("name")).alias("key")).distinct()
-    rows = declared.withColumn("key", exprs.package_name(F.col("name")))
-    return rows.join(imports, "key", "left_anti").join(strings, "key", "left_anti").drop("key")
+    alias = F.create_map(*[F.lit(x) for pair in IMPORT_NAMES.items() for x in pair])
+    rows = declared.withColumn("key", exprs.package_name(F.col("name"))).withColumn("other", F.coalesce(F.try_element_at(alias, F.col("key")), F.col("key")))
+    return rows.join(imports, "key", "left_anti").join(imports.withColumnRenamed("key", "other"), "other", "left_anti").join(strings, "key", "left_anti").drop("key", "other")
 
 
 def import_edges(facts: DataFrame) -> DataFrame:

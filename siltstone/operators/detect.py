@@ -56,10 +56,17 @@ def line_hits(file_name: Column, line: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def may_hit(file_name: Column, line: Column) -> Column:
+    """Whether a line can show anything: one pass with all patterns as alternatives, before each is tried for what it takes."""
+    every = [p for p, *_ in rules.LINE_RULES] + [rules.KEY_SIZE_DECLARED]
+    low = F.lower(file_name)
+    return line.rlike(FLAGS + "|".join(f"(?:{p})" for p in every)) | low.startswith("requirements") | low.isin(rules.MANIFESTS)
+
+
 def line_findings(lines: DataFrame, scanner: str = "source") -> DataFrame:
     """(key, line, content) -> findings of one scan over the lines: a single projection and explode, no join, no shuffle."""
     name = F.element_at(F.split(F.col("key"), "/"), -1)
-    hits = lines.withColumn("hit", F.explode(line_hits(name, F.col("content"))))
+    hits = lines.where(may_hit(name, F.col("content"))).withColumn("hit", F.explode(line_hits(name, F.col("content"))))
     rows = hits.select(F.lit(scanner).alias("scanner"), F.col("key").alias("file_path"), "line", "hit.*", exprs.redacted(F.col("content")).alias("evidence"), F.lit("").alias("curve"), F.lit("").alias("signature_algorithm"), F.lit("").alias("expires_at"), F.lit(False).alias("is_mock"))
     return rows.withColumn("id", exprs.finding_id())
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,55 +20,64 @@ def supports(enriched: DataFrame) -> DataFrame:
     return enriched.where("scanner = 'runtime'").select("id", "ord", "family").join(static, "family").select("id", "ord", "support_id", "place")
 
 
+LINK = "struct<p:int,t_ord:bigint,target:string>"
+#: Relations in order of precedence. Fixed values.
+RELATIONS = ["same-artifact", "same-library", "runtime-observed", "same-family"]
+
+
 def related(enriched: DataFrame) -> DataFrame:
     """(ord, id, target, relation, place): at most RELATED links of a row, by relation, then order of the target.
 
-    Linear in the rows: of each artifact only the first RELATED + 1 ids can matter, of a library and of a family and scanner
-    the first 2 * RELATED, as a row meets itself once and what earlier relations took at most RELATED times.
+    Of each artifact only the first RELATED + 1 ids can matter, of a library and of what other scanners say of a family the first
+    2 * RELATED, as a row meets itself once and what earlier relations took at most RELATED times. So each key has one row with
+    a short list; a finding looks up its four lists, and sorts and cuts them in a projection: nothing is exploded or grouped.
     """
     rows = enriched.select("ord", "id", "scanner", "file_path", "library", "family")
 
-    def firsts(keys: list[str], n: int, where: str = "true") -> DataFrame:
-        one = rows.where(where).groupBy(*keys, "id").agg(F.min("ord").alias("t_ord"))
-        cut = limit_per(one, keys, ["t_ord"], n)
-        return cut.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("id").alias("target"), "t_ord")
-
-    def link(found: DataFrame, on, relation: str, precedence: int) -> DataFrame:
-        return rows.join(found, on).where("target <> id").select("ord", "id", "target", "t_ord", F.lit(relation).alias("relation"), F.lit(precedence).alias("precedence"))
-
-    same_file = link(firsts(["file_path"], RELATED + 1), F.col("file_path") == F.col("t_file_path"), "same-artifact", 0)
-    same_library = link(firsts(["library"], 2 * RELATED, "library <> ''"), F.col("library") == F.col("t_library"), "same-library", 1)
-    seen = supports(enriched).select(F.col("support_id").alias("s_id"), F.col("id").alias("target"), F.col("ord").alias("t_ord"))
-    seen = limit_per(seen.groupBy("s_id", "target").agg(F.min("t_ord").alias("t_ord")), ["s_id"], ["t_ord"], 2 * RELATED)
-    runtime = link(seen, F.col("id") == F.col("s_id"), "runtime-observed", 2)
-    same_family = link(firsts(["family", "scanner"], 2 * RELATED), (F.col("family") == F.col("t_family")) & (F.col("scanner") != F.col("t_scanner")), "same-family", 3)
-    every = reduce(DataFrame.unionByName, [same_file, same_library, runtime, same_family])
-    best = every.groupBy("ord", "id", "target").agg(F.min(F.struct("precedence", "t_ord", "relation")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("ord").orderBy("b.precedence", "b.t_ord", "target"))
-    return best.withColumn("place", place).where(F.col("place") <= RELATED).select("ord", "id", "target", F.col("b.relation").alias("relation"), "place")
+    def listed(found: DataFrame, keys: list[str], n: int, p: int) -> DataFrame:
+        one = found.groupBy(*keys, "id").agg(F.min("ord").alias("t_ord"))
+        cut = limit_per(one, keys, ["t_ord", "id"], n)
+        return cut.groupBy(*keys).agg(F.collect_list(F.struct(F.lit(p).alias("p"), "t_ord", F.col("id").alias("target"))).alias(f"l{p}"))
+
+    scanners = rows.select("scanner").distinct().withColumnRenamed("scanner", "mine")
+    firsts = limit_per(rows.groupBy("family", "scanner", "id").agg(F.min("ord").alias("ord")), ["family", "scanner"], ["ord", "id"], 2 * RELATED)
+    others = firsts.join(F.broadcast(scanners), F.col("scanner") != F.col("mine")).select("family", F.col("mine").alias("scanner"), "id", "ord")  # a handful of scanners
+    seen = supports(enriched).select(F.col("support_id").alias("s_id"), "id", "ord")
+    lists = [(listed(rows, ["file_path"], RELATED + 1, 0), ["file_path"]), (listed(rows.where("library <> ''"), ["library"], 2 * RELATED, 1), ["library"]),
+             (listed(seen, ["s_id"], 2 * RELATED, 2).withColumnRenamed("s_id", "id"), ["id"]), (listed(others, ["family", "scanner"], 2 * RELATED, 3), ["family", "scanner"])]
+    for found, keys in lists:
+        rows = rows.join(found, keys, "left")
+    none = F.array().cast(f"array<{LINK}>")
+    every = F.array_sort(F.filter(F.concat(*[F.coalesce(f"l{p}", none) for p in range(4)]), lambda x: x["target"] != F.col("id")))
+    best = F.aggregate(every, none, lambda kept, x: F.when((F.size(kept) < RELATED) & ~F.exists(kept, lambda y: y["target"] == x["target"]), F.concat(kept, F.array(x))).otherwise(kept))
+    out = rows.select("ord", "id", F.posexplode(best).alias("at", "l"))
+    return out.select("ord", "id", "l.target", F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("l.p") + 1).alias("relation"), (F.col("at") + 1).alias("place"))
 
 
 def knowledge(enriched: DataFrame) -> DataFrame:
     """(ord, id, skill, strength, place): allow-list matches, the first SKILLS by rank.
 
-    The registry is a fixed table of a few dozen rows; it is matched as an array of structs in a projection, without a join."""
-    name, scanner, category, usage = (F.col(c) for c in ("algorithm", "scanner", "category", "usage"))
+    What matches depends on four columns only, so the registry, a fixed table of a few dozen rows, is matched once for each
+    distinct combination, as an array in a projection; findings look their combination up."""
+    what = ["algorithm", "scanner", "category", "usage"]
+    name, scanner, category, usage = map(F.col, what)
     keys = F.array(F.upper(name), exprs.base_algorithm(name), exprs.family(name))
     scanners = F.when(category == "dependency", F.array(scanner, F.lit("dependency"))).otherwise(F.array(scanner))
     found = []
-    for k, (skill, tier, algorithms, in_scanners, categories, usages) in enumerate(rules.SKILLS):
-        lists = [x.split(",") if x else [] for x in (algorithms, in_scanners, categories, usages)]
-        hit = F.arrays_overlap(keys, F.array(*map(F.lit, lists[0]))) if lists[0] else F.lit(False)
+    for k, (skill, tier, *lists) in enumerate(rules.SKILLS):
+        hit = F.arrays_overlap(F.col("_keys"), F.array(*map(F.lit, lists[0]))) if lists[0] else F.lit(False)
         ok = F.lit(True)
         if lists[0] and skill != "crypto-audit":
             ok = ok & hit
-        for values, allowed in ((scanners, lists[1]), (F.array(category), lists[2]), (F.array(usage), lists[3])):
+        for values, allowed in ((F.col("_scanners"), lists[1]), (F.array(category), lists[2]), (F.array(usage), lists[3])):
             if allowed:
                 ok = ok & F.arrays_overlap(values, F.array(*map(F.lit, allowed)))
         rank = F.when(hit, F.lit(k)).otherwise(F.lit(1_000_000 + tier * 10_000 + max(1, len(lists[1])) * 100 + k))
         found.append(F.when(ok, F.struct(rank.alias("rank"), F.lit(skill).alias("skill"), F.when(hit, "HIGH").otherwise("MEDIUM").alias("strength"))))
     best = F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, SKILLS)
-    return enriched.select("ord", "id", F.posexplode(best).alias("at", "m")).select("ord", "id", "m.skill", "m.strength", (F.col("at") + 1).alias("place"))
+    kinds = enriched.select(*what).distinct().withColumns({"_keys": keys, "_scanners": scanners}).select(*[c.alias(f"_{n}") for c, n in zip((name, scanner, category, usage), what, strict=True)], best.alias("best"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in what]
+    return enriched.join(kinds, same).select("ord", "id", F.posexplode("best").alias("at", "m")).select("ord", "id", "m.skill", "m.strength", (F.col("at") + 1).alias("place"))
 
 
 def triaged(enriched: DataFrame, triage: DataFrame) -> DataFrame:

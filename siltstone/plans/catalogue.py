@@ -94,7 +94,7 @@ def _results(e: DataFrame) -> DataFrame:
     state = F.element_at(F.array(*map(F.lit, ("CONFIRMED", "PARTIALLY_CONFIRMED", "OBSERVED", "NOT_APPLICABLE", "FAILED"))), (F.col("ord") % 5 + 1).cast("int"))
     own = e.where("ord % 11 = 0").select(F.col("id").alias("finding_id"), state.alias("v_status"), F.lit("tls").alias("validation_type"), F.col("algorithm").alias("observed_algorithm"))
     seen = e.where("scanner = 'runtime' and ord % 3 = 0 and algorithm in ('RSA', 'MD5', 'SHA-256')").select(F.lit(""), F.lit("OBSERVED"), F.lit("runtime"), "algorithm")
-    return own.union(seen).union(e.where("ord <= 3").select(F.lit(""), F.lit("OBSERVED"), F.lit("runtime"), F.lit("ML-KEM")))
+    return own.union(seen).union(e.where("okey = 0").select(F.lit(""), F.lit("OBSERVED"), F.lit("runtime"), F.lit("ML-KEM")))
 
 
 on_findings("validation_rollup", lambda e: relate.validation_rollup(e, _results(e)))
@@ -164,7 +164,7 @@ def triage_listing(spark, d):
 
 
 on_findings("findings_filter_text", lambda e: score.matching(e, " LIB3 ", priority="P0").select("ord", "id", "file_path", "algorithm"))
-on_findings("findings_report_order", lambda e: score.by_urgency(e).limit(1000).select("ord", "priority_score", "file_path", "line", "algorithm"))
+on_findings("findings_report_order", lambda e: score.urgency_places(e).select("place", "ord", "priority_score", "file_path", "line", "algorithm"))
 on_findings("top_findings", lambda e: score.top(e).select("id", "priority", "algorithm"))
 on_findings("usage_graph_edges", lambda e: graph.usage_edges(e, relate.related(e)))
 on_findings("usage_graph_nodes", graph.usage_nodes)
@@ -215,12 +215,12 @@ def telemetry_parse(spark, d):
 
 @query
 def duplicate_windows_exact(spark, d):
-    return duplication.windows(_notes(spark, d), False, (6,))
+    return duplication.windows(_notes(spark, d))
 
 
 @query
 def duplicate_windows_masked(spark, d):
-    return duplication.windows(_notes(spark, d), True, (6,))
+    return duplication.windows(_notes(spark, d), True)
 
 
 @query

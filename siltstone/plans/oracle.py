@@ -5,7 +5,7 @@ from __future__ import annotations
 from siltstone.functions import rules
 
 SYNTH = """
-SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS ord, l_orderkey AS okey,
+SELECT CAST(((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 64 + CAST(l_quantity AS INT) % 64 AS BIGINT) AS ord, l_orderkey AS okey,
   CASE l_linenumber % 7 WHEN 0 THEN 'runtime' WHEN 1 THEN 'source' WHEN 2 THEN 'binary' WHEN 3 THEN 'container' WHEN 4 THEN 'dependency' WHEN 5 THEN 'hsm' ELSE 'cloud' END AS scanner,
   concat(CASE WHEN l_suppkey % 5 = 0 THEN 'a-b' ELSE 'a' END, '/m', CAST(l_suppkey % 10 AS VARCHAR), '/f', CAST(l_partkey % 48 AS VARCHAR), '.py') AS file_path,
   CAST(l_quantity AS INT) % 20 AS line,
@@ -95,7 +95,7 @@ RELATED = RELATED.replace("min((p, t, relation)) AS b", "min({'p': p, 't': t, 'r
 
 
 def skill_rows() -> str:
-    arr = lambda x: "[" + ", ".join(f"'{v}'" for v in x.split(",") if v) + "]::VARCHAR[]"
+    arr = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]::VARCHAR[]"
     return "(VALUES " + ", ".join(f"({k}, '{s}', {t}, {arr(a)}, {arr(sc)}, {arr(c)}, {arr(u)})" for k, (s, t, a, sc, c, u) in enumerate(rules.SKILLS)) + ") AS s(k, skill, tier, algos, scanners, categories, usages)"
 
 
@@ -105,7 +105,7 @@ KNOWLEDGE = f"""m AS (SELECT ord, id, skill, hit, row_number() OVER (PARTITION B
 
 RESULTS = """v AS (SELECT id AS finding_id, CASE ord % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'PARTIALLY_CONFIRMED' WHEN 2 THEN 'OBSERVED' WHEN 3 THEN 'NOT_APPLICABLE' ELSE 'FAILED' END AS v_status, 'tls' AS validation_type, algorithm AS observed_algorithm FROM e WHERE ord % 11 = 0
    UNION ALL SELECT '', 'OBSERVED', 'runtime', algorithm FROM e WHERE scanner = 'runtime' AND ord % 3 = 0 AND algorithm IN ('RSA', 'MD5', 'SHA-256')
-   UNION ALL SELECT '', 'OBSERVED', 'runtime', 'ML-KEM' FROM e WHERE ord <= 3)"""
+   UNION ALL SELECT '', 'OBSERVED', 'runtime', 'ML-KEM' FROM e WHERE okey = 0)"""
 
 BEFORE, AFTER = assessed(f"SELECT * FROM ({SYNTH}) WHERE okey % 10 <> 0", (1, 1, 10)), assessed(f"SELECT * REPLACE (CASE WHEN okey % 7 = 0 THEN line + 100 ELSE line END AS line) FROM ({SYNTH}) WHERE okey % 10 <> 1")
 LEVEL = "list_position(['low', 'medium', 'high', 'critical'], {})"
@@ -153,7 +153,7 @@ ORACLES = {
     "related_links": E_ + ", " + RELATED + " SELECT ord, id, target, relation, CAST(place AS INT) AS place FROM rel WHERE place <= 8",
     "related_counts_by_relation": E_ + ", " + RELATED + " SELECT relation, count(*) AS n FROM rel WHERE place <= 8 GROUP BY relation",
     "evidence_strength_tally": E_ + "SELECT strength, scanner, count(*) AS n FROM e GROUP BY ALL",
-    "migration_work_items": E_ + f"SELECT left(sha1('migrate:' || family), 12) AS id, family, count(*) AS findings, arg_min(priority, {PRI} * 10 + {SEV} + ord / 1e12) AS priority, arg_min(severity, {PRI} * 10 + {SEV} + ord / 1e12) AS severity, arg_min(ord, {PRI} * 10 + {SEV} + ord / 1e12) AS worst_ord, arg_min(status, {STATUS}) AS status, arg_min(bucket, {BUCKET}) AS bucket, bool_or(scanner = 'hsm') AS hsm, bool_or(scanner = 'cloud') AS cloud, bool_or(scanner = 'runtime') AS runtime, {REC} AS direction FROM e GROUP BY family",
+    "migration_work_items": E_ + f"SELECT left(sha1('migrate:' || family), 12) AS id, family, count(*) AS findings, first(priority ORDER BY {PRI}, {SEV}, ord) AS priority, first(severity ORDER BY {PRI}, {SEV}, ord) AS severity, first(ord ORDER BY {PRI}, {SEV}, ord) AS worst_ord, arg_min(status, {STATUS}) AS status, arg_min(bucket, {BUCKET}) AS bucket, bool_or(scanner = 'hsm') AS hsm, bool_or(scanner = 'cloud') AS cloud, bool_or(scanner = 'runtime') AS runtime, {REC} AS direction FROM e GROUP BY family",
     "migration_roadmap": E_ + f"SELECT bucket, count(*) AS items, array_to_string(list_sort(list(id)), ',') AS ids FROM (SELECT left(sha1('migrate:' || family), 12) AS id, arg_min(bucket, {BUCKET}) AS bucket FROM e GROUP BY family) GROUP BY bucket",
     "migration_status_counts": E_ + "SELECT status, count(*) AS n FROM e GROUP BY status",
     "knowledge_matches": E_ + ", " + KNOWLEDGE + " SELECT ord, id, skill, CASE WHEN hit THEN 'HIGH' ELSE 'MEDIUM' END AS strength, CAST(place AS INT) AS place FROM m WHERE place <= 5",
@@ -173,7 +173,7 @@ ORACLES = {
     "triage_overlay": E_ + ", " + TRIAGE + " SELECT ord, e.fp, coalesce(triage, 'open') AS triage FROM e LEFT JOIN t USING (fp)",
     "triage_listing": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 500",
     "findings_filter_text": E_ + "SELECT ord, id, file_path, algorithm FROM e WHERE priority = 'P0' AND contains(lower(concat_ws(' ', algorithm, library, file_path, usage, scanner, category, severity, priority, family)), 'lib3')",
-    "findings_report_order": E_ + "SELECT ord, priority_score::INT AS priority_score, file_path, line, algorithm FROM e ORDER BY priority_score DESC, file_path, line, algorithm, ord LIMIT 1000",
+    "findings_report_order": E_ + "SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, file_path, line, algorithm, ord) AS BIGINT) AS place, ord, priority_score::INT AS priority_score, file_path, line, algorithm FROM e",
     "top_findings": E_ + f"SELECT id, priority, algorithm FROM e ORDER BY {PRI}, id, ord LIMIT 5",
     "usage_graph_edges": E_ + ", " + EDGES + " SELECT * FROM ed",
     "usage_graph_nodes": E_ + "SELECT 'artifact:' || file_path AS node, 'artifact' AS type FROM e UNION SELECT id, 'finding' FROM e UNION SELECT 'family:' || family, 'family' FROM e UNION SELECT 'library:' || library, 'library' FROM e WHERE library <> ''",
@@ -188,8 +188,8 @@ ORACLES = {
     "retention_newest_n": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 500",
     "previous_scan": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events",
     "telemetry_parse": "SELECT event_id, event_type AS lib, json_extract_string(props, '$.k') AS algo FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
-    "duplicate_windows_exact": WINDOWS.format(w=6, body=STRIPPED, keep=KEPT, kind="exact"),
-    "duplicate_windows_masked": WINDOWS.format(w=6, body=MASKED, keep=KEPT, kind="near"),
+    "duplicate_windows_exact": " UNION ALL ".join(f"({WINDOWS.format(w=w, body=STRIPPED, keep=KEPT, kind='exact')})" for w in (12, 8, 6)),
+    "duplicate_windows_masked": " UNION ALL ".join(f"({WINDOWS.format(w=w, body=MASKED, keep=KEPT, kind='near')})" for w in (12, 8, 6)),
     "sarif_rules": E_ + "SELECT algorithm AS rule, arg_min(severity, ord) AS severity FROM e GROUP BY algorithm",
     "sarif_results": E_ + "SELECT ord, algorithm AS rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, greatest(1, line)::INT AS line FROM e",
     "cbom_summary": E_ + "SELECT count(*) AS total, count_if(exposed) AS exposed, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, array_to_string(list_sort(list(DISTINCT algorithm)), ',') AS algorithms FROM e",

@@ -23,14 +23,15 @@ def sarif_rules(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy(F.col("algorithm").alias("rule")).agg(F.min_by("severity", "ord").alias("severity"))
 
 
-def sarif_results(enriched: DataFrame) -> DataFrame:
+def sarif_results(enriched: DataFrame, *more) -> DataFrame:
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    return enriched.select("ord", F.col("algorithm").alias("rule"), level.alias("level"), F.col("file_path").alias("uri"), F.greatest(F.lit(1), "line").alias("line"))
+    return enriched.select("ord", F.col("algorithm").alias("rule"), level.alias("level"), F.col("file_path").alias("uri"), F.greatest(F.lit(1), "line").alias("line"), *more)
 
 
 def sarif_json(enriched: DataFrame, validations: DataFrame | None = None) -> DataFrame:
     """(ord, json): a result of the interchange format per finding, written line by line; at most five validations each."""
-    rows = sarif_results(enriched).join(enriched.select("ord", "id", "evidence") if "evidence" in enriched.columns else enriched.select("ord", "id", F.lit("").alias("evidence")), "ord")
+    more = ["id", F.col("evidence") if "evidence" in enriched.columns else F.lit("").alias("evidence")]
+    rows = sarif_results(enriched, *more)
     if validations is not None:
         first = limit_per(validations.select("finding_id", "validation_id"), ["finding_id"], ["validation_id"], SHOWN_VALIDATIONS)
         shown = first.groupBy("finding_id").agg(F.array_sort(F.collect_list("validation_id")).alias("validations"))
@@ -44,8 +45,9 @@ def sarif_json(enriched: DataFrame, validations: DataFrame | None = None) -> Dat
 
 
 def store_scan(enriched: DataFrame, path: str, scan_id: str, timestamp: float) -> None:
-    """Appends a scan to the history, a folder of Parquet partitioned by scan."""
-    enriched.withColumns({"scan_id": F.lit(scan_id), "scan_time": F.lit(timestamp)}).write.mode("append").partitionBy("scan_id").parquet(path)
+    """Writes a scan to the history, a folder of Parquet partitioned by scan. A scan of the same name is replaced, so a retry repeats nothing."""
+    rows = enriched.withColumns({"scan_id": F.lit(scan_id), "scan_time": F.lit(timestamp)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +29,10 @@ USAGES = ["runtime observation", "direct", "binary string reference", "container
 def synthetic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, okey and the columns of a finding, one per line item."""
     t = load(spark, sf_dir, "lineitem")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     kind, scanner = F.col("l_partkey") % 24, (F.col("l_linenumber") % 7).cast("int")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
     return t.select(
-        F.row_number().over(Window.orderBy(*order)).cast("long").alias("ord"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20_000_000 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("int") % 64).cast("long").alias("ord"),
         F.col("l_orderkey").alias("okey"),
         pick(SCANNERS, scanner).alias("scanner"),
         F.concat(F.when(F.col("l_suppkey") % 5 == 0, "a-b").otherwise("a"), F.lit("/m"), (F.col("l_suppkey") % 10).cast("string"), F.lit("/f"), (F.col("l_partkey") % 48).cast("string"), F.lit(".py")).alias("file_path"),

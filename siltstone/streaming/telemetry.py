@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 #: Beginning of a telemetry line, fields that it must have, most observations of a scan. Fixed values.
 MARK, REQUIRED, MOST = "^[A-Z]+-TELEMETRY ", ["lib", "algo", "op"], 50
+#: Categories by operation; else by the beginning of the name. Fixed values.
+OPERATIONS = {"hash": ["digest", "mac", "kdf"], "key": ["random"], "protocol": ["context", "handshake"]}
+NAMES = [("asymmetric", ["RSA", "ECDSA", "ECDH", "ECC", "DSA", "DH", "ML-", "ED"]), ("symmetric", ["AES", "CHACHA", "DES", "RC4"]),
+         ("hash", ["SHA", "MD5", "HMAC", "BLAKE", "KDF", "HKDF", "PBKDF"]), ("protocol", ["TLS", "SSL"])]
+
+
+def first_observations(parsed: DataFrame, order: list, most: int | None = MOST) -> DataFrame:
+    """The first observations of a scan; None: all."""
+    return parsed if most is None else parsed.orderBy(*order).limit(most)
 
 
 def parse(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -15,7 +24,7 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
 
     def field(name: str):
         mine = F.filter(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name)
-        return F.substring(F.try_element_at(mine, F.lit(-1)), len(name) + 2, 1_000_000)
+        return F.regexp_extract(F.try_element_at(mine, F.lit(-1)), "(?s)^[^=]*=(.*)$", 1)
 
     out = lines.where(F.col(value).rlike(MARK))
     for name in REQUIRED:
@@ -24,11 +33,11 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def category(algorithm, operation):
-    """Category of an observation by what was used and how."""
+    """Category of an observation: by certain operations first, then by the beginning of the algorithm's name."""
     name = F.upper(algorithm)
-    return (F.when(name.rlike("^(RSA|DSA|DH|EC|ED25519|X25519)"), "asymmetric").when(name.rlike("^(SHA|MD5|HMAC|BLAKE|PBKDF2|SCRYPT)"), "hash")
-            .when(name.rlike("^(TLS|SSL)"), "protocol").when(name.rlike("^(AES|DES|3DES|CHACHA|RC4)"), "symmetric")
-            .when(operation.rlike("sign|verify"), "asymmetric").when(operation.rlike("hash|digest"), "hash").otherwise("library"))
+    begins = lambda beginnings: name.rlike("^(" + "|".join(beginnings) + ")")
+    by_operation = [F.when(operation.isin(names), kind) for kind, names in OPERATIONS.items()]
+    return F.coalesce(*by_operation, *[F.when(begins(names), kind) for kind, names in NAMES], F.lit("unknown"))
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -136,7 +136,7 @@ def test_store_and_history(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("name", "rows"), [
-    ("inline_certificates", [("c.pem", "ECDSA", None, "P-256", "ecdsa-with-SHA256")]),
+    ("inline_certificates", [("c.pem", "ECDSA", None, "P-256", "ECDSA-SHA-256")]),
     ("note_key_values", [("n/a.md", "owner", "x")]),
     ("note_links", [("n/a.md", "n/b")]),
     ("secret_variables", [("img", "API_KEY"), ("img", "DB_PASSWORD")]),
