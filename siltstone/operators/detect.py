@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +22,10 @@ def _hit(name: Column, category: Column | str, confidence: float, ord_: int, *,
         text(proto).alias("protocol_version"), text(lib).alias("library"), F.lit(usage).alias("usage"))
 
 
-def line_hits(file_name: Column, line: Column) -> Column:
-    """Array of what a line shows: a manifest's dependency first, then the rules in order, then a declared key size."""
+def line_hits(file_name: Column, line: Column, low_line: Column) -> Column:
+    """Array of what a line shows: a manifest's dependency first, then the rules in order, then a declared key size. A pattern
+    is tried only on lines that hold one of the rule's needles, as a plain search in the folded line (low_line) tells."""
+    held = lambda needles: reduce(lambda a, b: a | b, [low_line.contains(n) for n in needles])
     mode = F.upper(F.regexp_extract(line, FLAGS + rules.BLOCK_MODE, 1))
     low = F.lower(file_name)
     manifest = low.startswith("requirements") | low.isin(rules.MANIFESTS)
@@ -50,23 +54,28 @@ def line_hits(file_name: Column, line: Column) -> Column:
             hit = _hit(F.lit(name), category, confidence, k, mode=mode)
         if name in ("SHA-1", "SHA-2"):
             hit = F.when(integrity, _hit(F.lit(name), "dependency", min(confidence, 0.4), k, usage="dependency integrity metadata")).otherwise(hit)
-        out.append(F.when(line.rlike(p), hit))
+        out.append(F.when(held(rules.LINE_NEEDLES[k - 1]) & line.rlike(p), hit))
     number = F.regexp_extract(line, FLAGS + rules.KEY_SIZE_NUMBER, 1)
-    out.append(F.when(line.rlike(FLAGS + rules.KEY_SIZE_DECLARED), _hit(F.lit("KEYSIZE"), "key", 0.5, len(rules.LINE_RULES) + 1, size=F.when(number != "", number), usage="key size declaration")))
+    out.append(F.when(held(["key"]) & line.rlike(FLAGS + rules.KEY_SIZE_DECLARED), _hit(F.lit("KEYSIZE"), "key", 0.5, len(rules.LINE_RULES) + 1, size=F.when(number != "", number), usage="key size declaration")))
     return F.array_compact(F.array(*out))
 
 
-def may_hit(file_name: Column, line: Column) -> Column:
-    """Whether a line can show anything: one pass with all patterns as alternatives, before each is tried for what it takes."""
-    every = [p for p, *_ in rules.LINE_RULES] + [rules.KEY_SIZE_DECLARED]
-    low = F.lower(file_name)
-    return line.rlike(FLAGS + "|".join(f"(?:{p})" for p in every)) | low.startswith("requirements") | low.isin(rules.MANIFESTS)
+def folded(text: Column) -> Column:
+    """Text with the case folded as the patterns fold it: characters whose capital is a letter's capital become that letter."""
+    return F.lower(F.upper(F.translate(text, "\u0130", "i")))
 
 
 def line_findings(lines: DataFrame, scanner: str = "source") -> DataFrame:
     """(key, line, content) -> findings of one scan over the lines: a single projection and explode, no join, no shuffle."""
     name = F.element_at(F.split(F.col("key"), "/"), -1)
-    hits = lines.where(may_hit(name, F.col("content"))).withColumn("hit", F.explode(line_hits(name, F.col("content"))))
+    needles = sorted({n for some in rules.LINE_NEEDLES for n in some if not any(o != n and o in n for more in rules.LINE_NEEDLES for o in more)} | {"key"})
+    manifest = F.lower(name).startswith("requirements") | F.lower(name).isin(rules.MANIFESTS)
+    # A lambda's variable holds the folded line once, where a column would be put in wherever it is named; explode_outer, as for
+    # explode the optimiser would add a filter that works out the whole array once more.
+    low = F.array(folded(F.col("content")))
+    some = lines.where(F.exists(low, lambda x: reduce(lambda a, b: a | b, [x.contains(n) for n in needles])) | manifest)
+    found = F.flatten(F.transform(low, lambda x: line_hits(name, F.col("content"), x)))
+    hits = some.withColumn("hit", F.explode_outer(found)).where("hit is not null")
     rows = hits.select(F.lit(scanner).alias("scanner"), F.col("key").alias("file_path"), "line", "hit.*", exprs.redacted(F.col("content")).alias("evidence"), F.lit("").alias("curve"), F.lit("").alias("signature_algorithm"), F.lit("").alias("expires_at"), F.lit(False).alias("is_mock"))
     return rows.withColumn("id", exprs.finding_id())
 

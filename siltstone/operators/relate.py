@@ -57,27 +57,24 @@ def related(enriched: DataFrame) -> DataFrame:
 def knowledge(enriched: DataFrame) -> DataFrame:
     """(ord, id, skill, strength, place): allow-list matches, the first SKILLS by rank.
 
-    What matches depends on four columns only, so the registry, a fixed table of a few dozen rows, is matched once for each
-    distinct combination, as an array in a projection; findings look their combination up."""
+    What matches depends on four columns only, so the registry, a fixed table of a few dozen rows, is matched with the distinct
+    combinations of these; findings look their combination's short list up."""
     what = ["algorithm", "scanner", "category", "usage"]
     name, scanner, category, usage = map(F.col, what)
     keys = F.array(F.upper(name), exprs.base_algorithm(name), exprs.family(name))
     scanners = F.when(category == "dependency", F.array(scanner, F.lit("dependency"))).otherwise(F.array(scanner))
-    found = []
-    for k, (skill, tier, *lists) in enumerate(rules.SKILLS):
-        hit = F.arrays_overlap(F.col("_keys"), F.array(*map(F.lit, lists[0]))) if lists[0] else F.lit(False)
-        ok = F.lit(True)
-        if lists[0] and skill != "crypto-audit":
-            ok = ok & hit
-        for values, allowed in ((F.col("_scanners"), lists[1]), (F.array(category), lists[2]), (F.array(usage), lists[3])):
-            if allowed:
-                ok = ok & F.arrays_overlap(values, F.array(*map(F.lit, allowed)))
-        rank = F.when(hit, F.lit(k)).otherwise(F.lit(1_000_000 + tier * 10_000 + max(1, len(lists[1])) * 100 + k))
-        found.append(F.when(ok, F.struct(rank.alias("rank"), F.lit(skill).alias("skill"), F.when(hit, "HIGH").otherwise("MEDIUM").alias("strength"))))
-    best = F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, SKILLS)
-    kinds = enriched.select(*what).distinct().withColumns({"_keys": keys, "_scanners": scanners}).select(*[c.alias(f"_{n}") for c, n in zip((name, scanner, category, usage), what, strict=True)], best.alias("best"))
+    kinds = enriched.select(*what, keys.alias("keys"), scanners.alias("scanners")).distinct()
+    some = "array<string>"
+    registry = enriched.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(rules.SKILLS)], f"k int, skill string, tier int, algorithms {some}, in_scanners {some}, categories {some}, usages {some}")
+    empty = lambda c: F.size(c) == 0
+    hit = F.arrays_overlap("keys", "algorithms")
+    applies = ((empty("algorithms") | hit | (F.col("skill") == "crypto-audit")) & (empty("in_scanners") | F.arrays_overlap("scanners", "in_scanners"))
+               & (empty("categories") | F.array_contains("categories", category)) & (empty("usages") | F.array_contains("usages", usage)))
+    rank = F.when(hit, F.col("k")).otherwise(1_000_000 + F.col("tier") * 10_000 + F.greatest(F.lit(1), F.size("in_scanners")) * 100 + F.col("k"))
+    matched = kinds.join(F.broadcast(registry), applies).groupBy(*[c.alias(f"_{n}") for c, n in zip((name, scanner, category, usage), what, strict=True)]).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "skill", F.when(hit, "HIGH").otherwise("MEDIUM").alias("strength")))), 1, SKILLS).alias("best"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in what]
-    return enriched.join(kinds, same).select("ord", "id", F.posexplode("best").alias("at", "m")).select("ord", "id", "m.skill", "m.strength", (F.col("at") + 1).alias("place"))
+    return enriched.join(matched, same).select("ord", "id", F.posexplode("best").alias("at", "m")).select("ord", "id", "m.skill", "m.strength", (F.col("at") + 1).alias("place"))
 
 
 def triaged(enriched: DataFrame, triage: DataFrame) -> DataFrame:
