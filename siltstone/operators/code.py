@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
+from siltstone.operators.score import limit_per
+from siltstone.operators.structure import STANDARD, overlapping_configs, stem_of
 
 #: Thresholds of complexity, calls that cost in a loop, receivers that make get and post a request, signs of dynamic code. Fixed values.
 CYCLOMATIC, NESTING, LENGTH, PARAMETERS = 10, 4, 80, 6
@@ -221,10 +223,10 @@ def complexity(facts: DataFrame) -> DataFrame:
 
 def loop_costs(facts: DataFrame) -> DataFrame:
     """Costly calls and accumulation in loops, and loops in loops."""
-    calls = _finding(_of(facts, "loop-call").select("path", "line", "name").distinct(), "EFFICIENCY", F.concat(F.lit("Repeated `"), "name", F.lit("` inside loop")), "MEDIUM", "MEDIUM")
+    calls = _finding(_of(facts, "loop-call").select("path", "line", "name").distinct(), "EFFICIENCY", F.concat(F.lit("Repeated `"), "name", F.lit("` inside loop (line "), F.col("line").cast("string"), F.lit(")")), "MEDIUM", "MEDIUM")
     grown = _of(facts, "accumulate").groupBy("path", "detail").agg(F.min(F.struct("line", "name")).alias("a")).select("path", "a.line", "a.name")
-    grown = _finding(grown, "EFFICIENCY", F.concat(F.lit("Accumulation with `+=` in loop (`"), "name", F.lit("`)")), "LOW")
-    nested = _finding(_of(facts, "nested-loop").select("path", "line", F.lit("").alias("name")).distinct(), "EFFICIENCY", "Nested loops", "LOW")
+    grown = _finding(grown, "EFFICIENCY", F.concat(F.lit("String/list accumulation with `+=` in loop (`"), "name", F.lit("`)")), "LOW")
+    nested = _finding(_of(facts, "nested-loop").select("path", "line", F.lit("").alias("name")).distinct(), "EFFICIENCY", F.concat(F.lit("Nested loops (line "), F.col("line").cast("string"), F.lit(") — quadratic shape")), "LOW", "MEDIUM", "MEDIUM")
     return calls.union(grown).union(nested)
 
 
@@ -262,11 +264,36 @@ def orphans(facts: DataFrame) -> DataFrame:
     return modules.join(import_edges(facts).select(F.col("target").alias("path")), "path", "left_anti").join(_of(facts, "main-guard").select("path"), "path", "left_anti")
 
 
-def analyse(facts: DataFrame) -> DataFrame:
-    """All findings, scored, labelled and ranked."""
+#: Calls in scripts that are worth a look, and most of them in a file. Fixed values.
+SCRIPT_CALLS, MOST_CALLS = r"\b(JSON\.parse|JSON\.stringify|fetch|require)\s*\(", 11
+
+
+def script_costs(texts: DataFrame) -> DataFrame:
+    """Call sites in scripts that may cost, the first of each file."""
+    rows = texts.where(exprs.language(F.col("path")) == "javascript").select("path", F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    calls = rows.select("path", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("content", F.lit(SCRIPT_CALLS), F.lit(1))).alias("n", "name"))
+    first = limit_per(calls, ["path"], ["line", "n"], MOST_CALLS)
+    return _finding(first, "EFFICIENCY", F.concat(F.lit("Potentially repeated `"), "name", F.lit("` (line "), F.col("line").cast("string"), F.lit(")")), "LOW")
+
+
+def project_findings(texts: DataFrame, facts: DataFrame, declared: DataFrame) -> DataFrame:
+    """Findings of the project as a whole: dependencies that nothing uses, modules that nothing imports, configuration files of one concern."""
+    unused = dependency_use(facts, declared).where(~F.col("name").isin(STANDARD)).select("path", F.lit(0).alias("line"), "name")
+    unused = _finding(unused, "DEPENDENCY", F.concat(F.lit("Possibly unused dependency `"), "name", F.lit("`")), "LOW", risk="MEDIUM")
+    lone = orphans(facts).select("path", F.lit(0).alias("line"), stem_of(F.col("path")).alias("name"))
+    lone = _finding(lone, "STRUCTURE", F.concat(F.lit("Possibly orphaned module `"), "path", F.lit("`")), "LOW", risk="MEDIUM")
+    twice = overlapping_configs(texts).select(F.split_part("files", F.lit(","), F.lit(1)).alias("path"), F.lit(0).alias("line"), F.lit("").alias("name"), "files")
+    return unused.union(lone).union(_finding(twice, "CONFIGURATION", F.concat(F.lit("Overlapping configuration: "), "files"), "MEDIUM"))
+
+
+def analyse(facts: DataFrame, texts: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """All findings, scored, labelled and ranked; with texts those of scripts too, with declared packages as well those of the project."""
     hard = complexity(facts).select("path", "line", "name", F.lit("COMPLEXITY").alias("category"), F.concat(F.lit("Complex function `"), "name", F.lit("`")).alias("title"), F.lit("HIGH").alias("confidence"),
                                     F.when(F.col("cyclomatic") >= 2 * CYCLOMATIC, "MEDIUM").otherwise("LOW").alias("impact"), F.lit("MEDIUM").alias("effort"), F.lit("MEDIUM").alias("risk"))
     every = unused_imports(facts).union(unreachable(facts)).union(unused_locals(facts)).union(unused_definitions(facts)).union(loop_costs(facts)).union(hard)
+    if texts is not None:
+        every = every.union(script_costs(texts))
+        every = every if declared is None else every.union(project_findings(texts, facts, declared))
     value = exprs.code_score(*map(F.col, ("confidence", "impact", "effort", "risk")))
     scored = every.withColumn("score", value).withColumn("label", exprs.code_label(F.col("score"), *map(F.col, ("confidence", "impact", "effort", "risk"))))
     return scored.withColumn("id", exprs.digest("c", 11, F.lower("category"), F.col("category"), F.col("path"), F.col("line"), F.col("name"), F.col("title"))).orderBy(F.desc("score"), "path", "line", "id")

@@ -44,12 +44,16 @@ def regressions(delta: DataFrame) -> DataFrame:
     return delta.where(F.col("change").isin("unchanged", "changed") & (level("after_severity") > level("before_severity")))
 
 
-def verification(before: DataFrame, after: DataFrame, target: str) -> DataFrame:
-    """One row: what became of a finding that was to be fixed, and how many came and went."""
-    b, a = before.select("id").distinct().withColumn("b", F.lit(1)), after.select("id").distinct().withColumn("a", F.lit(1))
-    both = b.join(a, "id", "full")
-    counts = both.agg(F.count_if(F.col("a").isNull()).alias("resolved"), F.count_if(F.col("b").isNull()).alias("regressions"), F.count_if((F.col("id") == target) & F.col("a").isNotNull()).alias("remains"), F.count_if((F.col("id") == target) & F.col("b").isNotNull() & F.col("a").isNull()).alias("fixed"))
-    return counts.select(F.when(F.col("remains") > 0, "REMAINS").when(F.col("regressions") > 0, "REGRESSION").when(F.col("fixed") > 0, "RESOLVED").otherwise("INCONCLUSIVE").alias("status"), "resolved", "regressions")
+def verification(before: DataFrame, after: DataFrame, touched: list[str] | None = None) -> DataFrame:
+    """(status, resolved, remains, regressions, unrelated_new): ids of findings (id, file_path) that went, stayed and came; those that came
+    count as regressions only in touched files, if any are given."""
+    inside = F.col("file_path").isin(touched) if touched else F.lit(True)
+    b, a = before.where("id <> ''").select("id").distinct().withColumn("b", F.lit(1)), after.where("id <> ''").groupBy("id").agg(F.bool_or(inside).alias("a"))
+    came = F.col("b").isNull()
+    counts = b.join(a, "id", "full").agg(F.count_if(F.col("a").isNull()).alias("resolved"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("remains"),
+                                         F.count_if(came & F.col("a")).alias("regressions"), F.count_if(came & ~F.col("a")).alias("unrelated_new"))
+    status = F.when(F.col("remains") > 0, "REMAINS").when(F.col("regressions") > 0, "REGRESSION").when(F.col("resolved") > 0, "RESOLVED").otherwise("INCONCLUSIVE")
+    return counts.select(status.alias("status"), "resolved", "remains", "regressions", "unrelated_new")
 
 
 def graph_changes(before: DataFrame, after: DataFrame) -> DataFrame:

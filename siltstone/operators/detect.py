@@ -162,22 +162,3 @@ def package_findings(packages: DataFrame) -> DataFrame:
     rows = packages.withColumn("_found", found).where("_found is not null")
     return rows.select(F.lit("dependency").alias("scanner"), F.col("path").alias("file_path"), F.lit(0).alias("line"), F.split_part("_found", F.lit("|"), F.lit(1)).alias("algorithm"), F.lit("dependency").alias("category"),
                        F.col("name").alias("library"), F.split_part("_found", F.lit("|"), F.lit(2)).cast("double").alias("confidence"), F.lit("dependency reference").alias("usage"), "version")
-
-
-def declared_packages(texts: DataFrame) -> DataFrame:
-    """(path, text) of manifests -> (path, name, version): requirements, package.json, go.mod, pom.xml and gradle files."""
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    line = texts.select("path", name.alias("file"), F.explode(F.split("text", r"\r?\n")).alias("l"))
-    pairs = [("requirements.*", r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:[=<>!~]=?=?\s*([^\s;#,]+))?"),
-             (r"go\.mod", r"^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/[\w./-]+)\s+(v[\w.+-]+)"),
-             (r"build\.gradle(\.kts)?", r"[\"'][\w.-]+:([\w.-]+):([\w.+-]+)[\"']"),
-             (r"gemfile", r"^\s*gem\s+[\"']([\w-]+)[\"'](?:\s*,\s*[\"']([^\"']+)[\"'])?"),
-             (r"cargo\.toml", r"^\s*([A-Za-z0-9_-]+)\s*=\s*(?:\{[^}]*version\s*=\s*)?\"([^\"]+)\"")]
-    out = [line.where(F.col("file").rlike(f"^{f}$") & (F.regexp_extract("l", p, 1) != "")).select("path", F.regexp_extract("l", p, 1).alias("name"), F.regexp_extract("l", p, 2).alias("version")) for f, p in pairs]
-    sections = F.map_concat(*[F.coalesce(F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>"), F.create_map().cast("map<string,string>")) for k in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")])
-    json = texts.where(name == "package.json").select("path", F.explode(sections).alias("name", "version"))
-    pom = texts.where(name == "pom.xml").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"<artifactId>\s*([\w.-]+)\s*</artifactId>"), F.lit(1))).alias("name"), F.lit("").alias("version"))
-    rows = json.unionByName(pom)
-    for x in out:
-        rows = rows.unionByName(x)
-    return rows.distinct()

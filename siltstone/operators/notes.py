@@ -7,7 +7,39 @@ from pyspark.sql import functions as F
 
 #: Headers whose values are never shown, names of variables that hold secrets. Fixed values.
 HIDDEN_HEADERS = ["authorization", "cookie", "set-cookie", "proxy-authorization", "x-api-key"]
-SECRET_NAME = r"(?i)(secret|token|password|passwd|api_?key|private_?key|credential)"
+SECRET_NAME = r"(?i)(password|passwd|secret|token|private|credential)"
+
+
+#: Assignments of secrets and beginnings of private keys in notes, and names of files that are never written. Fixed values.
+SECRET_LINE = r"(?i)\b(api[_-]?key|password|passwd|secret|token|private[_-]?key|auth|cookie|session[_-]?key|client[_-]?secret)\b\s*[:=]\s*\S+"
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+SECRET_FILES = [".env", ".pem", ".key", "id_rsa", "id_ed25519", "credentials", "secrets", "token", "cookie"]
+
+
+def redacted_note(text: Column) -> Column:
+    """A note without values of secrets and private keys."""
+    return F.regexp_replace(F.regexp_replace(text, SECRET_LINE, "[REDACTED: sensitive configuration omitted]"), KEY_BLOCK, "[REDACTED: private key omitted]")
+
+
+def one_line(text: Column, limit: int = 160) -> Column:
+    """White space collapsed, cut to the limit."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""), 1, limit)
+
+
+def note_slug(text: Column) -> Column:
+    """Name of a note's file."""
+    cut = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+    clean = F.regexp_replace(cut, "^-+|-+$", "")
+    return F.when(clean == "", "note").otherwise(clean)
+
+
+def note_writes(notes: DataFrame, stored: DataFrame, overwrite: bool = False) -> DataFrame:
+    """(path, action, text) of notes (path, text) to be written beside those stored: created, unchanged, updated, or refused: names of
+    secret files, and others than stored unless overwrite."""
+    secret = F.lower("path").rlike("|".join(x.replace(".", r"\.") for x in SECRET_FILES))
+    both = notes.select("path", redacted_note(F.col("text")).alias("text")).join(stored.select("path", F.col("text").alias("old")), "path", "left")
+    action = F.when(secret, "refused").when(F.col("old").isNull(), "created").when(F.col("old") == F.col("text"), "unchanged").otherwise("updated" if overwrite else "refused")
+    return both.select("path", action.alias("action"), "text")
 
 
 def key_values(notes: DataFrame) -> DataFrame:

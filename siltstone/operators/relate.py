@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,6 +79,32 @@ def knowledge(enriched: DataFrame) -> DataFrame:
     return enriched.join(matched, same).select("ord", "id", F.posexplode("best").alias("at", "m")).select("ord", "id", "m.skill", "m.strength", (F.col("at") + 1).alias("place"))
 
 
+def registry(spark, skills=None) -> DataFrame:
+    """(place, skill, tier, algorithms, scanners, categories, usages): the registry as a table."""
+    some = "array<string>"
+    return spark.createDataFrame([(k, *s) for k, s in enumerate(rules.SKILLS if skills is None else skills)], f"place int, skill string, tier int, algorithms {some}, scanners {some}, categories {some}, usages {some}")
+
+
+def registry_info(skills: DataFrame) -> DataFrame:
+    """(skills, tier1, tier2) of a registry."""
+    return skills.agg(F.count(F.lit(1)).alias("skills"), *[F.count_if(F.col("tier") == t).alias(f"tier{t}") for t in (1, 2)])
+
+
+def registry_problems(skills: DataFrame) -> DataFrame:
+    """(problem): repeated ids, tiers other than 1 and 2, lists that are missing."""
+    found = [skills.groupBy("skill").count().where("count > 1").select(F.concat(F.col("skill"), F.lit(": duplicate id")).alias("problem")),
+             skills.where("tier is null or tier not in (1, 2)").select(F.concat("skill", F.lit(": bad tier")))]
+    found += [skills.where(F.col(c).isNull()).select(F.concat("skill", F.lit(f": bad applies.{c}"))) for c in ("algorithms", "scanners", "categories", "usages")]
+    return reduce(DataFrame.union, found)
+
+
+def direction_skills(enriched: DataFrame) -> DataFrame:
+    """(direction, skills): the skills matched by findings of each recommended direction, in the order first seen."""
+    rows = knowledge(enriched).join(enriched.select("ord", "recommend"), "ord")
+    first = rows.groupBy("recommend", "skill").agg(F.min(F.struct("ord", "place")).alias("first"))
+    return first.groupBy(F.col("recommend").alias("direction")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "skill"))), lambda x: x["skill"]), ",").alias("skills"))
+
+
 def triaged(enriched: DataFrame, triage: DataFrame) -> DataFrame:
     """Findings with the state recorded for their fingerprint, open where there is none."""
     return enriched.join(triage, "fp", "left").withColumn("triage", F.coalesce("triage", F.lit("open")))

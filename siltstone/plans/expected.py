@@ -1,0 +1,560 @@
+"""Rows that the queries on literal inputs must give, read through against the rules they follow: {query: (columns, rows)}."""
+
+EXPECTED = {
+    "inline_line_findings": ({"line": "int", "algorithm": "string", "category": "string", "key_size": "int", "mode": "string", "protocol_version": "string", "library": "string", "usage": "string", "evidence": "string"}, [
+        (1, 'AES-256', 'symmetric', 256, 'GCM', '', '', 'direct', 'cipher = AES_256 in GCM mode'),
+        (2, 'KEYSIZE', 'key', 2048, '', '', '', 'key size declaration', 'key_size=2048'),
+        (3, 'DES', 'symmetric', None, '', '', '', 'direct', 'DES old, md5 and SHA1'),
+        (3, 'MD5', 'hash', None, '', '', '', 'direct', 'DES old, md5 and SHA1'),
+        (3, 'SHA-1', 'hash', None, '', '', '', 'direct', 'DES old, md5 and SHA1'),
+        (5, 'TLS1.2', 'protocol', None, '', 'TLS1.2', '', 'direct', 'ssl.PROTOCOL_TLSv1_2'),
+        (6, 'RSA', 'asymmetric', 1024, '', '', '', 'direct', 'RSA with 1024 bits'),
+        (7, 'PEM-CERTIFICATE', 'certificate', None, '', '', '', 'direct', '-----BEGIN CERTIFICATE-----'),
+    ]),
+    "inline_cloud_hsm_findings": ({"scanner": "string", "line": "int", "algorithm": "string", "category": "string", "library": "string", "confidence": "double", "evidence": "string"}, [
+        ('cloud', 10, 'KEYVAULT', 'key', 'azure:keyvault', 0.85, 'https://v1.vault.azure.net/keys/k'),
+        ('cloud', 11, 'KMS', 'key', 'config-reference', 0.55, 'SIGN_KEY_ID = [REDACTED]'),
+        ('cloud', 15, 'KMS', 'key', 'config-reference', 0.55, 'HSM_SLOT = [REDACTED]'),
+        ('cloud', 9, 'KMS', 'key', 'aws:kms', 0.85, 'arn:aws:kms:eu-west-1:****:key/abc'),
+        ('hsm', 12, 'PKCS11', 'key', 'PKCS#11 URI', 0.85, 'pkcs11:token=t;[ATTRIBUTES-REDACTED]?[QUERY-REDACTED]'),
+        ('hsm', 13, 'HSM', 'library', 'nShield', 0.6, 'Thales nShield'),
+        ('hsm', 15, 'HSM', 'key', 'HSM_PIN', 0.55, 'HSM_SLOT=3 HSM_PIN=1'),
+        ('hsm', 15, 'HSM', 'key', 'HSM_SLOT', 0.55, 'HSM_SLOT=3 HSM_PIN=1'),
+        ('hsm', 16, 'PKCS11', 'library', '/usr/lib/libsofthsm2-pkcs11.so', 0.8, '/usr/lib/libsofthsm2-pkcs11.so'),
+    ]),
+    "inline_package_findings": ({"scanner": "string", "file_path": "string", "line": "int", "algorithm": "string", "category": "string", "library": "string", "confidence": "double", "usage": "string", "version": "string"}, [
+        ('dependency', 'a/requirements.txt', 0, 'PyCA cryptography', 'dependency', 'cryptography', 0.8, 'dependency reference', '==42.0'),
+        ('dependency', 'b/package.json', 0, 'node-forge', 'dependency', 'node-forge', 0.8, 'dependency reference', '^1.0'),
+        ('dependency', 'c/go.mod', 0, 'x/crypto', 'dependency', 'golang.org/x/crypto', 0.8, 'dependency reference', 'v0.1.0'),
+    ]),
+    "inline_binary_findings": ({"file_path": "string", "place": "int", "algorithm": "string", "category": "string", "key_size": "int", "usage": "string", "evidence": "string"}, [
+        ('bin/x', 0, 'OpenSSL', 'library', None, 'binary library reference', 'libcrypto.so.3'),
+        ('bin/x', 1, 'OpenSSL', 'library', None, 'binary symbol reference', 'EVP_EncryptInit'),
+        ('bin/x', 2, 'AES-256', 'symmetric', 256, 'binary string reference', 'AES-256'),
+        ('bin/x', 3, 'RSA', 'asymmetric', 2048, 'binary string reference', 'RSA 2048'),
+        ('bin/x', 6, 'TLS', 'protocol', None, 'binary string reference', 'TLSv1.2'),
+    ]),
+    "inline_archive_members": ({"path": "string", "member": "string", "n_bytes": "bigint"}, [
+        ('cut.tar', 'etc/ssl/app.conf', 11),
+        ('img.tar', 'a/layer.tar>etc/motd', 13),
+        ('img.tar', 'a/layer.tar>etc/ssl/app.conf', 11),
+        ('img.tar', 'b/layer.tar>bin/tool', 30),
+        ('img.tar', 'b/layer.tar>etc/tls.bin', 5),
+        ('img.tar', 'b/layer.tar>srv/requirements.txt', 15),
+        ('layer.tgz', 'etc/motd', 13),
+        ('layer.tgz', 'etc/ssl/app.conf', 11),
+    ]),
+    "inline_archive_findings": ({"file_path": "string", "line": "int", "algorithm": "string", "category": "string", "usage": "string", "evidence": "string"}, [
+        ('Dockerfile', 2, 'RC4', 'symmetric', 'container file reference', 'ENV CIPHER=RC4'),
+        ('cut.tar>etc/ssl/app.conf', 1, 'RC4', 'symmetric', 'container file reference', 'cipher=RC4'),
+        ('img.tar>a/layer.tar>etc/ssl/app.conf', 1, 'RC4', 'symmetric', 'container file reference', 'cipher=RC4'),
+        ('img.tar>b/layer.tar>bin/tool', 0, 'AES-256', 'symmetric', 'container binary reference', 'AES-256'),
+        ('img.tar>b/layer.tar>bin/tool', 0, 'OpenSSL', 'library', 'container binary reference', 'EVP_EncryptInit'),
+        ('img.tar>b/layer.tar>srv/requirements.txt', 1, 'SHA-2', 'hash', 'container file reference', 'hashlib SHA256'),
+        ('img.tar>b/layer.tar>srv/requirements.txt', 1, 'STDLIB', 'library', 'container file reference', 'hashlib SHA256'),
+        ('img.tar>config', 0, 'ENV-SECRET', 'key', 'container config reference', 'ENV DB_PASSWORD present in image config (value withheld)'),
+        ('layer.tgz>etc/ssl/app.conf', 1, 'RC4', 'symmetric', 'container file reference', 'cipher=RC4'),
+    ]),
+    "inline_scan": ({"scanner": "string", "file_path": "string", "line": "int", "algorithm": "string", "category": "string", "key_size": "int", "severity": "string", "priority": "string"}, [
+        ('binary', 'bin/x', 0, 'AES-256', 'symmetric', 256, 'low', 'P3'),
+        ('binary', 'bin/x', 0, 'OpenSSL', 'library', None, 'medium', 'P3'),
+        ('cloud', 'conf/app.tf', 10, 'KEYVAULT', 'key', None, 'medium', 'P3'),
+        ('cloud', 'conf/app.tf', 11, 'KMS', 'key', None, 'medium', 'P3'),
+        ('cloud', 'conf/app.tf', 15, 'KMS', 'key', None, 'medium', 'P3'),
+        ('cloud', 'conf/app.tf', 9, 'KMS', 'key', None, 'medium', 'P3'),
+        ('container', 'Dockerfile', 2, 'RC4', 'symmetric', None, 'high', 'P0'),
+        ('container', 'cut.tar>etc/ssl/app.conf', 1, 'RC4', 'symmetric', None, 'high', 'P0'),
+        ('container', 'img.tar>a/layer.tar>etc/ssl/app.conf', 1, 'RC4', 'symmetric', None, 'high', 'P0'),
+        ('container', 'img.tar>b/layer.tar>bin/tool', 0, 'AES-256', 'symmetric', 256, 'low', 'P3'),
+        ('container', 'img.tar>b/layer.tar>bin/tool', 0, 'OpenSSL', 'library', None, 'medium', 'P3'),
+        ('container', 'img.tar>b/layer.tar>srv/requirements.txt', 1, 'SHA-2', 'hash', None, 'low', 'P3'),
+        ('container', 'img.tar>b/layer.tar>srv/requirements.txt', 1, 'STDLIB', 'library', None, 'low', 'P3'),
+        ('container', 'img.tar>config', 0, 'ENV-SECRET', 'key', None, 'medium', 'P3'),
+        ('container', 'layer.tgz>etc/ssl/app.conf', 1, 'RC4', 'symmetric', None, 'high', 'P0'),
+        ('dependency', 'm/a/requirements.txt', 0, 'PyCA cryptography', 'dependency', None, 'medium', 'P3'),
+        ('dependency', 'm/b/package.json', 0, 'node-forge', 'dependency', None, 'medium', 'P3'),
+        ('dependency', 'm/c/go.mod', 0, 'x/crypto', 'dependency', None, 'medium', 'P3'),
+        ('hsm', 'conf/app.tf', 12, 'PKCS11', 'key', None, 'medium', 'P3'),
+        ('hsm', 'conf/app.tf', 13, 'HSM', 'library', None, 'medium', 'P3'),
+        ('hsm', 'conf/app.tf', 15, 'HSM', 'key', None, 'medium', 'P3'),
+        ('hsm', 'conf/app.tf', 15, 'HSM', 'key', None, 'medium', 'P3'),
+        ('hsm', 'conf/app.tf', 16, 'PKCS11', 'library', None, 'medium', 'P3'),
+        ('source', 'Dockerfile', 2, 'RC4', 'symmetric', None, 'high', 'P0'),
+        ('source', 'conf/app.tf', 1, 'AES-256', 'symmetric', 256, 'low', 'P3'),
+        ('source', 'conf/app.tf', 2, 'KEYSIZE', 'key', 2048, 'medium', 'P3'),
+        ('source', 'conf/app.tf', 3, 'DES', 'symmetric', None, 'high', 'P0'),
+        ('source', 'conf/app.tf', 3, 'MD5', 'hash', None, 'high', 'P0'),
+        ('source', 'conf/app.tf', 3, 'SHA-1', 'hash', None, 'high', 'P0'),
+        ('source', 'conf/app.tf', 5, 'TLS1.2', 'protocol', None, 'medium', 'P3'),
+        ('source', 'conf/app.tf', 6, 'RSA', 'asymmetric', 1024, 'critical', 'P0'),
+        ('source', 'conf/app.tf', 7, 'PEM-CERTIFICATE', 'certificate', None, 'medium', 'P3'),
+        ('source', 'conf/c.pem', 0, 'ECDSA', 'certificate', None, 'critical', 'P1'),
+        ('source', 'conf/c.pem', 1, 'PEM-CERTIFICATE', 'certificate', None, 'medium', 'P3'),
+        ('source', 'm/a/requirements.txt', 1, 'PyCA cryptography', 'dependency', None, 'medium', 'P3'),
+        ('source', 'm/b/package.json', 1, 'node-forge', 'dependency', None, 'medium', 'P3'),
+        ('source', 'm/d/pom.xml', 1, 'Bouncy Castle', 'dependency', None, 'medium', 'P3'),
+        ('source', 'pkg/signer.py', 2, 'STDLIB', 'library', None, 'low', 'P3'),
+        ('source', 'pkg/signer.py', 6, 'SHA-2', 'hash', None, 'low', 'P3'),
+        ('source', 'pkg/signer.py', 6, 'STDLIB', 'library', None, 'low', 'P3'),
+    ]),
+    "inline_scan_counts": ({"scanner": "string", "family": "string", "n": "bigint"}, [
+        ('binary', 'AES', 1),
+        ('binary', 'OPENSSL', 1),
+        ('cloud', 'KEYVAULT', 1),
+        ('cloud', 'KMS', 3),
+        ('container', 'AES', 1),
+        ('container', 'ENV-SECRET', 1),
+        ('container', 'OPENSSL', 1),
+        ('container', 'RC4', 4),
+        ('container', 'SHA-2', 1),
+        ('container', 'STDLIB', 1),
+        ('dependency', 'NODE-FORGE', 1),
+        ('dependency', 'PYCA CRYPTOGRAPHY', 1),
+        ('dependency', 'X/CRYPTO', 1),
+        ('hsm', 'HSM', 3),
+        ('hsm', 'PKCS11', 2),
+        ('source', 'AES', 1),
+        ('source', 'BOUNCY CASTLE', 1),
+        ('source', 'DES', 1),
+        ('source', 'ECDSA', 1),
+        ('source', 'KEYSIZE', 1),
+        ('source', 'MD5', 1),
+        ('source', 'NODE-FORGE', 1),
+        ('source', 'PEM', 2),
+        ('source', 'PYCA CRYPTOGRAPHY', 1),
+        ('source', 'RC4', 1),
+        ('source', 'RSA', 1),
+        ('source', 'SHA-1', 1),
+        ('source', 'SHA-2', 1),
+        ('source', 'STDLIB', 2),
+        ('source', 'TLS', 1),
+    ]),
+    "inline_locked_packages": ({"path": "string", "name": "string", "version": "string"}, [
+        ('p/Gemfile', 'bcrypt', '3.1'),
+        ('p/build.gradle', 'bcprov', '1.70'),
+        ('p/cargo.lock', 'p256', '0.13.2'),
+        ('p/cargo.toml', 'ring', '0.17'),
+        ('p/cargo.toml', 'rustls', '0.23'),
+        ('p/package-lock.json', 'elliptic', '6.5.4'),
+        ('p/package-lock.json', 'jose', '5.0.0'),
+        ('p/poetry.lock', 'certifi', ''),
+        ('p/pom.xml', 'bcpkix', '1.7'),
+        ('p/pyproject.toml', 'bcrypt', '>=4'),
+        ('p/pyproject.toml', 'flask', ''),
+        ('p/pyproject.toml', 'pyopenssl', '^24'),
+        ('r/requirements.txt', 'argon2-cffi', '==23.1'),
+        ('r/requirements.txt', 'cryptography', ''),
+        ('r/requirements.txt', 'passlib', ''),
+    ]),
+    "inline_locked_findings": ({"file_path": "string", "algorithm": "string", "library": "string", "confidence": "double", "version": "string"}, [
+        ('p/Gemfile', 'bcrypt', 'bcrypt', 0.8, '3.1'),
+        ('p/build.gradle', 'Bouncy Castle', 'bcprov', 0.8, '1.70'),
+        ('p/cargo.lock', 'ECC', 'p256', 0.75, '0.13.2'),
+        ('p/cargo.toml', 'ring', 'ring', 0.8, '0.17'),
+        ('p/cargo.toml', 'rustls', 'rustls', 0.8, '0.23'),
+        ('p/package-lock.json', 'JOSE', 'jose', 0.8, '5.0.0'),
+        ('p/package-lock.json', 'elliptic', 'elliptic', 0.7, '6.5.4'),
+        ('p/poetry.lock', 'certifi CA bundle', 'certifi', 0.6, ''),
+        ('p/pom.xml', 'Bouncy Castle', 'bcpkix', 0.8, '1.7'),
+        ('p/pyproject.toml', 'PyOpenSSL', 'pyopenssl', 0.8, '^24'),
+        ('p/pyproject.toml', 'bcrypt', 'bcrypt', 0.8, '>=4'),
+        ('r/requirements.txt', 'PyCA cryptography', 'cryptography', 0.8, ''),
+        ('r/requirements.txt', 'argon2-cffi', 'argon2-cffi', 0.8, '==23.1'),
+        ('r/requirements.txt', 'passlib', 'passlib', 0.75, ''),
+    ]),
+    "structure_edges": ({"source": "string", "relation": "string", "target": "string", "confidence": "string"}, [
+        ('directory:core', 'CONTAINS', 'file:core/old.py', 'HIGH'),
+        ('directory:core', 'CONTAINS', 'file:core/sign.py', 'HIGH'),
+        ('directory:core', 'CONTAINS', 'file:core/util.py', 'HIGH'),
+        ('directory:tests', 'CONTAINS', 'file:tests/test_sign.py', 'HIGH'),
+        ('directory:web', 'CONTAINS', 'file:web/api.py', 'HIGH'),
+        ('entry:main.py', 'ENTRY_POINT_FOR', 'repo:', 'HIGH'),
+        ('file:core/old.py', 'BELONGS_TO', 'subsystem:core', 'HIGH'),
+        ('file:core/old.py', 'CONTAINS', 'symbol:core/old.py#_gone', 'HIGH'),
+        ('file:core/sign.py', 'BELONGS_TO', 'subsystem:core', 'HIGH'),
+        ('file:core/sign.py', 'CALLS', 'file:core/util.py', 'HIGH'),
+        ('file:core/sign.py', 'CONTAINS', 'symbol:core/sign.py#Signer', 'HIGH'),
+        ('file:core/sign.py', 'CONTAINS', 'symbol:core/sign.py#seal', 'HIGH'),
+        ('file:core/sign.py', 'IMPORTS', 'file:core/util.py', 'HIGH'),
+        ('file:core/sign.py', 'PRODUCES_FINDING', 'finding:core/sign.py#f1', 'HIGH'),
+        ('file:core/sign.py', 'USES_CRYPTO', 'crypto:RSA', 'HIGH'),
+        ('file:core/util.py', 'BELONGS_TO', 'subsystem:core', 'HIGH'),
+        ('file:core/util.py', 'CONTAINS', 'symbol:core/util.py#pad', 'HIGH'),
+        ('file:core/util.py', 'PRODUCES_FINDING', 'finding:core/util.py#f2', 'HIGH'),
+        ('file:core/util.py', 'USES_CRYPTO', 'crypto:MD5', 'HIGH'),
+        ('file:main.py', 'BELONGS_TO', 'subsystem:(root)', 'HIGH'),
+        ('file:main.py', 'CALLS', 'file:core/sign.py', 'HIGH'),
+        ('file:main.py', 'CONFIGURED_BY', 'config:requirements.txt', 'MEDIUM'),
+        ('file:main.py', 'CONTAINS', 'symbol:main.py#main', 'HIGH'),
+        ('file:main.py', 'EXPOSES', 'entry:main.py', 'HIGH'),
+        ('file:main.py', 'IMPORTS', 'file:core/sign.py', 'HIGH'),
+        ('file:main.py', 'IMPORTS', 'file:core/util.py', 'HIGH'),
+        ('file:tests/test_sign.py', 'BELONGS_TO', 'subsystem:tests', 'HIGH'),
+        ('file:tests/test_sign.py', 'CALLS', 'file:core/sign.py', 'HIGH'),
+        ('file:tests/test_sign.py', 'CONTAINS', 'symbol:tests/test_sign.py#test_seal', 'HIGH'),
+        ('file:tests/test_sign.py', 'IMPORTS', 'file:core/sign.py', 'HIGH'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/old.py', 'MEDIUM'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/sign.py', 'HIGH'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/util.py', 'MEDIUM'),
+        ('file:web/api.py', 'BELONGS_TO', 'subsystem:web', 'HIGH'),
+        ('file:web/api.py', 'CONTAINS', 'symbol:web/api.py#keys', 'HIGH'),
+        ('file:web/api.py', 'CONTAINS', 'symbol:web/api.py#sign_it', 'HIGH'),
+        ('file:web/api.py', 'EXPOSES', 'api:GET /keys', 'MEDIUM'),
+        ('file:web/api.py', 'EXPOSES', 'api:POST /sign', 'MEDIUM'),
+        ('file:web/api.py', 'IMPORTS', 'file:core/sign.py', 'HIGH'),
+        ('repo:', 'CONTAINS', 'directory:core', 'HIGH'),
+        ('repo:', 'CONTAINS', 'directory:tests', 'HIGH'),
+        ('repo:', 'CONTAINS', 'directory:web', 'HIGH'),
+        ('repo:', 'CONTAINS', 'file:main.py', 'HIGH'),
+        ('repo:', 'CONTAINS', 'subsystem:(root)', 'HIGH'),
+        ('repo:', 'CONTAINS', 'subsystem:core', 'HIGH'),
+        ('repo:', 'CONTAINS', 'subsystem:tests', 'HIGH'),
+        ('repo:', 'CONTAINS', 'subsystem:web', 'HIGH'),
+    ]),
+    "structure_nodes": ({"id": "string", "type": "string", "label": "string", "path": "string"}, [
+        ('api:GET /keys', 'API_ENDPOINT', 'GET /keys', ''),
+        ('api:POST /sign', 'API_ENDPOINT', 'POST /sign', ''),
+        ('config:requirements.txt', 'CONFIGURATION', 'requirements.txt', 'requirements.txt'),
+        ('crypto:MD5', 'CRYPTO_USAGE', 'MD5', ''),
+        ('crypto:RSA', 'CRYPTO_USAGE', 'RSA', ''),
+        ('directory:core', 'DIRECTORY', 'core', 'core'),
+        ('directory:tests', 'DIRECTORY', 'tests', 'tests'),
+        ('directory:web', 'DIRECTORY', 'web', 'web'),
+        ('entry:main.py', 'ENTRY_POINT', 'entry:main.py', 'main.py'),
+        ('file:core/old.py', 'FILE', 'old.py', 'core/old.py'),
+        ('file:core/sign.py', 'FILE', 'sign.py', 'core/sign.py'),
+        ('file:core/util.py', 'FILE', 'util.py', 'core/util.py'),
+        ('file:main.py', 'FILE', 'main.py', 'main.py'),
+        ('file:tests/test_sign.py', 'FILE', 'test_sign.py', 'tests/test_sign.py'),
+        ('file:web/api.py', 'FILE', 'api.py', 'web/api.py'),
+        ('finding:core/sign.py#f1', 'CRYPTO_FINDING', 'core/sign.py#f1', 'core/sign.py'),
+        ('finding:core/util.py#f2', 'CRYPTO_FINDING', 'core/util.py#f2', 'core/util.py'),
+        ('repo:', 'REPOSITORY', '', ''),
+        ('subsystem:(root)', 'SUBSYSTEM', '(root)', '(root)'),
+        ('subsystem:core', 'SUBSYSTEM', 'core', 'core'),
+        ('subsystem:tests', 'SUBSYSTEM', 'tests', 'tests'),
+        ('subsystem:web', 'SUBSYSTEM', 'web', 'web'),
+        ('symbol:core/old.py#_gone', 'FUNCTION', '_gone', 'core/old.py'),
+        ('symbol:core/sign.py#Signer', 'CLASS', 'Signer', 'core/sign.py'),
+        ('symbol:core/sign.py#seal', 'FUNCTION', 'seal', 'core/sign.py'),
+        ('symbol:core/util.py#pad', 'FUNCTION', 'pad', 'core/util.py'),
+        ('symbol:main.py#main', 'FUNCTION', 'main', 'main.py'),
+        ('symbol:tests/test_sign.py#test_seal', 'FUNCTION', 'test_seal', 'tests/test_sign.py'),
+        ('symbol:web/api.py#keys', 'FUNCTION', 'keys', 'web/api.py'),
+        ('symbol:web/api.py#sign_it', 'FUNCTION', 'sign_it', 'web/api.py'),
+    ]),
+    "structure_routes": ({"path": "string", "verb": "string", "route": "string"}, [
+        ('web/api.py', 'GET', '/keys'),
+        ('web/api.py', 'POST', '/sign'),
+    ]),
+    "structure_cross_references": ({"name": "string", "path": "string"}, [
+        ('main', 'main.py'),
+        ('pad', 'core/sign.py'),
+        ('seal', 'main.py'),
+        ('seal', 'tests/test_sign.py'),
+    ]),
+    "structure_problems": ({"problem": "string", "n": "bigint"}, [
+        ('dangling ends', 0),
+        ('duplicate node ids', 0),
+        ('duplicate relationships', 0),
+        ('edges with bad confidence', 0),
+        ('edges without evidence', 0),
+    ]),
+    "structure_component_caps": ({"nodes_omitted": "bigint", "relationships_omitted": "bigint"}, [
+        (12, 0),
+    ]),
+    "structure_noted_files": ({"id": "string", "links": "bigint", "finding": "boolean", "entry": "boolean", "place": "bigint"}, [
+        ('file:core/old.py', 4, False, False, 6),
+        ('file:core/sign.py', 14, True, False, 1),
+        ('file:core/util.py', 9, True, False, 2),
+        ('file:main.py', 8, False, True, 3),
+        ('file:tests/test_sign.py', 8, False, False, 4),
+        ('file:web/api.py', 7, False, True, 5),
+    ]),
+    "structure_canvas": ({"id": "string", "label": "string", "x": "int", "y": "int"}, [
+        ('api:GET /keys', 'GET /keys\nAPI_ENDPOINT', 0, 680),
+        ('api:POST /sign', 'POST /sign\nAPI_ENDPOINT', 340, 680),
+        ('config:requirements.txt', 'requirements.txt\nCONFIGURATION', 680, 680),
+        ('file:core/old.py', 'old.py\nFILE', 680, 170),
+        ('file:core/sign.py', 'sign.py\nFILE', 0, 340),
+        ('file:core/util.py', 'util.py\nFILE', 340, 340),
+        ('file:main.py', 'main.py\nFILE', 340, 170),
+        ('file:tests/test_sign.py', 'test_sign.py\nFILE', 680, 340),
+        ('file:web/api.py', 'api.py\nFILE', 0, 510),
+        ('finding:core/sign.py#f1', 'core/sign.py#f1\nCRYPTO_FINDING', 340, 510),
+        ('finding:core/util.py#f2', 'core/util.py#f2\nCRYPTO_FINDING', 680, 510),
+        ('subsystem:(root)', '(root)\nSUBSYSTEM', 0, 0),
+        ('subsystem:core', 'core\nSUBSYSTEM', 340, 0),
+        ('subsystem:tests', 'tests\nSUBSYSTEM', 680, 0),
+        ('subsystem:web', 'web\nSUBSYSTEM', 0, 170),
+    ]),
+    "structure_canvas_edges": ({"source": "string", "relation": "string", "target": "string"}, [
+        ('file:core/old.py', 'BELONGS_TO', 'subsystem:core'),
+        ('file:core/sign.py', 'BELONGS_TO', 'subsystem:core'),
+        ('file:core/sign.py', 'CALLS', 'file:core/util.py'),
+        ('file:core/sign.py', 'IMPORTS', 'file:core/util.py'),
+        ('file:core/sign.py', 'PRODUCES_FINDING', 'finding:core/sign.py#f1'),
+        ('file:core/util.py', 'BELONGS_TO', 'subsystem:core'),
+        ('file:core/util.py', 'PRODUCES_FINDING', 'finding:core/util.py#f2'),
+        ('file:main.py', 'BELONGS_TO', 'subsystem:(root)'),
+        ('file:main.py', 'CALLS', 'file:core/sign.py'),
+        ('file:main.py', 'CONFIGURED_BY', 'config:requirements.txt'),
+        ('file:main.py', 'IMPORTS', 'file:core/sign.py'),
+        ('file:main.py', 'IMPORTS', 'file:core/util.py'),
+        ('file:tests/test_sign.py', 'BELONGS_TO', 'subsystem:tests'),
+        ('file:tests/test_sign.py', 'CALLS', 'file:core/sign.py'),
+        ('file:tests/test_sign.py', 'IMPORTS', 'file:core/sign.py'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/old.py'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/sign.py'),
+        ('file:tests/test_sign.py', 'TESTS', 'file:core/util.py'),
+        ('file:web/api.py', 'BELONGS_TO', 'subsystem:web'),
+        ('file:web/api.py', 'EXPOSES', 'api:GET /keys'),
+        ('file:web/api.py', 'EXPOSES', 'api:POST /sign'),
+        ('file:web/api.py', 'IMPORTS', 'file:core/sign.py'),
+    ]),
+    "code_overlapping_configs": ({"files": "string"}, [
+        ('requirements.txt, setup.cfg',),
+    ]),
+    "validation_strategies": ({"id": "string", "validator": "string", "reason": "string"}, [
+        ('c1', 'tls', 'ECDSA certificate evidence maps to TLS/certificate observation'),
+        ('d1', 'runtime', 'dependency reference maps to runtime library-usage observation'),
+        ('h1', 'runtime', 'SHA-2 hash evidence maps to runtime crypto observation'),
+        ('h2', 'runtime', 'MD5 hash evidence maps to runtime crypto observation'),
+        ('k1', 'tls', 'RSA key evidence maps to TLS/certificate observation'),
+        ('k2', 'tls', 'RSA certificate evidence maps to TLS/certificate observation'),
+        ('k3', 'tls', 'RSA key evidence maps to TLS/certificate observation'),
+        ('l1', 'none', 'lockfile integrity metadata is not runtime-probed'),
+        ('p1', 'tls', 'TLS12 protocol evidence maps to TLS/certificate observation'),
+        ('p2', 'tls', 'TLS10 protocol evidence maps to TLS/certificate observation'),
+    ]),
+    "validation_tls_results": ({"finding_id": "string", "target": "string", "validation_type": "string", "v_status": "string", "confidence": "double", "note": "string", "observed_algorithm": "string", "correlation_status": "string"}, [
+        ('', 'https://e.example', 'tls', 'OBSERVED', 0.8, '', 'ECDSA', 'RUNTIME_OBSERVED'),
+        ('c1', 'https://a.example', 'tls', 'NOT_CONFIRMED', 0.6, 'observed RSA vs static claim ECDSA', 'RSA', 'STATIC_ONLY'),
+        ('k1', 'https://a.example', 'tls', 'CONFIRMED', 0.8, 'same family RSA and key size 2048 observed', 'RSA', 'RUNTIME_CONFIRMED'),
+        ('k1', 'https://b.example', 'tls', 'NOT_CONFIRMED', 0.6, 'observed EC vs static claim RSA', 'EC', 'STATIC_ONLY'),
+        ('k2', 'http://c.example', 'tls', 'NOT_APPLICABLE', 1.0, 'plain-http target carries no TLS to observe', '', 'STATIC_ONLY'),
+        ('k2', 'https://a.example', 'tls', 'PARTIALLY_CONFIRMED', 0.65, 'same family RSA observed (sig sha256); key-size match differs', 'RSA', 'RUNTIME_CORRELATED'),
+        ('k3', 'https://a.example', 'tls', 'PARTIALLY_CONFIRMED', 0.65, 'same family RSA observed (sig sha256); key-size match not checked', 'RSA', 'RUNTIME_CORRELATED'),
+        ('p1', 'https://a.example', 'tls', 'CONFIRMED', 0.85, 'observed TLSv1.2 matches static claim TLS12', 'RSA', 'RUNTIME_CONFIRMED'),
+        ('p1', 'https://d.example', 'tls', 'ERROR', 0.5, 'tls probe failed: TimeoutError', '', 'STATIC_ONLY'),
+        ('p2', 'https://a.example', 'tls', 'CONFIRMED', 0.85, 'observed TLSv1.2 matches static claim TLS10', 'RSA', 'RUNTIME_CONFIRMED'),
+    ]),
+    "validation_runtime_results": ({"finding_id": "string", "target": "string", "validation_type": "string", "v_status": "string", "confidence": "double", "note": "string", "observed_algorithm": "string", "correlation_status": "string"}, [
+        ('d1', 'probe c', 'runtime', 'CONFIRMED', 0.7, 'same-family runtime observation linked', 'bcrypt', 'RUNTIME_CONFIRMED'),
+        ('h1', 'probe a', 'runtime', 'CONFIRMED', 0.7, 'same-family runtime observation linked', 'SHA-384', 'RUNTIME_CONFIRMED'),
+        ('h2', 'runtime probe (bundled fixture)', 'runtime', 'NOT_CONFIRMED', 0.6, 'probe ran; no same-family observation in this run', '', 'STATIC_ONLY'),
+    ]),
+    "validation_run_summary": ({"v_status": "string", "n": "bigint"}, [
+        ('CONFIRMED', 5),
+        ('ERROR', 1),
+        ('NOT_APPLICABLE', 1),
+        ('NOT_CONFIRMED', 3),
+        ('OBSERVED', 1),
+        ('PARTIALLY_CONFIRMED', 2),
+    ]),
+    "validation_addresses": ({"url": "string", "fault": "string"}, [
+        ('', 'URL must be a non-empty string under 2048 chars'),
+        ('ftp://localhost/', 'only http/https URLs may be probed'),
+        ('http://127.0.0.9:8080/', None),
+        ('https://', 'URL host is missing or malformed'),
+        ('https://127.0.0.1 /', 'URL host is missing or malformed'),
+        ('https://Allowed.example./p', None),
+        ('https://[::1]:8443/a', None),
+        ('https://a\tb/', 'URL contains control characters'),
+        ('https://localhost/x', None),
+        ('https://localhost:0/', 'URL port out of range'),
+        ('https://localhost:99999/', 'URL port is invalid'),
+        ('https://localhost:x/', 'URL port is invalid'),
+        ('https://other.example/', "host 'other.example' is not loopback; allowlist it or acknowledge non-loopback probing explicitly"),
+        ('https://u:p@localhost/', 'URLs with credentials are never probed'),
+    ]),
+    "knowledge_registry": ({"skills": "bigint", "tier1": "bigint", "tier2": "bigint"}, [
+        (32, 16, 16),
+    ]),
+    "knowledge_registry_problems": ({"problem": "string"}, [
+        ('a: bad applies.algorithms',),
+        ('a: bad tier',),
+        ('a: duplicate id',),
+        ('b: bad applies.usages',),
+    ]),
+    "remediation_options": ({"path": "string", "name": "string", "option": "string", "title": "string", "description": "string", "risk": "string", "complexity": "string", "automation": "string"}, [
+        ('pkg/busy.py', 'busy', 'delete', 'Delete busy', 'Remove busy from pkg/busy.py. Simplest; lowest maintenance.', 'MEDIUM', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/busy.py', 'busy', 'keep-as-is', 'Keep as-is (documented)', 'Complexity may be inherent; record the observation and revisit on next touch.', 'LOW', 'TRIVIAL', 'MANUAL'),
+        ('pkg/busy.py', 'busy', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/busy.py', 'busy', 'retain-document', 'Retain and document busy', 'Keep busy as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+        ('pkg/busy.py', 'busy', 'simplify', 'Simplify `busy`', 'Split, flatten, or reorganize per the finding evidence; keep behavior identical.', 'MEDIUM', 'MEDIUM', 'REQUIRES_REVIEW'),
+        ('pkg/cli.py', '', 'hoist-cache', 'Hoist / cache the repeated work', 'Move loop-invariant computation out of the loop or cache the parsed result.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/cli.py', '', 'keep-as-is', 'Keep as-is (measured)', 'Profile first; if the path is cold, document and move on.', 'LOW', 'TRIVIAL', 'MANUAL'),
+        ('pkg/cli.py', '', 'restructure', 'Restructure the data flow', 'Change shapes (sets/dicts, early exits, batching) instead of micro-fixes.', 'MEDIUM', 'MEDIUM', 'REQUIRES_REVIEW'),
+        ('pkg/cli.py', '_helper', 'delete', 'Delete _helper', 'Remove _helper from pkg/cli.py. Simplest; lowest maintenance.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/cli.py', '_helper', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/cli.py', '_helper', 'retain-document', 'Retain and document _helper', 'Keep _helper as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+        ('pkg/cli.py', 'open', 'hoist-cache', 'Hoist / cache the repeated work', 'Move loop-invariant computation out of the loop or cache the parsed result.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/cli.py', 'open', 'keep-as-is', 'Keep as-is (measured)', 'Profile first; if the path is cold, document and move on.', 'LOW', 'TRIVIAL', 'MANUAL'),
+        ('pkg/cli.py', 'open', 'restructure', 'Restructure the data flow', 'Change shapes (sets/dicts, early exits, batching) instead of micro-fixes.', 'MEDIUM', 'MEDIUM', 'REQUIRES_REVIEW'),
+        ('pkg/signer.py', '', 'delete', 'Delete the flagged code', 'Remove the flagged code from pkg/signer.py. Simplest; lowest maintenance.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/signer.py', '', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/signer.py', '', 'retain-document', 'Retain and document the flagged code', 'Keep the flagged code as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+        ('pkg/signer.py', 'key', 'delete', 'Delete key', 'Remove key from pkg/signer.py. Simplest; lowest maintenance.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/signer.py', 'key', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/signer.py', 'key', 'retain-document', 'Retain and document key', 'Keep key as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+        ('pkg/signer.py', 'os', 'delete', 'Delete os', 'Remove os from pkg/signer.py. Simplest; lowest maintenance.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/signer.py', 'os', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/signer.py', 'os', 'retain-document', 'Retain and document os', 'Keep os as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+        ('pkg/signer.py', 'x', 'delete', 'Delete x', 'Remove x from pkg/signer.py. Simplest; lowest maintenance.', 'LOW', 'SMALL', 'SAFE_WITH_TESTS'),
+        ('pkg/signer.py', 'x', 'quarantine', 'Quarantine behind an explicit marker', 'Move the symbol to a clearly-marked compatibility module with a removal date.', 'LOW', 'MEDIUM', 'MANUAL'),
+        ('pkg/signer.py', 'x', 'retain-document', 'Retain and document x', 'Keep x as intentional API/surface; add an explicit export, reference, or docstring explaining why it exists.', 'LOW', 'SMALL', 'MANUAL'),
+    ]),
+    "remediation_plan": ({"id": "string", "place": "int", "title": "string", "what": "string"}, [
+        ('busy', 1, 'Confirm the finding', 'Verify: Re-run analysis; finding must be gone.'),
+        ('busy', 2, 'Apply: Simplify `busy`', 'Split, flatten, or reorganize per the finding evidence; keep behavior identical.'),
+        ('busy', 3, 'Constraint: require-tests', 'Add or update tests covering the changed behavior before modifying code.'),
+        ('busy', 4, 'Constraint: no-new-dependencies', 'Implement using stdlib / already-installed dependencies only.'),
+        ('busy', 5, 'Run tests and re-analyze', "Run the project's test suite, then re-run the code analysis on the touched files."),
+        ('os', 1, 'Confirm the finding', 'Verify: Re-run analysis; finding must be gone.'),
+        ('os', 2, 'Apply: Delete os', 'Remove os from pkg/signer.py. Simplest; lowest maintenance.'),
+        ('os', 3, 'Constraint: require-tests', 'Add or update tests covering the changed behavior before modifying code.'),
+        ('os', 4, 'Constraint: no-new-dependencies', 'Implement using stdlib / already-installed dependencies only.'),
+        ('os', 5, 'Run tests and re-analyze', "Run the project's test suite, then re-run the code analysis on the touched files."),
+    ]),
+    "remediation_plan_files": ({"id": "string", "place": "int", "path": "string"}, [
+        ('x', 1, 'a.py'),
+        ('x', 2, 'tests/t.py'),
+    ]),
+    "remediation_plan_text": ({"id": "string", "text": "string"}, [
+        ('busy', "1. **Confirm the finding**: Verify: Re-run analysis; finding must be gone.\n2. **Apply: Simplify `busy`**: Split, flatten, or reorganize per the finding evidence; keep behavior identical.\n3. **Constraint: require-tests**: Add or update tests covering the changed behavior before modifying code.\n4. **Constraint: no-new-dependencies**: Implement using stdlib / already-installed dependencies only.\n5. **Run tests and re-analyze**: Run the project's test suite, then re-run the code analysis on the touched files."),
+        ('os', "1. **Confirm the finding**: Verify: Re-run analysis; finding must be gone.\n2. **Apply: Delete os**: Remove os from pkg/signer.py. Simplest; lowest maintenance.\n3. **Constraint: require-tests**: Add or update tests covering the changed behavior before modifying code.\n4. **Constraint: no-new-dependencies**: Implement using stdlib / already-installed dependencies only.\n5. **Run tests and re-analyze**: Run the project's test suite, then re-run the code analysis on the touched files."),
+    ]),
+    "scan_index_repair": ({"path": "string", "state": "string", "scan_id": "string", "scan_time": "double"}, [
+        ('a.json', 'indexed', 's1', 3.0),
+        ('b.json', 'quarantined', None, 0.0),
+        ('c.json', 'expired', 's2', 1.0),
+        ('d.json', 'quarantined', None, 9.0),
+        ('e.json', 'indexed', 's3', 2.0),
+        ('f.json', 'quarantined', None, 0.0),
+    ]),
+    "scan_history_with_legacy": ({"scan_id": "string", "scan_time": "double"}, [
+        ('a', 0.0),
+        ('b', 1.0),
+        ('c', 1.0),
+    ]),
+    "scan_scopes_pruned": ({"scope": "string", "action": "string"}, [
+        ('s0', 'removed'),
+        ('s1', 'skipped'),
+        ('s2', 'removed'),
+        ('s3', 'kept'),
+        ('s4', 'kept'),
+        ('s5', 'kept'),
+        ('s6', 'kept'),
+        ('s7', 'kept'),
+    ]),
+    "telemetry_categories": ({"algorithm": "string", "operation": "string", "category": "string"}, [
+        ('AES', 'random', 'key'),
+        ('BLAKE2', 'use', 'hash'),
+        ('ChaCha20', 'encrypt', 'symmetric'),
+        ('ML-KEM', 'encap', 'asymmetric'),
+        ('RC4', 'use', 'symmetric'),
+        ('RSA', 'kdf', 'hash'),
+        ('RSA', 'sign', 'asymmetric'),
+        ('SHA-256', 'digest', 'hash'),
+        ('TLS1.3', 'use', 'protocol'),
+        ('ed25519', 'sign', 'asymmetric'),
+        ('hkdf', 'derive', 'hash'),
+        ('other', 'verify', 'unknown'),
+        ('x', 'context', 'protocol'),
+        ('x', 'handshake', 'protocol'),
+    ]),
+    "note_writes": ({"path": "string", "action": "string", "text": "string"}, [
+        ('a.md', 'created', '[REDACTED: sensitive configuration omitted] and more'),
+        ('b.md', 'unchanged', 'same'),
+        ('c.md', 'refused', 'new text'),
+        ('k/id_rsa.md', 'refused', 'x'),
+    ]),
+    "note_slugs": ({"text": "string", "slug": "string", "line": "string"}, [
+        (' Hello, World! ', 'hello-world', 'x y Hello'),
+        ('---', 'note', 'x y ---'),
+        ('aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa b', 'aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa', 'x y aaaaa'),
+        ('Ünï', 'n', 'x y Ünï'),
+    ]),
+    "code_findings": ({"id": "string", "path": "string", "line": "int", "name": "string", "category": "string", "title": "string", "confidence": "string", "score": "double", "label": "string"}, [
+        ('c237abd185c2', 'pkg/signer.py', 1, 'os', 'DEAD_CODE', 'Unused import `os`', 'HIGH', 3.0, 'QUICK_WIN'),
+        ('c2cdce9475f9', 'pkg/signer.py', 8, 'x', 'DEAD_CODE', 'Unused local variable `x` in `sign`', 'MEDIUM', 2.0, 'LOW_RISK'),
+        ('c2e16629ebcd', 'pkg/cli.py', 7, '', 'EFFICIENCY', 'Nested loops (line 7) — quadratic shape', 'LOW', 1.0, 'REQUIRES_REVIEW'),
+        ('c49774a80f7c', 'pkg/cli.py', 3, '_helper', 'DEAD_CODE', 'Unused function `_helper`', 'MEDIUM', 1.0, 'REQUIRES_REVIEW'),
+        ('c5dd0bad9352', 'pkg/signer.py', 8, '', 'DEAD_CODE', 'Unreachable statement (line 8)', 'HIGH', 3.0, 'QUICK_WIN'),
+        ('c693b3971a07', 'pkg/busy.py', 1, 'busy', 'DEAD_CODE', 'Potentially unused function `busy`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('c7f70bdf1d17', 'pkg/signer.py', 5, 'key', 'DEAD_CODE', 'Unused local variable `key` in `sign`', 'MEDIUM', 2.0, 'LOW_RISK'),
+        ('cd691c316762', 'pkg/cli.py', 8, 'open', 'EFFICIENCY', 'Repeated `open` inside loop (line 8)', 'MEDIUM', 4.0, 'QUICK_WIN'),
+        ('cfb84698e6ce', 'pkg/busy.py', 1, 'busy', 'COMPLEXITY', 'Complex function `busy`', 'HIGH', 0.75, 'REQUIRES_REVIEW'),
+    ]),
+    "code_project": ({"path": "string", "line": "int", "name": "string", "category": "string", "title": "string", "confidence": "string", "score": "double", "label": "string"}, [
+        ('core/old.py', 0, 'old', 'STRUCTURE', 'Possibly orphaned module `core/old.py`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('core/old.py', 1, '_gone', 'DEAD_CODE', 'Unused function `_gone`', 'MEDIUM', 1.0, 'REQUIRES_REVIEW'),
+        ('core/sign.py', 2, 'util', 'DEAD_CODE', 'Unused import `util`', 'HIGH', 3.0, 'QUICK_WIN'),
+        ('core/sign.py', 4, 'Signer', 'DEAD_CODE', 'Potentially unused class `Signer`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('main.py', 2, 'core', 'DEAD_CODE', 'Unused import `core`', 'HIGH', 3.0, 'QUICK_WIN'),
+        ('requirements.txt', 0, '', 'CONFIGURATION', 'Overlapping configuration: requirements.txt, setup.cfg', 'MEDIUM', 2.0, 'LOW_RISK'),
+        ('requirements.txt', 0, 'cryptography', 'DEPENDENCY', 'Possibly unused dependency `cryptography`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('tests/test_sign.py', 3, 'test_seal', 'DEAD_CODE', 'Potentially unused function `test_seal`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('web/a.js', 1, 'require', 'EFFICIENCY', 'Potentially repeated `require` (line 1)', 'LOW', 1.0, 'REQUIRES_REVIEW'),
+        ('web/a.js', 2, 'JSON.parse', 'EFFICIENCY', 'Potentially repeated `JSON.parse` (line 2)', 'LOW', 1.0, 'REQUIRES_REVIEW'),
+        ('web/a.js', 2, 'fetch', 'EFFICIENCY', 'Potentially repeated `fetch` (line 2)', 'LOW', 1.0, 'REQUIRES_REVIEW'),
+        ('web/api.py', 0, 'api', 'STRUCTURE', 'Possibly orphaned module `web/api.py`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('web/api.py', 1, 'core', 'DEAD_CODE', 'Unused import `core`', 'HIGH', 3.0, 'QUICK_WIN'),
+        ('web/api.py', 4, 'keys', 'DEAD_CODE', 'Potentially unused function `keys`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+        ('web/api.py', 8, 'sign_it', 'DEAD_CODE', 'Potentially unused function `sign_it`', 'LOW', 0.5, 'REQUIRES_REVIEW'),
+    ]),
+    "code_health": ({"n": "bigint", "high": "bigint", "score": "int"}, [
+        (9, 3, 67),
+    ]),
+    "code_complexity": ({"path": "string", "scope": "string", "name": "string", "line": "int", "cyclomatic": "int", "nesting": "int", "length": "int", "parameters": "int"}, [
+        ('pkg/busy.py', 'busy:1', 'busy', 1, 12, 1, 25, 6),
+    ]),
+    "code_import_edges": ({"source": "string", "target": "string"}, [
+        ('pkg/cli.py', 'pkg/signer.py'),
+    ]),
+    "code_call_edges": ({"source": "string", "target": "string", "confidence": "string"}, [
+        ('pkg/cli.py', 'pkg/signer.py', 'HIGH'),
+    ]),
+    "code_orphans": ({"path": "string"}, [
+        ('pkg/broken.py',),
+        ('pkg/busy.py',),
+    ]),
+    "code_dependency_use": ({"path": "string", "name": "string", "version": "string"}, [
+        ('a/requirements.txt', 'cryptography', '==42.0'),
+        ('a/requirements.txt', 'flask', '>=2'),
+        ('b/package.json', 'node-forge', '^1.0'),
+        ('b/package.json', 'react', '18'),
+        ('c/go.mod', 'golang.org/x/crypto', 'v0.1.0'),
+    ]),
+    "javascript_facts": ({"path": "string", "kind": "string", "name": "string"}, [
+        ('web/app.js', 'def', 'go'),
+        ('web/app.js', 'def', 'unused'),
+        ('web/app.js', 'export', 'go'),
+        ('web/app.js', 'import', './x'),
+    ]),
+    "inline_certificates": ({"path": "string", "algorithm": "string", "key_size": "int", "curve": "string", "signature_algorithm": "string", "expires_at": "string"}, [
+        ('c.pem', 'ECDSA', None, 'P-256', 'ECDSA-SHA-256', '2026-12-26T15:14:33+00:00'),
+    ]),
+    "note_key_values": ({"path": "string", "key": "string", "value": "string"}, [
+        ('n/a.md', 'owner', 'x'),
+    ]),
+    "note_links": ({"path": "string", "target": "string"}, [
+        ('n/a.md', 'n/b'),
+    ]),
+    "secret_variables": ({"path": "string", "name": "string"}, [
+        ('img', 'DB_PASSWORD'),
+    ]),
+    "repository_addresses": ({"url": "string", "owner": "string", "name": "string", "ref": "string"}, [
+        ('http://github.com/owner/name', None, None, None),
+        ('https://example.com/owner/name', None, None, None),
+        ('https://github.com/owner/..', None, None, None),
+        ('https://github.com/owner/name', 'owner', 'name', None),
+        ('https://github.com/owner/name.git', 'owner', 'name', None),
+        ('https://github.com/owner/name/tree/main', 'owner', 'name', 'main'),
+        ('https://user@github.com/owner/name', None, None, None),
+    ]),
+    "plan_missing_files": ({"path": "string"}, [
+        ('pkg/gone.py',),
+    ]),
+}

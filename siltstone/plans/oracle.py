@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.functions import rules
+from siltstone.plans import expected
 
 SYNTH = """
 SELECT CAST(((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 64 + CAST(l_quantity AS INT) % 64 AS BIGINT) AS ord, l_orderkey AS okey,
@@ -167,7 +168,8 @@ ORACLES = {
     "delta_rows": DELTA + "SELECT * FROM d",
     "delta_summary": DELTA + "SELECT change, count(*) AS n, count_if(coalesce(before_severity, '') = 'critical' OR coalesce(after_severity, '') = 'critical') AS critical FROM d GROUP BY change",
     "severity_regressions": DELTA + f"SELECT id, after_id, before_severity, after_severity FROM d WHERE change IN ('unchanged', 'changed') AND {LEVEL.format('after_severity')} > {LEVEL.format('before_severity')}",
-    "verify_status": DELTA + ", g AS (SELECT (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS resolved, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS regressions) SELECT 'REGRESSION' AS status, resolved, regressions FROM g",
+    "verify_status": DELTA + f", n AS (SELECT id, bool_or(file_path IN {names(['a/m1/f1.py', 'a/m3/f7.py', 'a-b/m0/f4.py'])}) AS t FROM a0 WHERE id NOT IN (SELECT id FROM b) GROUP BY id) SELECT 'REMAINS' AS status, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS resolved, (SELECT count(*) FROM b WHERE id IN (SELECT id FROM a)) AS remains, (SELECT count(*) FROM n WHERE t) AS regressions, (SELECT count(*) FROM n WHERE NOT t) AS unrelated_new",
+    "verify_status_replaced": DELTA + "SELECT 'REGRESSION' AS status, (SELECT count(*) FROM b) AS resolved, 0::BIGINT AS remains, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS regressions, 0::BIGINT AS unrelated_new",
     "set_difference": DELTA + "SELECT id FROM b EXCEPT SELECT id FROM a",
     "set_intersection": DELTA + "SELECT id FROM b INTERSECT SELECT id FROM a",
     "triage_overlay": E_ + ", " + TRIAGE + " SELECT ord, e.fp, coalesce(triage, 'open') AS triage FROM e LEFT JOIN t USING (fp)",
@@ -193,5 +195,27 @@ ORACLES = {
     "sarif_rules": E_ + "SELECT algorithm AS rule, arg_min(severity, ord) AS severity FROM e GROUP BY algorithm",
     "sarif_results": E_ + "SELECT ord, algorithm AS rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, greatest(1, line)::INT AS line FROM e",
     "cbom_summary": E_ + "SELECT count(*) AS total, count_if(exposed) AS exposed, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, array_to_string(list_sort(list(DISTINCT algorithm)), ',') AS algorithms FROM e",
+    "gate_critical": E_ + "SELECT count_if(severity = 'critical') > 0 AS failing, count_if(severity = 'critical') AS n FROM e",
+    "findings_flagged": E_ + f"SELECT ord, algorithm, status FROM e WHERE family IN {names(rules.QUANTUM_VULNERABLE)} AND status = 'MIGRATION_REQUIRED'",
+    "inventory_cross_linked": E_ + "SELECT family, count(*) AS findings, bool_or(scanner = 'runtime') AS runtime FROM e GROUP BY family HAVING count(*) > 1 OR bool_or(scanner = 'runtime')",
+    "scan_counts": E_ + "SELECT CAST(okey % 4 AS VARCHAR) AS scan_id, count(*) AS crypto, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(scanner = 'hsm' AND okey % 4 < 3) AS code, count(*) + count_if(scanner = 'hsm' AND okey % 4 < 3) AS total FROM e GROUP BY okey % 4",
+    "relativized_findings": f"WITH e AS MATERIALIZED ({assessed('SELECT * REPLACE (CASE okey % 3 WHEN 0 THEN concat(chr(47), chr(119), chr(47), file_path) WHEN 1 THEN concat(chr(47), chr(101), chr(108), chr(115), chr(101), chr(47), file_path) ELSE file_path END AS file_path) FROM (' + SYNTH + ')')}), n AS (SELECT *, id AS old_id, CASE okey % 3 WHEN 0 THEN 'o/r@c/' || substr(file_path, 4) WHEN 1 THEN file_path ELSE 'o/r@c/' || file_path END AS p FROM e) "
+        "SELECT ord, p AS file_path, left(sha1(concat_ws('|', scanner, p, line::VARCHAR, algorithm, category, coalesce(key_size::VARCHAR, 'None'), curve, usage)), 12) AS id, 'f' || left(sha1(concat_ws('|', scanner, p, algorithm, category, coalesce(key_size::VARCHAR, 'None'), curve, usage)), 11) AS fp, old_id FROM n",
+    "knowledge_by_direction": E_ + ", " + KNOWLEDGE + ", f AS (SELECT recommend AS direction, skill, min({'o': ord, 'p': place}) AS first FROM m JOIN e USING (ord) WHERE place <= 5 GROUP BY ALL) SELECT direction, string_agg(skill, ',' ORDER BY first.o, first.p, skill) AS skills FROM f GROUP BY direction",
     "page_paths": "SELECT page_id, CASE WHEN len(string_split(u, '/')) <= 3 THEN u ELSE '.../' || array_to_string(string_split(u, '/')[-3:], '/') END AS shown FROM (SELECT page_id, split_part(url, '?', 1) AS u FROM pages)",
 }
+
+KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def literal(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def stated(columns: dict[str, str], rows: list[tuple]) -> str:
+    """Rows as they are stated, as SQL."""
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f"SELECT {', '.join(f'CAST(c{i} AS {KINDS[k]}) AS {n}' for i, (n, k) in enumerate(columns.items()))} FROM (VALUES {body}) AS t({', '.join(f'c{i}' for i in range(len(columns)))})"
+
+
+ORACLES |= {name: stated(*e) for name, e in expected.EXPECTED.items()}

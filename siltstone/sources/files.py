@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from siltstone.operators.notes import secret_variables
 
 #: Limits of a scan and names that it passes over. Fixed values; limits are options that may be lifted.
 MAX_FILES, MAX_BYTES, MAX_MANIFESTS, SNIFF = 2000, 512 * 1024, 200, 8192
@@ -17,7 +20,7 @@ SKIPPED = [".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "buil
 TEXT_SUFFIXES = ["py", "js", "ts", "jsx", "tsx", "java", "go", "rs", "c", "h", "cpp", "cs", "rb", "php", "yaml", "yml", "toml", "ini", "cfg", "conf", "json", "xml", "properties", "env", "pem", "crt", "key", "cnf", "sh", "ps1", "tf", "dockerfile"]
 #: First bytes of executables (ELF, PE, Mach-O in its forms). Fixed values.
 MAGIC = ["7F454C46", "4D5A", "CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CAFEBABE", "CAFEBABF"]
-MAX_STRINGS, PEEK, MAX_MEMBERS, LAYER_BUDGET = 20_000, 64 * 1024, 2000, 64 << 20
+MAX_STRINGS, PEEK, MAX_LAYERS, MAX_MEMBERS, LAYER_BUDGET = 20_000, 64 * 1024, 10, 2000, 64 << 20
 
 
 def files(spark: SparkSession, root: str, *, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -43,51 +46,94 @@ def texts(found: DataFrame) -> DataFrame:
     return found.where(is_text(F.col("path"), F.col("content"))).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def binary_strings(found: DataFrame) -> DataFrame:
-    """(path, place, content): printable ASCII runs of four and more in executables, the first MAX_STRINGS of a file."""
+def binary_strings(found: DataFrame, most: int | None = MAX_STRINGS) -> DataFrame:
+    """(path, place, content): printable ASCII runs of four and more in executables, the first `most` of a file (None: all)."""
     is_binary = F.lit(False)
     for m in MAGIC:
         is_binary = is_binary | (F.hex(F.substring("content", 1, len(m) // 2)) == m)
-    runs = F.slice(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"([\x20-\x7e]{4,})"), F.lit(1)), 1, MAX_STRINGS)
-    return found.where(is_binary).select("path", F.posexplode(runs).alias("place", "content"))
+    runs = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"([\x20-\x7e]{4,})"), F.lit(1))
+    return found.where(is_binary).select("path", F.posexplode(runs if most is None else F.slice(runs, 1, most)).alias("place", "content"))
 
 
-def manifests(found: DataFrame, names: list[str]) -> DataFrame:
-    """The first MAX_MANIFESTS dependency manifests by path."""
+def manifests(found: DataFrame, names: list[str], most: int | None = MAX_MANIFESTS) -> DataFrame:
+    """The first `most` dependency manifests by path (None: all)."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     picked = found.where(name.isin(names) | name.startswith("requirements"))
-    return picked.withColumn("_n", F.row_number().over(Window.orderBy(F.split("path", "/")))).where(F.col("_n") <= MAX_MANIFESTS).drop("_n")
-
-
-def archive_members(found: DataFrame) -> DataFrame:
-    """(path, member, content): regular members of tar archives, and of tar layers in them, at most PEEK bytes each; streamed, never
-    extracted. Names that leave the archive are passed over; unreadable archives give no row."""
-
-    def members(data: bytes, above: str, depth: int, budget: list[int]) -> Iterator[tuple[str, bytes]]:
-        try:
-            with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                for k, m in enumerate(tar):
-                    if k >= MAX_MEMBERS or budget[0] <= 0:
-                        return
-                    if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
-                        continue
-                    body = tar.extractfile(m)
-                    head = body.read(min(m.size, PEEK))
-                    budget[0] -= len(head)
-                    name = f"{above}>{m.name}"
-                    if depth < 2 and (m.name.endswith((".tar", ".tgz", ".tar.gz")) or head[257:262] == b"ustar"):
-                        yield from members(head + body.read(max(0, min(m.size, budget[0]) - len(head))), name, depth + 1, budget)
-                    else:
-                        yield name, head
-        except (tarfile.TarError, EOFError, OSError):
-            return
+    if most is None:
+        return picked
+    return picked.join(picked.select("path").orderBy(F.split("path", "/")).limit(most), "path", "left_semi")
+
+
+def _read(stream, most: int | None) -> bytes:
+    return stream.read() if most is None else stream.read(max(0, most))
+
+
+def _layer(stream, above: str, most: int | None, peek: int | None, budget: int | None) -> Iterator[tuple[str, bytes]]:
+    """Regular members of a tar stream, plain or packed, in order, until it breaks off."""
+    left = budget
+    try:
+        with tarfile.open(fileobj=stream, mode="r|*") as tar:
+            for k, m in enumerate(tar):
+                if (most is not None and k >= most) or (left is not None and left <= 0):
+                    return
+                if m.isreg() and not m.name.startswith(("/", "\\")) and ".." not in m.name.split("/"):
+                    limits = [x for x in (peek, left) if x is not None]
+                    head = _read(tar.extractfile(m), min(limits) if limits else None)
+                    left = None if left is None else left - len(head)
+                    yield f"{above}>{' '.join(m.name.split())[:200]}", head
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
+        return
+
+
+def _image(data: bytes) -> tuple[bytes, list[str]] | None:
+    """(configuration, names of the layers in order) of a saved image; None if the archive is none."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
+            about = json.loads(tar.extractfile("manifest.json").read(PEEK))
+            first = about[0] if about and isinstance(about[0], dict) else {}
+            name = first.get("Config") or ""
+            config = tar.extractfile(name).read(PEEK) if name in tar.getnames() else b""
+            return config, [x for x in first.get("Layers") or [] if x and not x.startswith(("/", "\\")) and ".." not in x.split("/")]
+    except (tarfile.TarError, KeyError, ValueError, AttributeError, TypeError, OSError, EOFError):
+        return None
+
+
+def _tars(found: DataFrame) -> DataFrame:
+    return found.where(F.col("path").rlike(r"(?i)\.(tar|tgz|tar\.gz)$") | (F.decode(F.substring("content", 258, 5), "ISO-8859-1") == "ustar"))
+
+
+def archive_members(found: DataFrame, *, layers: int | None = MAX_LAYERS, members: int | None = MAX_MEMBERS, peek: int | None = PEEK, budget: int | None = LAYER_BUDGET) -> DataFrame:
+    """(path, member, content): regular members of tar archives, streamed, never extracted. Of a saved image, the members of its layers
+    in the order of its manifest. Limits: layers of an image, members and bytes of a layer, bytes of a member; None lifts one.
+    Names that leave the archive are passed over; what can be read of a broken archive counts."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                rows = list(members(bytes(content), path, 0, [LAYER_BUDGET]))
+                data, rows = bytes(content), []
+                image = _image(data)
+                if image is None:
+                    rows = list(_layer(io.BytesIO(data), path, members, peek, budget))
+                else:
+                    with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
+                        names = set(tar.getnames())
+                        for name in image[1][:layers]:
+                            if name in names and (body := tar.extractfile(name)) is not None:
+                                rows += _layer(body, f"{path}>{name}", members, peek, budget)
                 if rows:
                     yield pd.DataFrame({"path": path, "member": [r[0] for r in rows], "content": [r[1] for r in rows]})
 
-    tars = found.where(F.col("path").rlike(r"\.(tar|tgz|tar\.gz)$") | (F.decode(F.substring("content", 258, 5), "ISO-8859-1") == "ustar"))
-    return tars.select("path", "content").mapInPandas(expand, "path string, member string, content binary")
+    return _tars(found).select("path", "content").mapInPandas(expand, "path string, member string, content binary")
+
+
+def image_secrets(found: DataFrame) -> DataFrame:
+    """Findings of variables in the configuration of saved images whose names look secret; their values never leave."""
+
+    def configs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            images = [(p, _image(bytes(c))) for p, c in zip(b["path"], b["content"], strict=True)]
+            yield pd.DataFrame([(p, i[0].decode("utf-8", "replace")) for p, i in images if i], columns=["path", "config"])
+
+    names = secret_variables(_tars(found).select("path", "content").mapInPandas(configs, "path string, config string"))
+    return names.select(F.concat("path", F.lit(">config")).alias("file_path"), F.lit(0).alias("line"), F.lit("ENV-SECRET").alias("algorithm"), F.lit("key").alias("category"), F.lit(0.6).alias("confidence"),
+                        F.lit("container config reference").alias("usage"), F.concat(F.lit("ENV "), F.substring("name", 1, 64), F.lit(" present in image config (value withheld)")).alias("evidence"))

@@ -139,7 +139,7 @@ def test_store_and_history(spark, tmp_path):
     ("inline_certificates", [("c.pem", "ECDSA", None, "P-256", "ECDSA-SHA-256")]),
     ("note_key_values", [("n/a.md", "owner", "x")]),
     ("note_links", [("n/a.md", "n/b")]),
-    ("secret_variables", [("img", "API_KEY"), ("img", "DB_PASSWORD")]),
+    ("secret_variables", [("img", "DB_PASSWORD")]),
     ("plan_missing_files", [("pkg/gone.py",)]),
 ])
 def test_inline_queries(spark, name, rows):
