@@ -659,3 +659,21 @@ def test_pipeline(spark, docs, labels):
     copies = {r.doc_id: r.copies for r in mixing.mix(seen[2]).collect() if r.copies}
     assert Counter(r.doc_id for r in seen[3].collect()) == Counter(copies)
     assert sum(r.length for r in now.collect()) == sum(r.n_tokens for r in pfor.token_files(seen[3]).collect())
+
+
+def test_pipeline_odd_rows(spark, odd):
+    """Nulls, empty, long and repeated rows, and clashing columns come through each stage; an empty table stays empty."""
+    import corpus_pipeline as cp
+
+    rows = odd.withColumns({"lang": F.lit("x"), "n_chars": F.length("text").cast("long")})
+    scratch, now, seen = Scratch(spark, "p"), rows, []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        now = scratch.keep(stage(spark, now, SF), f"s{k}")
+        seen.append(now)
+        assert k == 4 or tuple(now.columns) == cp.COLUMNS
+    assert seen[0].count() == len(ODD)
+    ids = Counter(r.doc_id for r in seen[1].collect())
+    assert ids[None] == 2 and ids[1] == 2 and ids[2] + ids[3] == 1
+    assert all(r.text for r in seen[3].collect()) and now.count() >= seen[3].count()
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert stage(spark, rows.limit(0), SF).collect() == []
