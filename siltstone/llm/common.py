@@ -108,8 +108,9 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
     return run
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000) -> Iterator[pa.Table]:
-    """Regroups a partition that is sorted by key into tables of `rows` rows or more, so that no run of equal keys is cut."""
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000, most: int | None = None) -> Iterator[pa.Table]:
+    """Regroups a partition that is sorted by key into tables of `rows` rows or more, so that no run of equal keys is cut; but a
+    table of `most` rows or more, if that is given, may end within a run."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -122,6 +123,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000)
             if len(other):
                 yield pa.Table.from_batches([*held, b.slice(0, int(other[0]))])
                 held, n, b = [], 0, b.slice(int(other[0]))
+            elif most is not None and n >= most:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
         held.append(b)
         n += b.num_rows
     if held:

@@ -22,4 +22,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pareto_mix, op2_hilbert_search, op3_license_scan, op4_toxicity, op5_strip_repeats, op6_simhash_components, op7_tool_call_chats, op8_quality_rules, op9_token_files, op10_pack_patterns)
 }
 
-ORACLES: dict[str, str] = {}
+#: All strings of 100 bytes, in hexadecimal, from pieces of a text that overlap; runs of those that start earlier as well are cut out.
+STRIP_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+starts AS (SELECT doc_id, h, n, unnest(range(0, n - 99, 1000)) AS b FROM sized WHERE n >= 100),
+pieces AS (SELECT doc_id, b, least(1000, n - 99 - b) AS many, substr(h, 2 * b + 1, 2198) AS s FROM starts),
+places AS (SELECT doc_id, b, s, unnest(range(0, many)) AS j FROM pieces),
+strings AS (SELECT doc_id, b + j AS i, md5_number(substr(s, 2 * j + 1, 200)) AS m FROM places),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+edges AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+        FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM sized LEFT JOIN cut USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op5_strip_repeats": STRIP_SQL}

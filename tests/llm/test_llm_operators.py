@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -336,6 +337,30 @@ def test_strip_repeats(docs):
     assert got == stripped(sorted((r.doc_id, r.text) for r in docs.collect()))
 
 
+@pytest.mark.parametrize("length", [30, 100])
+def test_strip_splits_frequent_grams(spark, length):
+    """One passage between many different neighbours: its gram has more contexts than may meet, so parts and windows do."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7)))
+    passage = " ".join(word() for _ in range(24))
+    cuts = [passage[rnd.randint(0, 20) : len(passage) - rnd.randint(0, 20)] for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(rnd.randint(0, 9))] + [c] * rnd.randint(1, 2) + [word() for _ in range(rnd.randint(0, 30))])) for i, c in enumerate(cuts)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    got = suffixes.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=length, meet=2).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == stripped(rows, length)
+
+
+def test_strip_cuts_long_runs():
+    """A run that is cut for memory: equal contexts still settle with the first one, and what is left is split."""
+    rows = sorted((g, c, k) for g, c, k in [(1, 5, k) for k in range(9)] + [(1, 6, k) for k in range(4)] + [(2, 1, 0), (3, 1, 0), (3, 2, 1)])
+    spot = lambda k: (k << 24) | (1 << 12)
+    batches = [pa.RecordBatch.from_pydict({"gram": [g], "context": [c], "key": [k], "spot": [spot(k)], "stop": [0]}) for g, c, k in rows]
+    out = [r for b in suffixes._sorted_out(iter(batches), 100, 50, held=3) for r in b.to_pylist()]
+    assert sorted((r["gram"], r["key"]) for r in out if r["stop"] == -1 and r["gram"] == 1) == [(1, 0), (1, 0)]
+    assert sorted(r["key"] for r in out if r["stop"] > 0) == sorted([*range(1, 9), *range(1, 4)])
+    assert {(r["gram"], r["key"]) for r in out if r["stop"] <= 0 and r["gram"] == 3} == {(3, 0), (3, 1)}
+
+
 def test_strip_odd_rows(odd):
     rows = suffixes.strip_repeats(odd, carry=("source",)).collect()
     want = stripped(sorted(((i, t) for i, t, _ in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")))
