@@ -194,9 +194,7 @@ def keyword_search(spark, d):
 
 @query
 def budgeted_context(spark, d):
-    found = search.search(_notes(spark, d), "The tion", 20)
-    ranked = found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("path"))))
-    return search.within_budget(ranked, ["place"], "snippet", 1000).select("path", "chunk")
+    return search.context(_notes(spark, d), "The tion", n=20)
 
 
 @query

@@ -185,7 +185,9 @@ ORACLES = {
     "blast_radius": E_ + ", " + EDGES + " SELECT node, arg_min(relation, CASE relation WHEN 'contains' THEN 0 WHEN 'same-artifact' THEN 1 WHEN 'uses' THEN 2 WHEN 'instance-of' THEN 3 WHEN 'same-library' THEN 4 WHEN 'runtime-observed' THEN 5 ELSE 6 END) AS bucket FROM (SELECT target AS node, relation FROM ed WHERE source = 'library:lib3' UNION ALL SELECT source, relation FROM ed WHERE target = 'library:lib3') GROUP BY node",
     "path_directories": E_ + "SELECT DISTINCT CASE WHEN i = 1 THEN '' ELSE array_to_string(string_split(file_path, '/')[:i - 1], '/') END AS parent, array_to_string(string_split(file_path, '/')[:i], '/') AS child FROM (SELECT DISTINCT file_path FROM e), unnest(range(1, 4)) AS t(i)",
     "keyword_search": SEARCH,
-    "budgeted_context": f"WITH s AS ({SEARCH}), r AS (SELECT *, coalesce(sum(length(snippet)) OVER (ORDER BY score DESC, path DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM s) SELECT path, left(snippet, CAST(greatest(0, 1000 - prev) AS BIGINT)) AS chunk FROM r WHERE length(left(snippet, CAST(greatest(0, 1000 - prev) AS BIGINT))) > 0",
+    "budgeted_context": f"""WITH s AS ({SEARCH}), w AS (SELECT row_number() OVER (ORDER BY score DESC, path DESC)::INT AS place, path, concat(chr(10), '## ', path, chr(10), left(text, 1500), chr(10)) AS whole
+ FROM s JOIN documents ON path = doc_id::VARCHAR), r AS (SELECT *, 4000 - length('# Task' || chr(10) || 'The tion' || chr(10)) - coalesce(sum(length(whole)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM w)
+ SELECT place, path, left(whole, CAST(budget AS BIGINT)) AS chunk FROM r WHERE budget > 0""",
     "history_index": "SELECT user_id, count(*) AS scans, max(event_id) AS latest FROM events GROUP BY user_id",
     "retention_newest_n": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 500",
     "previous_scan": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events",
