@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, bwt, chat, licenses, mixing, packing, pfor, quality, simhash, suffixes, tokens, toxicity
+from siltstone.llm import ann, bwt, chat, licenses, mixing, packing, pfor, quality, queries, simhash, suffixes, tokens, toxicity
 from siltstone.llm.components import components
 from siltstone.llm.common import Scratch
 from siltstone.llm.pipeline_steps import readable
@@ -337,6 +338,14 @@ def test_strip_repeats(docs):
     assert got == stripped(sorted((r.doc_id, r.text) for r in docs.collect()))
 
 
+def test_strip_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    found = queries.QUERIES["op5_strip_repeats"](spark, SF)
+    want = con.sql(queries.ORACLES["op5_strip_repeats"])
+    assert found.columns == want.columns and sorted(tuple(r) for r in found.collect()) == sorted(want.fetchall())
+
+
 @pytest.mark.parametrize("length", [30, 100])
 def test_strip_splits_frequent_grams(spark, length):
     """One passage between many different neighbours: its gram has more contexts than may meet, so parts and windows do."""
