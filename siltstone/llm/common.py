@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -103,11 +104,18 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
             for part in portions(b):
                 if (out := f(part)) is not None:
                     yield out
-        pa.default_memory_pool().release_unused()  # a worker serves many tasks
+        release()
 
     return run
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the machine: a worker serves many tasks, and waits between them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000, most: int | None = None) -> Iterator[pa.Table]:
     """Regroups a partition that is sorted by key into tables of `rows` rows or more, so that no run of equal keys is cut; but a
     table of `most` rows or more, if that is given, may end within a run."""
@@ -130,6 +138,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000,
         n += b.num_rows
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    release()
 
 
 def free(spark: SparkSession) -> None:

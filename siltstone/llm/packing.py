@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import Scratch, load, portions
+from siltstone.llm.common import Scratch, load, portions, release
 from siltstone.llm.tokens import encode_ended, encoder, word_bpe_path
 
 #: Partners tried for each length when patterns of three are listed, and passes of the least-squares fit.
@@ -125,6 +125,7 @@ def cut_pieces(df: DataFrame, *, id_col: str, text_col: str, end_id: int, capaci
                 [b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(place)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
         encoder(tokenizer).forget()
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long")

@@ -16,8 +16,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: The normal form and the cut into pre-tokens that the quick way below presumes. Fixed values.
 NORMAL = ["NFC", {"Replace": [r"\s+", " "]}, "Lowercase"]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that a worker remembers at most; beyond, it forgets all and starts anew.
-REMEMBERED = 1_500_000
+#: Words that a worker remembers, about, before it forgets all and starts anew.
+REMEMBERED = 1_000_000
 
 
 def word_bpe_path() -> str:
@@ -45,7 +45,7 @@ class Encoder:
         rest = [b for b in range(256) if b not in printable]
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # byte-level alphabet
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _presumed(self) -> bool:
         """Whether the file's normaliser, pre-tokenizer and model are those that the quick way is right for."""
@@ -61,17 +61,18 @@ class Encoder:
 
     def forget(self) -> None:
         """A worker serves many tasks; what one has learnt must not stay in its memory."""
-        self.chunks, self.pieces = {}, {"": b""}
+        self.chunks, self.marks = {}, {"": b""}
 
-    def _piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
+    def _piece(self, piece: str, known: dict[str, bytes]) -> bytes:
+        if (ids := known.get(piece)) is None:
             level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_chars)
-            ids = self.pieces[piece] = np.array([t.id for t in self.library.model.tokenize(level)], "<u4").tobytes()
+            ids = known[piece] = np.array([t.id for t in self.library.model.tokenize(level)], "<u4").tobytes()
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if m := PLAIN.fullmatch(chunk):
-            return self._piece(m[1].lower()) + self._piece(m[2])
+        if m := PLAIN.fullmatch(chunk):  # letters alone are a chunk as well, so both are remembered in one place
+            letters = self._piece(m[1].lower(), self.chunks)
+            return letters + self._piece(m[2], self.marks) if m[2] else letters
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ class Encoder:
             return np.fromiter((i for x in some for i in x), np.uint32, int(n.sum())), n
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
-        if len(self.chunks) + len(self.pieces) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self.forget()
         known, found = self.chunks, []
         for chunk in coded.dictionary.to_pylist():
