@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +23,35 @@ CODES = [(23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1), (3,
 PAIRWISE = 8
 
 
+def few_bits(bits: int, most: int) -> np.ndarray:
+    """All values of `bits` bits of which `most` are set at most, in ascending order."""
+    return np.array(sorted(sum(1 << i for i in some) for k in range(most + 1) for some in itertools.combinations(range(bits), k)), np.int64)
+
+
 @functools.cache
-def remainders(bits: int, poly: int) -> np.ndarray:
-    """Of each value of a block, modulo the code's generator."""
-    rest, degree = np.arange(1 << bits, dtype=np.int64), poly.bit_length() - 1
-    for bit in range(bits - 1, degree - 1, -1):
-        rest ^= ((rest >> bit) & 1) * (poly << (bit - degree))
-    return rest.astype(np.int32)
+def halves(bits: int, poly: int) -> tuple[np.ndarray, np.ndarray]:
+    """Remainders of the values of a block's low 12 bits, and of those above; a whole table of 23 bits would take 32 MB a worker."""
+    out = []
+    for low, high in ((0, min(bits, 12)), (12, max(bits, 12))):
+        rest, degree = np.arange(1 << (high - low), dtype=np.int64) << low, poly.bit_length() - 1
+        for bit in range(bits - 1, degree - 1, -1):
+            rest ^= ((rest >> bit) & 1) * (poly << (bit - degree))
+        out.append(rest.astype(np.int32))
+    return tuple(out)
+
+
+def remainders(values: np.ndarray, bits: int, poly: int) -> np.ndarray:
+    """Of values of a block, modulo the code's generator; the code is linear, so halves add up."""
+    low, high = halves(bits, poly)
+    return low[values & 0xFFF] ^ high[values >> 12]
 
 
 @functools.cache
 def leaders(bits: int, poly: int, radius: int) -> np.ndarray:
     """The one error within the radius that has a given remainder."""
-    near = np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= radius)
+    near = few_bits(bits, radius)
     out = np.zeros(1 << (poly.bit_length() - 1), np.int64)
-    out[remainders(bits, poly)[near]] = near
+    out[remainders(near, bits, poly)] = near
     return out
 
 
@@ -49,11 +64,10 @@ def offsets(code: tuple[int, int, int], extra: int) -> tuple[np.ndarray, np.ndar
     needs begin (a row per remainder; the last column is its end).
     """
     bits, poly, _ = code
-    rest, leader = remainders(bits, poly), leaders(*code)
-    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= extra)
+    leader, flips = leaders(*code), few_bits(bits, extra)
     need = np.bitwise_count(flips.astype(np.uint32)).astype(np.int64)
     r = np.arange(len(leader))[:, None]
-    found = flips[None, :] ^ leader[r ^ rest[flips][None, :]]
+    found = flips[None, :] ^ leader[r ^ remainders(flips, bits, poly)[None, :]]
     key = np.unique(((np.broadcast_to(r, found.shape) << 32) | (found << 4) | need[None, :]).ravel())
     key = key[np.concatenate([[True], (key[1:] >> 4) != (key[:-1] >> 4)])]
     remainder, differ, need = key >> 32, (key >> 4) & ((1 << 28) - 1), key & 15
@@ -67,7 +81,7 @@ def blocks(prints: np.ndarray) -> list[tuple[tuple[int, int, int], np.uint64, np
     out, at = [], 0
     for code in CODES:
         part = (prints >> np.uint64(at)) & np.uint64((1 << code[0]) - 1)
-        out.append((code, np.uint64(at), remainders(*code[:2])[part.astype(np.int64)]))
+        out.append((code, np.uint64(at), remainders(part.astype(np.int64), *code[:2])))
         at += code[0]
     return out
 
