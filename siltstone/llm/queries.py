@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.ann import op2_hilbert_search
+from siltstone.llm.bitsliced import op12_bit_sliced_search
 from siltstone.llm.chat import op7_tool_call_chats
 from siltstone.llm.licenses import op3_license_scan
 from siltstone.llm.mixing import op1_pareto_mix
+from siltstone.llm.negatives import op11_hard_negatives
 from siltstone.llm.packing import op10_pack_patterns
 from siltstone.llm.pfor import op9_token_files
 from siltstone.llm.quality import op8_quality_rules
+from siltstone.llm.resampling import op13_importance_resample
 from siltstone.llm.simhash import op6_simhash_components
 from siltstone.llm.suffixes import op5_strip_repeats
 from siltstone.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pareto_mix, op2_hilbert_search, op3_license_scan, op4_toxicity, op5_strip_repeats, op6_simhash_components, op7_tool_call_chats, op8_quality_rules, op9_token_files, op10_pack_patterns)
+    for f in (op1_pareto_mix, op2_hilbert_search, op3_license_scan, op4_toxicity, op5_strip_repeats, op6_simhash_components, op7_tool_call_chats, op8_quality_rules, op9_token_files, op10_pack_patterns, op11_hard_negatives,
+              op12_bit_sliced_search, op13_importance_resample)
 }
 
 #: All strings of 100 bytes, in hexadecimal, from pieces of a text that overlap; runs of those that start earlier as well are cut out.
