@@ -146,6 +146,26 @@ def language(path: Column) -> Column:
     return F.when(ext == "py", "python").when(ext.isin("js", "jsx", "ts", "tsx", "mjs", "cjs"), "javascript").otherwise("other")
 
 
+def normal_path(path: Column) -> Column:
+    """A path without empty, `.` and `..` segments: a fold with the segments so far as its stack; `..` at the top stays there."""
+    stack = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda held, p: F.when(p.isin("", "."), held).when(
+        p == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(p))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(stack, "/"))
+
+
+def inside(path: Column, root: Column) -> Column:
+    """Whether a normal path is a normal root or lies below it; `/ab` does not lie below `/a`."""
+    return (path == root) | path.startswith(F.concat(F.regexp_replace(root, "/$", ""), F.lit("/")))
+
+
+def jailed(path: Column, root: Column, longest: int = 1024) -> Column:
+    """The normal form of a path, relative to the root unless absolute; null if it is blank or too long, climbs by `..`, or leaves the root."""
+    top = normal_path(root)
+    whole = normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(root, F.lit("/"), path)))
+    safe = (F.trim(path) != "") & (F.length(path) <= longest) & ~F.array_contains(F.split(path, "/"), "..") & inside(whole, top)
+    return F.when(safe, whole)
+
+
 def strategy(name: Column, category: Column, usage: Column) -> Column:
     """Which validator fits a finding: tls, runtime, or none."""
     base = base_algorithm(name)

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Widths of windows, least lines of content, most findings. Fixed values.
 WIDTHS, LEAST_LINES, MOST = (12, 8, 6), 6, 100
 
 
-def normalised(lines: Column, near: bool) -> Column:
-    """Lines without blank and comment lines, trimmed; for near duplicates numbers and strings are masked. Joined by line feeds."""
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    kept = F.filter(trimmed, lambda x: (x != "") & ~x.rlike("^(#|//|\\*)"))
-    if near:
-        kept = F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, r"\b[0-9]+\b", "0"), "\"[^\"]*\"|'[^']*'", "''"))
-    return F.array_join(kept, "\n")
+def normalised(line: Column, near: bool) -> Column:
+    """A line without white space around it; null if nothing is left or it is a comment. For near duplicates numbers and strings are masked."""
+    text = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    kept = F.when((text != "") & ~text.startswith("#") & ~text.startswith("//"), text)
+    return F.regexp_replace(F.regexp_replace(kept, r"(?U)\b0x[0-9a-fA-F]+\b|\b\d+(\.\d+)?\b", "<NUM>"), "'[^']*'|\"[^\"]*\"", "<STR>") if near else kept
 
 
 def windows(texts: DataFrame, near: bool = False, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(path, start, width, key) of windows of lines with enough content; the key is a digest."""
-    lined = texts.select("path", F.split("text", "\n").alias("lines"))
-    out = None
-    for w in widths:
-        at = lined.where(F.size("lines") >= w).select("path", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - w + 1)).alias("start"))
-        body = at.select("path", "start", F.lit(w).alias("width"), normalised(F.slice("lines", F.col("start"), w), near).alias("body"))
-        out = body if out is None else out.unionByName(body)
-    enough = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1 >= LEAST_LINES
-    return out.where(enough).select("path", "start", "width", F.concat(F.lit("near" if near else "exact"), F.substring(F.sha1("body"), 1, 16)).alias("key"))
+    """(path, start, width, key) of windows of lines with enough content; the key is a digest.
+
+    A line is normalised once. A row is exploded to its windows of all widths, each with its own lines only, so that what is
+    written grows with the text and not with its square.
+    """
+    lined = texts.select("path", F.transform(F.split("text", "\n"), lambda x: normalised(x, near)).alias("lines"))
+    cut = lambda w: F.when(F.size("lines") >= w, F.transform(F.sequence(F.lit(1), F.size("lines") - w + 1), lambda i: F.struct(
+        i.alias("start"), F.lit(w).alias("width"), F.array_compact(F.slice("lines", i, w)).alias("kept"))))
+    rows = reduce(DataFrame.unionByName, [lined.select("path", F.explode(cut(w)).alias("w")) for w in widths]).select("path", "w.*").where(F.size("kept") >= LEAST_LINES)
+    return rows.select("path", "start", "width", F.concat(F.lit("near" if near else "exact"), F.substring(F.sha1(F.array_join("kept", "\n")), 1, 16)).alias("key"))
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -39,17 +41,35 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def cover(candidates: DataFrame, most: int | None = MOST) -> DataFrame:
-    """Widest first, those whose start no accepted one of the same file covers. A file's candidates are handled in order, one after
-    the other, which has no form in SQL."""
+    """Widest first, then by key, those whose start no accepted one of the same file covers; None lifts the limit.
+
+    Whether a window is accepted hangs only on windows that begin at most the greatest width before it. A file's candidates are thus cut where as
+    many lines have none, and each such run is a group of its own. In a run the lines that accepted windows cover are marks by place, so a
+    candidate asks for one mark, however many were accepted.
+    """
+    at = Window.partitionBy("path").orderBy("start")
+    apart = F.col("start") - F.lag("start").over(at) > max(WIDTHS)
+    runs = candidates.withColumn("_run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(at))
 
     def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans, keep = [], []
-        for r in pdf.sort_values(["width", "key"], ascending=[False, True]).itertuples():
-            if not any(a <= r.start <= b for a, b in spans):
-                spans.append((r.start, r.start + r.width))
-                keep.append(r.Index)
-        return pdf.loc[keep]
+        pdf = pdf.sort_values(["width", "key"], ascending=[False, True])
+        first = int(pdf["start"].min())
+        marks, keep = bytearray(int((pdf["start"] + pdf["width"]).max()) - first + 1), []
+        for k, (start, width) in enumerate(zip(pdf["start"].tolist(), pdf["width"].tolist(), strict=True)):
+            if not marks[start - first]:
+                marks[start - first : start - first + width + 1] = b"\1" * (width + 1)
+                keep.append(k)
+        return pdf.iloc[keep].drop(columns="_run")
+
+    kept = runs.groupBy("path", "_run").applyInPandas(accept, candidates.schema)
+    return kept if most is None else kept.orderBy(F.desc("width"), "key").limit(most)
 
-    kept = candidates.groupBy("path").applyInPandas(accept, candidates.schema)
-    return kept.orderBy(F.desc("width"), "key").limit(most) if most else kept
 
+def findings(texts: DataFrame, most: int | None = MOST) -> DataFrame:
+    """(path, line, name, category, title, confidence, impact, effort, risk): a finding for each window of the cover, exact and near together."""
+    found = windows(texts).unionByName(windows(texts, True))
+    kept = cover(repeated(found), most)
+    cross, near = F.col("files") > 1, F.col("key").startswith("near")
+    title = F.concat(F.when(near, "Near-duplicate").otherwise("Duplicate"), F.lit(" block ("), F.col("occurrences").cast("string"), F.lit("×, ~"), F.col("width").cast("string"), F.lit(" lines)"))
+    return kept.select("path", F.col("start").alias("line"), F.lit("").alias("name"), F.lit("DUPLICATION").alias("category"), title.alias("title"), F.when(cross & ~near, "MEDIUM").otherwise("LOW").alias("confidence"),
+                       F.when(cross, "MEDIUM").otherwise("LOW").alias("impact"), F.lit("MEDIUM").alias("effort"), F.lit("MEDIUM").alias("risk"))

@@ -110,9 +110,25 @@ def triaged(enriched: DataFrame, triage: DataFrame) -> DataFrame:
     return enriched.join(triage, "fp", "left").withColumn("triage", F.coalesce("triage", F.lit("open")))
 
 
+#: States of triage, what older names became, reasons that a suppression may have. Fixed values.
+TRIAGE = ["open", "triaged", "planned", "in_progress", "fixed", "verified", "suppressed"]
+OLD_TRIAGE = {"reviewed": "triaged", "resolved": "verified"}
+REASONS = ["false-positive", "intentional-architecture", "accepted-risk", "not-applicable", "duplicate", "deferred", "other"]
+
+
 def migrated_triage(state: F.Column) -> F.Column:
-    """Old names of triage states."""
-    return F.when(state == "ignored", "suppressed").when(state == "fixed", "resolved").otherwise(state)
+    """The state's name of today."""
+    out = state
+    for old, new in OLD_TRIAGE.items():
+        out = F.when(state == old, new).otherwise(out)
+    return out
+
+
+def triage_fault(state: F.Column, fingerprint: F.Column, reason: F.Column) -> F.Column:
+    """Why an entry (state as migrated) can't be recorded; null if it can."""
+    return (F.when(~F.coalesce(state.isin(TRIAGE), F.lit(False)), F.concat(F.lit("unknown triage status '"), F.coalesce(state, F.lit("")), F.lit("'")))
+            .when((F.coalesce(fingerprint, F.lit("")) == "") | (F.length(fingerprint) > 64), "fingerprint is required")
+            .when((state == "suppressed") & ~F.coalesce(reason.isin(REASONS), F.lit(False)), "suppression requires a reason"))
 
 
 def validation_rollup(enriched: DataFrame, results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import exprs
+from siltstone.sources.shared import fresh
 
 #: Columns on which two findings are the same.
 IDENTITY = ["scanner", "file_path", "line", "algorithm", "category", "key_size", "mode", "library", "curve", "usage"]
@@ -54,15 +55,18 @@ def urgency_places(findings: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds the place of each row in a total order, from 1, without bringing the rows to one task.
 
-    Rows are cut by sampled ranges of the order's first values; a row's place is its place in its range plus the sizes of the
-    ranges before, of which there is one row each.
+    Rows are sorted by sampled ranges and written once, in the shared folder: evaluated twice, a sort by range may cut its ranges at other
+    places. A row's place is its place in its range plus the sizes of the ranges before, of which there is one row each.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_place", inside).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh(spark, "numbered")
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_m", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))  # at most n rows
+    place = F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(base), "_part").withColumn(name, place.cast("long")).drop("_part", "_m", "_before")
 
 
 def top(findings: DataFrame, n: int = 5) -> DataFrame:

@@ -160,9 +160,9 @@ def graph_diff(spark, d):
 @query
 def triage_overlay(spark, d):
     e = score.enrich(synthetic_findings(spark, d))
-    states = F.array(*map(F.lit, ("open", "acknowledged", "in_progress", "fixed", "suppressed", "ignored", "resolved")))
-    place = F.row_number().over(Window.orderBy("fp"))
-    recorded = e.where("scanner = 'hsm'").select("fp").distinct().select("fp", relate.migrated_triage(F.element_at(states, (place % 7 + 1).cast("int"))).alias("triage"))
+    states = F.array(*map(F.lit, ("open", "reviewed", "planned", "in_progress", "fixed", "resolved", "suppressed")))
+    place = F.conv(F.substring("fp", 2, 4), 16, 10).cast("int") % 7
+    recorded = e.where("scanner = 'hsm'").select("fp").distinct().select("fp", relate.migrated_triage(F.element_at(states, place + 1)).alias("triage"))
     return relate.triaged(e, recorded).select("ord", "fp", "triage")
 
 
@@ -230,13 +230,6 @@ def duplicate_windows_masked(spark, d):
     return duplication.windows(_notes(spark, d), True)
 
 
-@query
-def duplicate_cover(spark, d):
-    notes = _notes(spark, d)
-    found = duplication.windows(notes).unionByName(duplication.windows(notes, True))
-    return duplication.cover(duplication.repeated(found), None)
-
-
 on_findings("sarif_rules", report.sarif_rules)
 on_findings("sarif_results", report.sarif_results)
 on_findings("cbom_summary", report.cbom_summary)

@@ -124,14 +124,14 @@ EDGES = RELATED + """, ed AS (SELECT DISTINCT * FROM (SELECT 'artifact:' || file
 WINDOWS = """WITH w AS (SELECT doc_id, s AS start, {w} AS width, list_aggregate([{body} FOR x IN lines[s:s + {w} - 1] IF {keep}], 'string_agg', chr(10)) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) d, unnest(range(1, greatest(len(lines) - {w} + 2, 1))) AS t(s) WHERE len(lines) >= {w})
  SELECT doc_id::VARCHAR AS path, CAST(start AS INT) AS start, CAST(width AS INT) AS width, '{kind}' || left(sha1(body), 16) AS key FROM w WHERE length(body) - length(replace(body, chr(10), '')) + 1 >= 6"""
 STRIPPED = "regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
-KEPT = f"{STRIPPED} <> '' AND NOT regexp_matches({STRIPPED}, '^(#|//|\\*)')"
-MASKED = f"regexp_replace(regexp_replace({STRIPPED}, '\\b[0-9]+\\b', '0', 'g'), '\"[^\"]*\"|''[^'']*''', '''''', 'g')"
+KEPT = f"{STRIPPED} <> '' AND NOT regexp_matches({STRIPPED}, '^(#|//)')"
+MASKED = f"regexp_replace(regexp_replace({STRIPPED}, '\\b0x[0-9a-fA-F]+\\b|\\b\\d+(\\.\\d+)?\\b', '<NUM>', 'g'), '\"[^\"]*\"|''[^'']*''', '<STR>', 'g')"
 STRATEGY = f"""CASE WHEN usage = 'dependency integrity metadata' THEN 'none' WHEN category IN ('certificate', 'protocol') OR (base IN {names(rules.TLS_NAMES)} AND category IN ('certificate', 'protocol', 'key')) THEN 'tls'
  WHEN category IN ('library', 'symmetric', 'asymmetric', 'hash') AND base NOT IN ('UNKNOWN', '') THEN 'runtime' WHEN category = 'dependency' THEN 'runtime' ELSE 'none' END"""
 SCORE = "(CASE WHEN contains(lower(doc_id::VARCHAR), 'the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(doc_id::VARCHAR), 'tion') THEN 3 ELSE 0 END + (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4)::BIGINT"
 SEARCH = f"""SELECT {SCORE} AS score, doc_id::VARCHAR AS path, left(regexp_replace(coalesce([x FOR x IN string_split(text, chr(10)) IF contains(lower(x), 'the') OR contains(lower(x), 'tion')][1], ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), 160) AS snippet
  FROM documents WHERE {SCORE} > 0 ORDER BY score DESC, path DESC, snippet DESC LIMIT 20"""
-TRIAGE = "t AS (SELECT fp, CASE rank % 7 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'resolved' WHEN 4 THEN 'suppressed' WHEN 5 THEN 'suppressed' ELSE 'resolved' END AS triage FROM (SELECT fp, row_number() OVER (ORDER BY fp) AS rank FROM (SELECT DISTINCT fp FROM e WHERE scanner = 'hsm')))"
+TRIAGE = "t AS (SELECT fp, ['open', 'triaged', 'planned', 'in_progress', 'fixed', 'verified', 'suppressed'][('0x' || fp[2:5])::INT % 7 + 1] AS triage FROM (SELECT DISTINCT fp FROM e WHERE scanner = 'hsm'))"
 
 ORACLES = {
     "line_rule_hits": line_hits("documents", "doc_id::VARCHAR", "text"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -12,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import exprs
 from siltstone.operators.notes import secret_variables
 
 #: Limits of a scan and names that it passes over. Fixed values; limits are options that may be lifted.
@@ -23,16 +26,59 @@ MAGIC = ["7F454C46", "4D5A", "CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CA
 MAX_STRINGS, PEEK, MAX_LAYERS, MAX_MEMBERS, LAYER_BUDGET = 20_000, 64 * 1024, 10, 2000, 64 << 20
 
 
-def files(spark: SparkSession, root: str, *, max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, content, length) of the files under a folder: size filter pushed to the listing, skipped folders left out, the first
-    max_files by component-wise path order (None: all)."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
+def listing(spark: SparkSession, root: str, *, max_bytes: int | None = MAX_BYTES, skipped: list[str] | None = None, languages: list[str] | None = None, since=None) -> DataFrame:
+    """(path, length, modified) of the files under a folder, from names and sizes alone: no content is read. Left out are skipped folders, symbolic
+    links and what lies behind them, files of more than max_bytes (None: none), of other languages, and those not modified after `since`."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    found = found if since is None else found.where(F.col("modified") > F.lit(since))
     parts = F.split("path", "/")
-    found = found.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))).select("path", "content", "length")
-    if max_files is None:
-        return found
-    first = found.select("path").orderBy(parts).limit(max_files)
-    return found.join(first, "path", "left_semi")
+    found = found.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED if skipped is None else skipped))))
+    found = found if languages is None else found.where(exprs.language(F.col("path")).isin(languages))
+    return found.where(~_behind_link(root)(F.col("path")))
+
+
+def _behind_link(root: str):
+    """Whether a file of a local folder is a symbolic link or lies behind one; stores without links have none."""
+    local = lambda p: re.sub("^file:(//)?(?=/)", "", p)
+    top = local(root).rstrip("/")
+
+    def linked(p: str) -> bool:
+        p = local(p)
+        return p.startswith(top + "/") and os.path.realpath(p) != os.path.join(os.path.realpath(top), p[len(top) + 1 :])
+
+    @F.pandas_udf("boolean")
+    def behind(path: pd.Series) -> pd.Series:
+        return path.map(linked).astype(bool)
+
+    return behind.asNondeterministic()  # so that a join does not copy the condition to the side that holds contents
+
+
+def contents(spark: SparkSession, root: str, listed: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, content, length) of listed files. Size and skipped folders are conditions on the files' own metadata, so that the scan never opens
+    what they rule out; the listing settles the rest by a semi-join."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    folders = "|".join(re.escape(n) for n in SKIPPED)
+    found = found.where(~F.col("_metadata.file_path").rlike(f"/({folders})/")).select("path", "content", "length")
+    return found.join(listed.select("path"), "path", "left_semi")
+
+
+def files(spark: SparkSession, root: str, *, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, content, length) of the files under a folder: those listed, the first max_files by component-wise path order (None: all)."""
+    listed = listing(spark, root, max_bytes=max_bytes)
+    if max_files is not None:
+        listed = listed.select("path").orderBy(F.split("path", "/")).limit(max_files)
+    return contents(spark, root, listed, max_bytes)
+
+
+def changed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, change) between two listings: added, removed, or modified by length or time; a full join by path."""
+    old = before.select("path", F.col("length").alias("l"), F.col("modified").alias("m"), F.lit(True).alias("was"))
+    both = now.select("path", "length", "modified", F.lit(True).alias("is")).join(old, "path", "full")
+    same = (F.col("length") == F.col("l")) & (F.col("modified") == F.col("m"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~same, "modified")
+    return both.select("path", change.alias("change")).where("change is not null")
 
 
 def is_text(path: Column, content: Column) -> Column:
