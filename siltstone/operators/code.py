@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
 from siltstone.operators.score import limit_per
-from siltstone.operators.structure import STANDARD, overlapping_configs, stem_of
+from siltstone.operators.structure import STANDARD, first_path, overlapping_configs, resolved_imports, stem_of
 
 #: Thresholds of complexity, calls that cost in a loop, receivers that make get and post a request, signs of dynamic code. Fixed values.
 CYCLOMATIC, NESTING, LENGTH, PARAMETERS = 10, 4, 80, 6
@@ -20,6 +20,7 @@ COSTLY_METHODS = ["read", "readlines", "read_text", "loads", "load", "dumps", "d
 NETWORK = ["requests", "session", "http", "client", "api", "urllib", "httpx", "aiohttp", "urlopen"]
 INSPECTORS = ["ast", "asdict", "dataclasses"]
 DYNAMIC_CALLS = ["getattr", "eval", "exec", "__import__"]
+DYNAMIC_WORDS = ["getattr", "globals(", "locals(", "eval(", "exec(", "__import__", "importlib", "registry", "register", "route(", "add_route", "urlpatterns", "router", "plugin", "entry_points", "setup(", "app.route"]
 ENTRY_POINTS = ["main", "__main__", "setup", "teardown", "run", "execute", "cli", "app"]
 #: Import names of distributions that are called otherwise. Fixed values.
 IMPORT_NAMES = {"pillow": "pil", "beautifulsoup4": "bs4", "scikit-learn": "sklearn", "scikit-image": "skimage", "pyyaml": "yaml", "python-dateutil": "dateutil", "opencv-python": "cv2", "protobuf": "google"}
@@ -164,6 +165,8 @@ def python_facts(texts: DataFrame) -> DataFrame:
                 try:
                     v = Facts()
                     v.visit(ast.parse(text or ""))
+                    if any(w in (text or "").lower() for w in DYNAMIC_WORDS):
+                        v.add("dynamic")
                     out += [(path, *r) for r in v.rows]
                 except (SyntaxError, ValueError, RecursionError):
                     out.append((path, "broken", "", 0, "", "", 0))
@@ -241,19 +244,13 @@ def dependency_use(facts: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def import_edges(facts: DataFrame) -> DataFrame:
-    """(source, target): modules that import each other by dotted name, absolute or relative; the first existing candidate counts."""
-    modules = facts.select(F.col("path").alias("target")).distinct().withColumn("dotted", F.regexp_replace(F.regexp_replace("target", "(/__init__)?\\.py$", ""), "/", "."))
-    folder = F.regexp_replace(F.regexp_replace("path", "/?[^/]*$", ""), "/", ".")
-    bare = F.regexp_replace("detail", "^\\.+", "")
-    inside = F.when(F.col("detail").startswith("."), F.concat_ws(".", F.when(folder != "", folder), F.when(bare != "", bare)))
-    candidates = F.array_compact(F.array(F.concat_ws(".", inside, F.col("name")), inside, F.concat_ws(".", "detail", "name"), F.col("detail"), F.concat_ws(".", F.when(folder != "", folder), F.col("detail"))))
-    tried = _of(facts, "import").select(F.col("path").alias("source"), "name", "line", F.posexplode(candidates).alias("rank", "dotted"))
-    return tried.join(modules, "dotted").where("source <> target").groupBy("source", "name", "line").agg(F.min_by("target", "rank").alias("target")).select("source", "target").distinct()
+    """(source, target): modules that import each other."""
+    return resolved_imports(facts).where("source <> target")
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
     """(source, target, confidence): uses of names that another module defines (the first by path), high if it imports that module."""
-    owner = _of(facts, "def").groupBy("name").agg(F.min("path").alias("target"))
+    owner = _of(facts, "def").groupBy("name").agg(first_path("path").alias("target"))
     uses = _of(facts, "use").select(F.col("path").alias("source"), "name").distinct().join(owner, "name").where("source <> target").select("source", "target").distinct()
     return uses.join(import_edges(facts).withColumn("backed", F.lit(True)), ["source", "target"], "left").select("source", "target", F.when(F.col("backed"), "HIGH").otherwise("MEDIUM").alias("confidence"))
 

@@ -39,6 +39,11 @@ def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def first_path(column: str) -> Column:
+    """The first path, compared part by part: `a/x` comes before `a-b/x`."""
+    return F.min_by(column, F.split(column, "/"))
+
+
 def stem_of(path: Column) -> Column:
     return F.regexp_replace(name_of(path), r"(?<=.)\.[^.]*$", "")
 
@@ -107,7 +112,7 @@ def edges(texts: DataFrame, facts: DataFrame) -> DataFrame:
     main = facts.where("kind = 'main-guard'").select("path").distinct()
     entry = files.where(name_of(path).isin(ENTRY_FILES)).join(main.withColumn("guard", F.lit(True)), "path", "left").where(F.col("guard") | (name_of(path) == "__main__.py"))
     strings = facts.where("kind = 'string'").select("path", F.explode(F.filter(F.array(*map(F.lit, CONFIG_FILES)), lambda c: F.col("name").contains(c))).alias("config")).distinct()
-    owner = defined.groupBy("name").agg(F.min("path").alias("owner"))
+    owner = defined.groupBy("name").agg(first_path("path").alias("owner"))
     used = facts.where("kind in ('use', 'import')").select("path", "name").distinct().join(owner, "name").where("path <> owner")
     used = used.groupBy("path", "owner").agg(F.min("name").alias("name")).join(links.select(F.col("source").alias("path"), F.col("target").alias("owner"), F.lit(True).alias("backed")), ["path", "owner"], "left")
     stem = stem_of(path)

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,3 +74,10 @@ class Folder:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder: worked out once, lineage ends there, and any executor can read them again."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
