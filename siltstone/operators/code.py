@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
+from siltstone.operators import duplication, scripts
 from siltstone.operators.score import limit_per
 from siltstone.operators.structure import STANDARD, first_path, overlapping_configs, resolved_imports, stem_of
 
@@ -265,11 +266,11 @@ def orphans(facts: DataFrame) -> DataFrame:
 SCRIPT_CALLS, MOST_CALLS = r"\b(JSON\.parse|JSON\.stringify|fetch|require)\s*\(", 11
 
 
-def script_costs(texts: DataFrame) -> DataFrame:
-    """Call sites in scripts that may cost, the first of each file."""
+def script_costs(texts: DataFrame, most: int | None = MOST_CALLS) -> DataFrame:
+    """Call sites in scripts that may cost, the first of each file (None: all)."""
     rows = texts.where(exprs.language(F.col("path")) == "javascript").select("path", F.posexplode(F.split("text", "\n")).alias("at", "content"))
     calls = rows.select("path", (F.col("at") + 1).alias("line"), F.posexplode(F.regexp_extract_all("content", F.lit(SCRIPT_CALLS), F.lit(1))).alias("n", "name"))
-    first = limit_per(calls, ["path"], ["line", "n"], MOST_CALLS)
+    first = calls if most is None else limit_per(calls, ["path"], ["line", "n"], most)
     return _finding(first, "EFFICIENCY", F.concat(F.lit("Potentially repeated `"), "name", F.lit("` (line "), F.col("line").cast("string"), F.lit(")")), "LOW")
 
 
@@ -284,12 +285,15 @@ def project_findings(texts: DataFrame, facts: DataFrame, declared: DataFrame) ->
 
 
 def analyse(facts: DataFrame, texts: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
-    """All findings, scored, labelled and ranked; with texts those of scripts too, with declared packages as well those of the project."""
+    """All findings, scored, labelled and ranked; with texts those of scripts and repeated blocks too, with declared packages as well those of the project."""
     hard = complexity(facts).select("path", "line", "name", F.lit("COMPLEXITY").alias("category"), F.concat(F.lit("Complex function `"), "name", F.lit("`")).alias("title"), F.lit("HIGH").alias("confidence"),
                                     F.when(F.col("cyclomatic") >= 2 * CYCLOMATIC, "MEDIUM").otherwise("LOW").alias("impact"), F.lit("MEDIUM").alias("effort"), F.lit("MEDIUM").alias("risk"))
     every = unused_imports(facts).union(unreachable(facts)).union(unused_locals(facts)).union(unused_definitions(facts)).union(loop_costs(facts)).union(hard)
     if texts is not None:
-        every = every.union(script_costs(texts))
+        unused = scripts.unused_definitions(texts)
+        unused = _finding(unused, "DEAD_CODE", F.concat(F.lit("Potentially unused symbol `"), "name", F.lit("`")), "LOW", risk="MEDIUM")
+        blocks = duplication.findings(texts.where(exprs.language(F.col("path")).isin("python", "javascript")))
+        every = every.union(script_costs(texts)).union(unused).union(blocks.select(*every.columns))
         every = every if declared is None else every.union(project_findings(texts, facts, declared))
     value = exprs.code_score(*map(F.col, ("confidence", "impact", "effort", "risk")))
     scored = every.withColumn("score", value).withColumn("label", exprs.code_label(F.col("score"), *map(F.col, ("confidence", "impact", "effort", "risk"))))

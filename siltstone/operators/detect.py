@@ -134,8 +134,8 @@ def hsm_findings(lines: DataFrame) -> DataFrame:
     return _rows(lines, hits, "hsm")
 
 
-def binary_findings(strings: DataFrame, limit: int = 100) -> DataFrame:
-    """(path, place, content) of printable strings -> distinct findings per file in order of place, at most `limit` a file."""
+def binary_findings(strings: DataFrame, limit: int | None = 100) -> DataFrame:
+    """(path, place, content) of printable strings -> distinct findings per file in order of place, at most `limit` a file (None: all)."""
     text, hits = F.col("content"), []
     for k, (pattern, name) in enumerate(rules.BINARY_LIBRARIES):
         hits.append(F.when(text.rlike(FLAGS + pattern), _evident(_hit(F.lit(name), "library", 0.8, k, lib=F.regexp_extract(text, FLAGS + pattern, 0), usage="binary library reference"), F.regexp_extract(text, FLAGS + pattern, 0))))
@@ -149,7 +149,8 @@ def binary_findings(strings: DataFrame, limit: int = 100) -> DataFrame:
     rows = strings.select(F.col("path").alias("file_path"), "place", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("file_path", "place", "hit.*")
     first = Window.partitionBy("file_path", "usage", "algorithm", "evidence").orderBy("place", "emit_ord")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy("place", "emit_ord"))).where(F.col("_n") <= limit)
+    if limit is not None:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy("place", "emit_ord"))).where(F.col("_n") <= limit)
     return rows.drop("_n").withColumn("scanner", F.lit("binary")).withColumn("line", F.lit(0))
 
 

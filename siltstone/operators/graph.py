@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
-from siltstone.operators.score import limit_per
 
+#: Nodes and edges of a component graph that is shown. Fixed values; options of structure.component_graph.
 MAX_NODES, MAX_EDGES = 800, 3000
 
 
@@ -53,13 +53,6 @@ def directories(paths: DataFrame) -> DataFrame:
     return at.select(F.when(F.col("k") > 0, F.regexp_replace("child", "/[^/]*$", "")).otherwise("").alias("parent"), "child").distinct()
 
 
-def component_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes other than symbols, and edges whose ends both stay, within the caps."""
-    kept = limit_per(nodes.where(~F.col("type").isin("CLASS", "FUNCTION", "METHOD")).withColumn("_all", F.lit(0)), ["_all"], ["id"], MAX_NODES).drop("_all")
-    inner = edges.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
-    return kept, inner.orderBy("source", "target", "relation").limit(MAX_EDGES)
-
-
 def blast_radius(edges: DataFrame, start: str) -> DataFrame:
     """(node, bucket): what one hop from a node reaches, each node in its first bucket."""
     hop = F.when(F.col("source") == start, F.col("target")).otherwise(F.col("source"))

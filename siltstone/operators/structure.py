@@ -187,7 +187,7 @@ def noted_files(nodes_: DataFrame, edges_: DataFrame, most: int | None = NOTES)
     return numbered(some if most is None else some.orderBy(*order).limit(most), order, "place")
 
 
-def system_canvas(nodes_: DataFrame, edges_: DataFrame) -> tuple[DataFrame, DataFrame]:
+def system_canvas(nodes_: DataFrame, edges_: DataFrame, most_nodes: int = CANVAS_NODES, most_edges: int | None = CANVAS_EDGES) -> tuple[DataFrame, DataFrame]:
     """(id, label, x, y) and edges of an overview: 8 subsystems, four files of each, then findings, routes and configuration, on a grid of three."""
     first = lambda kind, n, band: nodes_.where(F.col("type") == kind).orderBy("id").limit(n).select(F.lit(band).alias("band"), F.lit("").alias("of"), "id", "label", "type")
     tops = first("SUBSYSTEM", 8, 0)
@@ -195,11 +195,12 @@ def system_canvas(nodes_: DataFrame, edges_: DataFrame) -> tuple[DataFrame, Data
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("id"))).where("n <= 4").select(F.lit(1).alias("band"), "of", "id", "label", "type")
     wanted = reduce(DataFrame.unionByName, [tops, members, first("CRYPTO_FINDING", 6, 2), first("API_ENDPOINT", 6, 3), first("CONFIGURATION", 4, 4)])
     at = F.row_number().over(Window.orderBy("band", "of", "id")) - 1  # 56 rows at most
-    placed = wanted.withColumn("i", at).where(F.col("i") < CANVAS_NODES)
+    placed = wanted.withColumn("i", at).where(F.col("i") < most_nodes)
     shown = placed.select("id", F.concat("label", F.lit("\n"), "type").alias("label"), (F.col("i") % 3 * 340).alias("x"), (F.floor(F.col("i") / 3) * 170).cast("int").alias("y"))
     ids = F.broadcast(shown.select("id"))  # 60 rows at most
     inner = edges_.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    return shown, inner.orderBy("source", "relation", "target").limit(CANVAS_EDGES).select("id", "source", "target", "relation")
+    inner = inner.orderBy("source", "relation", "target").select("id", "source", "target", "relation")
+    return shown, inner if most_edges is None else inner.limit(most_edges)
 
 
 def graph_problems(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
@@ -216,3 +217,39 @@ def overlapping_configs(texts: DataFrame) -> DataFrame:
     present = texts.select(name_of(F.col("path")).alias("name")).where(F.col("name").isin(sorted({n for g in OVERLAPPING for n in g}))).agg(F.array_sort(F.collect_set("name")).alias("names"))
     groups = [F.array_intersect("names", F.array(*map(F.lit, sorted(g)))) for g in OVERLAPPING]
     return present.select(F.explode(F.array(*groups)).alias("files")).where(F.size("files") > 1).select(F.array_join("files", ", ").alias("files"))
+
+
+#: What an edge between files says of the file it touches, and the order in which relations count for one file. Fixed values.
+REACHED = ["CALLS", "IMPORTS"]
+
+
+def affected_surface(edges_: DataFrame, starts: DataFrame, peers: bool = True) -> DataFrame:
+    """(id, bucket, path, relation, confidence, reason) for many starts (id, path) at once: what a change of the file at path may touch.
+
+    Directly: the file, and files that refer to what it defines. Indirectly: files that it refers to or imports. Tests of any of these; its configuration
+    and routes; and, if peers, the other files of its part, for review. A file counts once, in the first of these. Every step is
+    an equi-join of the starts with the edges at one end.
+    """
+    at = starts.select("id", "path", file_node(F.col("path")).alias("file")).distinct()
+    rows = lambda df, bucket, path, relation, confidence, reason: df.select("id", F.lit(bucket).alias("bucket"), path.alias("path"), relation.alias("relation"), confidence.alias("confidence"), reason.alias("reason"))
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:", "")
+    own = rows(at, "DIRECTLY_AFFECTED", F.col("path"), F.lit("PRODUCES_FINDING"), F.lit("HIGH"), F.lit("finding location"))
+    into = at.join(edges_.where("relation = 'CALLS'").select("source", F.col("target").alias("file"), "relation", "confidence"), "file").where("source <> file")
+    direct = rows(into, "DIRECTLY_AFFECTED", bare(F.col("source")), F.col("relation"), F.col("confidence"), F.concat(F.lit("references code in "), "path"))
+    out = at.join(edges_.select(F.col("source").alias("file"), "relation", "target", "confidence"), "file")
+    first = F.min(F.struct(F.array_position(F.array(*map(F.lit, REACHED)), F.col("relation")).alias("r"), "relation", "confidence")).alias("b")
+    reached = out.where(F.col("relation").isin(REACHED) & (F.col("target") != F.col("file"))).groupBy("id", "path", "target").agg(first).select("id", "path", "target", "b.relation", "b.confidence")
+    reached = reached.join(into.select("id", F.col("source").alias("target")), ["id", "target"], "left_anti")
+    said = F.concat(F.when(F.col("relation") == "CALLS", "called by ").otherwise("imported by "), "path")
+    indirect = rows(reached, "INDIRECTLY_AFFECTED", bare(F.col("target")), F.col("relation"), F.col("confidence"), said)
+    config = rows(out.where("relation = 'CONFIGURED_BY'"), "CONFIGURATION_AFFECTED", bare(F.col("target")), F.col("relation"), F.col("confidence"), F.concat(F.lit("configures "), "path"))
+    api = rows(out.where("relation = 'EXPOSES' and target like 'api:%'"), "API_AFFECTED", bare(F.col("target")), F.col("relation"), F.col("confidence"), F.concat(F.lit("API exposed from "), "path"))
+    seen = at.select("id", "file").union(into.select("id", "source")).union(reached.select("id", "target")).distinct()
+    tested = seen.join(edges_.where("relation = 'TESTS'").select("source", F.col("target").alias("file"), "relation", "confidence"), "file")
+    tests = rows(tested, "TEST_AFFECTED", bare(F.col("source")), F.col("relation"), F.col("confidence"), F.concat(F.lit("tests "), bare(F.col("file"))))
+    parts = [own, direct, indirect, config, api, tests]
+    if peers:
+        member = edges_.where("relation = 'BELONGS_TO'").select("source", "target")
+        beside = at.join(member.withColumnRenamed("source", "file"), "file").join(member, "target").select("id", F.col("source").alias("file")).distinct().join(seen, ["id", "file"], "left_anti")
+        parts.append(rows(beside, "OPTIONAL_REVIEW", bare(F.col("file")), F.lit("BELONGS_TO"), F.lit("MEDIUM"), F.lit("same subsystem, no direct link")))
+    return reduce(DataFrame.unionByName, parts).distinct()

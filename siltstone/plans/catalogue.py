@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import exprs
-from siltstone.operators import code, delta, detect, duplication, graph, notes, relate, remedy, rollup, score, search, structure, validate
-from siltstone.plans import fixtures, report, scan
-from siltstone.sources import files, manifests, x509
+from siltstone.operators import delta, detect, duplication, graph, notes, relate, rollup, score, search, validate
+from siltstone.plans import report
 from siltstone.sources.tables import lines, load, synthetic_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,168 +234,6 @@ on_findings("sarif_results", report.sarif_results)
 on_findings("cbom_summary", report.cbom_summary)
 
 
-@query
-def inline_line_findings(spark, d):
-    rows = spark.createDataFrame([("app/x.py", i, s) for i, s in enumerate(fixtures.LINES, 1)], "key string, line int, content string")
-    return detect.line_findings(rows).select("line", "algorithm", "category", "key_size", "mode", "protocol_version", "library", "usage", "evidence")
-
-
-@query
-def inline_cloud_hsm_findings(spark, d):
-    rows = spark.createDataFrame([("app/x.tf", i, s) for i, s in enumerate(fixtures.LINES, 1)], "key string, line int, content string")
-    return detect.cloud_findings(rows).unionByName(detect.hsm_findings(rows)).select("scanner", "line", "algorithm", "category", "library", "confidence", "evidence")
-
-
-@query
-def inline_package_findings(spark, d):
-    return detect.package_findings(manifests.declared_packages(fixtures.table(spark, fixtures.MANIFESTS)))
-
-
-@query
-def inline_binary_findings(spark, d):
-    return detect.binary_findings(files.binary_strings(fixtures.binaries(spark))).select("file_path", "place", "algorithm", "category", "key_size", "usage", "evidence")
-
-
-@query
-def inline_archive_members(spark, d):
-    found = files.archive_members(fixtures.archives(spark))
-    return found.select("path", F.regexp_replace("member", "^[^>]*>", "").alias("member"), F.length("content").cast("long").alias("n_bytes"))
-
-
-@query
-def inline_archive_findings(spark, d):
-    found = scan.container_findings(fixtures.archives(spark))
-    return found.select("file_path", "line", "algorithm", "category", "usage", "evidence")
-
-
-@query
-def inline_scan(spark, d):
-    found = scan.scan_files(fixtures.tree(spark))
-    return found.select("scanner", "file_path", "line", "algorithm", "category", "key_size", "severity", "priority")
-
-
-@query
-def inline_scan_counts(spark, d):
-    return rollup.tally(scan.scan_files(fixtures.tree(spark)), "scanner", "family")
-
-
-@query
-def inline_locked_packages(spark, d):
-    return manifests.declared_packages(fixtures.table(spark, fixtures.LOCKS))
-
-
-@query
-def inline_locked_findings(spark, d):
-    return detect.package_findings(manifests.declared_packages(fixtures.table(spark, fixtures.LOCKS))).select("file_path", "algorithm", "library", "confidence", "version")
-
-
-def _fixed(df: DataFrame) -> DataFrame:
-    """The few rows of a fixture's result as literals, so that plans on them stay small."""
-    return df.sparkSession.createDataFrame(df.toArrow())
-
-
-def _app(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    texts = _fixed(fixtures.table(spark, fixtures.APP))
-    return texts, _fixed(code.python_facts(texts))
-
-
-def _app_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, with two findings attached."""
-    texts, facts = _app(spark)
-    found = spark.createDataFrame([("f1", "/src/core/sign.py", "source", "RSA", False), ("f2", "core/util.py", "source", "MD5", False), ("f3", "core/old.py", "source", "DES", True), ("f4", "gone.py", "source", "DES", False)],
-                                  "id string, file_path string, scanner string, algorithm string, is_mock boolean")
-    every = _fixed(structure.edges(texts, facts).unionByName(structure.finding_edges(facts, found, "/src")))
-    return _fixed(structure.nodes(every, facts)), every
-
-
-@query
-def structure_edges(spark, d):
-    return _app_graph(spark)[1].select("source", "relation", "target", "confidence")
-
-
-@query
-def structure_nodes(spark, d):
-    return _app_graph(spark)[0]
-
-
-@query
-def structure_routes(spark, d):
-    return structure.routes(_app(spark)[0])
-
-
-@query
-def structure_cross_references(spark, d):
-    return structure.cross_references(_app(spark)[1])
-
-
-@query
-def structure_problems(spark, d):
-    return structure.graph_problems(*_app_graph(spark))
-
-
-@query
-def structure_component_caps(spark, d):
-    return structure.component_graph(*_app_graph(spark), max_nodes=10, max_edges=5)[2]
-
-
-@query
-def structure_noted_files(spark, d):
-    return structure.noted_files(*_app_graph(spark))
-
-
-@query
-def structure_canvas(spark, d):
-    return structure.system_canvas(*_app_graph(spark))[0]
-
-
-@query
-def structure_canvas_edges(spark, d):
-    return structure.system_canvas(*_app_graph(spark))[1].select("source", "relation", "target")
-
-
-@query
-def code_overlapping_configs(spark, d):
-    return structure.overlapping_configs(_app(spark)[0])
-
-
-def _claims(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.CLAIMS, "id string, algorithm string, category string, usage string, key_size int")
-
-
-def _tls(spark: SparkSession) -> DataFrame:
-    targets = spark.createDataFrame(fixtures.TARGETS, "url string, finding_ids array<string>, tls_version string, signature_algorithm string, public_key_algorithm string, tls_key_size int, error string")
-    return validate.tls_results(_claims(spark), targets)
-
-
-def _runtime(spark: SparkSession) -> DataFrame:
-    return validate.runtime_results(_claims(spark), spark.createDataFrame(fixtures.SEEN, "ord int, target string, observed_algorithm string"))
-
-
-@query
-def validation_strategies(spark, d):
-    return _claims(spark).select("id", validate.strategy_reason(F.col("algorithm"), F.col("category"), F.col("usage")).alias("s")).select("id", "s.*")
-
-
-@query
-def validation_tls_results(spark, d):
-    return _tls(spark)
-
-
-@query
-def validation_runtime_results(spark, d):
-    return _runtime(spark)
-
-
-@query
-def validation_run_summary(spark, d):
-    return validate.run_summary(_tls(spark).unionByName(_runtime(spark)))
-
-
-@query
-def validation_addresses(spark, d):
-    return spark.createDataFrame([(u,) for u in fixtures.URLS], "url string").select("url", validate.address_fault(F.col("url"), ["allowed.example"]).alias("fault"))
-
-
 on_findings("gate_critical", lambda e: validate.gate(e, "critical"))
 on_findings("gate_observed", lambda e: validate.gate(relate.validation_rollup(e, _results(e)), "observed"))
 on_findings("findings_flagged", lambda e: validate.flagged(e, quantum=True, migration_ready=True).select("ord", "algorithm", "status"))
@@ -405,61 +242,6 @@ on_findings("knowledge_by_direction", relate.direction_skills)
 on_findings("cbom_document", report.cbom_json)
 
 
-@query
-def knowledge_registry(spark, d):
-    return relate.registry_info(relate.registry(spark))
-
-
-@query
-def knowledge_registry_problems(spark, d):
-    broken = [("a", 1, ["RSA"], [], [], []), ("a", 3, None, [], [], []), ("b", 2, [], [], [], None)]
-    return relate.registry_problems(relate.registry(spark, broken))
-
-
-def _code_findings(spark: SparkSession) -> DataFrame:
-    return _fixed(code.analyse(_facts(spark)).select("id", "path", "name", "category", "confidence"))
-
-
-@query
-def remediation_options(spark, d):
-    return remedy.options(_code_findings(spark)).select("path", "name", "option", "title", "description", "risk", "complexity", "automation")
-
-
-@query
-def remediation_plan(spark, d):
-    chosen = remedy.options(_code_findings(spark)).where("(name = 'os' and option = 'delete') or (name = 'busy' and option = 'simplify')")
-    return remedy.plan_tasks(chosen.withColumn("id", F.col("name")), ["require-tests", "no-new-dependencies", "minimize-files"])
-
-
-@query
-def remediation_plan_files(spark, d):
-    rows = [("x", "TEST_AFFECTED", "tests/t.py", "TESTS"), ("x", "DIRECTLY_AFFECTED", "a.py", "CONTAINS"), ("x", "API_AFFECTED", "GET /keys", "EXPOSES"), ("x", "INDIRECTLY_AFFECTED", "a.py", "CALLS"), ("x", "OPTIONAL_REVIEW", "core", "BELONGS_TO")]
-    return remedy.plan_files(spark.createDataFrame(rows, "id string, bucket string, path string, relation string"))
-
-
-@query
-def remediation_plan_text(spark, d):
-    return remedy.markdown(remediation_plan(spark, d))
-
-
-@query
-def scan_index_repair(spark, d):
-    rows = [("a.json", '{"id": "s1", "timestamp": 3.0, "report": {"x": "1"}}'), ("b.json", "{broken"), ("c.json", '{"id": "s2", "timestamp": 1.0, "report": {}}'), ("d.json", '{"id": "../x", "timestamp": 9.0, "report": {}}'), ("e.json", '{"id": "s3", "timestamp": 2.0, "report": {}}'), ("f.json", '{"id": "s4"}')]
-    return report.repaired_index(spark.createDataFrame(rows, "path string, text string"), 2)
-
-
-@query
-def scan_history_with_legacy(spark, d):
-    scans = lambda *ids: spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "scan_id string, scan_time double")
-    return report.history_with_legacy(scans("a", "b"), scans("b", "c"))
-
-
-@query
-def scan_scopes_pruned(spark, d):
-    rows = [(f"s{k}", f"s{k}/n.md", k != 1) for k in range(8)] + [("current", "current/n.md", True), ("s0", "s0/o.md", True)]
-    return report.pruned_scopes(spark.createDataFrame(rows, "scope string, path string, managed boolean"))
-
-
 @query
 def scan_counts(spark, d):
     e = score.enrich(synthetic_findings(spark, d)).withColumn("scan_id", (F.col("okey") % 4).cast("string"))
@@ -478,117 +260,9 @@ def relativized_links(spark, d):
     return report.remapped(relate.supports(e).select("ord", "id", "support_id"), report.relativized(e, "/w", "o/r@c"), "id", "support_id")
 
 
-@query
-def telemetry_categories(spark, d):
-    from siltstone.streaming.telemetry import category
-
-    rows = [("SHA-256", "digest"), ("RSA", "kdf"), ("AES", "random"), ("x", "handshake"), ("x", "context"), ("RSA", "sign"), ("ML-KEM", "encap"), ("ed25519", "sign"), ("ChaCha20", "encrypt"), ("RC4", "use"), ("hkdf", "derive"), ("BLAKE2", "use"), ("TLS1.3", "use"), ("other", "verify")]
-    return spark.createDataFrame(rows, "algorithm string, operation string").select("algorithm", "operation", category(F.col("algorithm"), F.col("operation")).alias("category"))
-
-
-@query
-def note_writes(spark, d):
-    table = lambda rows: fixtures.table(spark, rows)
-    return notes.note_writes(table({"a.md": "api_key = abc and more", "b.md": "same", "c.md": "new text", "k/id_rsa.md": "x"}), table({"b.md": "same", "c.md": "old"}))
-
-
-@query
-def note_slugs(spark, d):
-    rows = [(" Hello, World! ",), ("---",), ("a" * 79 + " b",), ("Ünï",)]
-    return spark.createDataFrame(rows, "text string").select("text", notes.note_slug(F.col("text")).alias("slug"), notes.one_line(F.concat(F.lit(" x \n\t y "), "text"), 9).alias("line"))
-
-
-@query
-def code_facts(spark, d):
-    return code.python_facts(fixtures.table(spark, fixtures.SOURCES))
-
-
-def _facts(spark: SparkSession) -> DataFrame:
-    return _fixed(code.python_facts(fixtures.table(spark, fixtures.SOURCES)))
-
-
-@query
-def code_findings(spark, d):
-    return code.analyse(_facts(spark)).select("id", "path", "line", "name", "category", "title", "confidence", "score", "label")
-
-
-@query
-def code_project(spark, d):
-    texts = _fixed(fixtures.table(spark, fixtures.APP | {"web/a.js": fixtures.SCRIPT}))
-    found = code.analyse(_fixed(code.python_facts(texts)), texts, manifests.declared_packages(texts))
-    return found.select("path", "line", "name", "category", "title", "confidence", "score", "label")
-
-
-@query
-def code_health(spark, d):
-    return rollup.health(code.analyse(_facts(spark)))
-
-
-@query
-def code_complexity(spark, d):
-    return code.complexity(_facts(spark))
-
-
-@query
-def code_import_edges(spark, d):
-    return code.import_edges(_facts(spark))
-
-
-@query
-def code_call_edges(spark, d):
-    return code.call_edges(_facts(spark))
-
-
-@query
-def code_orphans(spark, d):
-    return code.orphans(_facts(spark))
-
-
-@query
-def code_dependency_use(spark, d):
-    return code.dependency_use(_facts(spark), manifests.declared_packages(fixtures.table(spark, fixtures.MANIFESTS)))
-
-
-@query
-def javascript_facts(spark, d):
-    return code.javascript_facts(fixtures.table(spark, fixtures.SOURCES))
-
-
 on_findings("sarif_json", lambda e: report.sarif_json(e))
-on_findings("component_graph_edges", lambda e: graph.component_graph(graph.usage_nodes(e).select(F.col("node").alias("id"), "type"), graph.usage_edges(e, relate.related(e)))[1])
-
-
-@query
-def inline_certificates(spark, d):
-    return x509.certificates(fixtures.table(spark, {"c.pem": fixtures.CERTIFICATE, "n.pem": "-----BEGIN CERTIFICATE-----x", "t.txt": "text"}))
-
-
-@query
-def note_key_values(spark, d):
-    return notes.key_values(fixtures.table(spark, fixtures.NOTES))
-
-
-@query
-def note_links(spark, d):
-    return notes.links(fixtures.table(spark, fixtures.NOTES))
-
-
-@query
-def secret_variables(spark, d):
-    return notes.secret_variables(spark.createDataFrame([("img", fixtures.CONFIG)], "path string, config string"))
-
-
-@query
-def repository_addresses(spark, d):
-    return spark.createDataFrame([(a,) for a in fixtures.ADDRESSES], "url string").select("url", notes.repository(F.col("url")).alias("r")).select("url", "r.*")
 
 
 @query
 def page_paths(spark, d):
     return load(spark, d, "pages").select("page_id", notes.short_path(F.split_part("url", F.lit("?"), F.lit(1))).alias("shown"))
-
-
-@query
-def plan_missing_files(spark, d):
-    plan = fixtures.table(spark, {"pkg/signer.py": "", "pkg/gone.py": ""})
-    return notes.missing_files(plan, fixtures.table(spark, fixtures.SOURCES))

@@ -300,6 +300,31 @@ def structure_canvas_edges(spark, d):
     return structure.system_canvas(*structure_of(spark, d))[1].select("source", "relation", "target")
 
 
+SURFACE = EDGES + """, st AS (SELECT 'f' || i AS id, path, 'file:' || path AS file FROM b WHERE i % 20 IN (0, 7)),
+into_ AS (SELECT id, path, source, confidence FROM st JOIN e ON target = file AND relation = 'CALLS' WHERE source <> file),
+out_ AS (SELECT id, path, file, relation, target, confidence FROM st JOIN e ON source = file),
+hit AS (SELECT id, path, target, min(relation) AS relation, arg_min(confidence, relation) AS confidence FROM out_ o
+  WHERE relation IN ('CALLS', 'IMPORTS') AND target <> file AND NOT EXISTS (SELECT 1 FROM into_ n WHERE n.id = o.id AND n.source = o.target) GROUP BY id, path, target),
+seen AS (SELECT id, file FROM st UNION SELECT id, source FROM into_ UNION SELECT id, target FROM hit),
+part AS (SELECT a.id, m.source AS file FROM st a JOIN e s ON s.source = a.file AND s.relation = 'BELONGS_TO' JOIN e m ON m.target = s.target AND m.relation = 'BELONGS_TO')
+"""
+
+
+@query(SURFACE + """SELECT id, 'DIRECTLY_AFFECTED' AS bucket, path, 'PRODUCES_FINDING' AS relation, 'HIGH' AS confidence, 'finding location' AS reason FROM st
+UNION SELECT id, 'DIRECTLY_AFFECTED', source[6:], 'CALLS', confidence, 'references code in ' || path FROM into_
+UNION SELECT id, 'INDIRECTLY_AFFECTED', target[6:], relation, confidence, CASE relation WHEN 'CALLS' THEN 'called by ' ELSE 'imported by ' END || path FROM hit
+UNION SELECT id, 'CONFIGURATION_AFFECTED', target[8:], relation, confidence, 'configures ' || path FROM out_ WHERE relation = 'CONFIGURED_BY'
+UNION SELECT id, 'API_AFFECTED', target[5:], relation, confidence, 'API exposed from ' || path FROM out_ WHERE relation = 'EXPOSES' AND target LIKE 'api:%'
+UNION SELECT s.id, 'TEST_AFFECTED', e.source[6:], 'TESTS', e.confidence, 'tests ' || s.file[6:] FROM seen s JOIN e ON e.target = s.file AND e.relation = 'TESTS'
+UNION SELECT id, 'OPTIONAL_REVIEW', file[6:], 'BELONGS_TO', 'MEDIUM', 'same subsystem, no direct link' FROM part p WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.id = p.id AND s.file = p.file)""")
+def structure_affected_surface(spark, d):
+    """What a change of each of a tenth of the files may touch."""
+    _, edges = structure_of(spark, d)
+    i = F.regexp_extract("path", r"[mt]([0-9]+)(?:/main)?\.py$", 1).cast("long")
+    starts = project(spark, d).select("path", i.alias("i")).where("i % 20 in (0, 7)").select(F.concat(F.lit("f"), F.col("i").cast("string")).alias("id"), "path")
+    return structure.affected_surface(edges, starts)
+
+
 # Findings of a scan, hung on the files
 
 @query(B + """g AS (SELECT i, path, CASE WHEN i % 4 = 0 THEN '/src/' || path WHEN i % 4 = 1 THEN path ELSE 'gone/' || path END AS p, 'f' || i AS id, CASE i % 3 WHEN 0 THEN 'RSA' WHEN 1 THEN 'MD5' ELSE '' END AS algorithm FROM b WHERE i % 8 <> 5)
@@ -352,11 +377,6 @@ def remediation_plan_text(spark, d):
     return remedy.markdown(_tasks(spark, d))
 
 
-SURFACE = B + """edges AS (SELECT 'file:' || source AS source, 'file:' || target AS target FROM imports),
-hops AS (SELECT target AS id, source AS file, 'IMPORTS' AS relation, CASE WHEN source LIKE 'file:tests/%' THEN 'TEST_AFFECTED' ELSE 'INDIRECTLY_AFFECTED' END AS bucket FROM edges)
-"""
-
-
 @query(B + "z AS (SELECT 1) SELECT x.target AS id, (row_number() OVER (PARTITION BY x.target ORDER BY x.i % 6 = 3 DESC, x.source))::INT AS place, x.source AS path FROM imports x")
 def remediation_plan_files(spark, d):
     """The files of a plan for each module that others import: tests first."""
@@ -367,12 +387,12 @@ def remediation_plan_files(spark, d):
     return remedy.plan_files(surface.unionByName(extra))
 
 
-@query(B + "z AS (SELECT 1) SELECT 'core/m' || i || '.py' AS path FROM (SELECT DISTINCT i + 3 AS i FROM b WHERE i % 6 = 3) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = 'core/m' || x.i || '.py')")
+@query(B + "z AS (SELECT 1) SELECT 'core/m' || i || '.py' AS path FROM (SELECT DISTINCT i + 9 AS i FROM b WHERE i % 6 = 3) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = 'core/m' || x.i || '.py')")
 def plan_missing_files(spark, d):
     from siltstone.operators import notes
 
     i = F.regexp_extract("path", "test_m([0-9]+)", 1).cast("long")
-    plan = project(spark, d).where("path like 'tests/%'").select(F.concat(F.lit("core/m"), (i + 3).cast("string"), F.lit(".py")).alias("path"))
+    plan = project(spark, d).where("path like 'tests/%'").select(F.concat(F.lit("core/m"), (i + 9).cast("string"), F.lit(".py")).alias("path"))
     return notes.missing_files(plan, project(spark, d))
 
 

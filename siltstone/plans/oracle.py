@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from siltstone.functions import rules
-from siltstone.plans import expected
 
 SYNTH = """
 SELECT CAST(((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 64 + CAST(l_quantity AS INT) % 64 AS BIGINT) AS ord, l_orderkey AS okey,
@@ -207,17 +206,16 @@ ORACLES = {
     "page_paths": "SELECT page_id, CASE WHEN len(string_split(u, '/')) <= 3 THEN u ELSE '.../' || array_to_string(string_split(u, '/')[-3:], '/') END AS shown FROM (SELECT page_id, split_part(url, '?', 1) AS u FROM pages)",
 }
 
-KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-
-def literal(value) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
-
-
-def stated(columns: dict[str, str], rows: list[tuple]) -> str:
-    """Rows as they are stated, as SQL."""
-    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'CAST(c{i} AS {KINDS[k]}) AS {n}' for i, (n, k) in enumerate(columns.items()))} FROM (VALUES {body}) AS t({', '.join(f'c{i}' for i in range(len(columns)))})"
-
-
-ORACLES |= {name: stated(*e) for name, e in expected.EXPECTED.items()}
+ORACLES |= {
+    "gate_observed": E_ + ", " + RESULTS + """, own AS (SELECT finding_id, bool_or(v_status = 'CONFIRMED') AS c, bool_or(v_status = 'PARTIALLY_CONFIRMED') AS p, bool_or(v_status = 'OBSERVED') AS o FROM v WHERE finding_id <> '' GROUP BY finding_id),
+ seen AS (SELECT DISTINCT """ + family("observed_algorithm") + """ AS family FROM v WHERE validation_type = 'runtime')
+ SELECT count(*) FILTER (hit) > 0 AS failing, count(*) FILTER (hit) AS n FROM (SELECT CASE WHEN own.c IS NULL THEN seen.family IS NOT NULL ELSE c OR p OR o END AS hit FROM e LEFT JOIN own ON e.id = own.finding_id LEFT JOIN seen ON e.family = seen.family)""",
+    "relativized_links": f"WITH e AS MATERIALIZED ({assessed('SELECT * REPLACE (concat(chr(47), chr(119), chr(47), file_path) AS file_path) FROM (' + SYNTH + ') WHERE okey < 40')}), " + SUPPORTS
+        + ", n AS (SELECT DISTINCT id AS old, left(sha1(concat_ws('|', scanner, 'o/r@c/' || substr(file_path, 4), line::VARCHAR, algorithm, category, coalesce(key_size::VARCHAR, 'None'), curve, usage)), 12) AS new FROM e)"
+        " SELECT ord, a.new AS id, b.new AS support_id FROM sup JOIN n a ON a.old = sup.id JOIN n b ON b.old = sup.support_id",
+    "sarif_json": E_ + """SELECT ord, '{"ruleId":"' || algorithm || '","level":"' || CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END || '","message":{"text":""},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file_path
+      || '"},"region":{"startLine":' || greatest(1, line) || '}}}],"properties":{"findingId":"' || id || '","validations":[]}}' AS json FROM e""",
+    "cbom_document": E_ + f"""SELECT '{{"summary":{{"total":' || count(*) || ',"exposed":' || count(*) FILTER (exposed) || ',"critical":' || count(*) FILTER (severity = 'critical') || ',"high":' || count(*) FILTER (severity = 'high') || ',"medium":' || count(*) FILTER (severity = 'medium') || ',"low":' || count(*) FILTER (severity = 'low')
+      || ',"algorithms":"' || array_to_string(list_sort(list(DISTINCT algorithm)), ',') || '"}},"recommendations":[' || (SELECT string_agg('"' || recommend || '"', ',' ORDER BY first) FROM (SELECT recommend, min(ord) AS first FROM e GROUP BY recommend)) || '],"inventory":['
+      || (SELECT string_agg('{{"family":"' || family || '","findings":' || n || ',"severity":"' || severity || '","priority":"' || priority || '"}}', ',' ORDER BY family) FROM (SELECT family, count(*) AS n, arg_min(severity, {SEV}) AS severity, arg_min(priority, {PRI}) AS priority FROM e GROUP BY family)) || ']}}' AS json FROM e""",
+}

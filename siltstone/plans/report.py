@@ -51,11 +51,12 @@ def store_scan(enriched: DataFrame, path: str, scan_id: str, timestamp: float) -
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """(scan_id, scan_time, findings, critical, high) of the newest scans, newest first."""
+def history(spark: SparkSession, path: str, most: int | None = KEPT_SCANS) -> DataFrame:
+    """(scan_id, scan_time, findings, critical, high) of the newest scans (None: all), newest first."""
     rows = spark.read.parquet(path)
     index = rows.groupBy("scan_id").agg(F.max("scan_time").alias("scan_time"), F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    return index.orderBy(F.desc("scan_time"), "scan_id").limit(KEPT_SCANS)
+    index = index.orderBy(F.desc("scan_time"), "scan_id")
+    return index if most is None else index.limit(most)
 
 
 def history_with_legacy(durable: DataFrame, legacy: DataFrame) -> DataFrame:

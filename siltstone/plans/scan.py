@@ -61,9 +61,23 @@ def source_findings(texts: DataFrame) -> DataFrame:
     return certificate_findings(texts).unionByName(_aligned(detect.line_findings(rows), "source"))
 
 
-def container_findings(found: DataFrame, members: DataFrame | None = None) -> DataFrame:
+#: Limits of a scan by name; None lifts one, NO_LIMITS all. Files are the first by path, of at most so many bytes; the others belong to what a
+#: file holds.
+LIMITS = {"max_files": files.MAX_FILES, "max_bytes": files.MAX_BYTES, "strings": files.MAX_STRINGS, "findings": 100, "layers": files.MAX_LAYERS, "members": files.MAX_MEMBERS, "peek": files.PEEK, "budget": files.LAYER_BUDGET}
+NO_LIMITS = dict.fromkeys(LIMITS)
+
+
+def limited(limits: dict | None) -> dict:
+    """All limits, with those given in place of the usual ones."""
+    if unknown := sorted(set(limits or {}) - set(LIMITS)):
+        raise ValueError(f"unknown limits: {unknown}")
+    return LIMITS | (limits or {})
+
+
+def container_findings(found: DataFrame, members: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
     """Findings of archive members: keys and certificates, configuration, manifests as text; executables as such; and of Dockerfiles."""
-    members = files.archive_members(found) if members is None else members
+    most = limited(limits)
+    members = files.archive_members(found, **{k: most[k] for k in ("layers", "members", "peek", "budget")}) if members is None else members
     low = F.lower("member")
     name = F.element_at(F.split(low, "[/>]"), -1)
     wanted = low.rlike("|".join(f.replace(".", r"\.") for f in FRAGMENTS)) | name.isin(MEMBER_NAMES) | name.startswith("dockerfile")
@@ -71,19 +85,19 @@ def container_findings(found: DataFrame, members: DataFrame | None = None) -> Da
     text = members.where(wanted & ~nul).select(F.col("member").alias("path"), F.decode("content", "UTF-8").alias("text"))
     docker = found.where(F.lower(F.element_at(F.split("path", "/"), -1)).rlike("^dockerfile|dockerfile$")).select("path", F.decode("content", "UTF-8").alias("text"))
     hits = detect.line_findings(lines(text.unionByName(docker), F.col("path"), F.col("text")), "container")
-    binary = detect.binary_findings(files.binary_strings(members.where(nul | ~wanted).select(F.col("member").alias("path"), "content")))
+    binary = detect.binary_findings(files.binary_strings(members.where(nul | ~wanted).select(F.col("member").alias("path"), "content"), most["strings"]), most["findings"])
     return reduce(DataFrame.unionByName, [certificate_findings(text, "container"), _aligned(hits, "container", usage=F.lit("container file reference")),
                                           _aligned(binary, "container", usage=F.lit("container binary reference")), _aligned(files.image_secrets(found), "container")])
 
 
-def scan_files(found: DataFrame, scanners: list[str] | None = None) -> DataFrame:
+def scan_files(found: DataFrame, scanners: list[str] | None = None, limits: dict | None = None) -> DataFrame:
     """(path, content, length) of files -> the findings of all scanners asked for, deduplicated, scored and named."""
-    texts = files.texts(found)
+    texts, most = files.texts(found), limited(limits)
     rows = lines(texts, F.col("path"), F.col("text"))
     make = {
         "source": lambda: source_findings(texts),
-        "binary": lambda: _aligned(detect.binary_findings(files.binary_strings(found)), "binary"),
-        "container": lambda: container_findings(found),
+        "binary": lambda: _aligned(detect.binary_findings(files.binary_strings(found, most["strings"]), most["findings"]), "binary"),
+        "container": lambda: container_findings(found, limits=limits),
         "dependency": lambda: _aligned(detect.package_findings(manifests.declared_packages(texts)), "dependency", library=F.substring("library", 1, 64),
                                        evidence=F.substring(F.trim(F.concat(F.substring("library", 1, 64), F.lit(" "), F.substring("version", 1, 32))), 1, 160)),
         "hsm": lambda: _aligned(detect.hsm_findings(rows), "hsm"),
@@ -95,5 +109,6 @@ def scan_files(found: DataFrame, scanners: list[str] | None = None) -> DataFrame
 
 
 def scan(spark: SparkSession, root: str, profile: str | None = None, scanners: list[str] | None = None, **limits) -> DataFrame:
-    """The findings of a folder."""
-    return scan_files(files.files(spark, root, **limits), resolve_profile(profile, scanners)["scanners"])
+    """The findings of a folder. limits: any of LIMITS."""
+    most = limited(limits)
+    return scan_files(files.files(spark, root, max_files=most["max_files"], max_bytes=most["max_bytes"]), resolve_profile(profile, scanners)["scanners"], limits)

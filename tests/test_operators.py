@@ -3,12 +3,13 @@
 import os
 
 import duckdb
+import literal_inputs
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone.operators import code, delta, detect, duplication, graph, score
-from siltstone.plans import fixtures, report
+from siltstone.plans import report
 from siltstone.sources import files
 from siltstone.sources.tables import lines
 from siltstone.streaming import telemetry
@@ -83,9 +84,9 @@ def test_dedupe_first_wins(spark):
 
 
 def test_binary_and_archive_sources(spark):
-    found = {(r.algorithm, r.usage) for r in detect.binary_findings(files.binary_strings(fixtures.binaries(spark))).collect()}
+    found = {(r.algorithm, r.usage) for r in detect.binary_findings(files.binary_strings(literal_inputs.binaries(spark))).collect()}
     assert ("AES-256", "binary string reference") in found and ("OpenSSL", "binary symbol reference") in found
-    assert [r.member for r in files.archive_members(fixtures.archives(spark)).collect() if "evil" in r.member] == []
+    assert [r.member for r in files.archive_members(literal_inputs.archives(spark)).collect() if "evil" in r.member] == []
 
 
 def test_file_scan(spark, tmp_path):
@@ -97,7 +98,7 @@ def test_file_scan(spark, tmp_path):
 
 
 def test_code_analysis(spark):
-    facts = code.python_facts(fixtures.table(spark, fixtures.SOURCES))
+    facts = code.python_facts(literal_inputs.table(spark, literal_inputs.SOURCES))
     assert [r.name for r in code.unused_imports(facts).collect()] == ["os"]
     assert [r.line for r in code.unreachable(facts).collect()] == [8]
     assert {r.name for r in code.unused_locals(facts).collect()} == {"key", "x"}
@@ -133,19 +134,3 @@ def test_store_and_history(spark, tmp_path):
         report.store_scan(e, str(tmp_path / "h"), f"s{k}", float(k))
     assert [r.scan_id for r in report.history(spark, str(tmp_path / "h")).collect()] == ["s2", "s1"]
     assert report.read_scan(spark, str(tmp_path / "h"), "s1").count() == 1
-
-
-@pytest.mark.parametrize(("name", "rows"), [
-    ("inline_certificates", [("c.pem", "ECDSA", None, "P-256", "ECDSA-SHA-256")]),
-    ("note_key_values", [("n/a.md", "owner", "x")]),
-    ("note_links", [("n/a.md", "n/b")]),
-    ("secret_variables", [("img", "DB_PASSWORD")]),
-    ("plan_missing_files", [("pkg/gone.py",)]),
-])
-def test_inline_queries(spark, name, rows):
-    assert sorted(tuple(r)[: len(rows[0])] for r in entry.queries()[name](spark, SF).collect()) == rows
-
-
-def test_repository_addresses(spark):
-    got = {r.url: (r.owner, r.name, r.ref) for r in entry.queries()["repository_addresses"](spark, SF).collect()}
-    assert [got[a] for a in fixtures.ADDRESSES] == [("owner", "name", None), ("owner", "name", None), ("owner", "name", "main")] + [(None, None, None)] * 4
