@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    """Two equal edge tables have the same; two others hardly ever, so that it saves the comparison of the tables in all rounds but the last."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) long -> (node, root): root is the smallest node that can be reached. Nodes without an edge are not listed.
 
     Each step is a minimum per node, combined before the shuffle, and an equi-join; each round is written to the shared
     folder. The number of rounds grows with the logarithm of the longest path. Self-links and repeats do no harm.
+    Rounds end when one changes no edge, which an anti-join settles.
     """
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc0")
     k, mark = 0, None
@@ -24,9 +31,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         k += 1
-        now = scratch.keep(small, f"cc{k}")
-        seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        before, now = now, scratch.keep(small, f"cc{k}")
+        seen = fingerprint(now)
+        done = seen == mark and now.join(before, ["a", "b"], "left_anti").isEmpty()  # as many distinct edges, and none of them new
         scratch.drop(f"cc{k - 1}")
-        if seen == mark:
+        if done:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
