@@ -86,8 +86,18 @@ def matches(paragraph: Column) -> Column:
     table = lambda v: F.create_map(*[F.lit(x) for pair in v.items() for x in pair])
     listed = lambda v: F.array(*map(F.lit, v))
 
+    def once(value: Column, use) -> Column:
+        """use(value), with value worked out once and not for each element of a lambda's array."""
+        return F.get(F.transform(F.array(value), use), 0)
+
     def weighed(some: Column) -> Column:
-        return F.transform(F.array_distinct(some), lambda w: F.struct(w.alias("w"), (F.size(F.filter(some, lambda x: x == w)) * F.coalesce(F.try_element_at(table(idf), w), F.lit(other))).alias("x")))
+        """(word, count times inverse document frequency): in sorted words, a word's count is the distance to the next one's beginning."""
+        def runs(s: Column) -> Column:
+            begins = F.filter(F.transform(s, lambda w, k: F.when((k == 0) | (F.get(s, k - 1) != w), k)), lambda k: k.isNotNull())
+            row = lambda p, k, begins: F.struct(F.get(s, p).alias("w"), ((F.coalesce(F.get(begins, k + 1), F.size(s)) - p) * F.coalesce(F.try_element_at(table(idf), F.get(s, p)), F.lit(other))).alias("x"))
+            return once(begins, lambda b: F.transform(b, lambda p, k: row(p, k, b)))
+
+        return once(F.array_sort(some), runs)
 
     def score(bag: Column, i: int) -> Column:
         size = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, k: a + k["x"] * k["x"]))
