@@ -149,7 +149,7 @@ def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     A feature is a run of 1 to `order` words, its bucket the CRC-32 of its bytes modulo `buckets`; a document's weight is the sum of the gains
     of its features, a gain the rounded-down log ratio of a bucket's shares in target and corpus; its score adds Gumbel noise from a
     hash of seed and id, so that the highest scores are a sample by weight. Counts of buckets are summed in tasks, then by
-    bucket: their number is a parameter and all that reaches the driver. Texts are read twice and nothing of their size is kept. Places in
+    bucket: their number is a parameter and all that reaches the driver. Texts are read twice; four numbers a document are kept. Places in
     the ranking are sums over the parts of a sort by range.
 
     Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased, over whole texts; a null text has none, as an empty one. Rows that repeat an id
@@ -162,6 +162,7 @@ def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     want = {r.bucket: r.n for r in counted(target.select(F.col(target_col).cast("string")), buckets, order).collect()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(weighed(gains(have, want, buckets), order), f"doc_id {kind}, n_words long, n_features long, weight long")
+    rows = scratch.keep(rows, "weighed")  # a sort by range reads its input twice
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     rows = rows.withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("_able", F.col("n_words") >= least_words)
