@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import exprs
 from siltstone.operators import delta, detect, duplication, graph, notes, relate, rollup, score, search, validate
 from siltstone.plans import report
-from siltstone.sources.tables import lines, load, synthetic_findings
+from siltstone.sources.tables import lines, load, spread, synthetic_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,7 +27,7 @@ def on_findings(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def _hits(df: DataFrame, key, text: str) -> DataFrame:
-    found = detect.line_findings(lines(df, key, F.col(text)))
+    found = detect.line_findings(lines(spread(df.select(key.alias("key"), text)), F.col("key"), F.col(text)))
     return found.select(F.col("file_path").alias("key"), "line", "algorithm", "category", "confidence", "evidence")
 
 
@@ -221,12 +221,12 @@ def telemetry_parse(spark, d):
 
 @query
 def duplicate_windows_exact(spark, d):
-    return duplication.windows(_notes(spark, d))
+    return duplication.windows(spread(_notes(spark, d)))
 
 
 @query
 def duplicate_windows_masked(spark, d):
-    return duplication.windows(_notes(spark, d), True)
+    return duplication.windows(spread(_notes(spark, d)), True)
 
 
 on_findings("sarif_rules", report.sarif_rules)

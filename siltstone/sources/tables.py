@@ -13,6 +13,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as the cluster has cores, if the scan has fewer: a small table is one row group, so one task. A scan of
+    enough parts stays as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def lines(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """(key, line, content): one row per line, numbered from 1; split at every line break that str.splitlines knows."""
     cut = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]", -1)
