@@ -81,14 +81,14 @@ def of_go(text: str) -> Pairs:
 
 
 def of_any(text: str) -> Pairs:
-    """Of each line the first token that is a known package."""
-    for line in text.splitlines():
-        for token in TOKEN.findall(line):
-            name = token.strip().strip("\"' ,")
-            if re.sub(r"[-_.]+", "-", name.strip().lower()) in rules.PACKAGES:
-                found = VERSION.search(line)
-                yield name, found[1] if found else ""
-                break
+    """Known packages among the tokens of a text, the first of each line, with the version that the line names."""
+    done = -1
+    for m in TOKEN.finditer(text):
+        name, begin = m[0].strip(" \"',"), text.rfind("\n", 0, m.start()) + 1
+        if begin > done and re.sub(r"[-_.]+", "-", name.lower()) in rules.PACKAGES:
+            done, end = begin, text.find("\n", m.end())
+            version = VERSION.search(text, begin, end if end >= 0 else len(text))
+            yield name, version[1] if version else ""
 
 
 READERS = {"package.json": of_package_json, "package-lock.json": of_package_lock, "pyproject.toml": of_toml, "cargo.toml": of_toml, "cargo.lock": of_cargo_lock, "pom.xml": of_pom,
