@@ -316,10 +316,10 @@ def scan_index_repair(spark, d):
     return report.repaired_index(load(spark, d, "events").select(codebase.filled("{i}.json", i=i).alias("path"), text.alias("text")))
 
 
-@query("SELECT 's' || event_id AS scan_id, CASE WHEN event_id % 3 <> 0 THEN event_id ELSE -event_id END::DOUBLE AS scan_time FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
+@query("SELECT 's' || event_id AS scan_id, CASE WHEN event_id % 3 <> 0 THEN event_id ELSE event_id + 0.5 END::DOUBLE AS scan_time FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
 def scan_history_with_legacy(spark, d):
     rows = load(spark, d, "events").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("scan_id"), F.col("event_id").cast("double").alias("scan_time"), "event_id")
-    return report.history_with_legacy(rows.where("event_id % 3 <> 0").drop("event_id"), rows.where("event_id % 2 = 0").select("scan_id", (-F.col("scan_time")).alias("scan_time")))
+    return report.history_with_legacy(rows.where("event_id % 3 <> 0").drop("event_id"), rows.where("event_id % 2 = 0").select("scan_id", (F.col("scan_time") + 0.5).alias("scan_time")))
 
 
 @query("""WITH n AS (SELECT 's' || lpad((event_id % 40)::VARCHAR, 2, '0') AS scope, bool_and(event_id % 40 % 5 <> 1 OR event_id % 80 < 40) AS managed FROM events GROUP BY 1)

@@ -28,7 +28,8 @@ MAX_STRINGS, PEEK, MAX_LAYERS, MAX_MEMBERS, LAYER_BUDGET = 20_000, 64 * 1024, 10
 
 def listing(spark: SparkSession, root: str, *, max_bytes: int | None = MAX_BYTES, skipped: list[str] | None = None, languages: list[str] | None = None, since=None) -> DataFrame:
     """(path, length, modified) of the files under a folder, from names and sizes alone: no content is read. Left out are skipped folders, symbolic
-    links and what lies behind them, files of more than max_bytes (None: none), of other languages, and those not modified after `since`."""
+    links and what lies behind them, empty files (Spark lists none), files of more than max_bytes (None: none), of other languages, and those not modified
+    after `since`."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
     found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
     found = found if since is None else found.where(F.col("modified") > F.lit(since))

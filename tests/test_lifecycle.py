@@ -295,7 +295,7 @@ def test_listing_reads_names_only(spark, tmp_path):
     assert names(files.files(spark, root, max_files=1)) == ["a/x.py"]
     before = spark.createDataFrame(files.listing(spark, root).collect())  # as a scan keeps it
     (tmp_path / "a/x.py").write_bytes(b"longer")
-    (tmp_path / "new.py").write_bytes(b"")
+    (tmp_path / "new.py").write_bytes(b"x")
     os.remove(tmp_path / "a-b/y.js")
     got = {r.path.rsplit("/", 1)[1]: r.change for r in files.changed(before, files.listing(spark, root)).collect()}
     assert got == {"x.py": "modified", "new.py": "added", "y.js": "removed"}
