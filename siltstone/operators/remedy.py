@@ -44,6 +44,8 @@ CONSTRAINT_TASKS = {
     "no-new-dependencies": "Implement using stdlib / already-installed dependencies only.",
     "preserve-public-apis": "Keep every public name importable with identical signatures.",
 }
+#: What tells that a finding is gone, where it says nothing itself. Fixed value.
+CHECK = "Re-run analysis; finding must be gone."
 #: Order of the parts of an affected surface in a plan, and beginnings of paths that are routes. Fixed values.
 SURFACE = ["DIRECTLY_AFFECTED", "CONFIGURATION_AFFECTED", "TEST_AFFECTED", "INDIRECTLY_AFFECTED", "DEPENDENCY_AFFECTED", "API_AFFECTED", "OPTIONAL_REVIEW"]
 VERBS = r"^(GET|POST|PUT|DELETE|PATCH) "
@@ -69,15 +71,32 @@ def options(findings: DataFrame) -> DataFrame:
 
 
 def plan_tasks(chosen: DataFrame, constraints: list[str] | None = None) -> DataFrame:
-    """(id, place, title, what): the tasks of each chosen option: confirm, apply, one for each constraint that has one (last name first), test."""
+    """(id, place, title, what, why, files, expected, verify): the tasks of each chosen option: confirm, apply, one for each constraint that has one (last
+    name first), test. chosen may have the finding's verification and rationale, and the files affected; else the option's own texts and path stand for them."""
     wanted = sorted(set(constraints or []))
     if unknown := [c for c in wanted if c not in CONSTRAINTS]:
         raise ValueError(f"unknown constraints: {unknown}")
-    task = lambda title, what: F.struct(title.alias("title"), what.alias("what"))
-    extra = [task(F.lit(f"Constraint: {c}"), F.lit(CONSTRAINT_TASKS[c])) for c in reversed(wanted) if c in CONSTRAINT_TASKS]
-    tasks = F.array(task(F.lit("Confirm the finding"), F.lit("Verify: Re-run analysis; finding must be gone.")), task(F.concat(F.lit("Apply: "), "title"), F.col("description")), *extra,
-                    task(F.lit("Run tests and re-analyze"), F.lit("Run the project's test suite, then re-run the code analysis on the touched files.")))
-    return chosen.select("id", F.posexplode(tasks).alias("at", "t")).select("id", (F.col("at") + 1).alias("place"), "t.title", "t.what")
+    given = lambda name, other: F.coalesce(F.when(F.col(name) != "", F.col(name)), other) if name in chosen.columns else other
+    check, reason = given("verification", F.lit(CHECK)), given("rationale", F.col("description"))
+    files = F.coalesce("files", F.array("path")) if "files" in chosen.columns else F.array("path")
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+
+    def task(title, what, why, where, expected, *verify) -> Column:
+        row = zip(("title", "what", "why", "files", "expected", "verify"), (title, what, why, where, expected, F.array(*map(text, verify))), strict=True)
+        return F.struct(*[text(v).alias(k) for k, v in row])
+
+    extra = [task(f"Constraint: {c}", CONSTRAINT_TASKS[c], "User-selected constraint.", files, "Constraint honored.", f"Reviewer confirms: {c}.") for c in reversed(wanted) if c in CONSTRAINT_TASKS]
+    changed = F.concat(F.lit("Change applied to "), F.array_join(files, ", "), F.lit("; nothing else touched."))
+    tasks = F.array(task("Confirm the finding", F.concat(F.lit("Verify: "), check), "Never remediate an unconfirmed finding.", F.slice(files, 1, 1), "Finding confirmed or rejected with evidence.", check),
+                    task(F.concat(F.lit("Apply: "), "title"), F.col("description"), reason, files, changed, check), *extra,
+                    task("Run tests and re-analyze", "Run the project's test suite, then re-run the code analysis on the touched files.", "Behavior must be preserved; the finding must be gone.", files,
+                         "Tests pass; finding no longer reported.", "Test suite green.", "Verification reports RESOLVED."))
+    return chosen.select("id", F.posexplode(tasks).alias("at", "t")).select("id", (F.col("at") + 1).alias("place"), "t.*")
+
+
+def rejected_options(options_: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, option): the options of each finding with a plan that were not chosen."""
+    return options_.join(chosen.select("id").distinct(), "id", "left_semi").select("id", "option").join(chosen.select("id", "option"), ["id", "option"], "left_anti")
 
 
 def plan_files(surface: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ def line_rule_hits(spark, d):
 
 @query
 def line_rule_counts_by_lang(spark, d):
-    docs = load(spark, d, "documents").where("lang is not null")
-    found = _hits(docs, F.concat_ws("/", "lang", F.col("doc_id").cast("string")), "text")
-    return found.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("lang"), "algorithm").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit("\0")  # a null language is a group like any other
+    found = _hits(load(spark, d, "documents"), F.concat_ws("/", F.coalesce("lang", none), F.col("doc_id").cast("string")), "text")
+    return found.groupBy(F.nullif(F.split_part("key", F.lit("/"), F.lit(1)), none).alias("lang"), "algorithm").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -356,10 +356,22 @@ def remediation_options(spark, d):
 
 
 ASKED = ["require-tests", "no-new-dependencies", "minimize-files"]
-TASKS = CHOICES + f""", tasks AS (SELECT id, unnest([{{'place': 1, 'title': 'Confirm the finding', 'what': 'Verify: Re-run analysis; finding must be gone.'}}, {{'place': 2, 'title': 'Apply: ' || title, 'what': description}},
-  {{'place': 3, 'title': 'Constraint: require-tests', 'what': {names([remedy.CONSTRAINT_TASKS['require-tests']])[1:-1]}}}, {{'place': 4, 'title': 'Constraint: no-new-dependencies', 'what': {names([remedy.CONSTRAINT_TASKS['no-new-dependencies']])[1:-1]}}},
-  {{'place': 5, 'title': 'Run tests and re-analyze', 'what': {names(["Run the project's test suite, then re-run the code analysis on the touched files."])[1:-1]}}}], recursive := true) FROM said WHERE option IN ('delete', 'hoist-cache', 'simplify'))
-"""
+def _task(place: int, title: str, what: str, why: str, expected: str, verify: str) -> str:
+    """A task as SQL; texts are SQL already."""
+    return f"{{'place': {place}, 'title': {title}, 'what': {what}, 'why': {why}, 'files': path, 'expected': {expected}, 'verify': {verify}}}"
+
+
+def _q(text: str) -> str:
+    return names([text])[1:-1]
+
+
+GONE = _q("Re-run analysis; finding must be gone.")
+TASKS = CHOICES + ", tasks AS (SELECT id, unnest([" + ", ".join([
+    _task(1, _q("Confirm the finding"), f"'Verify: ' || {GONE}", _q("Never remediate an unconfirmed finding."), _q("Finding confirmed or rejected with evidence."), GONE),
+    _task(2, "'Apply: ' || title", "description", "description", "'Change applied to ' || path || '; nothing else touched.'", GONE),
+    *[_task(3 + k, _q(f"Constraint: {c}"), _q(remedy.CONSTRAINT_TASKS[c]), _q("User-selected constraint."), _q("Constraint honored."), _q(f"Reviewer confirms: {c}.")) for k, c in enumerate(["require-tests", "no-new-dependencies"])],
+    _task(5, _q("Run tests and re-analyze"), _q("Run the project's test suite, then re-run the code analysis on the touched files."), _q("Behavior must be preserved; the finding must be gone."), _q("Tests pass; finding no longer reported."), _q("Test suite green.,Verification reports RESOLVED.")),
+]) + "], recursive := true) FROM said WHERE option IN ('delete', 'hoist-cache', 'simplify'))\n"
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +381,13 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(TASKS + "SELECT * FROM tasks")
 def remediation_plan(spark, d):
-    return _tasks(spark, d)
+    return _tasks(spark, d).withColumns({"files": F.array_join("files", ","), "verify": F.array_join("verify", ",")})
+
+
+@query(CHOICES + "SELECT id, option FROM said WHERE option NOT IN ('delete', 'hoist-cache', 'simplify')")
+def remediation_rejected(spark, d):
+    every = remedy.options(code.analyse(facts(spark, d)))
+    return remedy.rejected_options(every, every.where("option in ('delete', 'hoist-cache', 'simplify')"))
 
 
 @query(TASKS + "SELECT id, string_agg(place || '. **' || title || '**: ' || what, chr(10) ORDER BY place) AS text FROM tasks GROUP BY id")

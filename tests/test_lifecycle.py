@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
-from siltstone.operators import detect, duplication, scripts, structure
+from siltstone.operators import detect, duplication, remedy, scripts, structure
 from siltstone.plans import documents, remap, scan
 from siltstone.plans.store import ScanStore, TriageStore
 from siltstone.sources import files, images
@@ -325,3 +325,28 @@ def test_limits_of_a_scan_can_be_lifted(spark):
 def test_owner_is_the_first_path_by_parts(spark):
     rows = spark.createDataFrame([("a-b/x.py",), ("a/x.py",)], "path string")
     assert rows.agg(structure.first_path("path").alias("p")).first().p == "a/x.py"
+
+
+def test_tasks_take_the_findings_own_words(spark):
+    fields = "id string, path string, title string, description string, option string"
+    plain = spark.createDataFrame([("x", "a.py", "T", "D", "delete")], fields)
+    tasks = {r.place: r for r in remedy.plan_tasks(plain, ["require-tests", "preserve-tests"]).collect()}
+    assert [tasks[k].title for k in sorted(tasks)] == ["Confirm the finding", "Apply: T", "Constraint: require-tests", "Constraint: preserve-tests", "Run tests and re-analyze"]
+    assert tasks[2].why == "D" and tasks[2].files == ["a.py"] and tasks[2].expected == "Change applied to a.py; nothing else touched."
+    own = plain.withColumns({"rationale": F.lit("R"), "verification": F.lit("V"), "files": F.array(F.lit("b.py"), F.lit("a.py"))})
+    tasks = {r.place: r for r in remedy.plan_tasks(own).collect()}
+    assert tasks[1].what == "Verify: V" and tasks[1].files == ["b.py"] and tasks[2].why == "R" and tasks[2].verify == ["V"] and tasks[3].files == ["b.py", "a.py"]
+    every = plain.unionByName(plain.withColumn("option", F.lit("keep"))).unionByName(plain.withColumn("id", F.lit("y")))
+    assert [tuple(r) for r in remedy.rejected_options(every, plain).collect()] == [("x", "keep")]
+
+
+def test_affected_surface_in_order_of_closeness(spark):
+    rows = [("file:a.py", "CALLS", "file:s.py"), ("file:s.py", "CALLS", "file:a.py"), ("file:s.py", "CALLS", "file:b.py"), ("file:s.py", "IMPORTS", "file:b.py"), ("file:s.py", "IMPORTS", "file:c.py"), ("file:t.py", "TESTS", "file:c.py"),
+            ("file:u.py", "TESTS", "file:far.py"), ("file:s.py", "CONFIGURED_BY", "config:x.toml"), ("file:s.py", "EXPOSES", "api:GET /k"), ("file:s.py", "EXPOSES", "entry:s.py"), *[(f"file:{p}", "BELONGS_TO", "subsystem:m") for p in ("s.py", "a.py", "far.py")]]
+    edges = spark.createDataFrame([(*r, "HIGH") for r in rows], "source string, relation string, target string, confidence string")
+    starts = spark.createDataFrame([("f", "s.py"), ("g", "far.py"), ("f", "s.py")], "id string, path string")
+    got = {(r.id, r.bucket, r.path, r.relation) for r in structure.affected_surface(edges, starts).collect()}
+    assert got == {("f", "DIRECTLY_AFFECTED", "s.py", "PRODUCES_FINDING"), ("f", "DIRECTLY_AFFECTED", "a.py", "CALLS"), ("f", "INDIRECTLY_AFFECTED", "b.py", "CALLS"), ("f", "INDIRECTLY_AFFECTED", "c.py", "IMPORTS"), ("f", "TEST_AFFECTED", "t.py", "TESTS"),
+                   ("f", "CONFIGURATION_AFFECTED", "x.toml", "CONFIGURED_BY"), ("f", "API_AFFECTED", "GET /k", "EXPOSES"), ("f", "OPTIONAL_REVIEW", "far.py", "BELONGS_TO"),
+                   ("g", "DIRECTLY_AFFECTED", "far.py", "PRODUCES_FINDING"), ("g", "TEST_AFFECTED", "u.py", "TESTS"), ("g", "OPTIONAL_REVIEW", "s.py", "BELONGS_TO"), ("g", "OPTIONAL_REVIEW", "a.py", "BELONGS_TO")}
+    assert structure.affected_surface(edges, starts, peers=False).where("bucket = 'OPTIONAL_REVIEW'").count() == 0
