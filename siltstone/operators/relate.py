@@ -52,6 +52,8 @@ def related(enriched: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{LINK}>")
     every = F.array_sort(F.filter(F.concat(*[F.coalesce(f"l{p}", none) for p in range(4)]), lambda x: x["target"] != F.col("id")))
     best = F.aggregate(every, none, lambda kept, x: F.when((F.size(kept) < RELATED) & ~F.exists(kept, lambda y: y["target"] == x["target"]), F.concat(kept, F.array(x))).otherwise(kept))
+    near = F.filter("l0", lambda x: x["target"] != F.col("id"))  # different ids already; if they are enough, the other lists can't count
+    best = F.when(F.size(near) >= RELATED, F.slice(F.array_sort(near), 1, RELATED)).otherwise(best)
     out = rows.select("ord", "id", F.posexplode(best).alias("at", "l"))
     return out.select("ord", "id", "l.target", F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("l.p") + 1).alias("relation"), (F.col("at") + 1).alias("place"))
 
