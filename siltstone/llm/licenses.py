@@ -27,6 +27,8 @@ TEMPLATES = [
 ]
 #: Least cosine of a match, and least share of a document's words in matching statements that makes it its directory's licence file.
 LEAST_COSINE, FILE_SHARE = 0.75, 0.3
+#: Parts that the documents of a directory are dealt to.
+SALTS = 64
 #: Names of licence files; a licence file covers its directory. Fixed values.
 FILE_NAMES = r"(?i)^(license|licence|copying|notice|unlicense)([._-].*)?$"
 #: Words that most English texts hold; only the order in which words are chosen depends on them. Fixed values.
@@ -158,7 +160,9 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", path: Column, text_c
     levels = F.split("_dir", "/")
     above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(levels)), lambda k: F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), k), "/"))).alias("_above")).distinct()
     nearest = above.join(covered.withColumnRenamed("_dir", "_above"), "_above").groupBy("_dir").agg(F.max_by(F.struct("_above", "_license"), F.length("_above")).alias("_near"))
-    out = own.join(nearest, "_dir", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int")  # so that a directory of very many documents is no single task
+    nearest = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = own.withColumn("_salt", salt).join(nearest, ["_dir", "_salt"], "left")
     inherits = F.col("own_license").isNull() & F.col("path").isNotNull()
     return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("own_license", F.when(inherits, F.col("_near._license"))).alias("license"), F.when(inherits, F.col("_near._above")).alias("inherited_from"))
 
