@@ -15,7 +15,7 @@ from siltstone.operators import duplication, relate, score, scripts
 from siltstone.plans import documents, oracle, remap, report
 from siltstone.plans.store import ScanStore, TriageStore
 from siltstone.sources import images
-from siltstone.sources.shared import fresh
+from siltstone.sources.shared import fresh, kept
 from siltstone.sources.tables import load, synthetic_findings
 from siltstone.streaming import observations
 
@@ -256,7 +256,7 @@ SELECT 'img' || image || '.tar' AS image, member, no::INT AS no, strlen(text)::B
 @query(SHOWN)
 def image_files(spark, d):
     """What images show when their layers lie on each other."""
-    layers, _ = images.layers_of(images.members_of(_images(spark, d)), None)
+    layers, _ = images.layers_of(kept(images.members_of(_images(spark, d)), "members"), None)
     found = images.effective(images.layer_members(layers, members=None, peek=None, budget=None))
     return found.select("image", "member", "no", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
 
@@ -265,7 +265,7 @@ def image_files(spark, d):
 def image_secret_names(spark, d):
     from siltstone.operators.notes import secret_variables
 
-    _, configs = images.layers_of(images.members_of(_images(spark, d)))
+    _, configs = images.layers_of(kept(images.members_of(_images(spark, d)), "members"))
     return secret_variables(configs.withColumnRenamed("image", "path")).select(F.col("path").alias("image"), "name")
 
 

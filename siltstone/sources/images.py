@@ -5,10 +5,9 @@ from __future__ import annotations
 import io
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from siltstone.sources.files import LAYER_BUDGET, MAX_LAYERS, MAX_MEMBERS, PEEK, _layer
@@ -29,18 +28,22 @@ def digest(name) -> F.Column:
 def members_of(archives: DataFrame) -> DataFrame:
     """(image, member, content): regular members of tar archives (path, content), whole, as the parts of an image."""
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r|*") as tar:
-                        for m in tar:
-                            if m.isreg():
-                                yield pd.DataFrame({"image": [path], "member": [m.name.removeprefix("./")], "content": [tar.extractfile(m).read()]})
-                except (tarfile.TarError, EOFError, OSError, zlib.error):
-                    continue
+    def expand(row: Row) -> Iterator[tuple]:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(row.content), mode="r|*") as tar:
+                for m in tar:
+                    if m.isreg():
+                        yield row.path, m.name.removeprefix("./"), tar.extractfile(m).read()
+        except (tarfile.TarError, EOFError, OSError, zlib.error):
+            return
 
-    return archives.select("path", "content").mapInPandas(expand, "image string, member string, content binary")
+    return _streamed(archives.select("path", "content"), expand, "image string, member string, content binary")
+
+
+def _streamed(rows: DataFrame, expand: Callable[[Row], Iterator[tuple]], schema: str) -> DataFrame:
+    """What expand makes of each row, one row at a time. An Arrow batch is ten thousand rows, whatever they weigh, and an archive is a row; rows of an
+    RDD come in batches of some megabytes, so that a worker holds an archive or a few small ones."""
+    return rows.sparkSession.createDataFrame(rows.rdd.flatMap(expand), schema, verifySchema=False)
 
 
 def folders_of(files: DataFrame) -> DataFrame:
@@ -91,13 +94,11 @@ def layers_of(parts: DataFrame, most: int | None = MAX_LAYERS) -> tuple[DataFram
 def layer_members(layers: DataFrame, *, members: int | None = MAX_MEMBERS, peek: int | None = PEEK, budget: int | None = LAYER_BUDGET) -> DataFrame:
     """(image, no, layer, member, content): regular members of layers, streamed; None lifts a limit."""
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for image, no, layer, content in zip(b["image"], b["no"], b["layer"], b["content"], strict=True):
-                rows = [(image, no, layer, name.removeprefix(">"), body) for name, body in _layer(io.BytesIO(bytes(content)), "", members, peek, budget)]
-                yield pd.DataFrame(rows, columns=["image", "no", "layer", "member", "content"])
+    def expand(row: Row) -> Iterator[tuple]:
+        for name, body in _layer(io.BytesIO(row.content), "", members, peek, budget):
+            yield row.image, row.no, row.layer, name.removeprefix(">"), body
 
-    return layers.select("image", "no", "layer", "content").mapInPandas(expand, "image string, no int, layer string, member string, content binary")
+    return _streamed(layers.select("image", "no", "layer", "content"), expand, "image string, no int, layer string, member string, content binary")
 
 
 def effective(found: DataFrame) -> DataFrame:
