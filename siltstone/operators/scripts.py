@@ -14,6 +14,8 @@ from siltstone.functions import exprs
 #: Words of the language that look like definitions; least length of a name worth telling. Fixed values.
 KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "import", "export", "from", "class", "extends", "new", "typeof", "with", "do", "else"]
 LEAST_NAME = 3
+#: About as many rows leave a worker at once: a frame a script costs more than its rows. Fixed value.
+ROWS = 5000
 NAME = r"[A-Za-z_$][\w$]*"
 #: States of the lexer, by what begins and ends them: strings, templates, comments; anything else is code.
 MASKED = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\[\s\S]|[^`\\])*`?|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
@@ -36,8 +38,13 @@ def _by_text(texts: DataFrame, schema: str, rows) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for path, text in zip(b["path"], b["text"], strict=True):
-                yield pd.DataFrame([(path, *r) for r in rows(masked(text or ""))], columns=names)
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+                out += [(path, *r) for r in rows(masked(text or ""))]
+            yield pd.DataFrame(out, columns=names)
 
     return texts.where(exprs.language(F.col("path")) == "javascript").select("path", "text").mapInPandas(run, schema)
 

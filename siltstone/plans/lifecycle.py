@@ -16,7 +16,7 @@ from siltstone.plans import documents, oracle, remap, report
 from siltstone.plans.store import ScanStore, TriageStore
 from siltstone.sources import images
 from siltstone.sources.shared import fresh, kept
-from siltstone.sources.tables import load, synthetic_findings
+from siltstone.sources.tables import load, spread, synthetic_findings
 from siltstone.streaming import observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,7 +183,7 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
     at = lambda i: F.coalesce(F.try_element_at(F.col("w"), F.lit(i)), F.lit("none"))
     code = F.concat(F.lit("const k_"), at(1), F.lit(" = use("), at(2), F.lit(", 'f_"), at(3), F.lit(" // no comment');\nfunction f_"), at(3), F.lit("(x) {\n  return k_"), at(4), F.lit(";\n}\n/* f_"), at(5),
                     F.lit("\n k_"), at(1), F.lit(" */ export class c_"), at(5), F.lit(" { }\n// k_"), at(1), F.lit("\nlet v_"), at(6), F.lit(" = `k_"), at(1), F.lit("\n`;\n"))
-    return load(spark, d, "documents").withColumn("w", w).select(F.concat(F.lit("js/"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), code.alias("text"))
+    return spread(load(spark, d, "documents")).withColumn("w", w).select(F.concat(F.lit("js/"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), code.alias("text"))
 
 
 PARTS = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}') AS w FROM documents),
