@@ -14,6 +14,7 @@ from siltstone.operators import code, detect, notes, relate, score, structure, v
 from siltstone.plans import codebase, lifecycle, oracle, report, scan
 from siltstone.plans.oracle import names
 from siltstone.sources import files, manifests, x509
+from siltstone.sources.shared import kept
 from siltstone.sources.tables import lines, load, synthetic_findings
 from siltstone.streaming import telemetry
 
@@ -347,13 +348,53 @@ def code_overlapping_configs(spark, d):
     return structure.overlapping_configs(codebase.declared(spark, d))
 
 
-@query(codebase.M.replace("WITH m AS", codebase.B.rstrip().rstrip(",") + ",\nm AS", 1) + """SELECT path, 0 AS line, name, 'DEPENDENCY' AS category, 'Possibly unused dependency `' || name || '`' AS title FROM d
-UNION ALL SELECT path, 0, string_split(string_split(path, '/')[-1], '.')[1], 'STRUCTURE', 'Possibly orphaned module `' || path || '`' FROM lone
-UNION ALL SELECT 'pyproject.toml', 0, '', 'CONFIGURATION', 'Overlapping configuration: pyproject.toml, requirements.txt'""")
+def _said(template: str, **values: str) -> str:
+    """A template of a file as SQL, with expressions in place of {names}."""
+    out, rest = [], template
+    while "{" in rest:
+        head, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [listed([head])[1:-1], f"({values[name]})"]
+    return " || ".join([*out, listed([rest])[1:-1]])
+
+
+def _block(when: str, template: str, **values: str) -> str:
+    return f"CASE WHEN {when} THEN {_said(template, **values)} ELSE '' END"
+
+
+#: Calls at the end of each script of the project, and its text in the SQL, by the names that `lifecycle.PARTS` lists.
+CALLS = "JSON.parse(fetch('u_{i}'));\n"
+_PY = {"i": "i", "t": "t", "u": "i - 1", "k": "i % 10", "w": "w", "back": "CASE WHEN i % 2 = 0 THEN 'os.name' ELSE '1' END"}
+_BLOCKS = [("i % 5 = 0", "x_{i} = _hidden_{i}()\n"), ("i % 4 = 1", codebase.LOOPS), ("i % 6 = 1", codebase.ROUTE), ("i % 6 = 3", codebase.TEST), ("i % 50 = 10", codebase.BUSY), ("i % 7 = 0", codebase.MAIN)]
+_JS = ["const ", "n[1]", " = use(", "n[6]", ", '", "n[2]", " // no comment');\nfunction ", "n[2]", "(x) {\n  return ", "n[5]", ";\n}\n/* f_", "n[3][3:]", "\n ", "n[1]", " */ export class ", "n[3]", " { }\n// ", "n[1]", "\nlet ", "n[4]", " = `", "n[1]", "\n`;\n"]
+_JS_SQL = " || ".join([*[x if k % 2 else listed([x])[1:-1] for k, x in enumerate(_JS)], _said(CALLS, i="regexp_extract(path, '[0-9]+')")])
+_SCRIPTS = lifecycle.PARTS.replace("WITH w AS", "sw AS", 1).replace("FROM w)", "FROM sw)", 1).replace("\nd AS", "\nsd AS", 1).replace("FROM d)", "FROM sd)", 1).rstrip()
+#: The whole analysis: Python files as `codebase.FOUND`, scripts, blocks of lines that repeat in either, and what the project as a whole shows.
+PROJECT = codebase.FOUND.rstrip() + codebase.M.replace("WITH m AS", ",\nm AS", 1).rstrip() + ",\n" + _SCRIPTS + f""",
+tk AS MATERIALIZED (SELECT s.t AS name, path, count(*) AS n FROM said GROUP BY ALL), many AS (SELECT name FROM tk GROUP BY name HAVING count(*) > 1),
+o AS (SELECT path, unnest([{{'name': n[1], 'line': 1}}, {{'name': n[2], 'line': 2}}, {{'name': n[4], 'line': 8}}], recursive := true) FROM sd),
+spare AS (SELECT o.path, o.line, o.name FROM o JOIN tk ON o.name = tk.name AND o.path = tk.path WHERE tk.n = 1 AND o.name NOT IN (SELECT name FROM many)),
+texts AS MATERIALIZED (SELECT path AS doc_id, {" || ".join([_said(codebase.BASE, **_PY), *[_block(when, text, **_PY) for when, text in _BLOCKS]])} AS text FROM b UNION ALL SELECT path, {_JS_SQL} FROM sd),
+""" + lifecycle.COVERED.replace("WITH w AS MATERIALIZED", "w AS MATERIALIZED", 1).replace("FROM documents", "FROM texts").replace("\nSELECT c.* FROM c", ",\nblocks AS (SELECT c.* FROM c") + """)
+SELECT path, line, name, category, title, confidence, score, label FROM a
+UNION ALL SELECT path, line, name, 'DEAD_CODE', 'Potentially unused symbol `' || name || '`', 'LOW', 0.5, 'REQUIRES_REVIEW' FROM spare
+UNION ALL SELECT path, 10, name, 'EFFICIENCY', 'Potentially repeated `' || name || '` (line 10)', 'LOW', 1.0, 'REQUIRES_REVIEW' FROM sd, (VALUES ('JSON.parse'), ('fetch')) AS x(name)
+UNION ALL SELECT path, start, '', 'DUPLICATION', CASE WHEN key LIKE 'near%' THEN 'Near-duplicate' ELSE 'Duplicate' END || ' block (' || occurrences || '×, ~' || width || ' lines)', CASE WHEN files > 1 AND key LIKE 'exact%' THEN 'MEDIUM' ELSE 'LOW' END,
+  CASE WHEN files = 1 THEN 0.25 WHEN key LIKE 'exact%' THEN 1.0 ELSE 0.5 END, 'REQUIRES_REVIEW' FROM blocks
+UNION ALL SELECT path, 0, name, 'DEPENDENCY', 'Possibly unused dependency `' || name || '`', 'LOW', 0.5, 'REQUIRES_REVIEW' FROM d
+UNION ALL SELECT path, 0, string_split(string_split(path, '/')[-1], '.')[1], 'STRUCTURE', 'Possibly orphaned module `' || path || '`', 'LOW', 0.5, 'REQUIRES_REVIEW' FROM lone
+UNION ALL SELECT 'pyproject.toml', 0, '', 'CONFIGURATION', 'Overlapping configuration: pyproject.toml, requirements.txt', 'MEDIUM', 2.0, 'LOW_RISK'"""
+
+
+@query(PROJECT)
 def code_project(spark, d):
-    """Findings about the project as a whole."""
-    texts = codebase.project(spark, d).unionByName(codebase.declared(spark, d))
-    return code.project_findings(texts, codebase.facts(spark, d), manifests.declared_packages(codebase.declared(spark, d))).select("path", "line", "name", "category", "title")
+    """The whole analysis of a project of Python files, scripts and manifests, without limits."""
+    calls = codebase.filled(CALLS, i=F.regexp_extract("path", "[0-9]+", 0))
+    scripts = lifecycle._scripts(spark, d).select("path", F.concat("text", calls).alias("text"))
+    declared = codebase.declared(spark, d)
+    texts = kept(codebase.project(spark, d).unionByName(scripts).unionByName(declared), "texts")  # six analyzers read them
+    found = code.analyse(codebase.facts(spark, d), texts, manifests.declared_packages(declared), None, None)
+    return found.select("path", "line", "name", "category", "title", "confidence", "score", "label")
 
 
 @query(lifecycle.PARTS + "SELECT path, unnest([{'kind': 'export', 'name': n[3]}, {'kind': 'def', 'name': n[1]}, {'kind': 'def', 'name': n[2]}, {'kind': 'def', 'name': n[3]}, {'kind': 'def', 'name': n[4]}], recursive := true) FROM d")

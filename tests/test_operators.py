@@ -134,3 +134,13 @@ def test_store_and_history(spark, tmp_path):
         report.store_scan(e, str(tmp_path / "h"), f"s{k}", float(k))
     assert [r.scan_id for r in report.history(spark, str(tmp_path / "h")).collect()] == ["s2", "s1"]
     assert report.read_scan(spark, str(tmp_path / "h"), "s1").count() == 1
+
+
+def test_whole_project_is_analysed(spark):
+    from siltstone.plans import derived
+
+    found = derived.code_project(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["path", "line", "name", "category", "title", "confidence", "score", "label"]
+    rows = found.collect()
+    assert {r.category for r in rows} == {"DEAD_CODE", "COMPLEXITY", "EFFICIENCY", "DUPLICATION", "DEPENDENCY", "STRUCTURE", "CONFIGURATION"}
+    assert {r.name for r in rows if r.path.endswith(".js") and r.category == "EFFICIENCY"} == {"JSON.parse", "fetch"}
