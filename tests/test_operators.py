@@ -144,3 +144,11 @@ def test_whole_project_is_analysed(spark):
     rows = found.collect()
     assert {r.category for r in rows} == {"DEAD_CODE", "COMPLEXITY", "EFFICIENCY", "DUPLICATION", "DEPENDENCY", "STRUCTURE", "CONFIGURATION"}
     assert {r.name for r in rows if r.path.endswith(".js") and r.category == "EFFICIENCY"} == {"JSON.parse", "fetch"}
+
+
+def test_duplicate_cover_passes_over_many_files_in_many_tasks(spark):
+    rows = spark.range(3000).select(F.format_string("k%05d", "id").alias("key"), F.lit(2).cast("long").alias("occurrences"), F.lit(2).cast("long").alias("files"), F.format_string("f%d", F.expr("id div 3")).alias("path"),
+                                    (F.col("id") % 3 * 7 + 1).cast("int").alias("start"), F.when(F.col("id") % 3 == 1, 12).otherwise(6).alias("width"))
+    got = duplication.cover(rows, None)
+    assert sorted((r.path, r.start) for r in got.collect()) == sorted((f"f{k}", s) for k in range(1000) for s in (1, 8))  # 15 lies in 8 to 20
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one task for all, before
