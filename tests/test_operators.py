@@ -152,3 +152,12 @@ def test_duplicate_cover_passes_over_many_files_in_many_tasks(spark):
     got = duplication.cover(rows, None)
     assert sorted((r.path, r.start) for r in got.collect()) == sorted((f"f{k}", s) for k in range(1000) for s in (1, 8))  # 15 lies in 8 to 20
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one task for all, before
+
+
+def test_graph_health_passes_over_edges_once(spark):
+    nodes = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "node string, type string")
+    edges = spark.createDataFrame([("a", "b", "r"), ("a", "b", "r"), ("a", "c", "r"), ("a", "c", "r")], "source string, target string, relation string")
+    got = graph.health(nodes, edges)
+    assert {r.problem: r.n for r in got.collect()} == {"duplicate": 1, "dangling": 1}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3  # nodes twice, edges once
