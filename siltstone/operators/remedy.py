@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import fixed
+
 #: (category, option, title, description, risk, complexity, automation, advantages, disadvantages); {s} is the symbol or "the flagged code",
 #: {t} the symbol or the file, {f} the file. The empty category is any other. Fixed values.
 OPTIONS = [
@@ -61,7 +63,7 @@ def options(findings: DataFrame) -> DataFrame:
     """(id, path, name, option, title, description, risk, complexity, automation, advantages, disadvantages): two or three for each code
     finding (id, path, name, category, confidence), by category: a join with a table of fixed size."""
     fields = "category string, option string, title string, description string, risk string, complexity string, automation string, advantages array<string>, disadvantages array<string>"
-    table = findings.sparkSession.createDataFrame(OPTIONS, fields)
+    table = fixed(findings.sparkSession, OPTIONS, fields)
     known = [c for c in dict.fromkeys(o[0] for o in OPTIONS) if c]
     rows = findings.select("id", "path", "name", "confidence", F.when(F.col("category").isin(known), F.col("category")).otherwise("").alias("category"))
     symbol, file = F.coalesce("name", F.lit("")), F.col("path")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
 
+if TYPE_CHECKING:  # workers that parse need no pandas
+    import pandas as pd
+
 #: Words of the language that look like definitions; least length of a name worth telling. Fixed values.
 KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "import", "export", "from", "class", "extends", "new", "typeof", "with", "do", "else"]
 LEAST_NAME = 3
@@ -37,6 +40,8 @@ def _by_text(texts: DataFrame, schema: str, rows) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for b in batches:
             out = []
             for path, text in zip(b["path"], b["text"], strict=True):

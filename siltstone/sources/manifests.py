@@ -8,19 +8,20 @@ import tomllib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules
 
-#: Forms of lines and entries, sections, and how deep includes are followed. Fixed values.
+#: Forms of lines and entries, sections, how deep includes are followed, and files that are Python objects at once. Fixed values.
 REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?\s*([^;#\s]*)\s*(?:[#;].*)?$")
 INCLUDE = re.compile(r"^\s*-[rc]\s+(\S+)")
 GRADLE = re.compile(r"""['"]([^'":\s]+):([^'":\s]+):([^'":\s]+)['"]""")
 GO_MODULE = re.compile(r"^\s*(?:require\s+)?([\w.\-/]+(?:/[\w.\-]+)+)\s+(v[\w.+-]+)")
 TOKEN, VERSION = re.compile(r"[A-Za-z0-9_.\-/~^<>=! ]{3,80}"), re.compile(r"version\s*[:=]\s*[\"']([^\"']+)[\"']", re.I)
 JSON_SECTIONS, LOCK_SECTIONS, DEPTH = ("dependencies", "devDependencies", "peerDependencies"), ("packages", "dependencies"), 3
+HELD_FILES = 512
 
 Pairs = Iterator[tuple[str, str]]
 
@@ -112,17 +113,18 @@ def is_manifest(path: F.Column) -> F.Column:
 def _read(texts: DataFrame, as_requirements: bool) -> DataFrame:
     """(path, kind, name, version): the packages of texts, and what requirements among them include (all of them, if as_requirements)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, HELD_FILES) for whole in batches for at in range(0, whole.num_rows, HELD_FILES)):
             rows = []
-            for p, t in zip(b["path"], b["text"], strict=True):
+            for p, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 name = "requirements" if as_requirements else p.rpartition("/")[2].lower()
                 rows += [(p, "package", *x) for x in pairs(name, t or "")]
                 if name.startswith("requirements"):
                     rows += [(p, "include", m[1], "") for line in (t or "").splitlines() if (m := INCLUDE.match(line))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "version"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "kind", "name", "version"])
 
-    return texts.select("path", "text").mapInPandas(read, "path string, kind string, name string, version string")
+    return texts.select("path", "text").mapInArrow(read, "path string, kind string, name string, version string")
 
 
 def _includes(found: DataFrame) -> DataFrame:
