@@ -1,7 +1,7 @@
 """Whole JSON documents of any size: a header, body rows in order, a footer, each written where it lies.
 
-A document is a folder: `part` files in order of name, and an index of their lengths; put end to end they are one JSON text. No task and no
-driver holds the body.
+A document is a folder: `part` files in order of name, and an index of their lengths; put end to end, and unpacked where they are gzip files, they are
+one JSON text. No task and no driver holds the body.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ LONGEST_TEXT, LONGEST_URI = 1000, 512
 SARIF = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
 
 
-def write(rows: DataFrame, order: list, path: str, head: str, tail: str, parts: int | None = None) -> DataFrame:
+def write(rows: DataFrame, order: list, path: str, head: str, tail: str, parts: int | None = None, body: Column | None = None, packed: bool = False) -> DataFrame:
     """Writes head, the column `json` of rows in order with commas between, and tail; returns the index (no, file, rows, bytes).
 
     Rows are dealt by range and sorted within, so parts are the order's own pieces. A row's line starts with its comma, but for the first of
-    all: the least row, which an aggregate finds before, where it begins its part. The same rows in another cluster give the same text.
+    all: where a part begins with the least order, which an aggregate finds before. The same rows in another cluster give the same text.
+    With body, a row's JSON, the rows travel as they are and become JSON where they are written. packed: parts of the body are gzip files.
     """
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select(F.struct(*order).alias("_order"), F.col("json"))
-    own = F.struct("_order", "json")
-    least = keyed.agg(F.to_json(F.min(own)).alias("least")).first().least
-    lines = keyed.repartitionByRange(n, "_order", "json").sortWithinPartitions("_order", "json")
-    begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # equal rows share a part
-    lines = lines.withColumn("comma", F.when(begins & (F.to_json(own) == F.lit(least)), "").otherwise(","))
-    lines.select(F.concat("comma", "json").alias("value")).write.mode("overwrite").text(f"{path}/body")
+    own = F.to_json(F.struct(*order))
+    least = rows.agg(F.to_json(F.min(F.struct(*order))).alias("least")).first().least
+    lines = rows.repartitionByRange(n, *order)  # rows of one order share a part
+    lines = (lines if body is None else lines.withColumn("json", body)).sortWithinPartitions(*order, "json")
+    begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    lines = lines.withColumn("comma", F.when(begins & (own == F.lit(least)), "").otherwise(","))
+    how = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"} if packed else {}
+    lines.select(F.concat("comma", "json").alias("value")).write.mode("overwrite").options(**how).text(f"{path}/body")
     folder = Folder(spark, path)
     for name in ("head", "tail", "index.json"):
         folder.delete(name)
@@ -129,5 +131,5 @@ def write_cbom(enriched: DataFrame, path: str, target: str, scanned_at: str, sca
     inventory = [r.json for r in rollup.inventory(enriched).select(F.to_json(F.struct("*")).alias("json"), "family").orderBy("family").collect()]
     work = [r.json for r in rollup.work_items(enriched).select(F.to_json(F.struct("*")).alias("json"), "family").orderBy("family").collect()]
     tail = f'], "intelligence": {{"inventory": [{",".join(inventory)}]}}, "migration": {{"workItems": [{",".join(work)}]}}}}'
-    rows = enriched.select("ord", F.to_json(F.struct(*[c for c in enriched.columns if c != "ord"])).alias("json"))
-    return write(rows, ["ord"], path, head[:-1] + ', "components": [', tail)
+    body = F.to_json(F.struct(*[c for c in enriched.columns if c != "ord"]))
+    return write(enriched, ["ord"], path, head[:-1] + ', "components": [', tail, body=body, packed=True)
