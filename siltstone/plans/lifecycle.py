@@ -113,8 +113,9 @@ SELECT okey, string_agg(new_id, ',' ORDER BY ord) AS ids, string_agg(new_id || '
 def remapped_arrays(spark, d):
     """Arrays of ids, of links and of paths, and single ids, after the findings they name have moved below a logical prefix."""
     e = score.enrich(synthetic_findings(spark, d).withColumn("file_path", F.concat(F.lit("/w/"), "file_path")))
-    by_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("v")))), lambda x: x["v"])
-    rows = e.groupBy("okey").agg(by_order(F.col("id")).alias("ids"), by_order(F.struct("id", F.col("family").alias("relation"))).alias("related"), by_order(F.col("file_path")).alias("artifacts"), F.min_by("id", "ord").alias("finding_id"))
+    v = F.array_sort(F.collect_list(F.struct("ord", "id", "family", "file_path")))  # one list, so that both readings of rows share its shuffle
+    rows = e.groupBy("okey").agg(v.alias("v")).select("okey", F.col("v.id").alias("ids"), F.transform("v", lambda x: F.struct(x["id"].alias("id"), x["family"].alias("relation"))).alias("related"),
+                                                      F.col("v.file_path").alias("artifacts"), F.col("v")[0]["id"].alias("finding_id"))
     moved = report.relativized(e, "/w", "o/r@c")
     out = remap.remapped(rows, "okey", {"ids": "id", "related.id": "id", "artifacts": "path", "finding_id": "id"}, remap.names_of(moved))
     links = F.transform("related", lambda x: F.concat_ws(":", x["id"], x["relation"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import kept
+
 #: Values of a row before, in array columns: dotted for a field of an array of structs; and what kind of name each holds.
 Columns = dict[str, str]
 
@@ -17,45 +19,49 @@ def _values(df: DataFrame, column: str) -> Column:
     return F.transform(outer, lambda x: x[field]) if field else F.col(outer)
 
 
-def remapped(rows: DataFrame, key: str, columns: Columns, names: DataFrame) -> DataFrame:
+#: Names that every executor may hold; with more, places and names are shuffled to each other.
+FEW = 1 << 18
+
+
+def remapped(rows: DataFrame, key: str, columns: Columns, names: DataFrame, few: int = FEW) -> DataFrame:
     """Rows with new names, by (kind, old, new), in place of the old ones in all columns; names without a new one stay, and so do
     order, repeats, nulls and empty arrays. key must tell rows apart.
 
-    Every name of every column becomes one short row (key, column, place, name), and these meet the new names in one equi-join; only places that
-    change go on, one map a row, which a projection applies. A name that a third of all links hold is one row of `names` and many
-    short rows on the other side, which adaptive execution splits; nothing is broadcast by a hint.
+    Each different name of a row, in whatever columns and places, becomes one short row (key, kind, name), and these meet the new names in one
+    equi-join; what changes goes back as one map a row, which a projection applies to all places. New names are counted before: at most `few`
+    are broadcast, so rows that lie by their key are not moved; more are shuffled, and a name that a third of all links hold is then one row of
+    `names` and many short rows on the other side, which adaptive execution splits. rows are read twice.
     """
-    new = names.where("old is not null and old <> new").groupBy("kind", "old").agg(F.min("new").alias("new"))
+    new = kept(names.where("old is not null and old <> new").groupBy("kind", "old").agg(F.min("new").alias("new")), "names")
+    new = F.broadcast(new) if new.limit(few + 1).count() <= few else new
 
-    def places(k: int, column: str, kind: str) -> Column:
-        row = lambda x, i: F.struct(F.lit(k).alias("column"), i.alias("place"), F.lit(kind).alias("kind"), x.cast("string").alias("old"))
-        return F.transform(F.coalesce(_values(rows, column), F.array().cast("array<string>")), row)
+    def said(column: str, kind: str) -> Column:
+        found = F.transform(_values(rows, column), lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("old")))
+        return F.coalesce(F.filter(found, lambda x: x["old"].isNotNull()), F.array().cast("array<struct<kind:string,old:string>>"))
 
-    parts = [places(k, c, kind) for k, (c, kind) in enumerate(columns.items())]
-    long = rows.select(F.col(key).alias("_key"), F.explode(F.concat(*parts)).alias("v")).select("_key", "v.*")
-    changed = long.join(new, ["kind", "old"]).select("_key", F.concat_ws(":", "column", "place").alias("at"), "new")
-    changes = changed.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("_changes"))
+    every = F.array_distinct(F.concat(*[said(c, kind) for c, kind in columns.items()]))
+    long = rows.select(F.col(key).alias("_key"), F.explode(every).alias("v")).select("_key", "v.*")
+    changed = long.join(new, ["kind", "old"]).select("_key", F.concat("kind", F.lit(":"), "old").alias("was"), "new")
+    changes = changed.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("was", "new"))).alias("_changes"))
     out = rows.join(changes, F.col(key) == F.col("_key"), "left")
 
-    def named(c: str, k: int) -> Column:
+    def named(c: str, kind: str) -> Column:
         outer, _, field = c.partition(".")
-        at = lambda i: F.try_element_at(F.col("_changes"), F.concat(F.lit(f"{k}:"), i.cast("string")))
+        now = lambda x: F.coalesce(F.try_element_at(F.col("_changes"), F.concat(F.lit(f"{kind}:"), x.cast("string"))), x)
         if rows.schema[outer].dataType.typeName() != "array":
-            return F.coalesce(at(F.lit(0)), F.col(outer))
-        if field:
-            return F.transform(outer, lambda x, i: x.withField(field, F.coalesce(at(i), x[field])))
-        return F.transform(outer, lambda x, i: F.coalesce(at(i), x))
+            return now(F.col(outer))
+        return F.transform(outer, lambda x: x.withField(field, now(x[field])) if field else now(x))
 
-    for k, c in enumerate(columns):
-        out = out.withColumn(c.partition(".")[0], F.when(F.col("_changes").isNull(), F.col(c.partition(".")[0])).otherwise(named(c, k)))
+    for c, kind in columns.items():
+        outer = c.partition(".")[0]
+        out = out.withColumn(outer, F.when(F.col("_changes").isNull(), F.col(outer)).otherwise(named(c, kind)))
     return out.select(*rows.columns)
 
 
 def names_of(relativized: DataFrame) -> DataFrame:
-    """(kind, old, new) of ids and paths of findings that report.relativized has moved."""
-    ids = relativized.select(F.lit("id").alias("kind"), F.col("old_id").alias("old"), F.col("id").alias("new"))
-    paths = relativized.select(F.lit("path").alias("kind"), F.col("old_path").alias("old"), F.col("file_path").alias("new"))
-    return ids.unionByName(paths).where("old <> '' and old <> new").distinct()
+    """(kind, old, new) of ids and paths of findings that report.relativized has moved, read once."""
+    moved = [F.struct(F.lit(k).alias("kind"), F.col(old).alias("old"), F.col(new).alias("new")) for k, old, new in (("id", "old_id", "id"), ("path", "old_path", "file_path"))]
+    return relativized.select(F.inline(F.array(*moved))).where("old <> '' and old <> new").distinct()
 
 
 def below_prefix(column: Column, prefix: str) -> Column:
