@@ -128,17 +128,13 @@ def remapped_arrays(spark, d):
 @query(oracle.E_ + """SELECT ord, 'CRYPTO-' || replace(algorithm, ' ', '-') AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, greatest(1, line) AS line, id AS finding_id,
   row_number() OVER (ORDER BY ord) AS place FROM e""")
 def sarif_document(spark, d):
-    """The results of a written document, in the order they stand there."""
+    """The results of a written document, in the order they stand there; each says which finding it was."""
     e = score.enrich(synthetic_findings(spark, d))
     where = fresh(spark, "sarif")
-    documents.write_sarif(e, where)
-    fields = "ruleId string, level string, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int>>>>, properties struct<crypto struct<finding_id string>>"
-    name = F.col("_metadata.file_name")
-    rows = spark.read.text(f"{where}/body").select(name.alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("_m"), F.from_json(F.regexp_replace("value", "^,", ""), fields).alias("r"))
-    rows = score.numbered(rows, [F.col("file"), F.col("begin"), F.col("_m")], "place")  # lines of a block are read in order
-    at = F.col("r.locations")[0]["physicalLocation"]
-    rows = rows.select("place", F.col("r.ruleId").alias("rule"), "r.level", at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"), F.col("r.properties.crypto.finding_id").alias("finding_id"))
-    return rows.join(score.numbered(e.select("ord"), [F.col("ord")], "place"), "place")
+    documents.write_sarif(e, where, properties=("ord",))
+    fields = "ruleId string, level string, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int>>>>, properties struct<crypto struct<finding_id string>, ord bigint>"
+    rows, at = documents.placed_lines(spark, where, fields), F.col("r.locations")[0]["physicalLocation"]
+    return rows.select("place", F.col("r.ruleId").alias("rule"), "r.level", at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"), F.col("r.properties.crypto.finding_id").alias("finding_id"), F.col("r.properties.ord").alias("ord"))
 
 
 @query(oracle.E_ + """SELECT f.* FROM (SELECT count(*) AS total, count(*) FILTER (exposed) AS exposed, count(*) FILTER (priority = 'P0') AS p0, count(*) FILTER (severity = 'critical') AS critical, array_to_string(list_sort(list(DISTINCT algorithm)), ',') AS algorithms,
